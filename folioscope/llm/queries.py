@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from folioscope.llm.media import op1_mpeg_audio
 from folioscope.llm.simhash import op2_simhash
+from folioscope.llm.substrings import op3_substrings, op6_suffixes
 
 QUERIES = {
     "op1_mpeg_audio": op1_mpeg_audio,
     "op2_simhash": op2_simhash,
+    "op3_substrings": op3_substrings,
+    "op6_suffixes": op6_suffixes,
 }
 
 ORACLES: dict[str, str] = {}
