@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+from folioscope.llm.bpe import op10_bpe
+from folioscope.llm.lines import OP4_SQL, op4_lines
 from folioscope.llm.media import op1_mpeg_audio
+from folioscope.llm.shards import op5_shards
 from folioscope.llm.simhash import op2_simhash
 from folioscope.llm.substrings import op3_substrings, op6_suffixes
+from folioscope.llm.tokens import op9_token_files
 
 QUERIES = {
     "op1_mpeg_audio": op1_mpeg_audio,
     "op2_simhash": op2_simhash,
     "op3_substrings": op3_substrings,
+    "op4_lines": op4_lines,
+    "op5_shards": op5_shards,
     "op6_suffixes": op6_suffixes,
+    "op9_token_files": op9_token_files,
+    "op10_bpe": op10_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_lines": OP4_SQL,
+}
