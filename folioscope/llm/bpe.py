@@ -162,3 +162,26 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     text_batches(spark)
     out = encoded(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
     return out.mapInArrow(_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def _round_trips(path: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, encode = bpe(path)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 250):
+                b = whole.slice(lo, 250)
+                texts = b.column("text").to_pylist()
+                ids = encode(texts)
+                good = [own.decode(np.frombuffer(x, "<u4").astype(np.int64)) == t.encode() for x, t in zip(ids, texts)]
+                flat = [np.frombuffer(x, "<u4").astype(np.int32) for x in ids]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists, pa.array(np.diff(offsets).astype(np.int64)), pa.array(good)], ["doc_id", "ids", "n_tokens", "round_trip"])
+
+    return run
+
+
+def round_trips(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids, n_tokens, round_trip (whether the ids decode to the text) of each whole text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(_round_trips(path), "doc_id long, ids array<int>, n_tokens long, round_trip boolean")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from folioscope.llm.bpe import op10_bpe
+from folioscope.llm.decontaminate import op8_decontaminate
 from folioscope.llm.lines import OP4_SQL, op4_lines
 from folioscope.llm.media import op1_mpeg_audio
+from folioscope.llm.quality import op7_quality
 from folioscope.llm.shards import op5_shards
 from folioscope.llm.simhash import op2_simhash
 from folioscope.llm.substrings import op3_substrings, op6_suffixes
@@ -17,6 +19,8 @@ QUERIES = {
     "op4_lines": op4_lines,
     "op5_shards": op5_shards,
     "op6_suffixes": op6_suffixes,
+    "op7_quality": op7_quality,
+    "op8_decontaminate": op8_decontaminate,
     "op9_token_files": op9_token_files,
     "op10_bpe": op10_bpe,
 }
