@@ -1,4 +1,6 @@
 """All queries of the region, transcription and dataset operators, and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from folioscope.plans import box_queries, match_queries
+from folioscope.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "box_queries", "match_queries"]
