@@ -23,21 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import documents, text_batches
-from folioscope.llm.tokens import VOCABULARY, PartCache
+from folioscope.llm.tokens import VOCABULARY, PartCache, byte_letters
 
 NONE = np.iinfo(np.int64).max
 
 
-def byte_letters() -> dict[int, str]:
-    """The printable letter that stands for each byte in a byte-level vocabulary: itself, or the next free one from 256 on."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    out, free = {b: chr(b) for b in plain}, 256
-    for b in range(256):
-        if b not in out:
-            out[b], free = chr(free), free + 1
-    return out
-
-
 class Bpe:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:

@@ -108,10 +108,14 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % FOLDS == 0
 
 
+#: How ids (below 2 * BUCKETS) and counts go to the driver.
+_SPARSE = ("<u2", "<u4")
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = [document_features(t or "") for t in b.column("text").to_pylist()]
-        ids, n = (pa.array([x[k].tolist() for x in found], pa.list_(pa.int64())) for k in (0, 1))
+        ids, n = (pa.array([x[k].astype(kind).tobytes() for x in found], pa.binary()) for k, kind in enumerate(_SPARSE))
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), ids, n], ["doc_id", "label", "ids", "n"])
 
 
@@ -122,9 +126,9 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     chosen = own.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = text.join(F.broadcast(chosen), "doc_id").mapInArrow(_features, "doc_id long, label long, ids array<long>, n array<long>").toArrow()
+    rows = text.join(F.broadcast(chosen), "doc_id").mapInArrow(_features, "doc_id long, label long, ids binary, n binary").toArrow()
     rows = rows.sort_by([("doc_id", "ascending")])
-    got = [(np.array(i, np.int64), np.array(n, np.int64), label) for i, n, label in zip(rows["ids"].to_pylist(), rows["n"].to_pylist(), rows["label"].to_pylist())]
+    got = [(np.frombuffer(i.as_buffer(), _SPARSE[0]), np.frombuffer(n.as_buffer(), _SPARSE[1]), label.as_py()) for i, n, label in zip(rows["ids"], rows["n"], rows["label"])]
     return train(got) if got else Model(np.zeros(2 * BUCKETS, np.float32), 0.0)
 
 

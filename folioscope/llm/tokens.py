@@ -6,7 +6,7 @@ documents in ids, both 64-bit, n and n + 1 of them. Files get their names when c
 each attempt, so that repeated or lost tasks leave no half file among those in the manifest. The manifest has one row a file; prefix
 sums over its rows give each partition's base. `read_ids` maps the files and never reads more than one document's ids at once.
 
-Encoding is the tokenizers library's. Byte-level pre-tokenisation never joins text across a single space between two
+Encoding is the tokenizers library's, through its model or whole. Byte-level pre-tokenisation never joins text across a single space between two
 other characters, so a text is encoded by its space-separated parts, and equal parts are encoded once per worker (a cache
 of bounded size); texts with other runs of white space at a part's edge are encoded whole.
 
@@ -16,14 +16,17 @@ Null and empty texts have the end id alone. Null doc_ids come first. Repeated ro
 from __future__ import annotations
 
 import json
+import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import NULL_ID, documents, identified, kept, new_path, text_batches
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
-CACHE = 300_000
+CACHE = 800_000
 #: What may be white space to one pattern engine and not to another: parts with such edges are never taken alone.
 _EDGES = "᠎​﻿"
 
@@ -49,44 +52,87 @@ def vocabulary_size(path: str) -> int:
 
 
 class PartCache:
-    """ids of texts as bytes of a given integer type, through one encoder of lists of strings."""
+    """ids of texts as bytes of a given integer type, through one encoder of lists of strings.
+
+    Parts that follow a space are kept encoded, the oldest half leaving when there are too many. Parts that can't be taken
+    alone are kept as False, so that a text with one of them is encoded whole.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]]) -> None:
-        self.encode, self.parts = encode, {}
+        self.encode, self.parts = encode, {"": False}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
         known = self.parts
         if len(known) > CACHE:
-            known.clear()
-        missing = {p for s in split for p in s[1:] if p not in known}
-        missing -= {p for p in missing if self._alone(p)}
-        for p in missing:
-            known[p] = None
-        if missing := [p for p in missing if p]:
-            for p, ids in zip(missing, self.encode([" " + p for p in missing])):
-                known[p] = ids
-        first = self.encode([s[0] for s in split])
-        out: list[bytes | None] = []
-        for s, head in zip(split, first):
-            ids = [known.get(p) for p in s[1:]]
-            out.append(None if None in ids or s[0] and len(s) > 1 and self._alone(s[0], True) or not s[0] and len(s) > 1 else head + b"".join(ids))
-        whole = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(whole, self.encode([texts[i] for i in whole])):
-            out[i] = ids
+            for p in list(islice(known, len(known) // 2)):
+                del known[p]
+            known[""] = False
+        split = [t.split(" ") for t in texts]
+        heads = [s.pop(0) for s in split]
+        found = [list(map(known.get, s)) for s in split]
+        missing = {p for s, ids in zip(split, found) for p, i in zip(s, ids) if i is None}
+        good = [p for p in missing if _joins(p[0]) and _joins(p[-1])]
+        known.update(dict.fromkeys(missing, False))
+        known.update(zip(good, self.encode([" " + p for p in good])))
+        out: list[bytes] = []
+        whole: list[int] = []
+        for k, (head, first, s, ids) in enumerate(zip(heads, self.encode(heads), split, found)):
+            if s:
+                try:
+                    if not head or not _joins(head[-1]):
+                        raise TypeError
+                    first = b"".join([first, *(known[p] if i is None else i for p, i in zip(s, ids))])
+                except TypeError:  # a part that can't be taken alone
+                    whole.append(k)
+            out.append(first)
+        for k, ids in zip(whole, self.encode([texts[k] for k in whole])):
+            out[k] = ids
         return out
 
-    def _alone(self, p: str, last_only: bool = False) -> bool:
-        """Whether a part's edge (or last character) may be white space: remembered as no part."""
-        bad = not p or p[-1].isspace() or p[-1] in _EDGES or not last_only and (p[0].isspace() or p[0] in _EDGES)
-        if bad and not last_only:
-            self.parts[p] = None
-        return bad
+
+def _joins(c: str) -> bool:
+    """Whether a character is no white space to any pattern engine, so that a space beside it stands alone."""
+    return not c.isspace() and c not in _EDGES
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary: itself, or the next free one from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    out, free = {b: chr(b) for b in plain}, 256
+    for b in range(256):
+        if b not in out:
+            out[b], free = chr(free), free + 1
+    return out
+
+
+class LibraryPieces(dict):
+    """ids of pre-tokenised pieces by the tokenizers library's model."""
+
+    def __init__(self, model, code: str) -> None:
+        super().__init__()
+        self.model, self.code, self.letters = model, code, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        out = self[piece] = struct.pack(f"<{len(ids)}{self.code}", *ids)
+        return out
 
 
 def library_encoder(path: str, dtype: str) -> Callable[[list[str]], list[bytes]]:
+    """Encodes lists of texts with the tokenizers library: Latin ones piece by piece through its model, so that equal pieces are
+    encoded once; others (where Unicode tables of pattern engines might differ) and those with a special token whole."""
     t = tokenizer(path)
-    return lambda texts: [np.array(e.ids, dtype).tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    special = [x.content for x in t.get_added_tokens_decoder().values()]
+    pieces, found = LibraryPieces(t.model, "H" if dtype == "<u2" else "I"), regex.compile(public_tokenizers.PATTERN).findall
+
+    def encode(texts: list[str]) -> list[bytes]:
+        if len(pieces) > CACHE // 2:
+            pieces.clear()
+        plain = [not x or max(x) < "\u0250" and not any(s in x for s in special) for x in texts]
+        hard = iter(t.encode_batch_fast([x for x, p in zip(texts, plain) if not p], add_special_tokens=False))
+        return [b"".join([pieces[q] for q in found(x)]) if p else np.array(next(hard).ids, dtype).tobytes() for x, p in zip(texts, plain)]
+
+    return encode
 
 
 @lru_cache(maxsize=2)
@@ -110,8 +156,8 @@ def _write(folder: str, vocabulary: str, end: int, dtype: str) -> Callable:
         ids, sizes, last = [], [], np.array([end], dtype).tobytes()
         with store.open_output_stream(f"{at}/{name}.bin.part") as out:
             for whole in batches:
-                for lo in range(0, whole.num_rows, 64):
-                    b = whole.slice(lo, 64)
+                for lo in range(0, whole.num_rows, 250):
+                    b = whole.slice(lo, 250)
                     for i, x in zip(b.column("_id").to_pylist(), encode(b.column("text").to_pylist())):
                         out.write(x)
                         out.write(last)
