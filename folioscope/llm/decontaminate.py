@@ -39,14 +39,17 @@ NUMBERS = frozenset(
 )
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*")
 _GLUED = re.compile(r"(?<=\d)(?=[A-Za-z%°€£$])")
+_HAS_GLUED = re.compile(r"\d[A-Za-z%°€£$]")
 _PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "%$") + "«»“”„‘’…–—¿¡"
 LITERAL, NUMBER, UNIT, NAME = range(4)
 _HOLDER = np.array([0, 0x1D8E4E27C47D124F, 0x2545F4914F6CDD1D, 0x3C6EF372FE94F82B], np.uint64)
-_CACHE = 300_000
+_CACHE = 800_000
 
 
 def word_kind(word: str) -> tuple[str, int, bool, bool]:
     """Core, kind by the word alone, whether it is capitalised, whether it ends a sentence."""
+    if word.isalpha() and word.islower():  # most words
+        return word, NUMBER if word in NUMBERS else UNIT if word in UNITS else LITERAL, False, False
     core = word.strip(_PUNCTUATION)
     low = core.lower()
     ends = word.rstrip("\"'»”’)]")[-1:] in ".!?:"
@@ -58,75 +61,70 @@ def word_kind(word: str) -> tuple[str, int, bool, bool]:
 
 
 class Words:
-    """Hash and flags of distinct words, cached up to a bound."""
+    """Hash and flags of distinct words, cached up to a bound; columns: hash, kind, capital, ends a sentence, blank."""
 
     def __init__(self) -> None:
-        self.clear()
-
-    def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.hash, self.kind, self.capital, self.ends, self.blank = [], [], [], [], []
-        self.arrays: tuple = ()
-
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        """Template hash, kind and first word of each token, and the words."""
-        if re.search(r"\d[A-Za-z%°€£$]", text):
-            text = _GLUED.sub(" ", text)
-        words = text.split()
+        self.table = [np.empty(1 << 16, t) for t in (np.uint64, np.int8, bool, bool, bool)]
+
+    def split(self, texts: list[str]) -> list[list[str]]:
+        """The words of texts, all of them known afterwards."""
         if len(self.index) > _CACHE:
-            self.clear()
-        for w in set(words).difference(self.index):
-            core, kind, capital, ends = word_kind(w)
-            self.index[w] = len(self.hash)
-            self.hash.append(xxhash.xxh64_intdigest(core.encode()))
-            self.kind.append(kind)
-            self.capital.append(capital)
-            self.ends.append(ends)
-            self.blank.append(not core)
-            self.arrays = ()
-        if not self.arrays:
-            self.arrays = (np.array(self.hash, np.uint64), np.array(self.kind, np.int8), np.array(self.capital, bool), np.array(self.ends, bool), np.array(self.blank, bool))
+            self.index.clear()
+        out = [(_GLUED.sub(" ", t) if _HAS_GLUED.search(t) else t).split() for t in texts]
+        new: set[str] = set()
+        for words in out:
+            new.update(set(words).difference(self.index))
+        at = len(self.index)
+        if at + len(new) > len(self.table[0]):
+            self.table = [np.concatenate([c[:at], np.empty(at + 2 * len(new), c.dtype)]) for c in self.table]
+        rows = [(xxhash.xxh64_intdigest(core.encode()), kind, capital, ends, not core) for core, kind, capital, ends in map(word_kind, new)]
+        for c, values in zip(self.table, zip(*rows)):
+            c[at : at + len(new)] = np.array(values, c.dtype)
+        self.index.update(zip(new, range(at, at + len(new))))
+        return out
+
+    def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Template hash, kind and first word of each token of known words."""
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        hashed, kind, capital, ends, blank = (a[at] for a in self.arrays)
+        hashed, kind, capital, ends, blank = (a[at] for a in self.table)
         first = np.ones(len(at), bool)
         first[1:] = ends[:-1]
         kind = np.where((kind == LITERAL) & capital & ~first, NAME, kind)
         keep = ~blank
         keep[1:] &= ~((kind[1:] == NAME) & (kind[:-1] == NAME))
-        kind, where = kind[keep], np.flatnonzero(keep)
-        return np.where(kind == LITERAL, hashed[keep], _HOLDER[kind]), kind, where, words
+        where = np.flatnonzero(keep)
+        kind = kind[where]
+        return np.where(kind == LITERAL, hashed[where], _HOLDER[kind]), kind, where
 
 
-def windows(hashed: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and positions of the windows with enough literal tokens; below WINDOW tokens the whole is one window."""
-    n = min(WINDOW, len(hashed))
-    if n == 0:
+def windows(hashed: np.ndarray, kind: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and positions of the windows of n tokens with enough literal ones."""
+    if not 0 < n <= len(hashed):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    out = np.full(len(hashed) - n + 1, n, np.uint64)
-    for k in range(n):
-        out = (out ^ hashed[k : len(hashed) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
     literal = np.cumsum(np.concatenate([[0], kind == LITERAL]))
     at = np.flatnonzero(literal[n:] - literal[:-n] >= LITERALS)
-    return out[at].view(np.int64), at
+    out = np.full(len(at), n, np.uint64)
+    for k in range(n):
+        out = (out ^ hashed[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64), at
 
 
 _HITS = "_id long, _th long, key long, pos long, n long"
 
 
-def _windowed(keys: np.ndarray | None, short: bool) -> Callable:
-    """Windows of documents, all or those among sorted keys. short: windows below WINDOW tokens at every place, for items that short."""
+def _windowed(keys: np.ndarray | None, lengths: list[int] | None) -> Callable:
+    """Windows of documents by the given lengths, all or those among sorted keys. No lengths: an item's own, WINDOW or the whole of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in batches:
             cols: list[list[np.ndarray]] = [[], [], [], [], []]
-            for i, d, t in zip(*(b.column(c).to_pylist() for c in ("_id", "_th", "text"))):
-                hashed, kind, _, _ = words.tokens(t)
-                found = [windows(hashed, kind)]
-                if short:
-                    found += [_short(hashed, kind, n) for n in range(LITERALS, min(WINDOW, len(hashed)))]
-                key, at = (np.concatenate(x) for x in zip(*found))
+            for i, d, w in zip(b.column("_id").to_pylist(), b.column("_th").to_pylist(), words.split(b.column("text").to_pylist())):
+                hashed, kind, _ = words.tokens(w)
+                own = [min(WINDOW, len(hashed))] if lengths is None else lengths
+                key, at = (np.concatenate(x) for x in zip(*(windows(hashed, kind, n) for n in own)))
                 if keys is not None and len(key):
                     hit = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key if len(keys) else np.zeros(len(key), bool)
                     key, at = key[hit], at[hit]
@@ -139,11 +137,6 @@ def _windowed(keys: np.ndarray | None, short: bool) -> Callable:
     return run
 
 
-def _short(hashed: np.ndarray, kind: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    found = [windows(hashed[a : a + n], kind[a : a + n])[0] for a in range(len(hashed) - n + 1)]
-    return np.concatenate(found), np.repeat(np.arange(len(found)), [len(f) for f in found])
-
-
 def slots_agree(item: list[str], own: list[str]) -> bool:
     """Whether values map one to one."""
     there: dict[str, str] = {}
@@ -161,7 +154,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in b.to_pylist():
             parts = []
             for text, lo, n in ((x["item"], x["lo"], x["hi"] - x["lo"]), (x["text"], x["lo"] + x["diagonal"], x["hi"] - x["lo"])):
-                hashed, kind, where, words = cache.tokens(text)
+                words = cache.split([text])[0]
+                hashed, kind, where = cache.tokens(words)
                 ends = np.append(where[1:], len(words))
                 value = lambda k: " ".join(w.strip(_PUNCTUATION).lower() for w in words[where[k] : ends[k]]).strip()  # noqa: B023, E731
                 parts.append((hashed[lo : lo + n], [value(k) for k in range(lo, lo + n) if kind[k] != LITERAL], int(where[lo])))
@@ -180,13 +174,13 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     docs = identified(docs)
     bench = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     bench = kept(bench.select("item_id", "text", F.coalesce("item_id", F.lit(NULL_ID)).alias("_id"), F.xxhash64("text").alias("_th")).dropDuplicates(["_id", "_th"]), "items")
-    theirs = kept(bench.select("_id", "_th", "text").mapInArrow(_windowed(None, False), _HITS), "item-windows")
+    theirs = kept(bench.select("_id", "_th", "text").mapInArrow(_windowed(None, None), _HITS), "item-windows")
     n_keys = theirs.select("key").distinct().count()
     keys = None
     if n_keys <= KEYS:
         keys = np.sort(theirs.select("key").distinct().toArrow()["key"].to_numpy())
-    short = not theirs.where(F.col("n") < WINDOW).isEmpty()
-    hits = docs.select("_id", "_th", "text").mapInArrow(_windowed(keys, short), _HITS)
+    lengths = [r["n"] for r in theirs.select(F.least("n", F.lit(WINDOW)).alias("n")).distinct().collect()]  # WINDOW values at most
+    hits = docs.select("_id", "_th", "text").mapInArrow(_windowed(keys, lengths or [WINDOW]), _HITS)
     side = F.broadcast(theirs) if keys is not None else theirs
     side = side.select("key", F.col("_id").alias("item"), F.col("_th").alias("item_th"), F.col("pos").alias("item_pos"), F.col("n").alias("item_n"))
     joined = hits.select("_id", "_th", "key", "pos").join(side, "key")
