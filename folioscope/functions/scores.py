@@ -52,11 +52,14 @@ def bleu(hyp: Column, ref: Column, order: int = 4) -> Column:
     """Sentence BLEU: brevity penalty times the geometric mean of clipped precisions (plus 1e-10); 0 for an empty hypothesis."""
     a, b = tokens_of(hyp), tokens_of(ref)
     count = lambda xs, g: F.size(F.filter(xs, lambda y: y == g))
+
+    def clipped(x: Column, y: Column) -> Column:
+        return F.aggregate(F.array_distinct(x), F.lit(0), lambda s, g: s + F.least(count(x, g), count(y, g)))
+
     total = F.lit(0.0)
     for n in range(1, order + 1):
         x, y = _ngrams(a, n), _ngrams(b, n)
-        clipped = F.aggregate(F.array_distinct(x), F.lit(0), lambda s, g, x=x, y=y: s + F.least(count(x, g), count(y, g)))
-        total = total + F.log(clipped / F.greatest(F.size(x), F.lit(1)) + 1e-10) / order
+        total = total + F.log(clipped(x, y) / F.greatest(F.size(x), F.lit(1)) + 1e-10) / order
     penalty = F.least(F.lit(1.0), F.exp(1 - F.size(b) / F.size(a)))
     return F.when(F.size(a) == 0, 0.0).otherwise(penalty * F.exp(total))
 

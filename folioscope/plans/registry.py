@@ -79,7 +79,7 @@ def oracle_text(sql: str) -> str:
     held = FIXTURES | {"fx_latex": _LATEX_SQL}
     used = [n for n in held if re.search(rf"\b{n}\b", sql)]
     ctes = [f"{n} AS ({held[n].replace('{G}', ", 'g'")})" for n in used]
-    body = sql.strip()
+    body = re.sub(r"\b([a-z]) -> ", r"lambda \1: ", sql.strip())
     if not ctes:
         return body
     if body.upper().startswith("WITH "):
