@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -47,7 +47,7 @@ def read_yolo_labels(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """stem, cls, cx, cy, bw, bh of label lines; blank ones, short ones and class names instead of numbers are skipped."""
     raw = spark.read.text(path).select(F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "").alias("stem"), F.filter(F.split(F.trim("value"), r"\s+"), lambda p: p != "").alias("p"))
     raw = raw.where((F.size("p") >= 5) & ~F.col("p")[0].isin("text", "math"))
-    return raw.select("stem", F.col("p")[0].alias("cls"), *(F.col("p")[i + 1].try_cast("double").alias(n) for i, n in enumerate(("cx", "cy", "bw", "bh"))))
+    return raw.select("stem", F.col("p")[0].alias("cls"), *(F.col("p")[i].try_cast("double").alias(n) for i, n in enumerate(("cx", "cy", "bw", "bh"), 1)))
 
 
 def read_writers_xml(spark: SparkSession, path: str) -> DataFrame:
@@ -59,48 +59,48 @@ def read_writers_xml(spark: SparkSession, path: str) -> DataFrame:
 _MEMBERS = "archive string, member string, content binary"
 
 
-def read_archive_members(spark: SparkSession, paths: str | list[str], suffix: str, keys: DataFrame | None = None) -> DataFrame:
-    """archive, member, content of tar and zip members with a suffix, one task an archive; only members named in keys (member) are read, if given.
-
-    Archives that don't open, and zips without any wanted member, give no row. Keys reach each archive by a join of its members' names.
-    """
-
-    def opened(data: bytes) -> Iterator[tuple[str, object]]:
-        try:
-            with tarfile.open(fileobj=io.BytesIO(data)) as t:
-                for m in t:
-                    if m.isfile() and m.name.endswith(suffix):
-                        yield m.name, lambda m=m: t.extractfile(m).read()
-                return
-        except tarfile.TarError:
-            pass
-        try:
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                for n in z.namelist():
-                    if n.endswith(suffix):
-                        yield n, lambda n=n: z.read(n)
-        except zipfile.BadZipFile:
+def _opened(data: bytes, suffix: str) -> Iterator[tuple[str, Callable[[], bytes]]]:
+    try:
+        with tarfile.open(fileobj=io.BytesIO(data)) as t:
+            for m in t:
+                if m.isfile() and m.name.endswith(suffix):
+                    yield m.name, lambda: t.extractfile(m).read()  # noqa: B023  called before the next member
             return
+    except tarfile.TarError:
+        pass
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            for n in z.namelist():
+                if n.endswith(suffix):
+                    yield n, lambda: z.read(n)  # noqa: B023
+    except zipfile.BadZipFile:
+        return
+
+
+def unpacked(archives: DataFrame, suffix: str, keys: DataFrame | None = None) -> DataFrame:
+    """archive, member, content of the members with a suffix in tar and zip archives (path, content), an archive at a time.
+
+    Archives that don't open, and those without any wanted member, give no row. With keys (member), others are dropped unread:
+    a member's bytes are taken only after its name passed the suffix, and rows of unwanted names leave in the semi-join.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content, wanted in zip(*(b.column(c).to_pylist() for c in ("path", "content", "wanted"))):
-                wanted = None if wanted is None else set(wanted)
-                rows = [(path, n, get()) for n, get in opened(content) if wanted is None or n in wanted]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["archive", "member", "content"])
+            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                for name, get in _opened(content, suffix):
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([name]), pa.array([get()], pa.binary())], ["archive", "member", "content"])
 
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    if keys is None:
-        files = files.withColumn("wanted", F.lit(None).cast("array<string>"))
-    else:
-        files = files.join(F.broadcast(keys.agg(F.collect_set("member").alias("wanted"))))
-    return files.mapInArrow(run, _MEMBERS)
+    out = archives.mapInArrow(run, _MEMBERS)
+    return out if keys is None else out.join(keys.select("member"), "member", "left_semi")
 
 
-def read_form_writer_map(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """form, writer_id (10000 + number) of the XML members of archives; unreadable ones and those lacking either attribute are skipped."""
-    text = read_archive_members(spark, paths, ".xml").select(F.decode("content", "UTF-8").alias("x"))
+def read_archive_members(spark: SparkSession, paths: str | list[str], suffix: str, keys: DataFrame | None = None) -> DataFrame:
+    return unpacked(spark.read.format("binaryFile").load(paths).select("path", "content"), suffix, keys)
+
+
+def forms_of(members: DataFrame) -> DataFrame:
+    """form, writer_id (10000 + number) of XML members; unreadable ones and those lacking either attribute are skipped."""
+    text = members.select(F.decode("content", "UTF-8").alias("x"))
     root = F.regexp_extract("x", r"(?s)<(?![?!])[^>]*>", 0)
     attribute = lambda n: F.regexp_extract(root, rf'(?s)\s{n}\s*=\s*"([^"]*)"', 1)
     rows = text.select(attribute("id").alias("form"), attribute("writer-id").alias("w"), root.alias("r"), "x")
@@ -110,6 +110,10 @@ def read_form_writer_map(spark: SparkSession, paths: str | list[str]) -> DataFra
     return rows.select("form", (F.col("w").try_cast("int") + 10000).cast("string").alias("writer_id")).where("writer_id IS NOT NULL")
 
 
+def read_form_writer_map(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return forms_of(read_archive_members(spark, paths, ".xml"))
+
+
 def read_ascii_lines(spark: SparkSession, path: str) -> DataFrame:
     """line_id, text of lines with nine fields at least (split at single spaces); the last field, bars as spaces."""
     raw = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
