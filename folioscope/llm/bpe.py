@@ -3,7 +3,8 @@
 The symbols of all distinct words of a batch lie in one flat array. A round looks up the rank of every pair of neighbours by
 binary search over the sorted pair keys, takes each word's lowest rank, and merges every place of that pair (from the left,
 where places overlap); words without a known pair leave. Texts are cut at special tokens and by the byte-level pattern
-as the tokenizers library does; equal space-separated parts are encoded once per worker. Decoding gathers the bytes of ids.
+as the tokenizers library does. Byte-level pre-tokenisation never joins text across a single space between two other
+characters, so equal space-separated parts are encoded once per worker (a cache of bounded size). Decoding gathers the bytes of ids.
 
 Null and empty texts have no ids and decode to the empty text. Equal texts give equal rows; repeated rows are kept.
 """
@@ -14,6 +15,7 @@ import hashlib
 import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -23,11 +25,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import documents, text_batches
-from folioscope.llm.tokens import VOCABULARY, PartCache, byte_letters
+from folioscope.llm.tokens import CACHE, VOCABULARY, byte_letters
 
 NONE = np.iinfo(np.int64).max
 
 
+#: What may be white space to one pattern engine and not to another: parts with such edges are never taken alone.
+_EDGES = "\u180e\u200b\ufeff"
+
+
+class PartCache:
+    """ids of texts as bytes of a given integer type, through one encoder of lists of strings.
+
+    Parts that follow a space are kept encoded, the oldest half leaving when there are too many. Parts that can't be taken
+    alone are kept as False, so that a text with one of them is encoded whole.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]]) -> None:
+        self.encode, self.parts = encode, {"": False}
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        known = self.parts
+        if len(known) > CACHE:
+            for p in list(islice(known, len(known) // 2)):
+                del known[p]
+            known[""] = False
+        split = [t.split(" ") for t in texts]
+        heads = [s.pop(0) for s in split]
+        found = [list(map(known.get, s)) for s in split]
+        missing = {p for s, ids in zip(split, found) for p, i in zip(s, ids) if i is None}
+        good = [p for p in missing if _joins(p[0]) and _joins(p[-1])]
+        known.update(dict.fromkeys(missing, False))
+        known.update(zip(good, self.encode([" " + p for p in good])))
+        out: list[bytes] = []
+        whole: list[int] = []
+        for k, (head, first, s, ids) in enumerate(zip(heads, self.encode(heads), split, found)):
+            if s:
+                try:
+                    if not head or not _joins(head[-1]):
+                        raise TypeError
+                    first = b"".join([first, *(known[p] if i is None else i for p, i in zip(s, ids))])
+                except TypeError:  # a part that can't be taken alone
+                    whole.append(k)
+            out.append(first)
+        for k, ids in zip(whole, self.encode([texts[k] for k in whole])):
+            out[k] = ids
+        return out
+
+
+def _joins(c: str) -> bool:
+    """Whether a character is no white space to any pattern engine, so that a space beside it stands alone."""
+    return not c.isspace() and c not in _EDGES
+
+
 class Bpe:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:

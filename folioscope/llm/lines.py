@@ -63,7 +63,7 @@ class LineRuns:
         """Adds the rows (h1, h2, _id) of a batch; returns its keys that no earlier batch had."""
         new = kept(batch.groupBy(*KEY).agg(F.count(F.lit(1)).alias("docs"), F.max("_id").alias("last")), "batch")
         held = self.held()
-        fresh = new if held is None else new.join(held, KEY, "left_anti")
+        fresh = new if held is None else kept(new.join(held, KEY, "left_anti"), "fresh")
         rows = fresh if held is None else fresh.union(new.join(held, KEY, "left_semi"))
         if not self.levels:
             self.levels.append([])

@@ -146,10 +146,10 @@ def scan(data: bytes) -> dict:
     """What a stream holds. Bytes between frames that are no frame count as skipped (resynchronisation)."""
     at, end, tags = _tags(data)
     out = {"tags": tags, "vbr": None, "rate": 0, "samples": 0, "crc_ok": 0, "crc_bad": 0, "crc_unchecked": 0, "skipped": 0}
-    offsets, bodies, synced = [], [], False
+    offsets, bodies, like = [], [], None  # like: version, layer and rate of the frame just before
     while at < end:
         h = header(data, at)
-        if h is not None and not synced:  # confirmed by the next header, or by the end
+        if h is not None and (h[0], h[1], h[4]) != like:  # to be confirmed by the next header, or by the end
             after = at + h[6]
             nxt = header(data, after) if after < end else None
             if after > end or after < end and (nxt is None or (nxt[0], nxt[1], nxt[4]) != (h[0], h[1], h[4])):
@@ -157,7 +157,7 @@ def scan(data: bytes) -> dict:
         if h is None or at + h[6] > end:
             sync = data.find(b"\xff", at + 1, end)
             out["skipped"] += (sync if sync >= 0 else end) - at
-            at, synced = sync if sync >= 0 else end, False
+            at, like = sync if sync >= 0 else end, None
             continue
         one, layer, protected, _, rate, mono, size, samples = h
         side = 0 if layer != 3 else (17 if mono else 32) if one else (9 if mono else 17)
@@ -175,7 +175,7 @@ def scan(data: bytes) -> dict:
             bodies.append((at + 4 + 2 * protected + side, at + size))
             out["samples"] += samples
             out["rate"] = out["rate"] or rate
-        at, synced = at + size, True
+        at, like = at + size, (one, layer, rate)
     return out | {"offsets": offsets, "bodies": bodies}
 
 

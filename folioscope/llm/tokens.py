@@ -6,9 +6,7 @@ documents in ids, both 64-bit, n and n + 1 of them. Files get their names when c
 each attempt, so that repeated or lost tasks leave no half file among those in the manifest. The manifest has one row a file; prefix
 sums over its rows give each partition's base. `read_ids` maps the files and never reads more than one document's ids at once.
 
-Encoding is the tokenizers library's, through its model or whole. Byte-level pre-tokenisation never joins text across a single space between two
-other characters, so a text is encoded by its space-separated parts, and equal parts are encoded once per worker (a cache
-of bounded size); texts with other runs of white space at a part's edge are encoded whole.
+Encoding is the tokenizers library's (`LibraryEncoder`).
 
 Null and empty texts have the end id alone. Null doc_ids come first. Repeated rows are written each.
 """
@@ -16,17 +14,16 @@ Null and empty texts have the end id alone. Null doc_ids come first. Repeated ro
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,8 +33,6 @@ from folioscope.llm.common import NULL_ID, documents, identified, kept, new_path
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
 CACHE = 800_000
-#: What may be white space to one pattern engine and not to another: parts with such edges are never taken alone.
-_EDGES = "᠎​﻿"
 
 
 @lru_cache(maxsize=2)
@@ -51,50 +46,6 @@ def vocabulary_size(path: str) -> int:
     return tokenizer(path).get_vocab_size()
 
 
-class PartCache:
-    """ids of texts as bytes of a given integer type, through one encoder of lists of strings.
-
-    Parts that follow a space are kept encoded, the oldest half leaving when there are too many. Parts that can't be taken
-    alone are kept as False, so that a text with one of them is encoded whole.
-    """
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]) -> None:
-        self.encode, self.parts = encode, {"": False}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        known = self.parts
-        if len(known) > CACHE:
-            for p in list(islice(known, len(known) // 2)):
-                del known[p]
-            known[""] = False
-        split = [t.split(" ") for t in texts]
-        heads = [s.pop(0) for s in split]
-        found = [list(map(known.get, s)) for s in split]
-        missing = {p for s, ids in zip(split, found) for p, i in zip(s, ids) if i is None}
-        good = [p for p in missing if _joins(p[0]) and _joins(p[-1])]
-        known.update(dict.fromkeys(missing, False))
-        known.update(zip(good, self.encode([" " + p for p in good])))
-        out: list[bytes] = []
-        whole: list[int] = []
-        for k, (head, first, s, ids) in enumerate(zip(heads, self.encode(heads), split, found)):
-            if s:
-                try:
-                    if not head or not _joins(head[-1]):
-                        raise TypeError
-                    first = b"".join([first, *(known[p] if i is None else i for p, i in zip(s, ids))])
-                except TypeError:  # a part that can't be taken alone
-                    whole.append(k)
-            out.append(first)
-        for k, ids in zip(whole, self.encode([texts[k] for k in whole])):
-            out[k] = ids
-        return out
-
-
-def _joins(c: str) -> bool:
-    """Whether a character is no white space to any pattern engine, so that a space beside it stands alone."""
-    return not c.isspace() and c not in _EDGES
-
-
 def byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in a byte-level vocabulary: itself, or the next free one from 256 on."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -105,12 +56,12 @@ def byte_letters() -> dict[int, str]:
     return out
 
 
-class LibraryPieces(dict):
-    """ids of pre-tokenised pieces by the tokenizers library's model."""
+class Pieces(dict):
+    """ids of pre-tokenised pieces by the tokenizers library's model, as little-endian bytes."""
 
-    def __init__(self, model, code: str) -> None:
+    def __init__(self, model, dtype: str) -> None:
         super().__init__()
-        self.model, self.code, self.letters = model, code, byte_letters()
+        self.model, self.code, self.letters = model, "H" if dtype == "<u2" else "I", byte_letters()
 
     def __missing__(self, piece: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
@@ -118,26 +69,43 @@ class LibraryPieces(dict):
         return out
 
 
-def library_encoder(path: str, dtype: str) -> Callable[[list[str]], list[bytes]]:
-    """Encodes lists of texts with the tokenizers library: Latin ones piece by piece through its model, so that equal pieces are
-    encoded once; others (where Unicode tables of pattern engines might differ) and those with a special token whole."""
-    t = tokenizer(path)
-    special = [x.content for x in t.get_added_tokens_decoder().values()]
-    pieces, found = LibraryPieces(t.model, "H" if dtype == "<u2" else "I"), regex.compile(public_tokenizers.PATTERN).findall
+# What \\p{L}, \\p{N} and \\s are below U+0100, where Python's own pattern engine can do the byte-level pattern's work.
+_L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
+LATIN = re.compile(f" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
 
-    def encode(texts: list[str]) -> list[bytes]:
-        if len(pieces) > CACHE // 2:
-            pieces.clear()
-        plain = [not x or max(x) < "\u0250" and not any(s in x for s in special) for x in texts]
-        hard = iter(t.encode_batch_fast([x for x, p in zip(texts, plain) if not p], add_special_tokens=False))
-        return [b"".join([pieces[q] for q in found(x)]) if p else np.array(next(hard).ids, dtype).tobytes() for x, p in zip(texts, plain)]
+class LibraryEncoder:
+    """Lists of texts to ids (bytes of an integer type) with the tokenizers library.
 
-    return encode
+    Texts below U+0100 without special tokens are cut by the byte-level pattern here, and each distinct piece is encoded once
+    by the library's model (the cache is emptied when full); other texts are encoded whole by the library.
+    """
+
+    def __init__(self, path: str, dtype: str) -> None:
+        self.tokenizer, self.dtype = tokenizer(path), dtype
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces = Pieces(self.tokenizer.model, dtype)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.pieces) > CACHE:
+            self.pieces.clear()
+        ids, cut = self.pieces.__getitem__, LATIN.findall
+        own = [_latin(x) and not any(s in x for s in self.special) for x in texts]
+        rest = iter(self.tokenizer.encode_batch_fast([x for x, p in zip(texts, own) if not p], add_special_tokens=False))
+        return [b"".join(map(ids, cut(x))) if p else np.array(next(rest).ids, self.dtype).tobytes() for x, p in zip(texts, own)]
 
 
 @lru_cache(maxsize=2)
-def library_cache(path: str, dtype: str) -> PartCache:
-    return PartCache(library_encoder(path, dtype))
+def library_encoder(path: str, dtype: str) -> LibraryEncoder:
+    return LibraryEncoder(path, dtype)
 
 
 def _at(uri: str) -> tuple[fs.FileSystem, str]:
@@ -150,7 +118,7 @@ _MANIFEST = "partition long, file string, n_docs long, n_tokens long"
 def _write(folder: str, vocabulary: str, end: int, dtype: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, at = _at(folder)
-        encode = library_cache(vocabulary, dtype)
+        encode = library_encoder(vocabulary, dtype)
         number = TaskContext.get().partitionId()
         name = f"{number:06d}-{uuid.uuid4().hex[:8]}"
         ids, sizes, last = [], [], np.array([end], dtype).tobytes()

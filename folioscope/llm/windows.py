@@ -234,9 +234,11 @@ def equal_windows(units: list[np.ndarray], ids: np.ndarray, rule: Rule) -> tuple
             break
     off = at - starts[row]
     if rule.first_stays and len(at):
-        order = np.lexsort((ids[row, 3] + off, ids[row, 2], ids[row, 1], name))
-        later = np.concatenate([[False], name[order][1:] == name[order][:-1]])
-        order = np.sort(order[later])
+        place = np.stack([ids[row, 3] + off, ids[row, 2], ids[row, 1]])
+        order = np.lexsort((*place, name))
+        new = np.concatenate([[True], name[order][1:] != name[order][:-1]])
+        first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        order = np.sort(order[(place[:, order] != place[:, first]).any(0)])  # repeated rows are at the first place too
         row, off = row[order], off[order]
     return row, off
 
