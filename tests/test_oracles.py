@@ -8,7 +8,7 @@ import pytest
 
 from folioscope.plans.catalogue import ORACLES, QUERIES
 
-D = "/root/testdata/sf0.001"
+D = "/root/testdata/sf0.01"  # rows of fixtures have unique keys here
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
