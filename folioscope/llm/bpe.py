@@ -3,8 +3,8 @@
 The symbols of all distinct words of a batch lie in one flat array. A round looks up the rank of every pair of neighbours by
 binary search over the sorted pair keys, takes each word's lowest rank, and merges every place of that pair (from the left,
 where places overlap); words without a known pair leave. Texts are cut at special tokens and by the byte-level pattern
-as the tokenizers library does. Byte-level pre-tokenisation never joins text across a single space between two other
-characters, so equal space-separated parts are encoded once per worker (a cache of bounded size). Decoding gathers the bytes of ids.
+as the tokenizers library does; equal pieces are merged once per worker (a cache of bounded size). Decoding gathers the bytes
+of ids.
 
 Null and empty texts have no ids and decode to the empty text. Equal texts give equal rows; repeated rows are kept.
 """
@@ -15,7 +15,7 @@ import hashlib
 import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -25,59 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import documents, text_batches
-from folioscope.llm.tokens import CACHE, VOCABULARY, byte_letters
+from folioscope.llm.tokens import CACHE, LATIN, VOCABULARY, byte_letters, latin
 
 NONE = np.iinfo(np.int64).max
 
 
-#: What may be white space to one pattern engine and not to another: parts with such edges are never taken alone.
-_EDGES = "\u180e\u200b\ufeff"
-
-
-class PartCache:
-    """ids of texts as bytes of a given integer type, through one encoder of lists of strings.
-
-    Parts that follow a space are kept encoded, the oldest half leaving when there are too many. Parts that can't be taken
-    alone are kept as False, so that a text with one of them is encoded whole.
-    """
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]) -> None:
-        self.encode, self.parts = encode, {"": False}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        known = self.parts
-        if len(known) > CACHE:
-            for p in list(islice(known, len(known) // 2)):
-                del known[p]
-            known[""] = False
-        split = [t.split(" ") for t in texts]
-        heads = [s.pop(0) for s in split]
-        found = [list(map(known.get, s)) for s in split]
-        missing = {p for s, ids in zip(split, found) for p, i in zip(s, ids) if i is None}
-        good = [p for p in missing if _joins(p[0]) and _joins(p[-1])]
-        known.update(dict.fromkeys(missing, False))
-        known.update(zip(good, self.encode([" " + p for p in good])))
-        out: list[bytes] = []
-        whole: list[int] = []
-        for k, (head, first, s, ids) in enumerate(zip(heads, self.encode(heads), split, found)):
-            if s:
-                try:
-                    if not head or not _joins(head[-1]):
-                        raise TypeError
-                    first = b"".join([first, *(known[p] if i is None else i for p, i in zip(s, ids))])
-                except TypeError:  # a part that can't be taken alone
-                    whole.append(k)
-            out.append(first)
-        for k, ids in zip(whole, self.encode([texts[k] for k in whole])):
-            out[k] = ids
-        return out
-
-
-def _joins(c: str) -> bool:
-    """Whether a character is no white space to any pattern engine, so that a space beside it stands alone."""
-    return not c.isspace() and c not in _EDGES
-
-
 class Bpe:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -100,7 +52,8 @@ class Bpe:
         self.bytes = np.frombuffer(b"".join(table), np.uint8)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words: dict[str, np.ndarray] = {}
+        self.special_ids = {t: np.array([i], "<u4").tobytes() for t, i in self.special.items()}
+        self.known: dict[str, bytes] = dict(self.special_ids)
 
     def ranked(self, symbols: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Rank of each symbol with its right neighbour in the same word, or NONE."""
@@ -142,18 +95,22 @@ class Bpe:
         order = np.argsort(word, kind="stable")
         return np.split(symbols[order], np.cumsum(np.bincount(word, minlength=len(words)))[:-1])
 
+    def pieces(self, text: str) -> list[str]:
+        """The special tokens and pre-tokenised pieces of a text. Below U+0100 Python's own pattern engine does the cutting."""
+        if self.cut and any(s in text for s in self.special):
+            return [w for part in self.cut.split(text) for w in ([part] if part in self.special else self.pieces(part))]
+        return (LATIN if latin(text) else self.pattern).findall(text)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """ids of each text as bytes of 32-bit integers; equal words of the batch are merged once."""
-        pieces: list[list[str | int]] = []
-        for t in texts:
-            if self.cut and any(s in t for s in self.special):
-                pieces.append([w for part in self.cut.split(t) for w in ([self.special[part]] if part in self.special else self.pattern.findall(part))])
-            else:
-                pieces.append(self.pattern.findall(t))
-        words = list({w for p in pieces for w in p if isinstance(w, str)})
-        ids: dict[str | int, bytes] = dict(zip(words, (x.astype("<u4").tobytes() for x in self.merge([w.encode() for w in words]))))
-        ids |= {i: np.array([i], "<u4").tobytes() for i in self.special.values()}
-        return [b"".join([ids[w] for w in p]) for p in pieces]
+        """ids of each text as bytes of 32-bit integers. Pieces not met before are merged together; the cache is emptied when full."""
+        known = self.known
+        if len(known) > CACHE:
+            known.clear()
+            known.update(self.special_ids)
+        cut = [self.pieces(t) for t in texts]
+        new = list(set(chain.from_iterable(cut)).difference(known))
+        known.update(zip(new, (x.astype("<u4").tobytes() for x in self.merge([w.encode() for w in new]))))
+        return [b"".join(map(known.__getitem__, p)) for p in cut]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids as UTF-8; invalid sequences become the replacement character."""
@@ -166,18 +123,17 @@ class Bpe:
 
 
 @lru_cache(maxsize=2)
-def bpe(path: str) -> tuple[Bpe, PartCache]:
-    own = Bpe(path)
-    return own, PartCache(own.encode)
+def bpe(path: str) -> Bpe:
+    return Bpe(path)
 
 
 def _coded(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, encode = bpe(path)
+        own = bpe(path)
         for whole in batches:
             for lo in range(0, whole.num_rows, 250):
                 b = whole.slice(lo, 250)
-                ids = encode(b.column("text").to_pylist())
+                ids = own.encode(b.column("text").to_pylist())
                 text = [own.decode(np.frombuffer(x, "<u4").astype(np.int64)) for x in ids]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array(text, pa.binary())], ["doc_id", "ids", "decoded"])
 
@@ -206,12 +162,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _round_trips(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, encode = bpe(path)
+        own = bpe(path)
         for whole in batches:
             for lo in range(0, whole.num_rows, 250):
                 b = whole.slice(lo, 250)
                 texts = b.column("text").to_pylist()
-                ids = encode(texts)
+                ids = own.encode(texts)
                 good = [own.decode(np.frombuffer(x, "<u4").astype(np.int64)) == t.encode() for x, t in zip(ids, texts)]
                 flat = [np.frombuffer(x, "<u4").astype(np.int32) for x in ids]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int32)

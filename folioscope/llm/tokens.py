@@ -74,7 +74,7 @@ _L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff",
 LATIN = re.compile(f" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
-def _latin(text: str) -> bool:
+def latin(text: str) -> bool:
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
@@ -98,7 +98,7 @@ class LibraryEncoder:
         if len(self.pieces) > CACHE:
             self.pieces.clear()
         ids, cut = self.pieces.__getitem__, LATIN.findall
-        own = [_latin(x) and not any(s in x for s in self.special) for x in texts]
+        own = [latin(x) and not any(s in x for s in self.special) for x in texts]
         rest = iter(self.tokenizer.encode_batch_fast([x for x, p in zip(texts, own) if not p], add_special_tokens=False))
         return [b"".join(map(ids, cut(x))) if p else np.array(next(rest).ids, self.dtype).tobytes() for x, p in zip(texts, own)]
 

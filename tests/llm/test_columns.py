@@ -76,8 +76,8 @@ def test_encoders_equal_the_library():
     parts = ["a", "b", " ", "  ", "\n", "é", "🙂", "1", "'s", "!", "<|endoftext|>", " ", "Z", "\t"]
     texts = ODD + ["".join(rng.choice(parts, int(rng.integers(1, 40)))) for _ in range(400)]
     want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
-    own, cache = bpe(PATH)
-    got = [np.frombuffer(x, "<u4") for x in cache(texts)]
+    own = bpe(PATH)
+    got = [np.frombuffer(x, "<u4") for x in own.encode(texts)]
     assert [x.tolist() for x in got] == want
     assert [own.decode(x.astype(np.int64)).decode() for x in got] == [t.decode(w, skip_special_tokens=False) for w in want]
     assert [np.frombuffer(x, "<u2").tolist() for x in library_encoder(PATH, "<u2")(texts)] == want
