@@ -39,7 +39,6 @@ NUMBERS = frozenset(
 )
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*")
 _GLUED = re.compile(r"(?<=\d)(?=[A-Za-z%°€£$])")
-_HAS_GLUED = re.compile(r"\d[A-Za-z%°€£$]")
 _PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "%$") + "«»“”„‘’…–—¿¡"
 LITERAL, NUMBER, UNIT, NAME = range(4)
 _HOLDER = np.array([0, 0x1D8E4E27C47D124F, 0x2545F4914F6CDD1D, 0x3C6EF372FE94F82B], np.uint64)
@@ -67,26 +66,25 @@ class Words:
         self.index: dict[str, int] = {}
         self.table = [np.empty(1 << 16, t) for t in (np.uint64, np.int8, bool, bool, bool)]
 
-    def split(self, texts: list[str]) -> list[list[str]]:
-        """The words of texts, all of them known afterwards."""
-        if len(self.index) > _CACHE:
-            self.index.clear()
-        out = [(_GLUED.sub(" ", t) if _HAS_GLUED.search(t) else t).split() for t in texts]
-        new: set[str] = set()
-        for words in out:
-            new.update(set(words).difference(self.index))
-        at = len(self.index)
-        if at + len(new) > len(self.table[0]):
-            self.table = [np.concatenate([c[:at], np.empty(at + 2 * len(new), c.dtype)]) for c in self.table]
+    def split(self, texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
+        """The words of texts and their places in the table, where all of them are known afterwards."""
+        index = self.index
+        if len(index) > _CACHE:
+            index.clear()
+        out = [(_GLUED.sub(" ", t) if any(c in t for c in "0123456789") else t).split() for t in texts]
+        places = [list(map(index.get, words)) for words in out]
+        new = {w for words, at in zip(out, places) for w, i in zip(words, at) if i is None}
+        n = len(index)
+        if n + len(new) > len(self.table[0]):
+            self.table = [np.concatenate([c[:n], np.empty(n + 2 * len(new), c.dtype)]) for c in self.table]
         rows = [(xxhash.xxh64_intdigest(core.encode()), kind, capital, ends, not core) for core, kind, capital, ends in map(word_kind, new)]
         for c, values in zip(self.table, zip(*rows)):
-            c[at : at + len(new)] = np.array(values, c.dtype)
-        self.index.update(zip(new, range(at, at + len(new))))
-        return out
+            c[n : n + len(new)] = np.array(values, c.dtype)
+        index.update(zip(new, range(n, n + len(new))))
+        return [(words, np.array([index[w] if i is None else i for w, i in zip(words, at)], np.int64)) for words, at in zip(out, places)]
 
-    def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Template hash, kind and first word of each token of known words."""
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+    def tokens(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Template hash, kind and first word of each token of words at these places."""
         hashed, kind, capital, ends, blank = (a[at] for a in self.table)
         first = np.ones(len(at), bool)
         first[1:] = ends[:-1]
@@ -121,7 +119,7 @@ def _windowed(keys: np.ndarray | None, lengths: list[int] | None) -> Callable:
         words = Words()
         for b in batches:
             cols: list[list[np.ndarray]] = [[], [], [], [], []]
-            for i, d, w in zip(b.column("_id").to_pylist(), b.column("_th").to_pylist(), words.split(b.column("text").to_pylist())):
+            for i, d, (_, w) in zip(b.column("_id").to_pylist(), b.column("_th").to_pylist(), words.split(b.column("text").to_pylist())):
                 hashed, kind, _ = words.tokens(w)
                 own = [min(WINDOW, len(hashed))] if lengths is None else lengths
                 key, at = (np.concatenate(x) for x in zip(*(windows(hashed, kind, n) for n in own)))
@@ -154,18 +152,18 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in b.to_pylist():
             parts = []
             for text, lo, n in ((x["item"], x["lo"], x["hi"] - x["lo"]), (x["text"], x["lo"] + x["diagonal"], x["hi"] - x["lo"])):
-                words = cache.split([text])[0]
-                hashed, kind, where = cache.tokens(words)
+                words, at = cache.split([text])[0]
+                hashed, kind, where = cache.tokens(at)
                 ends = np.append(where[1:], len(words))
                 value = lambda k: " ".join(w.strip(_PUNCTUATION).lower() for w in words[where[k] : ends[k]]).strip()  # noqa: B023, E731
                 parts.append((hashed[lo : lo + n], [value(k) for k in range(lo, lo + n) if kind[k] != LITERAL], int(where[lo])))
-            (h, item, _), (g, own, at) = parts
+            (h, item, _), (g, own, place) = parts
             same = h == g
             if same.mean() < 1:  # windows on the diagonal may leave gaps; slots are compared where templates agree throughout
                 item = own = []
             n = int(same.sum())
             if n >= COVER * x["n"] and slots_agree(item, own):
-                rows.append({"doc_id": x["doc_id"], "item_id": x["item_id"], "kind": "exact" if item == own else "reparameterised", "n_matched": n, "n_item_tokens": x["n"], "coverage": round(n / x["n"], 6), "position": at})
+                rows.append({"doc_id": x["doc_id"], "item_id": x["item_id"], "kind": "exact" if item == own else "reparameterised", "n_matched": n, "n_item_tokens": x["n"], "coverage": round(n / x["n"], 6), "position": place})
         yield pa.RecordBatch.from_pylist(rows, pa.schema([(c, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[k]) for c, k in (f.split() for f in _FOUND.split(", "))]))
 
 
