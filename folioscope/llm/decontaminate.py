@@ -60,11 +60,19 @@ def word_kind(word: str) -> tuple[str, int, bool, bool]:
 
 
 class Words:
-    """Hash and flags of distinct words, cached up to a bound; columns: hash, kind, capital, ends a sentence, blank."""
+    """Hash and flags of distinct words, cached up to a bound; columns: hash, kind, capital, ends a sentence, blank, sought.
 
-    def __init__(self) -> None:
-        self.index: dict[str, int] = {}
-        self.table = [np.empty(1 << 16, t) for t in (np.uint64, np.int8, bool, bool, bool)]
+    With a vocabulary, only its literal words are sought and hashed; a window with any other can't match.
+    """
+
+    def __init__(self, vocabulary: frozenset[str] | None = None) -> None:
+        self.vocabulary, self.index = vocabulary, {}
+        self.table = [np.empty(1 << 16, t) for t in (np.uint64, np.int8, bool, bool, bool, bool)]
+
+    def row(self, word: str) -> tuple:
+        core, kind, capital, ends = word_kind(word)
+        sought = self.vocabulary is None or core in self.vocabulary
+        return xxhash.xxh64_intdigest(core.encode()) if sought else 0, kind, capital, ends, not core, sought
 
     def split(self, texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
         """The words of texts and their places in the table, where all of them are known afterwards."""
@@ -77,15 +85,14 @@ class Words:
         n = len(index)
         if n + len(new) > len(self.table[0]):
             self.table = [np.concatenate([c[:n], np.empty(n + 2 * len(new), c.dtype)]) for c in self.table]
-        rows = [(xxhash.xxh64_intdigest(core.encode()), kind, capital, ends, not core) for core, kind, capital, ends in map(word_kind, new)]
-        for c, values in zip(self.table, zip(*rows)):
+        for c, values in zip(self.table, zip(*map(self.row, new))):
             c[n : n + len(new)] = np.array(values, c.dtype)
         index.update(zip(new, range(n, n + len(new))))
         return [(words, np.array([index[w] if i is None else i for w, i in zip(words, at)], np.int64)) for words, at in zip(out, places)]
 
-    def tokens(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Template hash, kind and first word of each token of words at these places."""
-        hashed, kind, capital, ends, blank = (a[at] for a in self.table)
+    def tokens(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Template hash, kind, first word, and whether it is sought, of each token of words at these places."""
+        hashed, kind, capital, ends, blank, sought = (a[at] for a in self.table)
         first = np.ones(len(at), bool)
         first[1:] = ends[:-1]
         kind = np.where((kind == LITERAL) & capital & ~first, NAME, kind)
@@ -93,15 +100,18 @@ class Words:
         keep[1:] &= ~((kind[1:] == NAME) & (kind[:-1] == NAME))
         where = np.flatnonzero(keep)
         kind = kind[where]
-        return np.where(kind == LITERAL, hashed[where], _HOLDER[kind]), kind, where
+        literal = kind == LITERAL
+        return np.where(literal, hashed[where], _HOLDER[kind]), kind, where, sought[where] | ~literal
 
 
-def windows(hashed: np.ndarray, kind: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and positions of the windows of n tokens with enough literal ones."""
+def windows(hashed: np.ndarray, kind: np.ndarray, sought: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and positions of the windows of n sought tokens with enough literal ones."""
     if not 0 < n <= len(hashed):
         return np.empty(0, np.int64), np.empty(0, np.int64)
+    count = np.cumsum(np.concatenate([[0], sought]))
+    at = np.flatnonzero(count[n:] - count[:-n] == n)
     literal = np.cumsum(np.concatenate([[0], kind == LITERAL]))
-    at = np.flatnonzero(literal[n:] - literal[:-n] >= LITERALS)
+    at = at[literal[at + n] - literal[at] >= LITERALS]
     out = np.full(len(at), n, np.uint64)
     for k in range(n):
         out = (out ^ hashed[at + k]) * np.uint64(0x9E3779B97F4A7C15)
@@ -112,17 +122,17 @@ def windows(hashed: np.ndarray, kind: np.ndarray, n: int) -> tuple[np.ndarray, n
 _HITS = "_id long, _th long, key long, pos long, n long"
 
 
-def _windowed(keys: np.ndarray | None, lengths: list[int] | None) -> Callable:
+def _windowed(keys: np.ndarray | None, lengths: list[int] | None, vocabulary: frozenset[str] | None = None) -> Callable:
     """Windows of documents by the given lengths, all or those among sorted keys. No lengths: an item's own, WINDOW or the whole of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words = Words(vocabulary)
         for b in batches:
             cols: list[list[np.ndarray]] = [[], [], [], [], []]
             for i, d, (_, w) in zip(b.column("_id").to_pylist(), b.column("_th").to_pylist(), words.split(b.column("text").to_pylist())):
-                hashed, kind, _ = words.tokens(w)
+                hashed, kind, _, sought = words.tokens(w)
                 own = [min(WINDOW, len(hashed))] if lengths is None else lengths
-                key, at = (np.concatenate(x) for x in zip(*(windows(hashed, kind, n) for n in own)))
+                key, at = (np.concatenate(x) for x in zip(*(windows(hashed, kind, sought, n) for n in own)))
                 if keys is not None and len(key):
                     hit = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key if len(keys) else np.zeros(len(key), bool)
                     key, at = key[hit], at[hit]
@@ -153,7 +163,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts = []
             for text, lo, n in ((x["item"], x["lo"], x["hi"] - x["lo"]), (x["text"], x["lo"] + x["diagonal"], x["hi"] - x["lo"])):
                 words, at = cache.split([text])[0]
-                hashed, kind, where = cache.tokens(at)
+                hashed, kind, where, _ = cache.tokens(at)
                 ends = np.append(where[1:], len(words))
                 value = lambda k: " ".join(w.strip(_PUNCTUATION).lower() for w in words[where[k] : ends[k]]).strip()  # noqa: B023, E731
                 parts.append((hashed[lo : lo + n], [value(k) for k in range(lo, lo + n) if kind[k] != LITERAL], int(where[lo])))
@@ -174,11 +184,13 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     bench = kept(bench.select("item_id", "text", F.coalesce("item_id", F.lit(NULL_ID)).alias("_id"), F.xxhash64("text").alias("_th")).dropDuplicates(["_id", "_th"]), "items")
     theirs = kept(bench.select("_id", "_th", "text").mapInArrow(_windowed(None, None), _HITS), "item-windows")
     n_keys = theirs.select("key").distinct().count()
-    keys = None
-    if n_keys <= KEYS:
+    keys = vocabulary = None
+    if n_keys <= KEYS:  # so is what the vocabulary has
+        cores = bench.select(F.explode(F.split(F.regexp_replace("text", r"(?U)\s+", " "), " ")).alias("word")).distinct()
+        vocabulary = frozenset(word_kind(x)[0] for w in cores.toArrow()["word"].to_pylist() for x in _GLUED.sub(" ", w).split())
         keys = np.sort(theirs.select("key").distinct().toArrow()["key"].to_numpy())
     lengths = [r["n"] for r in theirs.select(F.least("n", F.lit(WINDOW)).alias("n")).distinct().collect()]  # WINDOW values at most
-    hits = docs.select("_id", "_th", "text").mapInArrow(_windowed(keys, lengths or [WINDOW]), _HITS)
+    hits = docs.select("_id", "_th", "text").mapInArrow(_windowed(keys, lengths or [WINDOW], vocabulary), _HITS)
     side = F.broadcast(theirs) if keys is not None else theirs
     side = side.select("key", F.col("_id").alias("item"), F.col("_th").alias("item_th"), F.col("pos").alias("item_pos"), F.col("n").alias("item_n"))
     joined = hits.select("_id", "_th", "key", "pos").join(side, "key")
