@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.shipping import ship
+
 #: Null doc_ids are carried as this value.
 NULL_ID = -(2**63)
 #: A stored side of a join is broadcast up to this many bytes of Parquet; larger sides are shuffled.
@@ -82,7 +84,8 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def text_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of so many rows, so that a batch of whole texts stays small in a Python worker."""
+    """Makes the package known to Python workers, and Arrow batches of so many rows, so that a batch of whole texts stays small."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
