@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import canonicalize_latex, tokenize_latex
+from folioscope.functions.text import canonicalize_latex, let, tokenize_latex
 
 #: Code points that stand for distinct tokens of a pair: 20,000 from U+4E00 on.
 _ALPHABET = 20_000
@@ -34,13 +34,13 @@ def _letters(tokens: Column, vocabulary: Column) -> Column:
 
 def token_distance(hyp: Column, ref: Column) -> Column:
     """Edit distance over arrays of tokens."""
-    vocabulary = F.array_distinct(F.concat(hyp, ref))
-    return F.levenshtein(_letters(hyp, vocabulary), _letters(ref, vocabulary))
+    both = F.struct(hyp.alias("h"), ref.alias("r"), F.array_distinct(F.concat(hyp, ref)).alias("v"))
+    return let(both, lambda t: F.levenshtein(_letters(t["h"], t["v"]), _letters(t["r"], t["v"])))
 
 
 def wer(hyp: Column, ref: Column) -> Column:
-    a, b = tokens_of(hyp), tokens_of(ref)
-    return _rate(token_distance(a, b).cast("double"), F.size(b), F.size(a) == 0)
+    both = F.struct(tokens_of(hyp).alias("a"), tokens_of(ref).alias("b"))
+    return let(both, lambda t: _rate(token_distance(t["a"], t["b"]).cast("double"), F.size(t["b"]), F.size(t["a"]) == 0))
 
 
 def _ngrams(tokens: Column, n: int) -> Column:
@@ -50,18 +50,18 @@ def _ngrams(tokens: Column, n: int) -> Column:
 
 def bleu(hyp: Column, ref: Column, order: int = 4) -> Column:
     """Sentence BLEU: brevity penalty times the geometric mean of clipped precisions (plus 1e-10); 0 for an empty hypothesis."""
-    a, b = tokens_of(hyp), tokens_of(ref)
     count = lambda xs, g: F.size(F.filter(xs, lambda y: y == g))
 
-    def clipped(x: Column, y: Column) -> Column:
-        return F.aggregate(F.array_distinct(x), F.lit(0), lambda s, g: s + F.least(count(x, g), count(y, g)))
+    def precision(z: Column) -> Column:
+        clipped = F.aggregate(F.array_distinct(z["x"]), F.lit(0), lambda s, g: s + F.least(count(z["x"], g), count(z["y"], g)))
+        return F.log(clipped / F.greatest(F.size(z["x"]), F.lit(1)) + 1e-10) / order
 
-    total = F.lit(0.0)
-    for n in range(1, order + 1):
-        x, y = _ngrams(a, n), _ngrams(b, n)
-        total = total + F.log(clipped(x, y) / F.greatest(F.size(x), F.lit(1)) + 1e-10) / order
-    penalty = F.least(F.lit(1.0), F.exp(1 - F.size(b) / F.size(a)))
-    return F.when(F.size(a) == 0, 0.0).otherwise(penalty * F.exp(total))
+    def whole(t: Column) -> Column:
+        terms = [let(F.struct(_ngrams(t["a"], n).alias("x"), _ngrams(t["b"], n).alias("y")), precision) for n in range(1, order + 1)]
+        penalty = F.least(F.lit(1.0), F.exp(1 - F.size(t["b"]) / F.size(t["a"])))
+        return F.when(F.size(t["a"]) == 0, 0.0).otherwise(penalty * F.exp(sum(terms, F.lit(0.0))))
+
+    return let(F.struct(tokens_of(hyp).alias("a"), tokens_of(ref).alias("b")), whole)
 
 
 def token_error_rate(hyp: Column, ref: Column, clamp: bool = False) -> Column:

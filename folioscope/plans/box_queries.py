@@ -65,11 +65,16 @@ def iou(spark, d):
     return pairs.select("image_id", F.col("a_pred_id").alias("pred_id"), F.col("b_gt_id").alias("gt_id"), F.round("iou", 6).alias("iou"))
 
 
-@query(f"""SELECT p.image_id, p.pred_id, g.gt_id, round({_INTER} / least(greatest({_AP}, 1), greatest({_AG}, 1)), 6) AS overlap_min,
-  round(CASE WHEN {_AP} > 0 THEN {_INTER} / {_AP} ELSE 0 END, 6) AS coverage {_SAME}""")
+@query(f"SELECT p.image_id, p.pred_id, g.gt_id, round({_INTER} / least(greatest({_AP}, 1), greatest({_AG}, 1)), 6) AS overlap_min {_SAME}")
 def overlap_min(spark, d):
     pairs = joins.iou_join(fixture(spark, d, "fx_pred"), fixture(spark, d, "fx_gt"))
-    return pairs.select("image_id", F.col("a_pred_id").alias("pred_id"), F.col("b_gt_id").alias("gt_id"), F.round(boxes.overlap_min(), 6).alias("overlap_min"), F.round(boxes.coverage(), 6).alias("coverage"))
+    return pairs.select("image_id", F.col("a_pred_id").alias("pred_id"), F.col("b_gt_id").alias("gt_id"), F.round(boxes.overlap_min(), 6).alias("overlap_min"))
+
+
+@query(f"SELECT p.image_id, p.pred_id, g.gt_id, round(CASE WHEN {_AP} > 0 THEN {_INTER} / {_AP} ELSE 0 END, 6) AS coverage {_SAME}")
+def coverage(spark, d):
+    pairs = joins.iou_join(fixture(spark, d, "fx_pred"), fixture(spark, d, "fx_gt"))
+    return pairs.select("image_id", F.col("a_pred_id").alias("pred_id"), F.col("b_gt_id").alias("gt_id"), F.round(boxes.coverage(), 6).alias("coverage"))
 
 
 @query(f"""SELECT image_id, gt_id, pad_x, pad_y, round(x1 * s + pad_x, 6) AS lx1, round(y1 * s + pad_y, 6) AS ly1, round(x1, 6) AS ux1 FROM (
@@ -115,17 +120,34 @@ def lecture_key(spark, d):
     return fixture(spark, d, "fx_slides").select("stem", boxes.lecture_key(F.col("stem")).alias("lecture"))
 
 
-@query("""SELECT o_orderkey, concat_ws('-', 'a01', o_orderkey % 100) AS form, concat('', 10000 + o_custkey) AS writer, concat('deck_', o_orderkey) AS slug, concat('p', o_orderkey, '.png') AS base,
-  CASE WHEN o_orderkey % 2 = 0 THEN concat('Topic ', o_custkey) ELSE concat('dir', o_orderkey) END AS title FROM orders""")
-def key_parts(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet")
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    line, path = F.concat_ws("-", F.lit("a01"), k % 100, c % 7), F.concat(F.lit("x/y/p"), k, F.lit(".png"))
-    note = F.when(k % 2 == 0, F.concat(F.lit("intro\n# 03 — Topic "), c, F.lit("\nmore"))).otherwise(F.lit("no heading"))
-    return o.select(
-        "o_orderkey", boxes.form_id(line).alias("form"), boxes.writer_xml_id(c.cast("string")).alias("writer"), boxes.slug(F.concat(F.lit("in/deck "), k, F.lit("_kommentiert.pdf"))).alias("slug"),
-        boxes.basename(path).alias("base"), boxes.note_title(note, F.concat(F.lit("dir"), k)).alias("title"),
-    )
+def _orders(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+
+
+@query("SELECT o_orderkey, concat_ws('-', 'a01', o_orderkey % 100) AS form FROM orders")
+def form_id(spark, d):
+    return _orders(spark, d).select("o_orderkey", boxes.form_id(F.concat_ws("-", F.lit("a01"), F.col("k") % 100, F.col("c") % 7)).alias("form"))
+
+
+@query("SELECT o_orderkey, concat('', 10000 + o_custkey) AS writer FROM orders")
+def writer_xml_id(spark, d):
+    return _orders(spark, d).select("o_orderkey", boxes.writer_xml_id(F.col("c").cast("string")).alias("writer"))
+
+
+@query("SELECT o_orderkey, concat('deck_', o_orderkey) AS slug FROM orders")
+def slug(spark, d):
+    return _orders(spark, d).select("o_orderkey", boxes.slug(F.concat(F.lit("in/deck "), F.col("k"), F.lit("_kommentiert.pdf"))).alias("slug"))
+
+
+@query("SELECT o_orderkey, concat('p', o_orderkey, '.png') AS base FROM orders")
+def basename(spark, d):
+    return _orders(spark, d).select("o_orderkey", boxes.basename(F.concat(F.lit("x/y/p"), F.col("k"), F.lit(".png"))).alias("base"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN concat('Topic ', o_custkey) ELSE concat('dir', o_orderkey) END AS title FROM orders")
+def note_title(spark, d):
+    note = F.when(F.col("k") % 2 == 0, F.concat(F.lit("intro\n# 03 — Topic "), F.col("c"), F.lit("\nmore"))).otherwise(F.lit("no heading"))
+    return _orders(spark, d).select("o_orderkey", boxes.note_title(note, F.concat(F.lit("dir"), F.col("k"))).alias("title"))
 
 
 @query(f"""SELECT image_id, pred_id, label AS cls, round(score, 6) AS score, round((cx - w / 2) * {W}, 6) AS x1, round((cy - h / 2) * {H}, 6) AS y1 FROM (

@@ -210,6 +210,14 @@ def read_captions(spark, d):
     return readers.read_captions(spark, path).select("name", F.array_join("tokens", " ").alias("tokens"))
 
 
+@query("SELECT concat('img', p_partkey, ' a b ', p_size) AS value FROM part")
+def write_captions(spark, d):
+    p = table(spark, d, "part")
+    path = scratch(spark, "captions")
+    writers.write_captions(p.select(F.concat(F.lit("img"), F.col("p_partkey")).alias("name"), F.array(F.lit("a"), F.lit("b"), F.col("p_size").cast("string")).alias("tokens")), path)
+    return spark.read.text(path)
+
+
 @query()
 def detect_column(spark, d):
     e = table(spark, d, "events")

@@ -234,10 +234,15 @@ def has_raw_latex(spark, d):
     return fixture(spark, d, "fx_latex").select("expr_id", filters.has_raw_latex(F.col("gt")).alias("raw_latex"))
 
 
-@query(r"""SELECT expr_id, len(regexp_extract_all(trim(gt), '[+\-=<>^_{}\[\]/\\|]')) / CAST(greatest(length(trim(gt)), 1) AS DOUBLE) > 0.20 AND len(regexp_extract_all(gt, '[A-Za-z]{4,}')) <= 1 AS heavy,
-  len(regexp_extract_all(gt, '[+\-=/<>^_{}\[\]()\\|]')) / CAST(greatest(length(gt), 1) AS DOUBLE) > 0.25 OR (length(gt) < 20 AND len(regexp_extract_all(gt, '[0-9]')) / CAST(greatest(length(gt), 1) AS DOUBLE) > 0.3) AS looks FROM fx_latex""")
+@query(r"""SELECT expr_id, len(regexp_extract_all(trim(gt), '[+\-=<>^_{}\[\]/\\|]')) / CAST(greatest(length(trim(gt)), 1) AS DOUBLE) > 0.20 AND len(regexp_extract_all(gt, '[A-Za-z]{4,}')) <= 1 AS heavy FROM fx_latex""")
 def is_math_heavy(spark, d):
-    return fixture(spark, d, "fx_latex").select("expr_id", filters.is_math_heavy(F.col("gt")).alias("heavy"), filters.looks_like_math(F.col("gt")).alias("looks"))
+    return fixture(spark, d, "fx_latex").select("expr_id", filters.is_math_heavy(F.col("gt")).alias("heavy"))
+
+
+@query(r"""SELECT expr_id, len(regexp_extract_all(gt, '[+\-=/<>^_{}\[\]()\\|]')) / CAST(greatest(length(gt), 1) AS DOUBLE) > 0.25
+  OR (length(gt) < 20 AND len(regexp_extract_all(gt, '[0-9]')) / CAST(greatest(length(gt), 1) AS DOUBLE) > 0.3) AS looks FROM fx_latex""")
+def looks_like_math(spark, d):
+    return fixture(spark, d, "fx_latex").select("expr_id", filters.looks_like_math(F.col("gt")).alias("looks"))
 
 
 @query(f"""WITH t AS (SELECT expr_id, regexp_extract_all(gt, '{_TOKEN}') AS tokens FROM fx_latex), e AS (SELECT DISTINCT expr_id, unnest(tokens) AS token FROM t),
@@ -257,7 +262,19 @@ def cer(spark, d):
     return rounded(fixture(spark, d, "fx_pairs").select("pair_id", scores.cer(F.col("hyp"), F.col("ref")).alias("cer")), "cer")
 
 
-@query()
+def _edits(tokens_a: str, tokens_b: str, key: str, src: str) -> str:
+    """key, d, na, nb: edit distance over tokens, with one ASCII character for each distinct token of a pair (there are below 90)."""
+    word = lambda x: f"array_to_string(list_transform({x}, w -> chr(CAST(33 + list_position(v, w) AS INT))), '')"
+    return f"""SELECT {key}, levenshtein({word('a')}, {word('b')}) AS d, len(a) AS na, len(b) AS nb FROM (
+      SELECT {key}, a, b, list_distinct(list_concat(a, b)) AS v FROM (SELECT {key}, {tokens_a} AS a, {tokens_b} AS b FROM {src}) t) u"""
+
+
+_SPLIT = "list_filter(regexp_split_to_array({c}, '\\s+'), w -> w <> '')"
+_WER = _edits(_SPLIT.format(c="hyp"), _SPLIT.format(c="ref"), "pair_id", "fx_pairs")
+_BY_N = "CASE WHEN nb = 0 THEN CASE WHEN na = 0 THEN 0 ELSE 1 END ELSE d / CAST(nb AS DOUBLE) END"
+
+
+@query(f"SELECT pair_id, round({_BY_N}, 6) AS wer FROM ({_WER}) e")
 def wer(spark, d):
     return rounded(fixture(spark, d, "fx_pairs").select("pair_id", scores.wer(F.col("hyp"), F.col("ref")).alias("wer")), "wer")
 
@@ -271,15 +288,15 @@ def _bleu_sql(order: int = 4) -> str:
     return f"CASE WHEN len(a) = 0 THEN 0 ELSE least(1, exp(1 - len(b) / CAST(len(a) AS DOUBLE))) * exp({' + '.join(terms)}) END"
 
 
-_SPLIT = "list_filter(regexp_split_to_array({c}, '\\s+'), w -> w <> '')"
-
-
 @query(f"SELECT pair_id, round({_bleu_sql()}, 6) AS bleu FROM (SELECT pair_id, {_SPLIT.format(c='hyp')} AS a, {_SPLIT.format(c='ref')} AS b FROM fx_pairs) q")
 def bleu(spark, d):
     return rounded(fixture(spark, d, "fx_pairs").select("pair_id", scores.bleu(F.col("hyp"), F.col("ref")).alias("bleu")), "bleu")
 
 
-@query()
+_TER = _edits(f"regexp_extract_all(pred, '{_TOKEN}')", f"regexp_extract_all(gt, '{_TOKEN}')", "expr_id", "fx_latex")
+
+
+@query(f"SELECT expr_id, round({_BY_N}, 6) AS ter, round(d / CAST(greatest(nb, 1) AS DOUBLE), 6) AS ter_clamped FROM ({_TER}) e")
 def token_error_rate(spark, d):
     x = fixture(spark, d, "fx_latex")
     return rounded(x.select("expr_id", scores.token_error_rate(F.col("pred"), F.col("gt")).alias("ter"), scores.token_error_rate(F.col("pred"), F.col("gt"), True).alias("ter_clamped")), "ter", "ter_clamped")
@@ -317,7 +334,7 @@ def wilson_ci(spark, d):
     return rounded(x.select("writer_id", "k", "n", lo.alias("lo"), hi.alias("hi")), "lo", "hi")
 
 
-@query()
+@query(f"SELECT (SELECT round(avg({_CER}), 6) FROM fx_pairs) AS cer, round(avg({_BY_N}), 6) AS wer, count(*) AS n FROM ({_WER}) e")
 def batch_metrics(spark, d):
     return rounded(aggregates.batch_metrics(fixture(spark, d, "fx_pairs")), "cer", "wer")
 
