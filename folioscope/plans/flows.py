@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ def region_pipeline(det: DataFrame, points: DataFrame, candidates: DataFrame | N
     rendered = (F.col("type") == "math") & ~filters.is_garbage_latex(F.col("latex"))
     rows = rows.withColumn("rendered", rendered).withColumn("latex", F.when(F.col("rendered"), F.col("latex")).otherwise(""))
     rows = rows.select("image_id", "det_id", "type", "score", "x1", "y1", "x2", "y2", "source", F.when(F.col("type") == "text", F.col("clean")).otherwise("").alias("text"), "latex", "rendered")
-    return matching.drop_text_covered_by_math(matching.dedupe_text(rows))
+    return matching.drop_text_covered_by_math(matching.dedupe_text(rows).persist(StorageLevel.MEMORY_AND_DISK))  # read three times
 
 
 def replay_filters(results: DataFrame, features: DataFrame) -> DataFrame:
