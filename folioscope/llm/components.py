@@ -1,7 +1,8 @@
 """Connected components as alternating large-star and small-star rounds, written to the shared folder after each.
 
 Every round is two grouped minima with map-side combine and joins back; no neighbour list is collected, and nothing but
-one boolean a round reaches the driver. The number of rounds grows with the logarithm of the longest chain.
+one boolean a round reaches the driver. The number of rounds grows with the logarithm of the longest chain. Rounds end when
+the edges are stars: each node on the left has one root, and no root stands on the left.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         new = kept(small.select("x.u", "x.v").where("u <> v").distinct(), "small-star")
         forget(e, large)
         e = new
-        if e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():
+        roots = e.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("high"))
+        if roots.where("v <> high").isEmpty() and e.join(roots.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

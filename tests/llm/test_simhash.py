@@ -28,6 +28,18 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_end_with_one_root_a_node(spark):
+    rng = np.random.default_rng(3)
+    graphs = [[(1, 4), (4, 2), (2, 3), (3, 0)]]
+    for n in (6, 10):
+        names = rng.permutation(n).tolist()
+        graphs.append(list(zip(names, names[1:])))
+        graphs.append([(names[i], names[int(rng.integers(0, i))]) for i in range(1, n)])
+    for pairs in graphs:
+        got = [(r["node"], r["root"]) for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()]
+        assert sorted(got) == sorted(roots(pairs, {n for p in pairs for n in p}).items()), pairs
+
+
 def brute_links(values, most=3):
     return {(min(a, b), max(a, b)) for i, a in enumerate(values) for b in values[:i] if int(np.bitwise_count(np.int64(a ^ b).view(np.uint64))) <= most}
 
