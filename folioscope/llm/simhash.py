@@ -10,9 +10,9 @@ Lists are read as a sorted stream. Lists of over BLOCK postings are cut into blo
 tasks of their own, so a hot list meets in no single task. A list with many links yields a minimum spanning forest of
 them (by differing bits), which keeps what is connected without one row for each pair.
 
-`near_groups` finds texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more: 256-bit
-fingerprints, 48 two-byte tuples (a pair of similarity 0.8 differs in 15 % of its bits and shares a tuple with
-probability 0.97), at most 56 differing bits, then the sets themselves decide.
+`near_groups` finds the groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Two steps:
+256-bit fingerprints of the distinct shingles, 48 two-byte tuples and at most 56 differing bits give most links cheaply; then an
+exact prefix-filter join finds every pair of different groups that may be similar enough. All pairs are verified against the sets.
 
 Null and empty texts have no shingle and fingerprint zero; they are linked like any other. Words are split at ASCII white
 space after lower-casing A-Z. Repeated rows share a fingerprint and a component.
@@ -263,11 +263,94 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 WIDE, TABLES, WIDE_BITS = 4, 48, 56
 
 
-def _shingle_sets(words: int) -> Callable:
+#: Lists of shingles that this many documents of about SAMPLED share come last in the order of shingles; the order changes cost, not results.
+FREQUENT, SAMPLED, FREQUENT_ROWS = 4, 20_000, 1_000_000
+#: Postings taken at once.
+CHUNK = 50_000
+
+
+def _wide(words: int) -> Callable:
+    """node, _id, fingerprint of the distinct shingles, and these as sorted packed words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, words)) for t in b.column("text").to_pylist()]
+            f = np.array([fingerprint(h, WIDE) for h in sets], np.uint64).reshape(-1, WIDE).view(np.int64)
+            cols = [b.column("_th"), b.column("_id"), *(pa.array(f[:, i]) for i in range(WIDE)), pa.array([h.tobytes() for h in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["node", "_id", *(f"f{i}" for i in range(WIDE)), "shingles"])
+
+    return run
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column("shingles").to_pylist()), np.int64))], ["h"])
+
+
+def _least_shared(n: np.ndarray | int, similarity: float) -> np.ndarray:
+    return np.ceil(similarity * n - 1e-6)
+
+
+def _prefixes(common: np.ndarray, counts: np.ndarray, similarity: float) -> Callable:
+    """The first n - least + 1 shingles of each set, rare ones first: sets that are similar enough share one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, sizes = [], []
+            for x in b.column("shingles").to_pylist():
+                h = np.frombuffer(x, np.uint64)
+                if len(h) and len(common):
+                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    h = h[np.argsort(np.where(common[at] == h, counts[at], 0), kind="stable")]
+                keys.append(h[: len(h) - int(_least_shared(len(h), similarity)) + 1] if len(h) else np.zeros(1, np.uint64))
+                sizes.append(len(h))
+            m = [len(k) for k in keys]
+            whole = [np.repeat(b.column(c).to_numpy(), m) for c in ("comp", "node")] + [np.repeat(np.array(sizes, np.int64), m)]
+            place = np.concatenate([np.arange(k) for k in m]) if m else np.empty(0, np.int64)
+            key = np.concatenate(keys).view(np.int64) if m else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (key, *whole, place)], ["key", "comp", "node", "n", "place"])
+
+    return run
+
+
+def _crossing(similarity: float) -> Callable:
+    """Pairs of different groups in the lists of postings sorted by key, group and node, unless sizes or places rule them out."""
+
+    def found(rows: np.ndarray) -> pa.RecordBatch:
+        key = rows[:, 0]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sizes = np.diff(np.append(starts, len(key)))
+        mixed = rows[starts, 1] != rows[starts + sizes - 1, 1]  # sorted by group
+        rows = rows[np.repeat(mixed, sizes)]
+        key, comp, node, n, place = rows.T
+        at, first, second = np.arange(len(key)), [], []
+        for d in range(1, len(key)):
+            at = at[at + d < len(key)]
+            at = at[key[at] == key[at + d]]
+            if not len(at):
+                break
+            to = at + d
+            shared = 1 + np.minimum(n[at] - place[at], n[to] - place[to]) - 1
+            hit = (comp[at] != comp[to]) & (np.minimum(n[at], n[to]) >= similarity * np.maximum(n[at], n[to]) - 1e-6)
+            hit &= shared >= similarity / (1 + similarity) * (n[at] + n[to]) - 1e-6
+            first.append(node[at[hit]])
+            second.append(node[to[hit]])
+        none = [np.empty(0, np.int64)]
+        return _links(np.concatenate(first or none), np.concatenate(second or none)).select(["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
-            sets = [np.unique((shingle_hashes(t, words) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("_th"), pa.array(sets, pa.binary())], ["node", "shingles"])
+            held.append(np.stack([c.to_numpy() for c in b.columns], 1))
+            n += b.num_rows
+            if n >= CHUNK:
+                rows = np.concatenate(held)
+                end = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+                if end:
+                    yield found(rows[:end])
+                held, n = [rows[end:]], 0
+        if held and sum(map(len, held)):
+            yield found(np.concatenate(held))
 
     return run
 
@@ -277,7 +360,7 @@ def _similar(least: float) -> Callable:
         for b in batches:
             keep = []
             for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= least * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -287,17 +370,35 @@ def _similar(least: float) -> Callable:
 
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """_th, root: the group (smallest text hash in it) of every distinct text of `identified` documents that is linked to another."""
-    f = fingerprints(docs, words, WIDE).drop("doc_id", "_id").dropDuplicates(["_th"]).withColumnRenamed("_th", "node")
-    f = kept(f, "wide")
-    pairs = kept(linked(f, spread_tuples(TABLES, 2, 8 * WIDE), WIDE, 2, WIDE_BITS), "candidates")
-    needed = kept(pairs.select(F.explode(F.array("a", "b")).alias("_th")).distinct(), "needed")
-    sets = docs.join(sided(needed), "_th", "left_semi").select("_th", "text").mapInArrow(_shingle_sets(words), "node long, shingles binary")
-    sets = kept(sets.dropDuplicates(["node"]), "shingles")
-    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    links = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
-    out = components(links)
-    forget(f, needed, sets, pairs)
+    fs = [f"f{i}" for i in range(WIDE)]
+    made = docs.select("_id", "_th", "text").mapInArrow(_wide(words), "node long, _id long, " + ", ".join(f"{c} long" for c in fs) + ", shingles binary")
+    made = kept(made, "wide")
+    copies = kept(made.groupBy("node").agg(F.min("_id").alias("_low"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("node", "_low"), "copies")
+    sets = made.join(sided(copies), "node", "left").where("_low is null or _id = _low")  # rows that repeat a document are still there
+
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        needed = kept(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
+        own = kept(sets.select("node", "shingles").join(sided(needed), "node", "left_semi").dropDuplicates(["node"]), "shingles")
+        x = own.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+        y = own.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+        out = kept(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"), label)
+        forget(needed, own)
+        return out
+
+    near = kept(linked(made.select("node", *fs).dropDuplicates(["node"]), spread_tuples(TABLES, 2, 8 * WIDE), WIDE, 2, WIDE_BITS), "candidates")
+    links = verified(near, "near-links")
+    groups = kept(components(links).withColumnRenamed("root", "comp"), "near-groups")
+    every = max(1, made.count() // SAMPLED)
+    sample = sets.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("shingles").mapInArrow(_unpacked, "h long")
+    often = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(FREQUENT_ROWS).toArrow()
+    common, counts = often["h"].to_numpy().view(np.uint64), often["n"].to_numpy()
+    order = np.argsort(common)
+    points = sets.select("node", "shingles").join(sided(groups), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "shingles")
+    posted = points.mapInArrow(_prefixes(common[order], counts[order], similarity), "key long, comp long, node long, n long, place long")
+    crossing = posted.repartition("key").sortWithinPartitions("key", "comp", "node").mapInArrow(_crossing(similarity), "a long, b long")
+    rest = kept(crossing.distinct(), "crossing")
+    out = components(links.union(verified(rest, "rest-links")))
+    forget(made, copies, near, rest, groups)
     return out.select(F.col("node").alias("_th"), "root")
 
 

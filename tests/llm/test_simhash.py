@@ -116,3 +116,22 @@ def test_near_copies_and_the_one_that_stays(spark):
     assert out.columns == docs.columns
     assert sorted((r["doc_id"] for r in out.collect()), key=str) == sorted([4, 7, 8, None, 2], key=str)
     assert one_of_each(docs.limit(0)).count() == 0
+
+
+def test_near_groups_against_all_pairs(spark):
+    """Repeated passages, and short texts with changes at their ends: the groups of brute force over all pairs."""
+    rng = np.random.default_rng(9)
+    texts = []
+    for k in range(120):
+        own = text(1000 + k, int(rng.integers(8, 40)))
+        texts += [own, own + [f"end{k}"], [f"start{k}", *own]]
+    long = text(77, 204)
+    texts += [long, long + text(78, 14) * 10]
+    texts = [" ".join(t) for t in texts]
+    docs = identified(spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts[:5], " ", "\t"])], "doc_id long, text string"))
+    th = {r["doc_id"]: r["_th"] for r in docs.collect()}
+    sets = {th[i]: set(shingle_hashes(t, 5).tolist()) for i, t in enumerate([*texts, *texts[:5], " ", "\t"])}
+    nodes = sorted(sets)
+    pairs = [(a, b) for i, a in enumerate(nodes) for b in nodes[:i] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = roots(pairs, {n for p in pairs for n in p})
+    assert {r["_th"]: r["root"] for r in near_groups(docs).collect()} == want
