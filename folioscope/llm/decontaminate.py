@@ -5,7 +5,8 @@ units and names (capitalised words that don't begin a sentence; neighbours count
 value as a slot. Windows of 8 tokens with 4 literal ones at least are hash-joined between documents and benchmark. Matches of a
 document and an item on one diagonal that cover half of the item's tokens are candidates; their tokens are compared
 position by position, and slots are consistent if equal values of the item stand for equal values in the document and
-different for different ones. All slots equal: kind `exact`; else consistent: `reparameterised`; else no leak.
+different for different ones, wherever both hold the same placeholder. All tokens and slots equal: kind `exact`; else
+consistent: `reparameterised`; else no leak.
 
 The benchmark's window hashes go to the tasks while they are at most KEYS; beyond that all windows are shuffled for the join.
 Items under 8 tokens are matched whole if 4 are literal. Null and empty texts match nothing. Rows that repeat a document give
@@ -166,14 +167,14 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hashed, kind, where, _ = cache.tokens(at)
                 ends = np.append(where[1:], len(words))
                 value = lambda k: " ".join(w.strip(_PUNCTUATION).lower() for w in words[where[k] : ends[k]]).strip()  # noqa: B023, E731
-                parts.append((hashed[lo : lo + n], [value(k) for k in range(lo, lo + n) if kind[k] != LITERAL], int(where[lo])))
+                parts.append((hashed[lo : lo + n], {k - lo: value(k) for k in range(lo, lo + n) if kind[k] != LITERAL}, int(where[lo])))
             (h, item, _), (g, own, place) = parts
             same = h == g
-            if same.mean() < 1:  # windows on the diagonal may leave gaps; slots are compared where templates agree throughout
-                item = own = []
+            shared = [k for k in item if same[k]]  # windows on the diagonal may leave gaps; slots are compared where both hold the same placeholder
+            item, own = [item[k] for k in shared], [own[k] for k in shared]
             n = int(same.sum())
             if n >= COVER * x["n"] and slots_agree(item, own):
-                rows.append({"doc_id": x["doc_id"], "item_id": x["item_id"], "kind": "exact" if item == own else "reparameterised", "n_matched": n, "n_item_tokens": x["n"], "coverage": round(n / x["n"], 6), "position": place})
+                rows.append({"doc_id": x["doc_id"], "item_id": x["item_id"], "kind": "exact" if same.all() and item == own else "reparameterised", "n_matched": n, "n_item_tokens": x["n"], "coverage": round(n / x["n"], 6), "position": place})
         yield pa.RecordBatch.from_pylist(rows, pa.schema([(c, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[k]) for c, k in (f.split() for f in _FOUND.split(", "))]))
 
 

@@ -63,6 +63,15 @@ def test_leaks_exact_reparameterised_and_inconsistent(spark):
     assert leaks(docs.limit(0), items).count() == 0 and leaks(docs, items.limit(0)).count() == 0
 
 
+def test_slots_are_compared_around_a_reworded_token(spark):
+    item = "the farmer sells 5 apples and then 5 pears to the shop on the corner while later the brother brings 5 plums to the market today"
+    reworded = item.replace("while later", "while soon")
+    rows = [(1, item), (2, reworded), (3, reworded.replace("5", "8")), (4, reworded.replace("5 pears", "6 pears"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["kind"] for r in leaks(docs, spark.createDataFrame([(100, item)], "item_id long, text string")).collect()}
+    assert got == {1: "exact", 2: "reparameterised", 3: "reparameterised"}
+
+
 def test_beyond_the_key_bound_windows_are_shuffled(spark, monkeypatch):
     from folioscope.llm import decontaminate
 
