@@ -2,65 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import scores
-from folioscope.operators.matching import tp_fp_assign
+from folioscope.operators.matching import best_boxes, tp_fp_assign
 
 
 def batch_metrics(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.avg(scores.cer(F.col("hyp"), F.col("ref"))).alias("cer"), F.avg(scores.wer(F.col("hyp"), F.col("ref"))).alias("wer"), F.count(F.lit(1)).alias("n"))
 
 
-def _curve(assigned: DataFrame, by: list[str]) -> DataFrame:
-    """Running counts of true and false positives by falling score, within the columns `by`.
+#: Cells of score in which running counts are taken; only their totals meet in one window a class.
+CELLS = 1 << 16
 
-    Equal cells of score (a thousandth wide) are summed first, so that only cell totals meet in one window a class; rows run
-    within their cell. Ties go by image and prediction.
-    """
-    df = assigned.withColumn("_cell", F.floor(F.col("score") * 1000))
-    cells = df.groupBy(*by, "_cell").agg(F.sum(F.col("tp").cast("long")).alias("_tp"), F.count(F.lit(1)).alias("_n"))
+
+def _curve(totals: DataFrame, by: list[str]) -> DataFrame:
+    """Running counts by falling score of totals (by, score, tp, n), one row for each distinct score: equal scores count together."""
+    df = totals.withColumn("_cell", F.floor(F.col("score") * CELLS))
+    cells = df.groupBy(*by, "_cell").agg(F.sum("tp").alias("_tp"), F.sum("n").alias("_n"))
     before = Window.partitionBy(*by).orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(*by, "_cell", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_tp", "_n")))
-    own = Window.partitionBy(*by, "_cell").orderBy(F.desc("score"), "image_id", "pred_id").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumns({"_tp_own": F.sum(F.col("tp").cast("long")).over(own), "_n_own": F.count(F.lit(1)).over(own)}).join(cells, [*by, "_cell"])
+    own = Window.partitionBy(*by, "_cell").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({"_tp_own": F.sum("tp").over(own), "_n_own": F.sum("n").over(own)}).join(cells, [*by, "_cell"])
     return df.withColumns({"cum_tp": F.col("_tp_before") + F.col("_tp_own"), "cum_n": F.col("_n_before") + F.col("_n_own")})
 
 
 def _eleven_points(curve: DataFrame, n_gt: DataFrame, by: list[str]) -> DataFrame:
     recall, precision = F.col("cum_tp") / F.col("n_gt"), F.col("cum_tp") / (F.col("cum_n") + 1e-9)
     at = [F.max(F.when(recall >= i * 0.1, precision)).alias(f"p{i}") for i in range(11)]
-    points = curve.join(n_gt, by).groupBy(*by).agg(*at)
+    points = curve.join(n_gt, "cls").groupBy(*by).agg(*at)
     return points.select(*by, (sum((F.coalesce(F.col(f"p{i}"), F.lit(0.0)) for i in range(11)), F.lit(0.0)) / 11).alias("ap"))
 
 
 def average_precision(pred: DataFrame, gt: DataFrame, t: float = 0.5, classes: tuple = (0, 1)) -> DataFrame:
     """cls, ap, n_gt of each class (11 points; 0 without ground truth) at an IoU threshold."""
-    assigned = tp_fp_assign(pred, gt, t)
+    totals = tp_fp_assign(pred, gt, t).groupBy("cls", "score").agg(F.sum(F.col("tp").cast("long")).alias("tp"), F.count(F.lit(1)).alias("n"))
     n_gt = gt.groupBy("cls").agg(F.count(F.lit(1)).alias("n_gt"))
-    ap = _eleven_points(_curve(assigned, ["cls"]), n_gt, ["cls"])
+    ap = _eleven_points(_curve(totals, ["cls"]), n_gt, ["cls"])
     every = gt.sparkSession.createDataFrame([(c,) for c in classes], "cls int")
     return every.join(n_gt, "cls", "left").join(ap, "cls", "left").select("cls", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("n_gt", F.lit(0)).alias("n_gt"))
 
 
-def map_sweep(pred: DataFrame, gt: DataFrame, classes: tuple = (0, 1)) -> DataFrame:
-    """t, cls, ap, precision, recall for t = 0.50 to 0.95: the assignment is made once for all thresholds, from each prediction's best box."""
-    best = tp_fp_assign(pred, gt, 0.0)  # best IoU and box of each prediction don't depend on the threshold
-    ts = F.array(*(F.lit(round(0.5 + 0.05 * i, 2)) for i in range(10)))
-    best = best.drop("tp").withColumn("t", F.explode(ts))
-    from folioscope.operators.joins import iou_join
+THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 
-    w = Window.partitionBy("image_id", "a_pred_id").orderBy(F.desc("iou"), "b_gt_id")
-    box = iou_join(pred, gt).withColumn("_k", F.row_number().over(w)).where("_k = 1").select("image_id", F.col("a_pred_id").alias("pred_id"), F.col("b_gt_id").alias("gt_id"))
-    best = best.join(box, ["image_id", "pred_id"], "left")
-    first = F.row_number().over(Window.partitionBy("image_id", "cls", "gt_id", "t", F.col("iou") >= F.col("t")).orderBy(F.desc("score"), "pred_id"))
-    assigned = best.withColumn("tp", F.col("gt_id").isNotNull() & (F.col("iou") >= F.col("t")) & (first == 1))
-    n_gt = gt.groupBy("cls").agg(F.count(F.lit(1)).alias("n_gt")).withColumn("t", F.explode(ts))
-    by = ["t", "cls"]
-    ap = _eleven_points(_curve(assigned, by), n_gt, by)
-    totals = assigned.groupBy(*by).agg(F.sum(F.col("tp").cast("long")).alias("tp"), F.count(F.lit(1)).alias("n"))
-    return ap.join(totals, by).join(n_gt, by).select(*by, "ap", (F.col("tp") / F.col("n")).alias("precision"), (F.col("tp") / F.col("n_gt")).alias("recall"))
+
+def map_sweep(pred: DataFrame, gt: DataFrame, thresholds: tuple = THRESHOLDS) -> DataFrame:
+    """t, cls, ap, precision, recall at each threshold (above 0).
+
+    The assignment is made once: a prediction is right at t if its IoU reaches t and no better-scored one with the same best box does,
+    which holds for t above the best IoU of those and up to its own. So counts by class and score have a column a threshold, and only
+    these totals become a row a threshold.
+    """
+    earlier = Window.partitionBy("image_id", "cls", "gt_id").orderBy(F.desc("score"), "pred_id").rowsBetween(Window.unboundedPreceding, -1)
+    best = best_boxes(pred, gt).withColumn("_from", F.coalesce(F.max("iou").over(earlier), F.lit(0.0)))
+    right = [F.count_if((F.col("iou") >= t) & (F.col("_from") < t)).alias(f"tp{i}") for i, t in enumerate(thresholds)]
+    wide = best.groupBy("cls", "score").agg(*right, F.count(F.lit(1)).alias("n"))
+    each = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col(f"tp{i}").alias("tp")) for i, t in enumerate(thresholds))))
+    totals = wide.select("cls", "score", "n", each.alias("x")).select("x.t", "cls", "score", "x.tp", "n")
+    n_gt, by = gt.groupBy("cls").agg(F.count(F.lit(1)).alias("n_gt")), ["t", "cls"]
+    curve = _curve(totals, by)
+    ap = _eleven_points(curve, n_gt, by)
+    whole = curve.groupBy(*by).agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
+    return ap.join(whole, by).join(n_gt, "cls").select(*by, "ap", (F.col("tp") / F.col("n")).alias("precision"), (F.col("tp") / F.col("n_gt")).alias("recall"))
 
 
 def aggregate_track(df: DataFrame) -> DataFrame:
@@ -133,44 +142,76 @@ def distribution(df: DataFrame, col: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(c).alias("mean"), std.alias("std"), F.median(c).alias("median"), F.min(c).alias("min"), F.max(c).alias("max"), F.count(c).alias("n"))
 
 
-def pick(seed: int, b: Column, i: Column, n: Column) -> Column:
-    """A draw from 0 to n - 1 that any engine repeats: 32 bits of md5 modulo n."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), b, i)), 1, 8), 16, 10).cast("long") % n
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A finaliser of 32-bit integers, in place."""
+    for shift, factor in ((16, 2246822507), (13, 3266489909), (16, 0)):
+        x ^= x >> np.uint32(shift)
+        if factor:
+            x *= np.uint32(factor)
+    return x
 
 
-def _numbered(df: DataFrame, value: str, key: str) -> DataFrame:
-    """i (0-based by key), v, n: samples are bounded (a test set), so one window numbers them."""
-    n = df.agg(F.count(F.lit(1)).alias("n"))
-    return df.select((F.row_number().over(Window.orderBy(key)) - 1).cast("long").alias("i"), F.col(value).alias("v")).join(F.broadcast(n))
+def poisson_steps() -> list[int]:
+    """A uniform 32-bit number that reaches k of these is a draw of k from the Poisson distribution of mean 1."""
+    p, total, out, k = math.exp(-1), 0.0, [], 0
+    while (step := int((total := total + p) * 2**32)) < 2**32 - 1:
+        out.append(step)
+        k += 1
+        p /= k
+    return out
 
 
-def bootstrap_ci(df: DataFrame, value: str, key: str, n_boot: int, seed: int = 42, alpha: float = 0.05) -> DataFrame:
-    """mean, lo, hi: order statistics of resample means, without interpolation. Makes n_boot * n rows: up to about 10^7 of them.
+def _resampled(df: DataFrame, value: str, key: str, n_boot: int, seed: int, flips: bool) -> DataFrame:
+    """b, m: the mean of each of n_boot resamples by Poisson weights, or of the values with signs flipped.
 
-    Above that use Poisson weights of rows instead (each row counts k times in a resample), which need no join on the index.
+    A row's weight in resample b is a hash of seed, key and b, so rows need no numbers and it doesn't matter where they are: tasks
+    sum weighted values for all resamples, and only these sums are shuffled. Rows of equal key get equal weights.
     """
-    own = _numbered(df, value, key)
-    draws = own.select("i", "n").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))))
-    draws = draws.select("b", pick(seed, F.col("b"), F.col("i"), F.col("n")).alias("i"))
-    means = draws.join(own.select("i", "v"), "i").groupBy("b").agg(F.avg("v").alias("m"))
-    ranked = means.withColumn("k", F.row_number().over(Window.orderBy("m", "b")) - 1)
-    lo = int(alpha / 2 * n_boot)
-    hi = min(n_boot - 1, -int(-(1 - alpha / 2) * n_boot // 1) - 1)
-    ends = ranked.agg(F.max(F.when(F.col("k") == lo, F.col("m"))).alias("lo"), F.max(F.when(F.col("k") == hi, F.col("m"))).alias("hi"))
-    return own.agg(F.avg("v").alias("mean"), F.count(F.lit(1)).alias("n")).join(ends)
+    own = F.col(key).cast("long") if dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(key)
+    rows = df.where(F.col(value).isNotNull()).select(own.alias("k"), F.col(value).cast("double").alias("v"))
+    steps, start = np.array(poisson_steps(), np.uint32), np.uint32(seed * 2654435761 % 2**32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, weight, some = np.zeros(n_boot), np.zeros(n_boot), False
+        draws = np.arange(n_boot, dtype=np.uint32) * np.uint32(2246822519)
+        for batch in batches:
+            keys, values = batch.column("k").to_numpy(), batch.column("v").to_numpy()
+            own = mixed(((keys ^ keys >> 32) & 0xFFFFFFFF).astype(np.uint32) ^ start)
+            some = some or len(own) > 0
+            for at in range(0, len(own), 256):
+                x = mixed(own[at : at + 256, None] + draws[None, :])
+                if flips:
+                    w = np.where(x >> np.uint32(31), np.float32(-1), np.float32(1))
+                    weight += len(x)
+                else:
+                    w = np.zeros(x.shape, np.int8)
+                    for step in steps:
+                        w += x >= step
+                    weight += w.sum(0, dtype=np.int64)
+                total += values[at : at + 256] @ w
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_boot)), pa.array(total), pa.array(weight)], ["b", "s", "w"])
+
+    sums = rows.mapInArrow(run, "b long, s double, w double").groupBy("b").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
+    return sums.where("w > 0").select("b", (F.col("s") / F.col("w")).alias("m"))
+
+
+def bootstrap_ci(df: DataFrame, value: str, key: str, n_boot: int, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    """mean, n, lo, hi: order statistics of resample means, without interpolation. Null values don't count."""
+    lo, hi = int(alpha / 2 * n_boot), min(n_boot - 1, -int(-(1 - alpha / 2) * n_boot // 1) - 1)
+    means = _resampled(df, value, key, n_boot, seed, False).agg(F.array_sort(F.collect_list("m")).alias("ms"))  # n_boot numbers
+    ends = means.select(F.get("ms", F.lit(lo)).alias("lo"), F.get("ms", F.least(F.lit(hi), F.size("ms") - 1)).alias("hi"))
+    return df.agg(F.avg(value).alias("mean"), F.count(value).alias("n")).join(F.broadcast(ends))
 
 
 def paired_test(df: DataFrame, a: str, b: str, key: str, n_boot: int, seed: int = 42) -> DataFrame:
     """Mean difference, its bootstrap interval, and the sign-flip p-value (hits + 1) / (n_boot + 1)."""
     diffs = df.select(key, (F.col(a) - F.col(b)).alias("d"))
     ci = bootstrap_ci(diffs, "d", key, n_boot, seed)
-    own = _numbered(diffs, "d", key)
-    flips = own.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))))
-    sign = F.when(pick(seed + 1, F.col("b"), F.col("i"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    flipped = flips.groupBy("b").agg(F.avg(sign * F.col("v")).alias("m"))
-    observed = own.agg(F.abs(F.avg("v")).alias("o"))
+    observed = diffs.agg(F.abs(F.avg("d")).alias("o"))
+    flipped = _resampled(diffs, "d", key, n_boot, seed + 1, True)
     hits = flipped.join(F.broadcast(observed)).agg(F.count_if(F.abs("m") >= F.col("o") - 1e-12).alias("hits"))
-    return ci.join(hits).select(F.col("mean").alias("mean_diff"), "lo", "hi", ((F.col("hits") + 1) / (n_boot + 1)).alias("p"), "n")
+    return ci.join(F.broadcast(hits)).select(F.col("mean").alias("mean_diff"), "lo", "hi", ((F.col("hits") + 1) / (n_boot + 1)).alias("p"), "n")
 
 
 def compare_systems(df: DataFrame, baseline) -> DataFrame:
@@ -218,5 +259,3 @@ def eval_annotated_regions(pairs: DataFrame, ap: DataFrame) -> DataFrame:
     one = pairs.agg(F.avg(F.when(text, scores.cer(hyp, ref))).alias("cer"), F.avg(F.when(text, scores.wer(hyp, ref))).alias("wer"), F.avg(F.when(~text, scores.bleu(hyp, ref))).alias("bleu"))
     parts = metric_rows(one, "text", ["cer", "wer"]).unionByName(metric_rows(one, "math", ["bleu"]))
     return parts.unionByName(metric_rows(ap.agg(F.avg("ap").alias("map")), "detection", ["map"]))
-
-

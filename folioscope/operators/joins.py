@@ -1,4 +1,4 @@
-"""Joins of manifests, boxes and systems. Spatial joins are equi joins on the image with the box test as a local condition."""
+"""Joins of manifests, boxes and systems. Spatial joins are equi joins on squares of the image with the box test as a local condition."""
 
 from __future__ import annotations
 
@@ -34,13 +34,35 @@ def iou_join(pred: DataFrame, gt: DataFrame, same_class: bool = True, key: str =
     return _prefixed(pred, "a_", on).join(_prefixed(gt, "b_", on), on).withColumn("iou", boxes.iou())
 
 
+#: Side of the squares by which crowded images are cut for joins.
+CELL = 512
+
+
+def tiled(df: DataFrame, box: tuple, cell: int = CELL) -> DataFrame:
+    """df once for every square (_tx, _ty) that a box (four columns: left, top, right, bottom) meets."""
+    x1, y1, x2, y2 = (F.floor(c / cell).cast("int") for c in box)
+    rows = df.withColumn("_tx", F.explode(F.sequence(x1, F.greatest(x1, x2))))
+    return rows.withColumn("_ty", F.explode(F.sequence(y1, F.greatest(y1, y2))))
+
+
+def overlapping(a: DataFrame, b: DataFrame, on: list[str], cell: int = CELL) -> DataFrame:
+    """Pairs of boxes that share area, each once; columns have the prefixes a_ and b_ but for `on`.
+
+    Boxes meet in the squares of the image that they touch, so an image with many boxes is cut; a pair counts in the square that
+    holds the corner of what it shares.
+    """
+    sides = [tiled(_prefixed(df, p, on), tuple(F.col(p + c) for c in ("x1", "y1", "x2", "y2")), cell) for df, p in ((a, "a_"), (b, "b_"))]
+    left, top = (F.greatest(f"a_{c}", f"b_{c}") for c in ("x1", "y1"))
+    pairs = sides[0].join(sides[1], [*on, "_tx", "_ty"]).where((F.floor(left / cell) == F.col("_tx")) & (F.floor(top / cell) == F.col("_ty")))
+    return pairs.where((left < F.least("a_x2", "b_x2")) & (top < F.least("a_y2", "b_y2"))).drop("_tx", "_ty")
+
+
 def coverage_anti_join(a: DataFrame, b: DataFrame, t: float, mode: str = "any", key: str = "image_id", aid: str = "det_id") -> DataFrame:
-    """Rows of a that boxes of b of the same image don't cover beyond t: at most by any one, or by the sum over all."""
+    """Rows of a that boxes of b of the same image don't cover beyond t (0 or more): at most by any one, or by the sum over all."""
     box = [key, "x1", "y1", "x2", "y2"]
-    pairs = _prefixed(a.select(aid, *box), "a_", [key]).join(_prefixed(b.select(*box), "b_", [key]), key)
     agg = F.max if mode == "any" else F.sum
-    gone = pairs.groupBy(key, f"a_{aid}").agg(agg(boxes.coverage()).alias("c")).where(F.col("c") > t).select(key, F.col(f"a_{aid}").alias(aid))
-    return a.join(gone, [key, aid], "left_anti")
+    gone = overlapping(a.select(aid, *box), b.select(*box), [key]).groupBy(key, f"a_{aid}").agg(agg(boxes.coverage()).alias("c"))
+    return a.join(gone.where(F.col("c") > t).select(key, F.col(f"a_{aid}").alias(aid)), [key, aid], "left_anti")
 
 
 def restrict_to_split(images: DataFrame, anns: DataFrame, transcripts: DataFrame, split: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -77,11 +99,18 @@ def pair_runs_with_logs(lectures: DataFrame, results: DataFrame, logs: DataFrame
     return both.select(key, F.when(F.col("_r").isNull(), "no results").when(F.col("_l").isNull(), "no log").alias("reason"))
 
 
+def _ink_inside(dets: DataFrame, points: DataFrame, box: tuple, key: str, did: str) -> DataFrame:
+    """key, did, l, t, r, b: bounds of the points inside a box (four columns); points and boxes meet in squares of the image."""
+    x1, y1, x2, y2 = box
+    own = tiled(dets.select(key, did, x1.alias("_x1"), y1.alias("_y1"), x2.alias("_x2"), y2.alias("_y2")), tuple(F.col(c) for c in ("_x1", "_y1", "_x2", "_y2")))
+    p = points.select(key, F.col("x").alias("px"), F.col("y").alias("py"), *(F.floor(F.col(c) / CELL).cast("int").alias(n) for c, n in (("x", "_tx"), ("y", "_ty"))))
+    near = own.join(p, [key, "_tx", "_ty"]).where("px >= _x1 AND px <= _x2 AND py >= _y1 AND py <= _y2")
+    return near.groupBy(key, did).agg(F.min("px").alias("l"), F.min("py").alias("t"), F.max("px").alias("r"), F.max("py").alias("b"))
+
+
 def ink_bounds(dets: DataFrame, points: DataFrame, key: str = "image_id", did: str = "det_id") -> DataFrame:
     """Tight bounds of the ink points inside each box, padded by 2 and clipped to the box; null where there are none."""
-    p = points.select(key, F.col("x").alias("px"), F.col("y").alias("py"))
-    near = dets.join(p, key).where("px >= x1 AND px <= x2 AND py >= y1 AND py <= y2")
-    b = near.groupBy(key, did).agg(F.min("px").alias("l"), F.min("py").alias("t"), F.max("px").alias("r"), F.max("py").alias("b"))
+    b = _ink_inside(dets, points, tuple(map(F.col, ("x1", "y1", "x2", "y2"))), key, did)
     out = dets.join(b, [key, did], "left")
     tight = {"ix1": F.greatest("x1", F.col("l") - 2), "iy1": F.greatest("y1", F.col("t") - 2), "ix2": F.least("x2", F.col("r") + 2), "iy2": F.least("y2", F.col("b") + 2)}
     return out.select(*dets.columns, *(F.when(F.col("l").isNotNull(), c).alias(n) for n, c in tight.items()))
@@ -90,9 +119,7 @@ def ink_bounds(dets: DataFrame, points: DataFrame, key: str = "image_id", did: s
 def refine_boxes(dets: DataFrame, points: DataFrame, margin: float = 14, key: str = "image_id", did: str = "det_id") -> DataFrame:
     """Integer boxes grown to the ink within a margin; never smaller; unchanged without ink."""
     cut = dets.withColumns({f"i{c}": F.col(c).cast("int") for c in ("x1", "y1", "x2", "y2")})
-    p = points.select(key, F.col("x").alias("px"), F.col("y").alias("py"))
-    near = cut.join(p, key).where(f"px >= ix1 - {margin} AND px <= ix2 + {margin} AND py >= iy1 - {margin} AND py <= iy2 + {margin}")
-    b = near.groupBy(key, did).agg(F.min("px").alias("l"), F.min("py").alias("t"), F.max("px").alias("r"), F.max("py").alias("b"))
+    b = _ink_inside(cut, points, (F.col("ix1") - margin, F.col("iy1") - margin, F.col("ix2") + margin, F.col("iy2") + margin), key, did)
     out = cut.join(b, [key, did], "left")
     grown = {"x1": F.least("ix1", "l"), "y1": F.least("iy1", "t"), "x2": F.greatest("ix2", "r"), "y2": F.greatest("iy2", "b")}
     return out.withColumns({c: F.when(F.col("l").isNull(), F.col(c)).otherwise(g.cast("double")) for c, g in grown.items()}).select(*dets.columns)

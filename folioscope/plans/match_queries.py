@@ -9,7 +9,16 @@ from folioscope.plans.box_queries import _AP, _INTER, _IOU, _SAME, _pred
 from folioscope.plans.registry import fixture, query, rounded
 
 
-@query()
+def _iou_of(a: str, b: str) -> str:
+    inter = f"greatest(0, least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1)) * greatest(0, least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1))"
+    size = lambda x: f"({x}.x2 - {x}.x1) * ({x}.y2 - {x}.y1)"
+    return f"{inter} / ({size(a)} + {size(b)} - {inter})"
+
+
+@query(f"""WITH RECURSIVE ranked AS (SELECT image_id, {{'id': pred_id, 'cls': cls, 'score': score, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} AS b, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, pred_id) AS k FROM fx_pred),
+  step AS (SELECT image_id, k, [b] AS kept FROM ranked WHERE k = 1 UNION ALL
+    SELECT s.image_id, r.k, CASE WHEN len(list_filter(s.kept, z -> {_iou_of("z", "r.b")} > 0.45)) > 0 THEN s.kept ELSE list_append(s.kept, r.b) END FROM step s JOIN ranked r ON r.image_id = s.image_id AND r.k = s.k + 1)
+  SELECT image_id, z.id AS det_id, z.cls, z.score, z.x1, z.y1, z.x2, z.y2 FROM (SELECT image_id, unnest(kept) AS z FROM (SELECT image_id, max_by(kept, k) AS kept FROM step GROUP BY image_id) m) u""")
 def nms(spark, d):
     return matching.nms(_pred(spark, d).select("image_id", "det_id", "cls", "score", "x1", "y1", "x2", "y2"), 0.45)
 
@@ -27,13 +36,33 @@ def merge_row_fragments(spark, d):
 def results(spark, d):
     """Regions with texts: predictions, every second one of maths, texts of few kinds."""
     p = _pred(spark, d)
-    j = F.crc32("pred_id") % 7
+    part = F.split("pred_id", "-")
+    j = (part[0].cast("long") * 31 + part[1].cast("long") * 17 + part[2].cast("long") * 7) % 7
     text = F.concat(F.lit("die Ableitung der Funktion "), F.when(j < 4, F.lit("nach x")).otherwise(F.lit("nach xy")), F.when(j % 2 == 0, F.lit(" ist stetig")).otherwise(F.lit("")))
     math = F.col("cls") == 1
     return p.select("image_id", "det_id", F.when(math, "math").otherwise("text").alias("type"), "score", "x1", "y1", "x2", "y2", F.when(math, "").otherwise(text).alias("text"), (math & (j != 3)).alias("rendered"))
 
 
-@query()
+_SIZE = "({0}.x2 - {0}.x1) * ({0}.y2 - {0}.y1)"
+_SHARED = "greatest(0, least(p.x2, q.x2) - greatest(p.x1, q.x1)) * greatest(0, least(p.y2, q.y2) - greatest(p.y1, q.y1))"
+_RESULTS = """SELECT image_id, pred_id AS det_id, CASE WHEN cls = 1 THEN 'math' ELSE 'text' END AS type, score, x1, y1, x2, y2,
+    CASE WHEN cls = 1 THEN '' ELSE concat('die Ableitung der Funktion ', CASE WHEN j < 4 THEN 'nach x' ELSE 'nach xy' END, CASE WHEN j % 2 = 0 THEN ' ist stetig' ELSE '' END) END AS text,
+    cls = 1 AND j <> 3 AS rendered FROM (SELECT *, (l1 * 31 + l2 * 17 + l3 * 7) % 7 AS j FROM (SELECT *, CAST(split_part(pred_id, '-', 1) AS BIGINT) AS l1, CAST(split_part(pred_id, '-', 2) AS BIGINT) AS l2,
+    CAST(split_part(pred_id, '-', 3) AS BIGINT) AS l3 FROM fx_pred) i) o"""
+#: Texts are lower-cased without double spaces; all are longer than 8, so a truncation is what the longer one holds, or a shared head of 0.6.
+_SAME_TEXT = """(1 - levenshtein(p.text, q.text) / CAST(greatest(length(p.text), length(q.text)) AS DOUBLE) >= 0.8 OR (length(p.text) <> length(q.text) AND (contains(p.text, q.text) OR contains(q.text, p.text)
+    OR left(p.text, CAST(ceil(0.6 * least(length(p.text), length(q.text))) AS INT)) = left(q.text, CAST(ceil(0.6 * least(length(p.text), length(q.text))) AS INT)))))"""
+
+
+@query(f"""WITH RECURSIVE r AS ({_RESULTS}), t AS (SELECT image_id, det_id, score, x1, y1, x2, y2, lower(text) AS text FROM r WHERE type = 'text'),
+  links AS (SELECT p.image_id, p.det_id AS a, q.det_id AS b, (length(q.text), q.score, {_SIZE.format("q")}) > (length(p.text), p.score, {_SIZE.format("p")}) AS b_wins,
+      row_number() OVER (PARTITION BY p.image_id ORDER BY p.det_id, q.det_id) AS k FROM t p JOIN t q ON p.image_id = q.image_id AND p.det_id < q.det_id
+    WHERE {_SHARED} / least(greatest({_SIZE.format("p")}, 1), greatest({_SIZE.format("q")}, 1)) >= 0.05 AND {_SAME_TEXT}),
+  step AS (SELECT image_id, 0 AS k, CAST([] AS VARCHAR[]) AS gone FROM (SELECT DISTINCT image_id FROM links) i UNION ALL
+    SELECT s.image_id, l.k, CASE WHEN list_contains(s.gone, l.a) OR list_contains(s.gone, l.b) THEN s.gone WHEN l.b_wins THEN list_append(s.gone, l.a) ELSE list_append(s.gone, l.b) END
+    FROM step s JOIN links l ON l.image_id = s.image_id AND l.k = s.k + 1),
+  out AS (SELECT image_id, unnest(gone) AS det_id FROM (SELECT image_id, max_by(gone, k) AS gone FROM step GROUP BY image_id) m)
+  SELECT r.* FROM r LEFT JOIN out ON r.image_id = out.image_id AND r.det_id = out.det_id WHERE out.det_id IS NULL""")
 def dedupe_text(spark, d):
     return matching.dedupe_text(results(spark, d))
 
@@ -65,7 +94,13 @@ def tp_fp_assign(spark, d):
     return rounded(out.select("image_id", "cls", "pred_id", "iou", "tp"), "iou")
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY pred_id) AS i FROM fx_pred), g AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY gt_id) AS j FROM fx_gt),
+  pairs AS (SELECT image_id, i, j, row_number() OVER (PARTITION BY image_id ORDER BY iou DESC, i DESC, j DESC) AS k FROM (SELECT p.image_id, i, j, {_iou_of("p", "g")} AS iou FROM p JOIN g ON p.image_id = g.image_id AND p.cls = g.cls) q WHERE iou >= 0.5),
+  step AS (SELECT image_id, 0 AS k, CAST([] AS BIGINT[]) AS us, CAST([] AS BIGINT[]) AS vs FROM (SELECT DISTINCT image_id FROM pairs) z UNION ALL
+    SELECT s.image_id, l.k, CASE WHEN list_contains(us, i) OR list_contains(vs, j) THEN us ELSE list_append(us, i) END, CASE WHEN list_contains(us, i) OR list_contains(vs, j) THEN vs ELSE list_append(vs, j) END
+    FROM step s JOIN pairs l ON l.image_id = s.image_id AND l.k = s.k + 1),
+  hits AS (SELECT image_id, max(len(us)) AS tp FROM step GROUP BY image_id), n AS (SELECT image_id, sum(p) AS n_p, sum(g) AS n_g FROM (SELECT image_id, 1 AS p, 0 AS g FROM fx_pred UNION ALL SELECT image_id, 0, 1 FROM fx_gt) b GROUP BY image_id)
+  SELECT n.image_id, CAST(n_g AS BIGINT) AS n_gt, coalesce(tp, 0) AS tp, CAST(n_g - coalesce(tp, 0) AS BIGINT) AS fn, CAST(n_p - coalesce(tp, 0) AS BIGINT) AS fp FROM n LEFT JOIN hits ON n.image_id = hits.image_id""")
 def greedy_match_counts(spark, d):
     return matching.greedy_match_counts(fixture(spark, d, "fx_pred"), fixture(spark, d, "fx_gt"))
 
@@ -92,8 +127,8 @@ _SUM = " + ".join(f"coalesce(p{i}, 0)" for i in range(11))
 
 
 @query(f"""{_ASSIGNED}, a AS (SELECT *, {_TP.format(t='0.5', x='')} AS tp FROM best), n AS (SELECT cls, count(*) AS n_gt FROM fx_gt GROUP BY cls),
-  r AS (SELECT cls, CAST(sum(CASE WHEN tp THEN 1 ELSE 0 END) OVER w AS DOUBLE) AS ct, CAST(sum(CASE WHEN tp THEN 0 ELSE 1 END) OVER w AS DOUBLE) AS cf FROM a
-    WINDOW w AS (PARTITION BY cls ORDER BY score DESC, image_id, pred_id ROWS UNBOUNDED PRECEDING)),
+  s AS (SELECT cls, score, count(*) FILTER (WHERE tp) AS t, count(*) FILTER (WHERE NOT tp) AS f FROM a GROUP BY cls, score),
+  r AS (SELECT cls, CAST(sum(t) OVER w AS DOUBLE) AS ct, CAST(sum(f) OVER w AS DOUBLE) AS cf FROM s WINDOW w AS (PARTITION BY cls ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
   c AS (SELECT r.cls, {_POINTS} FROM r JOIN n ON r.cls = n.cls GROUP BY r.cls)
   SELECT n.cls, round(({_SUM}) / 11, 6) AS ap, n_gt FROM n JOIN c ON n.cls = c.cls""")
 def average_precision(spark, d):
@@ -103,8 +138,8 @@ def average_precision(spark, d):
 @query(f"""{_ASSIGNED}, ts AS (SELECT round(0.5 + 0.05 * i, 2) AS t FROM (SELECT unnest(range(10)) AS i) z),
   a AS (SELECT b.*, ts.t, iou >= ts.t AND row_number() OVER (PARTITION BY image_id, cls, gt_id, ts.t, iou >= ts.t ORDER BY score DESC, pred_id) = 1 AS tp FROM best b CROSS JOIN ts),
   n AS (SELECT cls, count(*) AS n_gt FROM fx_gt GROUP BY cls),
-  r AS (SELECT t, cls, CAST(sum(CASE WHEN tp THEN 1 ELSE 0 END) OVER w AS DOUBLE) AS ct, CAST(sum(CASE WHEN tp THEN 0 ELSE 1 END) OVER w AS DOUBLE) AS cf FROM a
-    WINDOW w AS (PARTITION BY t, cls ORDER BY score DESC, image_id, pred_id ROWS UNBOUNDED PRECEDING)),
+  s AS (SELECT t, cls, score, count(*) FILTER (WHERE tp) AS n_right, count(*) FILTER (WHERE NOT tp) AS n_wrong FROM a GROUP BY t, cls, score),
+  r AS (SELECT t, cls, CAST(sum(n_right) OVER w AS DOUBLE) AS ct, CAST(sum(n_wrong) OVER w AS DOUBLE) AS cf FROM s WINDOW w AS (PARTITION BY t, cls ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
   c AS (SELECT r.t, r.cls, max(ct) AS ct, max(ct + cf) AS cn, {_POINTS} FROM r JOIN n ON r.cls = n.cls GROUP BY r.t, r.cls)
   SELECT CAST(t AS DOUBLE) AS t, c.cls, round(({_SUM}) / 11, 6) AS ap, round(ct / cn, 6) AS precision, round(ct / n_gt, 6) AS recall FROM c JOIN n ON c.cls = n.cls""")
 def map_sweep(spark, d):
