@@ -65,6 +65,9 @@ def filter_ink_candidates(cand: DataFrame, det: DataFrame, key: str = "image_id"
 #: Markers of nesting that recognisers hallucinate.
 NEST_MARKERS = [r"\stackrel{", r"\overrightarrow{", r"\substack{", r"\not"]
 
+#: Fixed value: the pattern of one token, for the share of the most frequent one.
+GARBAGE_TOKEN = r"\\[A-Za-z]+|[A-Za-z0-9]+|[^\s]"
+
 
 def is_garbage_latex(c: Column) -> Column:
     """Blank; CJK or Hangul; over 100 characters inside \\text{}; three nest markers; or one token above 0.45 of at least six."""
@@ -72,7 +75,7 @@ def is_garbage_latex(c: Column) -> Column:
     texts = F.aggregate(F.regexp_extract_all(c, F.lit(r"\\text\{([^}]*)\}"), F.lit(1)), F.lit(0), lambda n, t: n + F.length(t))
     size = F.length(c)
     nests = sum(((size - F.length(F.replace(c, F.lit(m), F.lit("")))) / len(m) for m in NEST_MARKERS), F.lit(0))
-    tokens = F.regexp_extract_all(c, F.lit(r"\\[A-Za-z]+|[A-Za-z0-9]+|[^\s]"), F.lit(0))
+    tokens = F.regexp_extract_all(c, F.lit(GARBAGE_TOKEN), F.lit(0))
     top = F.array_max(F.transform(F.array_distinct(tokens), lambda t: F.size(F.filter(tokens, lambda u: u == t))))
     repeated = (F.size(tokens) >= 6) & (top / F.size(tokens) > 0.45)
     return (F.trim(F.coalesce(c, F.lit(""))) == "") | cjk | (texts > 100) | (nests >= 3) | repeated
@@ -84,10 +87,11 @@ def words_of(df: DataFrame, key: str, col: str) -> DataFrame:
     return df.select(key, F.posexplode(F.transform(words, F.lower)).alias("pos", "word"))
 
 
-def is_sensible_german(df: DataFrame, vocab: DataFrame, short: list[str], domain: list[str], key: str, col: str = "text") -> DataFrame:
-    """key, sensible: enough known words. Short words count at each place, long ones (5 letters, known) once; no words: kept."""
-    words = words_of(df, key, col).join(vocab.select("word", F.lit(True).alias("known")), "word", "left")
-    is_long = (F.length("word") >= 5) & (F.coalesce("known", F.lit(False)) | F.col("word").isin(domain))
+def is_sensible_german(df: DataFrame, vocab: DataFrame, short: list[str], domain: DataFrame, key: str, col: str = "text") -> DataFrame:
+    """key, sensible: enough known words. Short words count at each place, long ones (5 letters, in the vocabulary or the domain's words) once; no words: kept."""
+    known = vocab.select("word").union(domain.select("word")).distinct().withColumn("known", F.lit(True))
+    words = words_of(df, key, col).join(known, "word", "left")
+    is_long = (F.length("word") >= 5) & F.coalesce("known", F.lit(False))
     per = words.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("word").isin(short).cast("int")).alias("n_short"), F.countDistinct(F.when(is_long, F.col("word"))).alias("n_long"))
     good = ((F.col("n_short") + F.col("n_long")) / F.col("n") >= 0.25) & (F.col("n_long") >= 1)
     return df.select(key).join(per, key, "left").select(key, F.when(F.col("n").isNull(), True).otherwise(good).alias("sensible"))
