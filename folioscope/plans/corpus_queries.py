@@ -82,25 +82,42 @@ def distribution(spark, d):
     return rounded(aggregates.distribution(fixture(spark, d, "fx_results"), "seconds", ["lecture"]), "mean", "std", "median", "min", "max")
 
 
-def _boot(values: str, b: int, seed: int = 42) -> str:
-    return f"""own AS (SELECT row_number() OVER (ORDER BY k) - 1 AS i, v, count(*) OVER () AS n FROM ({values}) q),
-  draws AS (SELECT b.b, own.n, ('0x' || substr(md5(concat_ws(':', '{seed}', b.b, own.i)), 1, 8))::BIGINT % own.n AS i FROM own CROSS JOIN (SELECT unnest(range({b})) AS b) b),
-  means AS (SELECT b, avg(v) AS m FROM draws JOIN own ON draws.i = own.i GROUP BY b), ranked AS (SELECT m, row_number() OVER (ORDER BY m, b) - 1 AS k FROM means)"""
+_B = 10_000
 
 
-_B = 200
+def _mixed_sql(src: str, cols: str) -> str:
+    for step in ("xor(x, x >> 16)", "x * 2246822507 % 4294967296", "xor(x, x >> 13)", "x * 3266489909 % 4294967296", "xor(x, x >> 16)"):
+        src = f"SELECT {cols}, {step} AS x FROM ({src}) q"
+    return src
 
 
-@query(f"""WITH {_boot("SELECT item AS k, cer AS v FROM fx_scores WHERE system = 0", _B)} SELECT (SELECT round(avg(v), 6) FROM own) AS mean, (SELECT count(*) FROM own) AS n,
-  round(max(CASE WHEN k = 5 THEN m END), 6) AS lo, round(max(CASE WHEN k = 194 THEN m END), 6) AS hi FROM ranked""")
+def _draws(seed: int) -> str:
+    """v, b, x: 32 hashed bits of each value (own: k, v) and resample."""
+    own = _mixed_sql(f"SELECT v, xor(CAST(k AS UBIGINT), {seed * 2654435761 % 2**32}::UBIGINT) AS x FROM own", "v")
+    each = f"SELECT v, b, (x + b * 2246822519 % 4294967296) % 4294967296 AS x FROM ({own}) o CROSS JOIN (SELECT CAST(unnest(range({_B})) AS UBIGINT) AS b) bs"
+    return _mixed_sql(each, "v, b")
+
+
+_WEIGHT = "CASE " + " ".join(f"WHEN x < {step} THEN {k}" for k, step in enumerate(aggregates.poisson_steps())) + f" ELSE {len(aggregates.poisson_steps())} END"
+
+
+def _boot(values: str) -> str:
+    return f"""own AS ({values}), means AS (SELECT b, sum(w * v) / sum(w) AS m FROM (SELECT v, b, {_WEIGHT} AS w FROM ({_draws(42)}) d) e GROUP BY b),
+  ranked AS (SELECT m, row_number() OVER (ORDER BY m, b) - 1 AS k FROM means)"""
+
+
+_ENDS = "round(max(CASE WHEN k = 250 THEN m END), 6) AS lo, round(max(CASE WHEN k = 9749 THEN m END), 6) AS hi"
+
+
+@query(f"""WITH {_boot("SELECT item AS k, cer AS v FROM fx_scores WHERE system = 0")} SELECT (SELECT round(avg(v), 6) FROM own) AS mean, (SELECT count(*) FROM own) AS n, {_ENDS} FROM ranked""")
 def bootstrap_ci(spark, d):
     own = fixture(spark, d, "fx_scores").where("system = 0")
     return rounded(aggregates.bootstrap_ci(own, "cer", "item", _B), "mean", "lo", "hi")
 
 
-@query(f"""WITH {_boot("SELECT a.item AS k, a.cer - b.cer AS v FROM fx_scores a JOIN fx_scores b ON a.item = b.item WHERE a.system = 0 AND b.system = 1", _B)},
-  flips AS (SELECT b.b, avg(CASE WHEN ('0x' || substr(md5(concat_ws(':', '43', b.b, own.i)), 1, 8))::BIGINT % 2 = 0 THEN v ELSE -v END) AS m FROM own CROSS JOIN (SELECT unnest(range({_B})) AS b) b GROUP BY b.b)
-  SELECT (SELECT round(avg(v), 6) FROM own) AS mean_diff, (SELECT count(*) FROM own) AS n, round(max(CASE WHEN k = 5 THEN m END), 6) AS lo, round(max(CASE WHEN k = 194 THEN m END), 6) AS hi,
+@query(f"""WITH {_boot("SELECT a.item AS k, a.cer - b.cer AS v FROM fx_scores a JOIN fx_scores b ON a.item = b.item WHERE a.system = 0 AND b.system = 1")},
+  flips AS (SELECT b, avg(CASE WHEN x >= 2147483648 THEN -v ELSE v END) AS m FROM ({_draws(43)}) d GROUP BY b)
+  SELECT (SELECT round(avg(v), 6) FROM own) AS mean_diff, (SELECT count(*) FROM own) AS n, {_ENDS},
   (SELECT round((count(*) FILTER (WHERE abs(m) >= (SELECT abs(avg(v)) FROM own) - CAST(1e-12 AS DOUBLE)) + 1) / CAST({_B + 1} AS DOUBLE), 6) FROM flips) AS p FROM ranked""")
 def paired_test(spark, d):
     wide = joins.align_systems(fixture(spark, d, "fx_scores"), [0, 1, 2, 3, 4])

@@ -49,7 +49,7 @@ def read_manifest(spark, d):
     return readers.read_manifest(spark, f"{path}/*/*").select("image", "truth", "writer_id")
 
 
-@query()
+@query("SELECT image_id, concat(image_id, '.png') AS file_name, cls AS category_id, x1 AS x, y1 AS y, x2 - x1 AS w, y2 - y1 AS h FROM fx_gt")
 def read_coco(spark, d):
     gt = fixture(spark, d, "fx_gt")
     ann = F.struct(F.crc32("gt_id").alias("id"), "image_id", F.col("cls").alias("category_id"), F.array("x1", "y1", F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("bbox"))
@@ -60,7 +60,11 @@ def read_coco(spark, d):
     return anns.join(images.select("image_id", "file_name"), "image_id").select("image_id", "file_name", "category_id", "x", "y", "w", "h")
 
 
-@query()
+_LABELS = """SELECT image_id, gt_id, cls, greatest(0, least((x1 + (x2 - x1) / 2) / 1000, 1)) AS cx, greatest(0, least((y1 + (y2 - y1) / 2) / 600, 1)) AS cy, greatest(0, least((x2 - x1) / 1000, 1)) AS bw,
+  greatest(0, least((y2 - y1) / 600, 1)) AS bh FROM fx_gt"""
+
+
+@query(f"SELECT CAST(cls AS VARCHAR) AS cls, {', '.join(f"CAST(printf('%.6f', {c}) AS DOUBLE) AS {c}" for c in ('cx', 'cy', 'bw', 'bh'))} FROM ({_LABELS}) q WHERE bw >= 0.001 AND bh >= 0.001")
 def read_yolo_labels(spark, d):
     return rounded(readers.read_yolo_labels(spark, written(_label_lines(spark, d), "yolo")).select("cls", "cx", "cy", "bw", "bh"), "cx", "cy", "bw", "bh")
 
@@ -75,38 +79,36 @@ def _label_lines(spark, d):
     return text.select(F.explode(F.split(F.concat("text", F.lit("\n\nmath 1 1 1 1\n0 0.5")), "\n")).alias("value"))
 
 
-@query("""SELECT image_id, string_agg(printf('%s %.6f %.6f %.6f %.6f', CAST(cls AS VARCHAR), cx, cy, bw, bh), chr(10) ORDER BY gt_id) AS text FROM (
-  SELECT image_id, gt_id, cls, greatest(0, least((x1 + (x2 - x1) / 2) / 1000, 1)) AS cx, greatest(0, least((y1 + (y2 - y1) / 2) / 600, 1)) AS cy, greatest(0, least((x2 - x1) / 1000, 1)) AS bw,
-  greatest(0, least((y2 - y1) / 600, 1)) AS bh FROM fx_gt) q WHERE bw >= 0.001 AND bh >= 0.001 GROUP BY image_id""")
+@query(f"SELECT image_id, string_agg(printf('%s %.6f %.6f %.6f %.6f', CAST(cls AS VARCHAR), cx, cy, bw, bh), chr(10) ORDER BY gt_id) AS text FROM ({_LABELS}) q WHERE bw >= 0.001 AND bh >= 0.001 GROUP BY image_id")
 def write_yolo_labels(spark, d):
     path = scratch(spark, "labels")
     writers.write_yolo_labels(_yolo(spark, d), path, order="gt_id")
     return spark.read.parquet(path)
 
 
-@query()
+@query("SELECT CAST(c_custkey + 10000 AS VARCHAR) AS writer_id, CASE WHEN c_custkey % 3 = 0 THEN 'German' ELSE 'Swiss German' END AS language FROM customer WHERE c_custkey % 3 <> 2")
 def read_writers_xml(spark, d):
     c = table(spark, d, "customer")
     lang = F.when(F.col("c_custkey") % 3 == 0, "German").when(F.col("c_custkey") % 3 == 1, "Swiss German").otherwise("French")
     one = F.concat(F.lit('<Writer name="'), F.col("c_custkey") + 10000, F.lit('" NativeLanguage="'), lang, F.lit('"/>'))
     path = scratch(spark, "writers")
-    c.groupBy(F.col("c_nationkey").alias("n")).agg(F.concat(F.lit("<Writers>\n"), F.array_join(F.collect_list(one), "\n"), F.lit("\n</Writers>")).alias("value")).write.partitionBy("n").text(path)
+    c.groupBy(F.floor(F.col("c_custkey") / 1000).alias("n")).agg(F.concat(F.lit("<Writers>\n"), F.array_join(F.collect_list(one), "\n"), F.lit("\n</Writers>")).alias("value")).write.partitionBy("n").text(path)
     return readers.read_writers_xml(spark, path)
 
 
 def _archives(spark, d) -> DataFrame:
-    """Form files of customers in one archive a nation: tar for even nations, zip for odd ones. Written from tasks, through Spark."""
+    """Form files of customers in archives of 200: tar for even ones, zip for odd ones. Written from tasks, through Spark."""
     c = table(spark, d, "customer")
     k = F.col("c_custkey")
     body = F.when(k % 11 == 0, F.concat(F.lit('<form id="f'), k, F.lit('" writer-id="'), k)).otherwise(F.concat(F.lit('<?xml version="1.0"?>\n<form id="f'), k, F.lit('" writer-id="'), k, F.lit('"><line/></form>')))
-    files = c.groupBy("c_nationkey").agg(F.collect_list(F.struct(F.concat(F.lit("xml/f"), k, F.lit(".xml")).alias("name"), body.alias("body"))).alias("files"))
+    files = c.groupBy(F.floor(k / 200).alias("n")).agg(F.collect_list(F.struct(F.concat(F.lit("xml/f"), k, F.lit(".xml")).alias("name"), body.alias("body"))).alias("files"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for nation, files in zip(b.column("c_nationkey").to_pylist(), b.column("files").to_pylist()):
+            for n, files in zip(b.column("n").to_pylist(), b.column("files").to_pylist()):
                 buffer = io.BytesIO()
-                if nation % 2:
+                if n % 2:
                     with zipfile.ZipFile(buffer, "w") as z:
                         for f in files:
                             z.writestr(f["name"], f["body"])
@@ -129,12 +131,15 @@ def _members(spark, d) -> DataFrame:
     return spark.read.parquet(path).select(F.sha2("content", 256).alias("path"), "content")
 
 
-@query()
+_HALF = "concat('<form id=\"f', c_custkey, '\" writer-id=\"', c_custkey)"
+
+
+@query(f"""SELECT concat('xml/f', c_custkey, '.xml') AS member, CASE WHEN c_custkey % 11 = 0 THEN length({_HALF}) ELSE length(concat('<?xml version="1.0"?>', chr(10), {_HALF}, '"><line/></form>')) END AS size FROM customer""")
 def read_archive_members(spark, d):
     return readers.unpacked(_members(spark, d), ".xml").select("member", F.length("content").alias("size"))
 
 
-@query()
+@query("SELECT concat('f', c_custkey) AS form, CAST(c_custkey + 10000 AS VARCHAR) AS writer_id FROM customer WHERE c_custkey % 11 <> 0")
 def read_form_writer_map(spark, d):
     return readers.forms_of(readers.unpacked(_members(spark, d), ".xml"))
 
@@ -171,28 +176,32 @@ def ink_points(spark, d):
     return readers.ink_points(rows)[0].select("ink_id", "x", "y")
 
 
-@query()
+@query("SELECT CAST(lecture AS VARCHAR) AS lecture, concat('p', slide, '.png') AS slide, type, rendered FROM fx_results")
 def read_run_results(spark, d):
+    """One file for the slides of a lecture below each 2,000th slide number."""
     r = fixture(spark, d, "fx_results")
     regions = r.groupBy("lecture", "slide").agg(F.collect_list(F.struct("type", "rendered", F.col("seconds").alias("confidence"))).alias("rs"))
     value = F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("p"), F.col("slide"), F.lit(".png")), F.col("rs")))))
     path = scratch(spark, "runs")
-    regions.groupBy("lecture").agg(value.alias("value")).write.partitionBy("lecture").text(path)
-    out = readers.read_run_results(spark, f"{path}/*/*.txt")
-    return out.select("lecture", "slide", "type", "rendered")
+    parts = regions.groupBy("lecture", F.floor(F.col("slide") / 2000).alias("n")).agg(value.alias("value"))
+    parts.write.partitionBy("n", "lecture").text(path)
+    out = readers.read_run_results(spark, f"{path}/*/*/*.txt")
+    return out.select(F.regexp_replace("lecture", "^lecture=", "").alias("lecture"), "slide", "type", "rendered")
 
 
-@query()
+@query("""SELECT CAST(system AS VARCHAR) AS backend, track, concat('img', item) AS image, round(CASE WHEN track = 'raw' THEN cer ELSE cer * CAST(0.5 AS DOUBLE) END, 6) AS cer
+  FROM fx_scores CROSS JOIN (SELECT 'raw' AS track UNION ALL SELECT 'post') t""")
 def flatten_eval_report(spark, d):
-    s = fixture(spark, d, "fx_scores")
+    """One report for each 2,048 items."""
+    s = fixture(spark, d, "fx_scores").withColumn("n", F.floor(F.col("item") / 2048))
     track = lambda k: F.struct(F.lit(0.0).alias("exp_rate"), (F.col("cer") * k).alias("cer"), F.lit(0.5).alias("bleu"), F.lit(1.0).alias("edit"))
     sample = F.struct(F.concat(F.lit("img"), F.col("item")).alias("image"), F.array(F.lit("short")).alias("tags"), track(1.0).alias("raw"), track(0.5).alias("post"))
-    per = s.groupBy("system").agg(F.struct(F.collect_list(sample).alias("per_sample")).alias("b"))
-    reports = per.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(F.col("system").cast("string"), "b"))).alias("backends"))).alias("value"))
+    per = s.groupBy("n", "system").agg(F.struct(F.collect_list(sample).alias("per_sample")).alias("b"))
+    reports = per.groupBy("n").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(F.col("system").cast("string"), "b"))).alias("backends"))).alias("value"))
     return rounded(readers.flatten_eval_report(reports).select("backend", "track", "image", "cer"), "cer")
 
 
-@query()
+@query("SELECT concat('m', p_partkey) AS model, 1536 AS imgsz, 100 AS epochs, (p_partkey % 97) / CAST(100 AS DOUBLE) AS \"mAP50\" FROM part")
 def read_training_summary(spark, d):
     p = table(spark, d, "part")
     rec = F.to_json(F.struct(F.concat(F.lit("m"), F.col("p_partkey")).alias("model"), F.lit(1536).alias("imgsz"), F.lit(100).alias("epochs"), (F.col("p_partkey") % 97 / 100).alias("mAP50")))
@@ -218,14 +227,14 @@ def write_captions(spark, d):
     return spark.read.text(path)
 
 
-@query()
+@query("SELECT user_id AS writer, count(*) AS n FROM events GROUP BY user_id")
 def detect_column(spark, d):
     e = table(spark, d, "events")
     found = readers.detect_column(e, readers.WRITER_COLUMNS)
     return e.groupBy(F.col(found).alias("writer")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("SELECT concat('img', expr_id) AS name, gt AS latex FROM fx_latex WHERE expr_id % 10 <> 7")
 def write_tsv_labels(spark, d):
     x = fixture(spark, d, "fx_latex").select(F.concat(F.lit("img"), F.col("expr_id")).alias("name"), F.col("gt").alias("latex"))
     path = scratch(spark, "tsv")
@@ -245,7 +254,8 @@ def write_audit_csv(spark, d):
     return back.select("id", "lecture", "page", "region", "bbox", "confidence")
 
 
-@query()
+@query("""SELECT split, CAST(CASE split WHEN 'train' THEN floor(n * CAST(0.7 AS DOUBLE)) WHEN 'val' THEN floor(n * CAST(0.15 AS DOUBLE)) ELSE 0 END AS BIGINT) AS n_samples
+  FROM (SELECT count(*) AS n FROM fx_samples) q CROSS JOIN (SELECT unnest(['train', 'val', 'test']) AS split) s""")
 def write_split_manifests(spark, d):
     s = sampling.three_way_split(fixture(spark, d, "fx_samples"), "sample_id").where("split <> 'test'")
     return writers.write_split_manifests(s, scratch(spark, "splits"), ["train", "val", "test"])
@@ -258,12 +268,12 @@ def dataset_info(spark, d):
     return writers.dataset_info(s, "samples", "events", "2026-01-01", ["train", "val", "test"], ["text", "math"])
 
 
-@query()
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey FROM supplier")
 def list_images(spark, d):
-    p = table(spark, d, "region").select("r_regionkey", F.lit("x").alias("value"))
+    """A file a supplier, of which the keys are listed from the paths."""
     path = scratch(spark, "images")
-    p.write.partitionBy("r_regionkey").text(path)
-    return readers.list_images(spark, path, ("txt",)).select(boxes.basename(F.col("path")).endswith(".txt").alias("is_text"))
+    table(spark, d, "supplier").select("s_suppkey", F.lit("x").alias("value")).repartition("s_suppkey").write.partitionBy("s_suppkey").text(path)
+    return readers.list_images(spark, path, ("txt",)).select(F.regexp_extract("path", r"/s_suppkey=(\d+)/[^/]*\.txt$", 1).alias("s_suppkey"))
 
 
 @query("""SELECT s.split, count(q.split) AS n_images, count(q.split) > 0 AS ok FROM (SELECT unnest(['click', 'view', 'none']) AS split) s

@@ -8,8 +8,9 @@ from folioscope.operators import aggregates, matching, recognise
 from folioscope.plans import flows
 from folioscope.plans.box_queries import _pred, candidates, features
 from folioscope.plans.file_queries import scratch
-from folioscope.plans.match_queries import results
-from folioscope.plans.registry import fixture, query, rounded, table
+from folioscope.plans.match_queries import _BEST, results
+from folioscope.plans.registry import ORACLES, fixture, query, rounded, table
+from folioscope.plans.text_queries import _BY_N, _CER, _SPLIT, _bleu_sql, _domain_sql, _edits, _umlauts_sql
 from folioscope.streaming import incremental
 
 
@@ -86,7 +87,9 @@ def replay_filters(spark, d):
     return flows.replay_filters(r, f).select("image_id", "det_id", "type", "text", "latex", "n_rows")
 
 
-@query()
+@query("""WITH i AS (SELECT image_id, row_number() OVER (ORDER BY md5(concat_ws(':', '42', concat('img/', image_id, '.png'))), image_id) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT image_id FROM fx_gt) d),
+  s AS (SELECT image_id, CASE WHEN r <= floor(n * CAST(0.7 AS DOUBLE)) THEN 'train' WHEN r <= floor(n * CAST(0.7 AS DOUBLE)) + floor(n * CAST(0.15 AS DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM i)
+  SELECT split, count(*) AS n_annotations, count(DISTINCT s.image_id) AS n_images FROM s JOIN fx_gt g ON s.image_id = g.image_id GROUP BY split""")
 def build_dataset(spark, d):
     gt = fixture(spark, d, "fx_gt")
     images = gt.select("image_id").distinct().withColumn("file_name", F.concat(F.lit("img/"), F.col("image_id"), F.lit(".png")))
@@ -96,19 +99,34 @@ def build_dataset(spark, d):
     return counts[0].union(counts[1]).union(counts[2]).join(out["images"].groupBy("split").agg(F.count(F.lit(1)).alias("n_images")), "split")
 
 
-@query()
+_READ = "CASE WHEN contains({0}, '?') OR length({0}) <= 10 THEN '' ELSE upper({0}) END"
+_CORRECTED = _domain_sql(_umlauts_sql("h"))
+_EVALUATED = f"SELECT pair_id, CASE WHEN trim(h) = '' THEN h ELSE {_CORRECTED} END AS hyp, upper(ref) AS ref FROM (SELECT pair_id, {_READ.format('hyp')} AS h, ref FROM fx_pairs) q"
+
+
+@query(f"""WITH ev AS ({_EVALUATED}), w AS (SELECT avg({_BY_N}) AS w FROM ({_edits(_SPLIT.format(c="hyp"), _SPLIT.format(c="ref"), "pair_id", "ev")}) e), c AS (SELECT avg({_CER}) AS c, count(*) AS n, count(*) FILTER (WHERE hyp <> ref) AS n_errors FROM ev)
+  SELECT round(c, 6) AS cer, round(w, 6) AS wer, n AS n_samples, n_errors, round(c * 100, 6) AS cer_pct, round(w * 100, 6) AS wer_pct FROM c CROSS JOIN w""")
 def evaluate_text(spark, d):
     samples = fixture(spark, d, "fx_pairs").select("pair_id", F.col("hyp").alias("input"), F.upper("ref").alias("ref"))
     return rounded(flows.evaluate_text(samples, upper_model)[0], "cer", "wer", "cer_pct", "wer_pct")
 
 
-@query()
+@query(f"""WITH s AS (SELECT pair_id, writer_id, ref, row_number() OVER (PARTITION BY writer_id ORDER BY md5(concat_ws(':', '42', pair_id)), pair_id) AS k FROM fx_pairs),
+  p AS (SELECT writer_id, {_READ.format("ref")} AS hyp, ref FROM (SELECT * FROM s ORDER BY k, writer_id LIMIT 200) t WHERE trim(ref) <> '')
+  SELECT writer_id, count(*) AS n, round(avg({_CER}), 6) AS cer FROM p GROUP BY ROLLUP (writer_id)""")
 def evaluate_cross_writer(spark, d):
     rows = fixture(spark, d, "fx_pairs").select("pair_id", "writer_id", F.col("ref").alias("text"))
     return rounded(flows.evaluate_cross_writer(rows, upper_model, 200, "pair_id"), "cer")
 
 
-@query()
+_REGIONS = f"""SELECT CAST(k.image_id AS VARCHAR) || k.pred_id AS pair_id, k.cls, concat('region ', array_to_string(string_split(pred_id, '-')[1:2], '-')) AS hyp,
+  concat('region ', array_to_string(string_split(gt_id, '-')[1:2], '-')) AS ref FROM ({_BEST}) k WHERE k = 1 AND iou > 0.5"""
+
+
+@query(f"""WITH RECURSIVE ap AS ({ORACLES["average_precision"]}), m AS ({_REGIONS}), w AS ({_edits(_SPLIT.format(c="hyp"), _SPLIT.format(c="ref"), "pair_id", "m WHERE cls = 0")})
+  SELECT 'text' AS block, 'cer' AS metric, round(avg({_CER}), 6) AS value FROM m WHERE cls = 0 UNION ALL SELECT 'text', 'wer', round(avg({_BY_N}), 6) FROM w
+  UNION ALL SELECT 'math', 'bleu', round(avg(x), 6) FROM (SELECT {_bleu_sql()} AS x FROM (SELECT {_SPLIT.format(c='hyp')} AS a, {_SPLIT.format(c='ref')} AS b FROM m WHERE cls = 1) q) z
+  UNION ALL SELECT 'detection', 'map', round(avg(ap), 6) FROM ap""")
 def eval_annotated_regions(spark, d):
     pred, gt = fixture(spark, d, "fx_pred"), fixture(spark, d, "fx_gt")
     word = lambda c: F.concat(F.lit("region "), F.substring_index(c, "-", 2))
@@ -122,6 +140,10 @@ def _arrivals(spark, d) -> str:
     return path
 
 
+def _rest_arrives(spark, d, path: str) -> None:
+    fixture(spark, d, "fx_pairs").select("pair_id", "writer_id", "hyp", "ref").where("pair_id % 2 = 1").write.mode("append").parquet(path)
+
+
 _WER_FREE = "SELECT pair_id, writer_id, round(CASE WHEN length(ref) = 0 THEN CASE WHEN length(hyp) = 0 THEN 0 ELSE 1 END ELSE levenshtein(hyp, ref) / CAST(length(ref) AS DOUBLE) END, 6) AS cer FROM fx_pairs"
 
 
@@ -130,12 +152,16 @@ def incremental_scores(spark, d):
     """Half of the pairs arrive, are scored, then the other half: the second call scores only what is new."""
     path, out, ckpt = _arrivals(spark, d), scratch(spark, "scores"), scratch(spark, "stream")
     incremental.incremental_scores(spark, path, out, ckpt)
-    fixture(spark, d, "fx_pairs").select("pair_id", "writer_id", "hyp", "ref").where("pair_id % 2 = 1").write.mode("append").parquet(path)
+    _rest_arrives(spark, d, path)
     return rounded(incremental.incremental_scores(spark, path, out, ckpt).select("pair_id", "writer_id", "cer"), "cer")
 
 
-@query(f"SELECT writer_id, count(*) AS n, round(avg(cer), 6) AS cer FROM ({_WER_FREE}) q WHERE pair_id % 2 = 0 GROUP BY writer_id")
+@query(f"SELECT writer_id, count(*) AS n, round(avg(cer), 6) AS cer FROM ({_WER_FREE}) q GROUP BY writer_id")
 def running_metrics(spark, d):
-    path, out = _arrivals(spark, d), scratch(spark, "running")
-    incremental.running_metrics(spark, path, scratch(spark, "stream"), lambda df, epoch: df.write.mode("overwrite").parquet(out), 600)
+    """Half of the pairs arrive, then the other half: the running means after the second call count all of them."""
+    path, out, ckpt = _arrivals(spark, d), scratch(spark, "running"), scratch(spark, "stream")
+    keep = lambda df, epoch: df.write.mode("overwrite").parquet(out)
+    incremental.running_metrics(spark, path, ckpt, keep, 600)
+    _rest_arrives(spark, d, path)
+    incremental.running_metrics(spark, path, ckpt, keep, 600)
     return rounded(spark.read.parquet(out).select("writer_id", "n", "cer"), "cer")

@@ -24,8 +24,8 @@ FIXTURES = {
         (l_suppkey % 25) * CAST(16 AS DOUBLE) + 20 + l_linenumber * 6 + (j % 5) - 2 AS y2
         FROM (SELECT *, l_partkey * 31 + l_suppkey * 17 + l_linenumber * 7 AS j FROM lineitem) b WHERE j % 9 <> 0""",
     "fx_pairs": """SELECT pair_id, lang, writer_id, ref, CASE pair_id % 4 WHEN 0 THEN ref WHEN 1 THEN replace(ref, 'e', 'c')
-        WHEN 2 THEN replace(ref, 'en ', ' ') ELSE substr(ref, 1, 60) END AS hyp
-        FROM (SELECT doc_id AS pair_id, lang, source AS writer_id, regexp_replace(substr(text, 1, 120), '[^ -~]', '?'{G}) AS ref FROM documents) r""",
+        WHEN 2 THEN replace(ref, 'en ', ' ') ELSE replace(ref, 't', '') END AS hyp
+        FROM (SELECT doc_id * 1048576 + line_no AS pair_id, lang, source AS writer_id, regexp_replace(line, '[^ -~]', '?'{G}) AS ref FROM {LINES} l) r""",
     "fx_samples": """SELECT concat('s', event_id) AS sample_id, concat('w', user_id) AS writer_id, event_type AS cls,
         CASE WHEN event_id % 10 = 0 THEN '' ELSE concat('text ', event_id) END AS text FROM events""",
     "fx_slides": """SELECT concat(substr(md5(concat('', o_orderkey)), 1, 8), '-lecture_', o_custkey % 60, '_page-', lpad(concat('', o_orderkey), 6, '0')) AS stem FROM orders""",
@@ -37,13 +37,18 @@ FIXTURES = {
         WHEN 'purchase' THEN concat('  Post-OCR dedupe: dropped ', event_id % 3, ' near-duplicate text overlay(s)')
         ELSE 'Dropped text overlay covered by typeset math: y' END AS line FROM events""",
     "fx_scores": """SELECT o_orderkey AS item, s.sys AS system, (o_orderkey * (s.sys + 3) % 97) / CAST(97 AS DOUBLE) AS cer
-        FROM orders CROSS JOIN (SELECT 0 AS sys UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) s WHERE o_orderkey < 500""",
+        FROM orders CROSS JOIN (SELECT 0 AS sys UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) s""",
     "fx_points": """SELECT l_orderkey AS image_id, (l_partkey % 40) * CAST(20 AS DOUBLE) + (l_suppkey * 7 % 60) AS x,
         (l_suppkey % 25) * CAST(16 AS DOUBLE) + (l_partkey * 3 % 40) AS y FROM lineitem""",
     "fx_profile": """SELECT user_id AS region_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS row_no,
         CASE WHEN event_id % 500 < 300 THEN CAST(floor(value) AS INT) ELSE 0 END AS ink FROM events""",
     "fx_images": """SELECT DISTINCT l_orderkey AS image_id, 1000 + l_orderkey % 7 * 100 AS w, 600 + l_orderkey % 5 * 50 AS h FROM lineitem""",
 }
+# Whole texts of documents as lines of 20 words, numbered from 0: {LINES} for Spark and for DuckDB.
+_SPARK_LINES = """(SELECT doc_id, lang, source, posexplode(transform(sequence(0, (size(w) - 1) div 20), n -> array_join(slice(w, CAST(n * 20 + 1 AS INT), 20), ' '))) AS (line_no, line)
+        FROM (SELECT doc_id, lang, source, split(replace(text, chr(10), ' '), ' ') AS w FROM documents) d)"""
+_DUCK_LINES = """(SELECT doc_id, lang, source, unnest(range((len(w) - 1) // 20 + 1)) AS line_no, unnest(list_transform(range((len(w) - 1) // 20 + 1), lambda n: array_to_string(w[n * 20 + 1 : n * 20 + 20], ' '))) AS line
+        FROM (SELECT doc_id, lang, source, string_split(replace(text, chr(10), ' '), ' ') AS w FROM documents) d)"""
 _LATEX_SQL = r"""SELECT p_partkey AS expr_id,
         CASE p_partkey % 5 WHEN 0 THEN concat('\frac{', p_size, '}{x_', p_partkey, '}') WHEN 1 THEN concat('\int f(x) \, dx = ', p_size)
         WHEN 2 THEN concat('\sum_{k=1}^{', p_size, '} k') WHEN 3 THEN concat('\begin{pmatrix} a \\ b \end{pmatrix} \cdot ', p_size)
@@ -70,18 +75,22 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         )
         pred = F.when(key % 3 == 0, F.concat(t("$"), F.col("p_name"), t(" = { x }$"))).when(key % 3 == 1, t("\\alpha " * 8)).otherwise(F.concat(t(r"\[ x_"), size, t(r" \]")))
         return p.select(key.alias("expr_id"), gt.alias("gt"), pred.alias("pred"))
-    sql = FIXTURES[name].replace("{G}", "")
+    sql = FIXTURES[name].replace("{G}", "").replace("{LINES}", _SPARK_LINES)
     used = [t for t in ("lineitem", "documents", "events", "orders") if re.search(rf"\b{t}\b", sql)]
-    return spark.sql(re.sub(rf"\b({'|'.join(used)})\b", r"{\1}", sql), **{t: table(spark, sf_dir, t) for t in used})
+    df = spark.sql(re.sub(rf"\b({'|'.join(used)})\b", r"{\1}", sql), **{t: table(spark, sf_dir, t) for t in used})
+    # Scores take the square of a line's length, and long texts have many lines: lines are dealt out before they are scored.
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) if name == "fx_pairs" else df
 
 
 def oracle_text(sql: str) -> str:
     held = FIXTURES | {"fx_latex": _LATEX_SQL}
     used = [n for n in held if re.search(rf"\b{n}\b", sql)]
-    ctes = [f"{n} AS ({held[n].replace('{G}', ", 'g'")})" for n in used]
+    ctes = [f"{n} AS ({held[n].replace('{G}', ", 'g'").replace('{LINES}', _DUCK_LINES)})" for n in used]
     body = re.sub(r"\b([a-z]) -> ", r"lambda \1: ", sql.strip())
     if not ctes:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {', '.join(ctes)}, {body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {', '.join(ctes)}, {body[5:]}"
     return f"WITH {', '.join(ctes)} {body}"

@@ -1,15 +1,19 @@
 """Operators that SQL doesn't express, against brute force; golden values; properties."""
 
+import os
 import random
+import re
 import unicodedata
 
+import numpy as np
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from folioscope.functions import boxes, scores, text
-from folioscope.operators import aggregates, matching, recognise, sampling
+from folioscope.operators import aggregates, joins, matching, recognise, sampling
 from folioscope.plans import flows
 from folioscope.sources import readers, writers
 
@@ -100,9 +104,63 @@ def test_greedy_counts(spark):
     assert (r["n_gt"], r["tp"], r["fn"], r["fp"]) == (5, 5, 0, 1)
 
 
-def test_same_text_rules():
-    assert matching.same_text("Die Ableitung", "die  ableitung") and matching.same_text("hinreichende Bed", "hinreichende Bedingung der Ordnung")
-    assert not matching.same_text("", "") and not matching.same_text("abc", "abcdefgh") and not matching.same_text("ganz anders hier", "etwas neues dort")
+def same_text(a, b):
+    """The rule in Python: near equal by edits, or the shorter cut from the longer."""
+    if not a or not b:
+        return False
+    if 1 - distance(a, b) / max(len(a), len(b)) >= 0.8:
+        return True
+    short, longer = (a, b) if len(a) <= len(b) else (b, a)
+    shared = len(os.path.commonprefix([a, b]))
+    return len(short) >= 8 and len(short) < len(longer) and (short in longer or shared >= 10 and shared >= 0.6 * len(short))
+
+
+def test_same_text_rules(spark):
+    rng = random.Random(2)
+    words = ["die", "ableitung", "der", "funktion", "hinreichende", "bed", "x", ""]
+    pairs = [("hinreichende bed", "hinreichende bedingung der ordnung"), ("", ""), ("abc", "abcdefgh"), ("abcdefgh", "abcdefghijklmnop"), ("ganz anders hier", "etwas neues dort")]
+    pairs += [tuple(" ".join(rng.choices(words, k=rng.randrange(0, 6))).strip() for _ in "ab") for _ in range(300)]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", matching.same_text(F.col("a"), F.col("b")).alias("same"))
+    rows = df.collect()
+    assert {bool(r["same"]) for r in rows} == {True, False}
+    assert all(bool(r["same"]) == same_text(r["a"], r["b"]) for r in rows)
+
+
+@pytest.mark.parametrize("seed", [6, 7])
+def test_dedupe_text_by_brute_force(spark, seed):
+    rng = random.Random(seed)
+    texts = ["die Ableitung der Funktion", "die  ableitung der Funktionen", "die Ableitung", "ganz anders", "", None]
+    rows = [(*r[:2], rng.choice(["text", "text", "math"]), rng.choice(texts), *r[3:], False) for r in random_boxes(seed, 90, 5)]
+    gone = set()
+    plain = lambda r: " ".join((r[3] or "").lower().split())
+    size = lambda r: (r[7] - r[5]) * (r[8] - r[6])
+    for group in by_image(rows).values():
+        own = sorted((r for r in group if r[2] == "text"), key=lambda r: r[1])
+        for i, a in enumerate(own):
+            for b in own[i + 1 :]:
+                if a[1] in gone or b[1] in gone:
+                    continue
+                inter = max(0, min(a[7], b[7]) - max(a[5], b[5])) * max(0, min(a[8], b[8]) - max(a[6], b[6]))
+                if inter / min(max(1, size(a)), max(1, size(b))) >= 0.05 and same_text(plain(a), plain(b)):
+                    gone.add(a[1] if (len(plain(b)), b[4], size(b)) > (len(plain(a)), a[4], size(a)) else b[1])
+    df = spark.createDataFrame(rows, "image_id long, det_id string, type string, text string, score double, x1 double, y1 double, x2 double, y2 double, rendered boolean")
+    assert gone and {r["det_id"] for r in matching.dedupe_text(df).collect()} == {r[1] for r in rows} - gone
+
+
+def test_crowded_images_are_cut_into_squares(spark):
+    """One image, boxes and points over many squares: as many pairs as all pairs give, in more than one task."""
+    rng = random.Random(8)
+    rows = [(1, f"d{i:04d}", 0, 0.5, x := rng.uniform(-300, 6000), y := rng.uniform(-300, 6000), x + rng.uniform(0, 900), y + rng.uniform(0, 900)) for i in range(300)]
+    df = spark.createDataFrame(rows, BOX)
+    pairs = joins.overlapping(df, df, ["image_id"])
+    got = {(r["a_det_id"], r["b_det_id"]) for r in pairs.collect()}
+    assert got == {(a[1], b[1]) for a in rows for b in rows if iou(a, b) > 0} and pairs.count() == len(got)
+    assert joins.tiled(df, tuple(map(F.col, ("x1", "y1", "x2", "y2")))).select("_tx", "_ty").distinct().count() > 50
+    points = [(1, rng.uniform(-300, 6000), rng.uniform(-300, 6000)) for _ in range(400)]
+    bounds = {r["det_id"]: r["ix1"] for r in joins.ink_bounds(df, spark.createDataFrame(points, "image_id long, x double, y double")).collect()}
+    for _, name, _, _, x1, y1, x2, y2 in rows:
+        inside = [p[1] for p in points if x1 <= p[1] <= x2 and y1 <= p[2] <= y2]
+        assert bounds[name] == (max(x1, min(inside) - 2) if inside else None)
 
 
 def test_dedupe_text(spark):
@@ -140,7 +198,52 @@ def test_golden_boxes(spark):
 
 
 def distance(a, b):
-    return matching.edit_distance(a, b)
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def wrapped(latex):
+    """Prose runs by a walk over the characters: what is guarded is found first, then words are gathered."""
+    guarded = [False] * len(latex)
+    for pattern in (r"\\text\{[^{}]*\}", r"\\\\", r"\\[a-zA-Z]+"):
+        for m in re.finditer(pattern, "".join("\0" if g else c for c, g in zip(latex, guarded))):
+            guarded[m.start() : m.end()] = [True] * len(m.group())
+    letter = lambda c: bool(re.match("[A-Za-zÄÖÜäöüß]", c))
+    seen = "".join("\0" if g else c for c, g in zip(latex, guarded))
+    out, i = [], 0
+    while i < len(seen):
+        ends, at = [], i
+        while not (i and seen[i - 1] in "_^\\") or at > i:
+            end = at
+            while end < len(seen) and letter(seen[end]):
+                end += 1
+            if end - at < 2 or seen[end : end + 1] in set("0123456789_^({"):
+                break
+            ends.append(end)
+            at = end
+            while at < len(seen) and seen[at] in " \t":
+                at += 1
+            if at == end:
+                break
+        if len(ends) > 1:
+            out.append(r"\text{" + latex[i : ends[-1]] + "}")
+            i = ends[-1]
+        else:
+            out.append(latex[i])
+            i += 1
+    return "".join(out)
+
+
+def test_wrap_prose_by_brute_force(spark):
+    rng = random.Random(11)
+    parts = ["\\", "\\\\", "\\text{", "}", "{", "text{ab cd}", "\\text{so ist}", "\\alpha", "ab", "cde", "für", "x", " ", " ", "  ", "\t", "_", "^", "(", "1", "\n", "ä"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(0, 14))) for _ in range(3000)] + [r"\\ab cd", r"\\text{ab} cd ef", r"\äbc de", r"_abc de"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.wrap_prose(F.col("t")).alias("w")).collect()
+    assert [r["t"] for r in rows if r["w"] != wrapped(r["t"])] == [] and sum(r["t"] != r["w"] for r in rows) > 100
 
 
 @settings(max_examples=15, deadline=None)
@@ -213,8 +316,6 @@ def test_splits_are_partitions(spark):
 
 
 def test_systems_that_differ_raise(spark):
-    from folioscope.operators import joins
-
     df = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.5), (2, 0, 0.1)], "item long, system int, cer double")
     with pytest.raises(Exception, match="systems differ"):
         joins.align_systems(df, [0, 1]).collect()
@@ -243,3 +344,57 @@ def test_cross_writer_without_writers(spark):
     rows = spark.createDataFrame([(i, f"line {i}") for i in range(20)], "k long, text string")
     out = {r["writer_id"]: (r["n"], r["cer"]) for r in flows.evaluate_cross_writer(rows, make, 5, "k").collect()}
     assert out == {"all": (5, 0.0), None: (5, 0.0)}
+
+
+def test_resample_weights_and_intervals(spark):
+    """Weights have mean and variance of about 1, don't depend on the partitioning, and give the interval that plain resampling gives."""
+    rng = np.random.default_rng(0)
+    values = rng.exponential(size=400)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)] + [(400, None)], "i long, v double")
+    got = [aggregates.bootstrap_ci(df.repartition(n), "v", "i", 2000).first() for n in (1, 7)]
+    assert got[0]["n"] == 400 and [got[0][c] for c in ("mean", "lo", "hi")] == pytest.approx([got[1][c] for c in ("mean", "lo", "hi")])
+    plain = np.sort(rng.choice(values, (2000, 400)).mean(1))
+    assert got[0]["lo"] == pytest.approx(plain[50], abs=0.03) and got[0]["hi"] == pytest.approx(plain[1949], abs=0.03)
+    x = aggregates.mixed(np.arange(200_000, dtype=np.uint32))
+    w = sum((x >= np.uint32(s)).astype(int) for s in aggregates.poisson_steps())
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+    none = aggregates.bootstrap_ci(df.where("i = 400"), "v", "i", 10).first()
+    assert none["n"] == 0 and none["mean"] is none["lo"] is None
+    pairs = df.where("v IS NOT NULL").select("i", "v", (F.col("v") + 0.5).alias("u"))
+    assert aggregates.paired_test(pairs, "u", "v", "i", 999).first()["p"] == pytest.approx(1 / 1000)
+    assert aggregates.paired_test(pairs, "v", "v", "i", 999).first()["p"] == 1
+
+
+def test_spell_correct_by_brute_force(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choices("abc", k=n))
+    known = sorted({word(rng.randrange(3, 9)) for _ in range(60)} | {word(n) for n in (22, 23, 24, 25, 26, 27, 40, 41)})
+    vocab = [(w, rng.randrange(1, 5)) for w in known]
+
+    def edited(w):
+        for _ in range(rng.randrange(0, 4)):
+            i = rng.randrange(len(w))
+            w = rng.choice([w[:i] + w[i + 1 :], w[:i] + "d" + w[i:], w[:i] + "d" + w[i + 1 :]])
+        return w
+
+    words = [edited(rng.choice(known)) for _ in range(300)]
+
+    def best(w):
+        near = [(distance(w, v), -f, v) for v, f in vocab]
+        d, _, v = min(near)
+        return v if len(w) >= 3 and d <= 2 else w
+
+    docs = spark.createDataFrame([(i, " ".join(words[i * 10 : i * 10 + 10])) for i in range(30)], "k long, text string")
+    got = {r["k"]: r["text"] for r in text.spell_correct(docs, spark.createDataFrame(vocab, "word string, freq long"), "k").collect()}
+    assert got == {i: " ".join(map(best, words[i * 10 : i * 10 + 10])) for i in range(30)}
+
+
+def test_map_sweep_by_assigning_at_each_threshold(spark):
+    rows = random_boxes(9, 200, 8)
+    pred = spark.createDataFrame(rows[:120], BOX).withColumnRenamed("det_id", "pred_id")
+    gt = spark.createDataFrame(rows[120:] + [(r[0], f"x{r[1]}", *r[2:6], r[6] + 1, r[7]) for r in rows[:40]], BOX).withColumnRenamed("det_id", "gt_id").drop("score")
+    got = {(r["t"], r["cls"]): (r["precision"], r["ap"]) for r in aggregates.map_sweep(pred, gt).collect()}
+    for t in (0.5, 0.75, 0.95):
+        tp = {r["cls"]: r["p"] for r in matching.tp_fp_assign(pred, gt, t).groupBy("cls").agg(F.avg(F.col("tp").cast("int")).alias("p")).collect()}
+        ap = {r["cls"]: r["ap"] for r in aggregates.average_precision(pred, gt, t).collect()}
+        assert {c: got[t, c] for c in tp} == {c: (pytest.approx(tp[c]), pytest.approx(ap[c])) for c in tp}
