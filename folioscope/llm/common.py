@@ -12,13 +12,16 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.shipping import ship
 
 #: Null doc_ids are carried as this value.
 NULL_ID = -(2**63)
-#: A stored side of a join is broadcast up to this many bytes of Parquet; larger sides are shuffled.
-BROADCAST_BYTES = 24 << 20
+#: A stored side of a join is broadcast up to this many bytes in memory; larger sides are shuffled.
+BROADCAST_BYTES = 128 << 20
+#: Of each row of a broadcast table, beside its values.
+ROW_OVERHEAD = 32
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -67,9 +70,33 @@ def forget(*frames: DataFrame) -> None:
         fs.delete(at, True)
 
 
-def sided(side: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A kept frame, marked for broadcast if its stored size is within the limit; else Spark shuffles it."""
-    return F.broadcast(side) if stored_bytes(side) <= limit else side
+def _width(c: Column, kind: T.DataType) -> Column:
+    """Bytes of a value in memory."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        return F.lit(8 + sum(8 for _ in kind.fields))
+    if isinstance(kind, T.ArrayType):
+        fixed = 8 + 8 * len(kind.elementType.fields) if isinstance(kind.elementType, T.StructType) else 8
+        return F.coalesce(F.size(c), F.lit(0)) * (fixed + 8) + 16
+    return F.lit(8)
+
+
+def held_bytes(df: DataFrame) -> int:
+    """Bytes of a kept frame's rows in memory."""
+    row = F.lit(ROW_OVERHEAD)
+    for f in df.schema.fields:
+        row = row + _width(F.col(f.name), f.dataType)
+    return df.agg(F.sum(row.cast("long"))).first()[0] or 0
+
+
+def sided(side: DataFrame, limit: int | None = None) -> DataFrame:
+    """A kept frame, marked for broadcast if its rows take no more than the limit in memory; else Spark shuffles it.
+
+    Files above the limit aren't read for this; those below are, by an aggregate.
+    """
+    limit = BROADCAST_BYTES if limit is None else limit
+    return F.broadcast(side) if stored_bytes(side) <= limit and held_bytes(side) <= limit else side
 
 
 def identity() -> dict[str, Column]:

@@ -9,7 +9,8 @@ from folioscope.llm.media import op1_mpeg_audio
 from folioscope.llm.quality import op7_quality
 from folioscope.llm.shards import op5_shards
 from folioscope.llm.simhash import op2_simhash
-from folioscope.llm.substrings import op3_substrings, op6_suffixes
+from folioscope.llm.substrings import op3_substrings
+from folioscope.llm.suffixes import op6_suffixes
 from folioscope.llm.tokens import op9_token_files
 
 QUERIES = {

@@ -1,85 +1,56 @@
-"""Substring dedup over words (level-wise doubling) and over bytes (depth-limited radix passes).
+"""Substring dedup over words by level-wise doubling.
 
-Words: windows of 20 words, by levels of 5, 10 and 20: what is repeated at one length alone goes on to twice that length,
-until no candidate survives. The first place of a window stays.
-
-Bytes: windows of 400 bytes. Suffixes are ordered only as deep as the threshold, most significant digit first: the first
-pass deals them out by their minimiser gram, the following ones (100 bytes a digit) order them within each bucket; what is
-alone in its bucket after a pass leaves, and the buckets left at depth 400 are exactly the repeated windows. Gram buckets
-too large for a task are dealt out again by longer grams. All places of a window are removed.
-
-Null texts count as empty; texts below the window length are kept whole. Matches never cross documents.
+Windows of 20 words, by levels: words repeated alone are extended to two words, then to 4, 5, 10 and 20: only what is repeated at one
+length goes on to the next, until no candidate survives. A window's name at a length is the pair of the names of its two halves at
+the length before, so names are exact. The first place of a window stays. Windows meet in buckets by their smallest gram of 5
+words; hot grams are split by grams of 10 and 20 words (windows.py).
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm.common import documents, identified, sided, text_batches
-from folioscope.llm.windows import Rule, covered, span_lists, word_bounds
-
-WORDS = Rule(20, (5, 10, 20), (5, 10, 20), words=True, first_stays=True)
-BYTES = Rule(400, (100, 250, 325, 363, 382, 391, 396, 398, 399, 400), (100, 200, 300, 400), words=False, first_stays=False)
+from folioscope.llm.common import documents, text_batches
+from folioscope.llm.windows import Rule, digested, without_repeats
 
+FIRST = 5
 
-def _cut(rule: Rule) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for doc_id, text, spans in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
-                data = text.encode()
-                n_spans = n_removed = 0
-                if rule.words:
-                    words = data.split()
-                    n = len(words)
-                    if spans:
-                        gone = covered(spans, n)
-                        words = [w for w, g in zip(words, gone.tolist()) if not g]
-                    out = b" ".join(words)
-                else:
-                    n, out = len(data), data
-                    if spans:
-                        gone = covered(spans, n)
-                        out = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                if spans:
-                    n_removed = int(gone.sum())
-                    n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                rows.append((doc_id, n, n_removed, n_spans, out))
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(cols[4], pa.binary())], ["doc_id", "n_units", "n_removed", "n_spans", "kept"])
 
-    return run
+def lengths(width: int) -> list[int]:
+    """1, then doubled up to FIRST, then doubled up to the width."""
+    out = [1]
+    for end in (min(FIRST, width), width):
+        while out[-1] < end:
+            out.append(min(2 * out[-1], end))
+    return out
 
 
-def without_repeats(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_units, n_removed, n_spans, kept (binary: the remaining words joined by a space, or the remaining bytes)."""
-    docs = identified(docs)
-    lists = span_lists(docs, rule)
-    both = docs.join(sided(lists), ["_id", "_th"], "left").select("doc_id", "text", "spans")
-    return both.mapInArrow(_cut(rule), "doc_id long, n_units long, n_removed long, n_spans long, kept binary")
+def doubled(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, offset and name of every window of words that occurs twice or more in texts (words joined by a space)."""
+    index: dict[bytes, int] = {}
+    words = [np.array([index.setdefault(w, len(index)) for w in t.split(b" ")], np.int64) for t in texts]
+    sizes = np.array([len(w) for w in words])
+    ends = np.cumsum(sizes)
+    row = np.repeat(np.arange(len(texts)), sizes)
+    name, room = np.concatenate(words), np.repeat(ends, sizes) - np.arange(ends[-1])  # words to the end of the text
+    at = np.arange(len(name))
+    steps = lengths(width)
+    for old, new in zip(steps, steps[1:]):
+        at = at[room[at] >= new]
+        at = at[name[at + new - old] >= 0]
+        _, pair, n = np.unique(name[at] << 32 | name[at + new - old], return_inverse=True, return_counts=True)
+        often = n[pair] > 1
+        at = at[often]
+        name = np.full(len(name), -1)
+        name[at] = pair[often]
+    return row[at], at - (ends - sizes)[row[at]], name[at]
 
 
-def _digest(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sha = [hashlib.sha256(x).hexdigest() for x in b.column("kept").to_pylist()]
-            yield b.drop_columns(["kept"]).append_column("kept_sha256", pa.array(sha, pa.string()))
-
-    return docs.mapInArrow(run, "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string")
+WORDS = Rule(20, (5, 10, 20), doubled, words=True, first_stays=True)
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     text_batches(spark)
-    out = _digest(without_repeats(documents(spark, sf_dir), WORDS))
+    out = digested(without_repeats(documents(spark, sf_dir), WORDS))
     return out.select("doc_id", out.n_units.alias("n_words"), "n_removed", "kept_sha256")
-
-
-def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text_batches(spark)
-    out = _digest(without_repeats(documents(spark, sf_dir), BYTES))
-    return out.select("doc_id", out.n_units.alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")

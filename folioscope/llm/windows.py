@@ -1,23 +1,25 @@
-"""Repeated windows of words or bytes, found level by level without a row for each position.
+"""Deals windows of words or bytes out to buckets in which repeats meet, without a row for each position.
 
 Every window of W units (words or bytes) is filed under its minimiser: the smallest-hashed gram of k units inside it (the
 leftmost of equals). Equal windows have equal minimisers, and neighbouring windows share theirs, so a document gives about
 2 / (W - k + 2) rows a unit: runs of windows under one gram. A level then works on runs alone:
 
 1. Runs are counted by gram. A gram that occurs once holds no repeated window; its runs leave (nearly all unique text).
-2. Runs of the same content (class) are repeats as a whole: they are decided by counts and minima with map-side combine, and
-   one representative of each class goes on.
-3. Grams with several classes are compared window by window inside tasks, pass by pass to greater depths, where the windows
-   alone at one depth leave before the next. The text of the representatives is fetched for this from the documents.
+2. Runs of the same content (class: gram and a 64-bit digest of the run) are repeats as a whole: they are decided by counts and
+   minima with map-side combine, and one representative of each class goes on.
+3. The windows of grams with several classes are compared inside tasks, by the operator's own method (`Rule.repeats`), which
+   decides on the words or bytes themselves. The text of the representatives is fetched for this from the documents.
 4. Grams with more than LIMIT units of representatives go on to the next level with longer grams, which splits them; at the
    last level the gram is the window, and counts and minima decide. So a hot passage never meets in one task.
 
 Two rules: `first_stays` marks all but the first place (smallest doc_id, then text hash, then start), else all places.
-Rows that repeat doc_id and text are one place for `first_stays`, and copies of each other otherwise.
+Rows that repeat doc_id and text are one place for `first_stays`, and copies of each other otherwise. Null texts are empty; texts
+below the window length are kept whole; very long texts are read in overlapping pieces. Matches never cross documents.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -28,10 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import forget, kept, sided
+from folioscope.llm.common import forget, identified, kept, sided
 
-#: Units of representatives under one gram that one task compares.
-LIMIT = 1 << 20
+#: Units of representatives under one gram that one task compares, and units that it compares at a time.
+LIMIT, AT_ONCE = 1 << 17, 1 << 20
 SLAB = 1 << 17
 RUN = 4096
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -42,7 +44,7 @@ _IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 class Rule:
     width: int  # units of a window
     levels: tuple[int, ...]  # gram lengths; the last is the width
-    depths: tuple[int, ...]  # of the passes inside tasks; the last is the width
+    repeats: Callable[[list[bytes], int], tuple[np.ndarray, np.ndarray, np.ndarray]]  # texts, width to row, offset, name of windows that occur twice
     words: bool
     first_stays: bool
 
@@ -153,7 +155,7 @@ def _slab_runs(slab: list[tuple[int, int, int, np.ndarray]], k: int, rule: Rule)
     begin = np.flatnonzero((np.arange(len(at)) - first) % RUN == 0)
     end = np.append(begin[1:], len(at)) - 1
     raw, digest = memoryview(units.view(np.uint8)), xxhash.xxh3_64_intdigest
-    ctx = np.fromiter((digest(raw[a * 8 : b * 8]) for a, b in zip(at[begin].tolist(), (at[end] + w).tolist())), np.uint64, len(begin))
+    ctx = np.fromiter((digest(raw[a * 8 : b * 8]) for a, b in zip(at[begin].tolist(), (at[begin if k == w else end] + w).tolist())), np.uint64, len(begin))
     of = piece[begin]
     shift = np.array([b for _, _, b, _ in slab]) - starts
     cols = [np.array([x[0] for x in slab])[of], np.array([x[1] for x in slab])[of], key[begin].view(np.int64), ctx.view(np.int64), at[begin] + shift[of], at[end] + shift[of]]
@@ -212,56 +214,38 @@ def _slices(rule: Rule) -> Callable:
     return run
 
 
-def equal_windows(units: list[np.ndarray], ids: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """(row, offset) of the windows to mark among rows of units; ids: gram, doc_id, text hash and offset of each row."""
-    sizes = np.array([len(u) for u in units])
-    starts = np.cumsum(sizes) - sizes
-    prefix = _prefix(np.concatenate(units))
-    n_win = sizes - rule.width + 1
-    row = np.repeat(np.arange(len(units)), n_win)
-    at = np.arange(n_win.sum()) + np.repeat(starts - (np.cumsum(n_win) - n_win), n_win)
-    gram = ids[:, 0].view(np.uint64)
-    name = np.empty(0, np.uint64)
-    for depth in rule.depths:
-        name = _mix(_hashes(prefix, at, at + depth) + gram[row] * np.uint64(_BASE))
-        order = np.argsort(name, kind="stable")
-        same = name[order][1:] == name[order][:-1]
-        alone = np.ones(len(at), bool)
-        alone[order[1:][same]] = False
-        alone[order[:-1][same]] = False
-        row, at, name = row[~alone], at[~alone], name[~alone]
-        if not len(at):
-            break
-    off = at - starts[row]
-    if rule.first_stays and len(at):
-        place = np.stack([ids[row, 3] + off, ids[row, 2], ids[row, 1]])
+def marked_windows(texts: list[bytes], ids: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """(row, offset) of the windows to mark among texts of runs; ids: doc_id, text hash and offset of each."""
+    row, off, name = rule.repeats(texts, rule.width)
+    if rule.first_stays and len(row):
+        place = np.stack([ids[row, 2] + off, ids[row, 1], ids[row, 0]])
         order = np.lexsort((*place, name))
         new = np.concatenate([[True], name[order][1:] != name[order][:-1]])
         first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        order = np.sort(order[(place[:, order] != place[:, first]).any(0)])  # repeated rows are at the first place too
+        order = order[(place[:, order] != place[:, first]).any(0)]  # repeated rows are at the first place too
         row, off = row[order], off[order]
-    return row, off
+    order = np.lexsort((off, row))
+    return row[order], off[order]
 
 
 def _compared(rule: Rule) -> Callable:
     """Streams representatives sorted by gram; gives the spans of the windows to mark."""
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
-        units = [units_of(r[4], rule.words) for r in rows]
-        ids = np.array([(r[2], r[0], r[1], r[3]) for r in rows], np.int64)
-        row, off = equal_windows(units, ids, rule)
+        ids = np.array([(r[0], r[1], r[3]) for r in rows], np.int64)
+        row, off = marked_windows([r[4] for r in rows], ids, rule)
         new = np.concatenate([[True], (row[1:] != row[:-1]) | (off[1:] != off[:-1] + 1)]) if len(row) else np.empty(0, bool)
         a = np.flatnonzero(new)
         z = np.append(a[1:], len(row)) - 1 if len(a) else a
         r = row[a]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ids[r, 1], ids[r, 2], ids[r, 3] + off[a], ids[r, 3] + off[z] + rule.width)], ["_id", "_th", "start", "end"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ids[r, 0], ids[r, 1], ids[r, 2] + off[a], ids[r, 2] + off[z] + rule.width)], ["_id", "_th", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for b in batches:
             for r in zip(*(b.column(c).to_pylist() for c in ("_id", "_th", "key", "base", "text"))):
-                if size > LIMIT and r[2] != held[-1][2]:
+                if size > AT_ONCE and r[2] != held[-1][2]:
                     yield flush(held)
                     held, size = [], 0
                 held.append(r)
@@ -281,14 +265,11 @@ def repeated_spans(docs: DataFrame, rule: Rule) -> DataFrame:
         often = kept(runs.groupBy("key").agg(F.sum(F.col("multi") + 1).alias("n")).where("n > 1").select("key"), f"repeated-{k}")
         alive = kept(runs.join(sided(often), "key", "left_semi"), f"alive-{k}")
         forget(runs)
-        if k == rule.width:  # windows under one gram are equal
-            if rule.first_stays:
-                lows = alive.groupBy("key").agg(F.min(F.struct("_id", "_th", "lo")).alias("first"))
-                at_first = F.struct("_id", "_th", "lo") == F.col("first")
-                ends = alive.join(lows, "key").select("_id", "_th", (F.col("lo") + at_first.cast("long")).alias("start"), F.col("hi").alias("hi")).where("start <= hi")
-                found.append(ends.select("_id", "_th", "start", (F.col("hi") + k).alias("end")))
-            else:
-                found.append(alive.select("_id", "_th", F.col("lo").alias("start"), (F.col("hi") + k).alias("end")))
+        if k == rule.width:  # the gram is the window, and so is what the digest is of
+            same = alive.groupBy("key", "ctx").agg(F.sum(F.col("multi") + 1).alias("n"), F.min(F.struct("_id", "_th", "lo")).alias("first")).where("n > 1")
+            start = F.col("lo") + (F.struct("_id", "_th", "lo") == F.col("first")).cast("long") if rule.first_stays else F.col("lo")
+            ends = alive.join(same, ["key", "ctx"]).select("_id", "_th", start.alias("start"), "hi").where("start <= hi")
+            found.append(ends.select("_id", "_th", "start", (F.col("hi") + k).alias("end")))
             break
         place = F.struct("_id", "_th", "lo", "hi")
         classes = alive.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.max("multi").alias("multi"), F.min(place).alias("first"))
@@ -337,3 +318,51 @@ def covered(spans: list[dict], n: int) -> np.ndarray:
     np.add.at(edge, [s["start"] for s in spans], 1)
     np.add.at(edge, [s["end"] for s in spans], -1)
     return np.cumsum(edge[:n]) > 0
+
+
+def _cut(rule: Rule) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for doc_id, text, spans in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
+                data = text.encode()
+                n_spans = n_removed = 0
+                if rule.words:
+                    words = data.split()
+                    n = len(words)
+                    if spans:
+                        gone = covered(spans, n)
+                        words = [w for w, g in zip(words, gone.tolist()) if not g]
+                    out = b" ".join(words)
+                else:
+                    n, out = len(data), data
+                    if spans:
+                        gone = covered(spans, n)
+                        out = np.frombuffer(data, np.uint8)[~gone].tobytes()
+                if spans:
+                    n_removed = int(gone.sum())
+                    n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                rows.append((doc_id, n, n_removed, n_spans, out))
+            cols = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(cols[4], pa.binary())], ["doc_id", "n_units", "n_removed", "n_spans", "kept"])
+
+    return run
+
+
+def without_repeats(docs: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id, n_units, n_removed, n_spans, kept (binary: the remaining words joined by a space, or the remaining bytes)."""
+    docs = identified(docs)
+    lists = span_lists(docs, rule)
+    both = docs.join(sided(lists), ["_id", "_th"], "left").select("doc_id", "text", "spans")
+    return both.mapInArrow(_cut(rule), "doc_id long, n_units long, n_removed long, n_spans long, kept binary")
+
+
+def digested(kept_rows: DataFrame) -> DataFrame:
+    """The rows of `without_repeats` with the SHA-256 of what is kept in its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sha = [hashlib.sha256(x).hexdigest() for x in b.column("kept").to_pylist()]
+            yield b.drop_columns(["kept"]).append_column("kept_sha256", pa.array(sha, pa.string()))
+
+    return kept_rows.mapInArrow(run, "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string")
