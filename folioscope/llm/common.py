@@ -44,10 +44,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def kept(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """df written as Parquet to the shared folder and read from there: cuts lineage and outlives executors."""
+def kept(df: DataFrame, label: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
+    """df written as Parquet to the shared folder (a folder for each value of `by`, the last column) and read from there: cuts lineage and outlives executors."""
     path = new_path(df.sparkSession, label)
-    df.write.option("compression", codec).parquet(path)
+    out = df.write.option("compression", codec)
+    (out.partitionBy(by) if by else out).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -110,6 +111,19 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *(c.alias(n) for n, c in identity().items()))
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """row (a struct of all columns), _id, _th: whatever the columns of docs are called, none clashes with the operators' own."""
+    return docs.select(F.struct("*").alias("row"), *(c.alias(n) for n, c in identity().items()))
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with underscores after it until it is none of the columns (whatever their case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_batches(spark: SparkSession, rows: int = 500) -> None:
     """Makes the package known to Python workers, and Arrow batches of so many rows, so that a batch of whole texts stays small."""
     ship(spark)

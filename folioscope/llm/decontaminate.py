@@ -1,32 +1,39 @@
 """Benchmark decontamination by templates: typed placeholders, hash-joined windows, consistent slots.
 
-Tokens are space-separated words, lower-cased and stripped of punctuation at their ends. Numbers (digits or number words),
-units and names (capitalised words that don't begin a sentence; neighbours count as one) become placeholders that keep their
-value as a slot. Windows of 8 tokens with 4 literal ones at least are hash-joined between documents and benchmark. Matches of a
-document and an item on one diagonal that cover half of the item's tokens are candidates; their tokens are compared
-position by position, and slots are consistent if equal values of the item stand for equal values in the document and
-different for different ones, wherever both hold the same placeholder. All tokens and slots equal: kind `exact`; else
-consistent: `reparameterised`; else no leak.
-
-The benchmark's window hashes go to the tasks while they are at most KEYS; beyond that all windows are shuffled for the join.
-Items under 8 tokens are matched whole if 4 are literal. Null and empty texts match nothing. Rows that repeat a document give
-one result row; items of equal id and different text are matched each.
+Tokens are space-separated words, lower-cased and stripped of punctuation at their ends. Numbers (digits, or number words, of which
+neighbours count as one), units and names (capitalised words that don't begin a sentence; neighbours count as one) become
+placeholders that keep their value as a slot. Windows of 8 tokens are hash-joined between documents and benchmark: by their
+templates if 4 tokens are literal, else by their values, so that items full of numbers are found where they are unchanged.
+
+Windows of a document and an item on one diagonal make a run; runs on diagonals that lie close (a quarter of the item) belong
+together, so words put in or left out don't hide an item. The tokens of runs are compared place by place: those of equal template are
+matched, and half of the item's tokens must be. Slots are consistent if equal values of the item stand for equal values in the
+document and different for different ones, wherever a placeholder is matched; if they aren't, there is no leak. Kinds: `exact` if all
+tokens are matched on one diagonal and all values are equal; `reparameterised` if values differ consistently; `partial` if values are
+equal but not all tokens are there in a row.
+
+The benchmark's window hashes and words go to the tasks (as a broadcast variable) while they are at most KEYS windows; beyond that all
+windows are shuffled for the join. Items under 8 tokens are matched whole if 4 are literal. Null and empty texts match nothing; very
+long texts are windowed whole. Rows that repeat a document give one result row; items of equal id and different text are matched each.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import NULL_ID, documents, identified, identity, kept, sided, text_batches
+from folioscope.llm.common import NULL_ID, documents, identified, kept, sided, text_batches, wrapped
 
-WINDOW, LITERALS, COVER = 8, 4, 0.5
+WINDOW, LITERALS, COVER, APART = 8, 4, 0.5, 0.25
 KEYS = 4_000_000
 UNITS = frozenset(
     "mm cm dm m km inch inches foot feet yard yards mile miles mg g kg t gram grams kilogram kilograms ton tons tonne tonnes ounce ounces pound pounds lb lbs "
@@ -61,87 +68,130 @@ def word_kind(word: str) -> tuple[str, int, bool, bool]:
 
 
 class Words:
-    """Hash and flags of distinct words, cached up to a bound; columns: hash, kind, capital, ends a sentence, blank, sought.
+    """Hash and flags of distinct words, cached up to a bound; columns: hash, kind, capital, ends a sentence, blank, sought, spelled number.
 
-    With a vocabulary, only its literal words are sought and hashed; a window with any other can't match.
+    With a vocabulary, only its literal words are sought and hashed; a window with any other can't match. Words like 5kg are two: they
+    stand in `cut` with their parts, and at place -1.
     """
 
     def __init__(self, vocabulary: frozenset[str] | None = None) -> None:
-        self.vocabulary, self.index = vocabulary, {}
-        self.table = [np.empty(1 << 16, t) for t in (np.uint64, np.int8, bool, bool, bool, bool)]
+        self.vocabulary, self.index, self.cut, self.size = vocabulary, {}, {}, 0
+        self.table = [np.empty(1 << 16, t) for t in (np.uint64, np.int8, bool, bool, bool, bool, bool)]
 
     def row(self, word: str) -> tuple:
         core, kind, capital, ends = word_kind(word)
-        sought = self.vocabulary is None or core in self.vocabulary
-        return xxhash.xxh64_intdigest(core.encode()) if sought else 0, kind, capital, ends, not core, sought
-
-    def split(self, texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
-        """The words of texts and their places in the table, where all of them are known afterwards."""
-        index = self.index
-        if len(index) > _CACHE:
-            index.clear()
-        out = [(_GLUED.sub(" ", t) if any(c in t for c in "0123456789") else t).split() for t in texts]
-        places = [list(map(index.get, words)) for words in out]
-        new = {w for words, at in zip(out, places) for w, i in zip(words, at) if i is None}
-        n = len(index)
+        sought = kind != LITERAL or self.vocabulary is None or core in self.vocabulary
+        return xxhash.xxh64_intdigest(core.encode()) if sought else 0, kind, capital, ends, not core, sought, kind == NUMBER and core.isalpha()
+
+    def _learn(self, words: set[str]) -> None:
+        for w in words:
+            if not w.isalpha() and len(parts := _GLUED.sub(" ", w).split()) > 1:
+                self.cut[w] = parts
+        parts = {x for w in words if w in self.cut for x in self.cut[w]}
+        new = [w for w in words - self.cut.keys() | parts if w not in self.index]
+        n = self.size
         if n + len(new) > len(self.table[0]):
             self.table = [np.concatenate([c[:n], np.empty(n + 2 * len(new), c.dtype)]) for c in self.table]
         for c, values in zip(self.table, zip(*map(self.row, new))):
             c[n : n + len(new)] = np.array(values, c.dtype)
-        index.update(zip(new, range(n, n + len(new))))
-        return [(words, np.array([index[w] if i is None else i for w, i in zip(words, at)], np.int64)) for words, at in zip(out, places)]
-
-    def tokens(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Template hash, kind, first word, and whether it is sought, of each token of words at these places."""
-        hashed, kind, capital, ends, blank, sought = (a[at] for a in self.table)
-        first = np.ones(len(at), bool)
-        first[1:] = ends[:-1]
+        self.index.update(zip(new, range(n, n + len(new))))
+        self.size = n + len(new)
+        self.index.update(dict.fromkeys(words & self.cut.keys(), -1))
+
+    def split(self, texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
+        """The words of texts, their places in the table in one row, and how many each text has."""
+        if len(self.index) > _CACHE:
+            self.index.clear()
+            self.cut.clear()
+            self.size = 0
+        index = self.index
+        out = [t.split() for t in texts]
+        places = [list(map(index.get, words)) for words in out]
+        if new := {w for words, at in zip(out, places) if None in at for w, i in zip(words, at) if i is None}:
+            self._learn(new)
+        for k, (words, at) in enumerate(zip(out, places)):
+            if None in at:
+                at = places[k] = [index[w] for w in words]
+            if -1 in at:
+                out[k] = [x for w, i in zip(words, at) for x in (self.cut[w] if i < 0 else (w,))]
+                places[k] = [index[w] for w in out[k]]
+        sizes = np.array([len(x) for x in places], np.int64)
+        return out, np.fromiter(chain.from_iterable(places), np.int64, sizes.sum()), sizes
+
+    def tokens(self, at: np.ndarray, sizes: np.ndarray) -> Tokens:
+        """The tokens of texts of so many words at these places."""
+        hashed, kind, capital, ends, blank, sought, spelled = (a[at] for a in self.table)
+        begins = np.zeros(len(at) + 1, bool)
+        begins[np.cumsum(sizes) - sizes] = True
+        begins = begins[:-1]
+        first = begins.copy()
+        first[1:] |= ends[:-1]
         kind = np.where((kind == LITERAL) & capital & ~first, NAME, kind)
+        name = kind == NAME
         keep = ~blank
-        keep[1:] &= ~((kind[1:] == NAME) & (kind[:-1] == NAME))
+        keep[1:] &= begins[1:] | ~(name[1:] & name[:-1] | spelled[1:] & spelled[:-1])
         where = np.flatnonzero(keep)
-        kind = kind[where]
+        kind, value = kind[where], hashed[where]
         literal = kind == LITERAL
-        return np.where(literal, hashed[where], _HOLDER[kind]), kind, where, sought[where] | ~literal
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        return Tokens(np.where(literal, value, _HOLDER[kind]), value, kind, sought[where] | ~literal, where, text[where])
 
 
-def windows(hashed: np.ndarray, kind: np.ndarray, sought: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and positions of the windows of n sought tokens with enough literal ones."""
-    if not 0 < n <= len(hashed):
+class Tokens(NamedTuple):
+    """Of each token of some texts: template hash, hash of its first word, kind, whether it is sought, its first word, its text."""
+
+    template: np.ndarray
+    value: np.ndarray
+    kind: np.ndarray
+    sought: np.ndarray
+    where: np.ndarray
+    text: np.ndarray
+
+
+def windows(t: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the windows of n sought tokens inside a text: of templates with enough literal tokens, else (full windows) of values."""
+    if not 0 < n <= len(t.kind):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    count = np.cumsum(np.concatenate([[0], sought]))
-    at = np.flatnonzero(count[n:] - count[:-n] == n)
-    literal = np.cumsum(np.concatenate([[0], kind == LITERAL]))
-    at = at[literal[at + n] - literal[at] >= LITERALS]
-    out = np.full(len(at), n, np.uint64)
-    for k in range(n):
-        out = (out ^ hashed[at + k]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out.view(np.int64), at
+    count = np.cumsum(np.concatenate([[0], t.sought]))
+    at = np.flatnonzero((count[n:] - count[:-n] == n) & (t.text[n - 1 :] == t.text[: len(t.text) - n + 1]))
+    literal = np.cumsum(np.concatenate([[0], t.kind == LITERAL]))
+    many = literal[at + n] - literal[at] >= LITERALS
+    keys, places = [], []
+    for own, column, seed in ((at[many], t.template, n), (at[~many] if n == WINDOW else at[:0], t.value, 0)):
+        out = np.full(len(own), seed, np.uint64)
+        for k in range(n):
+            out = (out ^ column[own + k]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        keys.append(out.view(np.int64))
+        places.append(own)
+    return np.concatenate(keys), np.concatenate(places)
 
 
 _HITS = "_id long, _th long, key long, pos long, n long"
 
 
-def _windowed(keys: np.ndarray | None, lengths: list[int] | None, vocabulary: frozenset[str] | None = None) -> Callable:
+def _windowed(sought: Broadcast | None, lengths: list[int] | None) -> Callable:
     """Windows of documents by the given lengths, all or those among sorted keys. No lengths: an item's own, WINDOW or the whole of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, vocabulary = sought.value if sought else (None, None)
         words = Words(vocabulary)
         for b in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
-            for i, d, (_, w) in zip(b.column("_id").to_pylist(), b.column("_th").to_pylist(), words.split(b.column("text").to_pylist())):
-                hashed, kind, _, sought = words.tokens(w)
-                own = [min(WINDOW, len(hashed))] if lengths is None else lengths
-                key, at = (np.concatenate(x) for x in zip(*(windows(hashed, kind, sought, n) for n in own)))
-                if keys is not None and len(key):
-                    hit = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key if len(keys) else np.zeros(len(key), bool)
-                    key, at = key[hit], at[hit]
-                if len(key):
-                    for c, x in zip(cols, (np.full(len(key), i), np.full(len(key), d), key, at, np.full(len(key), len(hashed)))):
-                        c.append(x)
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in cols], ["_id", "_th", "key", "pos", "n"])
+            texts, ids = b.column("text").to_pylist(), [b.column(c).to_numpy() for c in ("_id", "_th")]
+            for lo in range(0, len(texts), 100 if lengths else 1):
+                part = texts[lo : lo + (100 if lengths else 1)]
+                _, at, sizes = words.split(part)
+                t = words.tokens(at, sizes)
+                n = np.bincount(t.text, minlength=len(part))
+                for own in lengths or [min(WINDOW, len(t.kind))]:
+                    key, at = windows(t, own)
+                    if keys is not None and len(key):
+                        hit = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key if len(keys) else np.zeros(len(key), bool)
+                        key, at = key[hit], at[hit]
+                    if len(key):
+                        of = t.text[at]
+                        cols = [ids[0][lo + of], ids[1][lo + of], key, at - (np.cumsum(n) - n)[of], n[of]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["_id", "_th", "key", "pos", "n"])
 
     return run
 
@@ -156,62 +206,84 @@ def slots_agree(item: list[str], own: list[str]) -> bool:
 _FOUND = "doc_id long, item_id long, kind string, n_matched long, n_item_tokens long, coverage double, position long"
 
 
+def matched(item: Tokens, own: Tokens, runs: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the item and in the document of tokens of equal template on the diagonals of runs; longer runs first, each place once."""
+    place = np.full(len(item.kind), -1)
+    used: set[int] = set()
+    for r in sorted(runs, key=lambda r: (r["lo"] - r["hi"], r["diagonal"])):
+        k = np.arange(max(r["lo"], -r["diagonal"]), min(r["hi"], len(own.kind) - r["diagonal"], len(item.kind)))
+        k = k[(place[k] < 0) & (item.template[k] == own.template[k + r["diagonal"]])]
+        k = k[[int(x) not in used for x in k + r["diagonal"]]] if used else k
+        place[k] = k + r["diagonal"]
+        used.update((k + r["diagonal"]).tolist())
+    k = np.flatnonzero(place >= 0)
+    return k, place[k]
+
+
+def judged(cache: Words, item: str, own: str, runs: list[dict]) -> dict | None:
+    """kind, n_matched, n_item_tokens, coverage and position of an item's place in a document, if it is a leak."""
+    parts = []
+    for text in (item, own):
+        words, at, sizes = cache.split([text])
+        parts.append((cache.tokens(at, sizes), words[0]))
+    k, there = matched(parts[0][0], parts[1][0], runs)
+    n = len(parts[0][0].kind)
+    if not n or len(k) < COVER * n:
+        return None
+    slots = []
+    for (t, words), at in zip(parts, (k, there)):
+        ends = np.append(t.where[1:], len(words))
+        slots.append([" ".join(w.strip(_PUNCTUATION).lower() for w in words[t.where[x] : ends[x]]).strip() for x in at[parts[0][0].kind[k] != LITERAL]])
+    if not slots_agree(*slots):
+        return None
+    in_a_row = len(k) == n and (there - k == there[0] - k[0]).all()
+    kind = "reparameterised" if slots[0] != slots[1] else "exact" if in_a_row else "partial"
+    return {"kind": kind, "n_matched": len(k), "n_item_tokens": n, "coverage": round(len(k) / n, 6), "position": int(parts[1][0].where[there.min()])}
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = Words()
     for b in batches:
-        rows = []
-        for x in b.to_pylist():
-            parts = []
-            for text, lo, n in ((x["item"], x["lo"], x["hi"] - x["lo"]), (x["text"], x["lo"] + x["diagonal"], x["hi"] - x["lo"])):
-                words, at = cache.split([text])[0]
-                hashed, kind, where, _ = cache.tokens(at)
-                ends = np.append(where[1:], len(words))
-                value = lambda k: " ".join(w.strip(_PUNCTUATION).lower() for w in words[where[k] : ends[k]]).strip()  # noqa: B023, E731
-                parts.append((hashed[lo : lo + n], {k - lo: value(k) for k in range(lo, lo + n) if kind[k] != LITERAL}, int(where[lo])))
-            (h, item, _), (g, own, place) = parts
-            same = h == g
-            shared = [k for k in item if same[k]]  # windows on the diagonal may leave gaps; slots are compared where both hold the same placeholder
-            item, own = [item[k] for k in shared], [own[k] for k in shared]
-            n = int(same.sum())
-            if n >= COVER * x["n"] and slots_agree(item, own):
-                rows.append({"doc_id": x["doc_id"], "item_id": x["item_id"], "kind": "exact" if same.all() and item == own else "reparameterised", "n_matched": n, "n_item_tokens": x["n"], "coverage": round(n / x["n"], 6), "position": place})
+        rows = [{"doc_id": x["doc_id"], "item_id": x["item_id"]} | found for x in b.to_pylist() if (found := judged(cache, x["item"], x["text"], x["runs"]))]
         yield pa.RecordBatch.from_pylist(rows, pa.schema([(c, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[k]) for c, k in (f.split() for f in _FOUND.split(", "))]))
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, kind, n_matched, n_item_tokens, coverage, position (first word): one row for each document and item that it holds."""
-    docs = identified(docs)
+    docs, spark = identified(docs), docs.sparkSession
     bench = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     bench = kept(bench.select("item_id", "text", F.coalesce("item_id", F.lit(NULL_ID)).alias("_id"), F.xxhash64("text").alias("_th")).dropDuplicates(["_id", "_th"]), "items")
     theirs = kept(bench.select("_id", "_th", "text").mapInArrow(_windowed(None, None), _HITS), "item-windows")
-    n_keys = theirs.select("key").distinct().count()
-    keys = vocabulary = None
-    if n_keys <= KEYS:  # so is what the vocabulary has
+    sought = None
+    if theirs.select("key").distinct().count() <= KEYS:  # so is what the vocabulary has
         cores = bench.select(F.explode(F.split(F.regexp_replace("text", r"(?U)\s+", " "), " ")).alias("word")).distinct()
         vocabulary = frozenset(word_kind(x)[0] for w in cores.toArrow()["word"].to_pylist() for x in _GLUED.sub(" ", w).split())
         keys = np.sort(theirs.select("key").distinct().toArrow()["key"].to_numpy())
+        sought = spark.sparkContext.broadcast((keys, vocabulary))
     lengths = [r["n"] for r in theirs.select(F.least("n", F.lit(WINDOW)).alias("n")).distinct().collect()]  # WINDOW values at most
-    hits = docs.select("_id", "_th", "text").mapInArrow(_windowed(keys, lengths or [WINDOW], vocabulary), _HITS)
-    side = F.broadcast(theirs) if keys is not None else theirs
-    side = side.select("key", F.col("_id").alias("item"), F.col("_th").alias("item_th"), F.col("pos").alias("item_pos"), F.col("n").alias("item_n"))
+    hits = docs.select("_id", "_th", "text").mapInArrow(_windowed(sought, lengths or [WINDOW]), _HITS)
+    side = sided(theirs).select("key", F.col("_id").alias("item"), F.col("_th").alias("item_th"), F.col("pos").alias("item_pos"), F.col("n").alias("item_n"))
     joined = hits.select("_id", "_th", "key", "pos").join(side, "key")
-    runs = joined.groupBy("_id", "_th", "item", "item_th", "item_n", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
-        F.min("item_pos").alias("lo"), (F.max("item_pos") + F.least(F.lit(WINDOW), F.max("item_n"))).alias("hi"), F.countDistinct("item_pos").alias("windows")
-    )
-    runs = kept(runs.where(F.col("hi") - F.col("lo") >= COVER * F.col("item_n")), "candidates")
+    pair = ["_id", "_th", "item", "item_th", "item_n"]
+    runs = joined.groupBy(*pair, (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.min("item_pos").alias("lo"), (F.max("item_pos") + F.least(F.lit(WINDOW), F.max("item_n"))).alias("hi"))
+    by = Window.partitionBy(*pair).orderBy("diagonal")
+    far = F.col("diagonal") - F.lag("diagonal").over(by) > F.greatest(F.lit(2), F.floor(F.col("item_n") * APART))
+    runs = runs.withColumn("far", F.coalesce(far, F.lit(False))).withColumn("at", F.sum(F.col("far").cast("int")).over(by))
+    runs = runs.groupBy(*pair, "at").agg(F.collect_list(F.struct("diagonal", "lo", "hi")).alias("runs"), F.sum(F.col("hi") - F.col("lo")).alias("span"))
+    runs = kept(runs.where(F.col("span") >= COVER * F.col("item_n")).drop("at", "span"), "candidates")
     texts = bench.select(F.col("_id").alias("item"), F.col("_th").alias("item_th"), "item_id", F.col("text").alias("item_text"))
     small = sided(bench) is not bench
     found = docs.join(sided(runs), ["_id", "_th"]).join(F.broadcast(texts) if small else texts, ["item", "item_th"])
-    found = found.select("doc_id", "item_id", "text", F.col("item_text").alias("item"), "diagonal", "lo", "hi", F.col("item_n").alias("n"))
+    found = found.select("doc_id", "item_id", "text", F.col("item_text").alias("item"), "runs")
     best = F.max(F.struct("coverage", "kind", "n_matched", "n_item_tokens", "position")).alias("x")
     return found.mapInArrow(_verified, _FOUND).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.kind", "x.n_matched", "x.n_item_tokens", "x.coverage", "x.position")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs (all columns) that hold no item."""
+    """The rows of docs (all columns, whatever they are called) that hold no item."""
     ids = leaks(docs, items).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id")).distinct()
     gone = kept(ids, "leaked")
-    return docs.withColumn("_id", identity()["_id"]).join(sided(gone), "_id", "left_anti").select(*docs.columns)
+    return wrapped(docs).join(sided(gone), "_id", "left_anti").select("row.*")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ Frames take the largest bitrate, the last the smallest that fits (variable bitra
 ID3v2 tag (payload length), a Xing table and an ID3v1 tag. `scan` reads any MPEG audio stream: it skips
 tags and junk, accepts a header only if the next one (or the end) follows where it says, verifies CRCs of
 Layers I and III (Layer II CRC words are counted as unchecked: what they cover depends on allocation
-tables), reads Xing/Info and VBRI tables, and returns exact sample counts and every frame's byte offset.
+tables), reads Xing/Info and VBRI tables, and returns exact sample counts (durations are without the delay and padding that an encoder
+noted) and every frame's byte offset, which `catalog` stores in a column.
 
 Null texts count as empty; an empty text is 64 zero bytes. Equal texts give equal streams.
 """
@@ -125,8 +126,8 @@ def _tags(data: bytes) -> tuple[int, int, dict]:
     return start, end, found
 
 
-def _table(data: bytes, at: int, one: bool, mono: bool, size: int) -> tuple[str, int, int, bytes] | None:
-    """(kind, frames, bytes, seek table) if the frame at an offset is a VBR header frame."""
+def _table(data: bytes, at: int, one: bool, mono: bool, size: int) -> tuple[str, int, int, bytes, int, int] | None:
+    """(kind, frames, bytes, seek table, encoder delay, padding) if the frame at an offset is a VBR header frame; the last two in samples, if an encoder wrote them."""
     side = (17 if mono else 32) if one else (9 if mono else 17)
     frame = data[at : at + size]
     for skip in (4 + side, 6 + side):
@@ -135,10 +136,13 @@ def _table(data: bytes, at: int, one: bool, mono: bool, size: int) -> tuple[str,
             for k in (0, 1):
                 if flags >> k & 1:
                     n[k], p = int.from_bytes(frame[p : p + 4]), p + 4
-            return frame[skip : skip + 4].decode(), n[0], n[1], frame[p : p + 100] if flags & 4 else b""
+            toc = frame[p : p + 100] if flags & 4 else b""
+            p += 100 * (flags >> 2 & 1) + 4 * (flags >> 3 & 1)
+            cut = int.from_bytes(frame[p + 21 : p + 24]) if frame[p : p + 4] in (b"LAME", b"Lavc", b"Lavf") and p + 24 <= size else 0
+            return frame[skip : skip + 4].decode(), n[0], n[1], toc, cut >> 12, cut & 4095
     if frame[36:40] == b"VBRI":
         size, frames, entries, scale, width = *struct.unpack(">II", frame[46:54]), *struct.unpack(">HHH", frame[54:60])
-        return "VBRI", frames, size, frame[62 : 62 + entries * width]
+        return "VBRI", frames, size, frame[62 : 62 + entries * width], 0, 0
     return None
 
 
@@ -194,7 +198,7 @@ def _wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 CATALOG = (
-    "doc_id long, media_bytes long, media_sha256 string, n_frames long, sample_rate int, n_samples long, duration_us long, vbr_kind string, "
+    "doc_id long, media_bytes long, media_sha256 string, n_frames long, sample_rate int, n_samples long, encoder_delay int, encoder_padding int, duration_us long, vbr_kind string, "
     "vbr_frames long, vbr_bytes long, crc_ok long, crc_bad long, crc_unchecked long, skipped_bytes long, seek_offsets array<long>, "
     "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long"
 )
@@ -207,10 +211,11 @@ def _catalogued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             media = media or b""
             x = scan(media)
             n, payload = unwrap(media, x) if "PRIV" in x["tags"] and any(v.startswith(OWNER) for v in x["tags"]["PRIV"]) else (None, None)
-            kind, frames, size, _ = x["vbr"] or (None, None, None, None)
+            kind, frames, size, _, delay, padding = x["vbr"] or (None, None, None, None, 0, 0)
+            played = max(0, x["samples"] - delay - padding)
             rows.append({
                 "doc_id": doc_id, "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "n_frames": len(x["offsets"]),
-                "sample_rate": x["rate"], "n_samples": x["samples"], "duration_us": x["samples"] * 1_000_000 // x["rate"] if x["rate"] else 0,
+                "sample_rate": x["rate"], "n_samples": x["samples"], "encoder_delay": delay, "encoder_padding": padding, "duration_us": played * 1_000_000 // x["rate"] if x["rate"] else 0,
                 "vbr_kind": kind, "vbr_frames": frames, "vbr_bytes": size, "crc_ok": x["crc_ok"], "crc_bad": x["crc_bad"],
                 "crc_unchecked": x["crc_unchecked"], "skipped_bytes": x["skipped"], "seek_offsets": x["offsets"], "n_bytes": n,
                 "payload_bytes": None if payload is None else len(payload), "payload_sha256": None if payload is None else hashlib.sha256(payload).hexdigest(),
@@ -237,7 +242,7 @@ def catalog(media: DataFrame) -> DataFrame:
 def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     text_batches(spark)
     stored = kept(as_audio(documents(spark, sf_dir)), "media")
-    x = catalog(stored)
+    x = kept(catalog(stored), "catalog")
     feature = F.concat_ws(
         ";",
         *(F.concat(F.lit(f"{n}="), F.coalesce(F.col(n).cast("string"), F.lit("-"))) for n in ("n_frames", "n_samples", "sample_rate", "vbr_kind", "vbr_frames", "crc_ok", "crc_bad", "skipped_bytes")),
@@ -245,5 +250,5 @@ def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return x.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"),
-        "n_frames", "duration_us", "crc_bad",
+        "n_frames", "duration_us", "crc_bad", "seek_offsets",
     )

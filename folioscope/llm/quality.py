@@ -8,7 +8,7 @@ are hashed once per worker, in batches).
 
 Training takes at most SAMPLE labelled documents, those with the smallest hash of doc_id; whole texts count. Rows with
 crc32(doc_id as text) mod 5 = 0 are held out. Null texts are empty and score as the learned prior; without any label every
-score is 0.5. Rows are scored each, so equal texts have equal scores.
+score is 0.5. Rows are scored each, so equal texts have equal scores; very long texts are scored whole, a few rows at a time.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import documents, text_batches
+from folioscope.llm.common import documents, text_batches, unused
 from folioscope.llm.windows import _BYTE, _hashes, _prefix
 
 BUCKETS, DIM, GRAMS = 1 << 15, 16, (3, 4, 5)
@@ -160,20 +160,26 @@ class WordSums:
         return np.round(self.model.scores(*out), 9)
 
 
-def _scored(model: Model) -> Callable:
+def _scored(model: Model, name: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordSums(model)
         for whole in batches:
             for lo in range(0, whole.num_rows, 250):
                 b = whole.slice(lo, 250)
-                yield b.append_column("_score", pa.array(words.score([t or "" for t in b.column("text").to_pylist()])))
+                yield b.append_column(name, pa.array(words.score([t or "" for t in b.column("text").to_pylist()])))
 
     return run
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column _score: the probability of label 1."""
-    return docs.mapInArrow(_scored(model), T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+def scored(docs: DataFrame, model: Model, name: str = "_score") -> DataFrame:
+    """docs with a column of a name that none has: the probability of label 1."""
+    return docs.mapInArrow(_scored(model, name), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
+def good_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs (all columns, whatever they are called) that score the threshold or more."""
+    name = unused("_score", docs.columns)
+    return scored(docs, model, name).where(F.col(name) >= threshold).select(*docs.columns)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,14 @@
 """Sharding by fixed virtual slots, with DataFrame functions only.
 
-A row's virtual slot is a hash of its doc_id modulo 4,096, for good. A map of slot to shard, a few thousand rows whatever
-the corpus, says where slots live; it is stored with a version and the bytes of each slot. Adding a shard edits the map:
-the new shard takes its part of the slots from the fullest ones, and no other slot moves (`grown`). `rebalanced` edits
-a map by the bytes of slots instead: the heaviest shard gives to the lightest until they are within a tolerance.
+A row's virtual slot is a hash of its doc_id modulo 4,096, for good. A map of slot to shard, a few thousand rows whatever the corpus,
+says where slots live. `SlotMap` stores it as Parquet, a folder a version, with the bytes of each slot, and changes it only by loading
+the last version, editing it and storing the next: `grow` gives a new shard its part of the slots from the fullest ones, and no
+other slot moves; `rebalance` moves slots by their bytes from the heaviest shard to the lightest until they are within a tolerance.
 
 The query keeps the law `key`: doc_id and the number of shards alone decide. A row's place within its shard (`slot`, gapless from
 0) is a prefix sum over cells of virtual slot and a 16-fold split by content, plus its rank in its own cell, so that no
-shard or slot is ranked as a whole. Null doc_ids share one virtual slot; null texts have no bytes; equal rows take places of
-their own.
+shard or slot is ranked as a whole. Null doc_ids share one virtual slot; null texts have no bytes; texts of any length count by their
+bytes alone; equal rows take places of their own.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import documents, kept
+from folioscope.llm.common import documents, kept, new_path
 
 SLOTS, SHARDS, CELLS, ROW_BYTES = 4096, 40, 16, 16
 
@@ -73,12 +73,49 @@ def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     return rows.withColumns({"virtual_slot": slot, "cell": F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(CELLS)).cast("int")})
 
 
-def stored_map(spark: SparkSession, versions: dict[int, list[int]], sizes: DataFrame) -> DataFrame:
-    """version, virtual_slot, shard, slot_bytes: the versions of a map, written with what the slots hold."""
-    rows = [(v, s, shard) for v, owner in versions.items() for s, shard in enumerate(owner)]
-    table = spark.createDataFrame(rows, "version int, virtual_slot int, shard int")
-    held = sizes.groupBy("virtual_slot").agg(F.sum("bytes").alias("slot_bytes"))
-    return kept(table.join(held, "virtual_slot", "left").select("version", "virtual_slot", "shard", F.coalesce("slot_bytes", F.lit(0)).alias("slot_bytes")), "slot-map")
+class SlotMap:
+    """Versions of a map in a folder: version, virtual_slot, shard, slot_bytes. All have SLOTS rows, so they are edited on the driver."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+
+    def versions(self) -> DataFrame:
+        return self.spark.read.schema("virtual_slot int, shard int, slot_bytes long, version int").parquet(self.folder)
+
+    def _store(self, version: int, owner: list[int], sizes: list[int]) -> int:
+        rows = [(slot, shard, size) for slot, (shard, size) in enumerate(zip(owner, sizes))]
+        table = self.spark.createDataFrame(rows, "virtual_slot int, shard int, slot_bytes long").coalesce(1)
+        table.write.mode("errorifexists").parquet(f"{self.folder}/version={version}")  # of two edits of one version, one fails
+        return version
+
+    def create(self, owner: list[int], sizes: list[int] | None = None) -> int:
+        return self._store(1, owner, sizes or [0] * len(owner))
+
+    def load(self, version: int | None = None) -> tuple[int, list[int], list[int]]:
+        """Number, owners and bytes of a version, or of the last."""
+        rows = self.versions() if version is None else self.versions().where(F.col("version") == version)
+        rows = rows.orderBy("version", "virtual_slot").collect()
+        last = rows[-1]["version"]
+        own = [r for r in rows if r["version"] == last]
+        return last, [r["shard"] for r in own], [r["slot_bytes"] for r in own]
+
+    def _edit(self, change, sizes: list[int] | None = None) -> int:
+        version, owner, held = self.load()
+        return self._store(version + 1, change(owner, sizes or held), sizes or held)
+
+    def grow(self) -> int:
+        """Stores a version with one more shard."""
+        return self._edit(lambda owner, sizes: grown(owner))
+
+    def rebalance(self, tolerance: float = 0.05, sizes: list[int] | None = None) -> int:
+        """Stores a version with shards of nearly equal bytes, by given bytes of slots or those stored."""
+        return self._edit(lambda owner, sizes: rebalanced(owner, sizes, tolerance), sizes)
+
+
+def slot_sizes(cells: DataFrame, slots: int = SLOTS) -> list[int]:
+    """Bytes of every slot (one row a slot)."""
+    held = {r["virtual_slot"]: r["b"] for r in cells.groupBy("virtual_slot").agg(F.sum("bytes").alias("b")).collect()}
+    return [held.get(slot, 0) for slot in range(slots)]
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -86,11 +123,12 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     spark = docs.sparkSession
     rows = kept(slotted(docs), "slotted")
     cells = kept(rows.groupBy("virtual_slot", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")), "cells")
-    owner = slot_map(shards)
-    both = stored_map(spark, {shards: owner, shards + 1: grown(owner)}, cells)
-    now, then = both.where(F.col("version") == shards).drop("version"), both.where(F.col("version") == shards + 1)
+    store = SlotMap(spark, new_path(spark, "slot-map"))
+    first = store.create(slot_map(shards), slot_sizes(cells))
+    more = store.grow()
+    now, then = (store.versions().where(F.col("version") == v) for v in (first, more))
     # The map has SLOTS rows and cells SLOTS * CELLS at most, whatever the corpus: both may be broadcast.
-    here = now.join(F.broadcast(then.select("virtual_slot", F.col("shard").alias("grown_shard"))), "virtual_slot")
+    here = now.drop("version").join(F.broadcast(then.select("virtual_slot", F.col("shard").alias("grown_shard"))), "virtual_slot")
     placed = cells.join(F.broadcast(here), "virtual_slot")
     before = Window.partitionBy("shard").orderBy("virtual_slot", "cell").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.select("virtual_slot", "cell", "shard", "grown_shard", "slot_bytes", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

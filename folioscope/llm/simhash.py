@@ -1,27 +1,31 @@
 """SimHash near-duplicates through an inverted index of byte positions with count filtering.
 
-A fingerprint has 8 bytes a lane. Two fingerprints that differ in at most b bits share at least 8 * lanes - b bytes at
-their positions. The index posts each distinct fingerprint under tuples of positional bytes; a posting list of single
-bytes would hold a 256th of the corpus, so a posting is a tuple of `width` positions at once: with b = 3 any such pair
-shares 5 of 8 bytes, hence 4 of the first 7, hence at least one of the 35 tuples of 4. In each list the shared bytes of
-a pair are tallied, pairs below the guaranteed minimum leave, and the rest are verified bit by bit.
+A fingerprint has 8 bytes a lane. Two fingerprints that differ in at most b bits share at least 8 - b bytes at their positions. A
+posting list of one positional byte would hold a 256th of the corpus, so the index posts each distinct fingerprint under tuples of 4
+positional bytes, each the intersection of 4 such lists: 70 lists of 8 positions, of which a pair within 3 bits shares C(5, 4) = 5 at
+least. Each list counts one for each of its pairs; counts are added up per pair over all lists, pairs below the guaranteed minimum
+leave, and the rest are verified bit by bit.
 
-Lists are read as a sorted stream. Lists of over BLOCK postings are cut into blocks, and pairs of blocks are compared in
-tasks of their own, so a hot list meets in no single task. A list with many links yields a minimum spanning forest of
-them (by differing bits), which keeps what is connected without one row for each pair.
+A list of over SHORT postings doesn't give a row a pair: it tallies the shared bytes of its pairs itself, verifies those that reach the
+minimum, and gives links, or a minimum spanning forest of them (by differing bits) if they are many, which keeps what is connected.
+Lists are read as a sorted stream; those of over BLOCK postings are cut into blocks, and pairs of blocks are dealt out to tasks by
+list and both block numbers, so a hot list meets in no single task.
 
 `near_groups` finds the groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Two steps:
-256-bit fingerprints of the distinct shingles, 48 two-byte tuples and at most 56 differing bits give most links cheaply; then an
-exact prefix-filter join finds every pair of different groups that may be similar enough. All pairs are verified against the sets.
+256-bit fingerprints of the distinct shingles, 48 tuples and at most 56 differing bits give most links cheaply (tuples are as wide as
+the number of documents needs); then an exact prefix-filter join finds every pair of different groups that may be similar enough. All
+pairs are verified against the sets, so the first step decides only what the second costs. Postings of frequent shingles are dealt
+out by pairs of blocks as well.
 
-Null and empty texts have no shingle and fingerprint zero; they are linked like any other. Words are split at ASCII white
-space after lower-casing A-Z. Repeated rows share a fingerprint and a component.
+Null and empty texts have no shingle and fingerprint zero; they are linked like any other. Words are split at ASCII white space after
+lower-casing A-Z. Repeated rows share a fingerprint and a component. Very long texts are shingled whole, in parts of 16,384 hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import combinations
+from math import ceil, comb, log2
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import documents, forget, identified, identity, kept, sided, text_batches
+from folioscope.llm.common import documents, forget, identified, kept, sided, text_batches, wrapped
 from folioscope.llm.components import components
 
 SEED = 42
 BLOCK = 4096
+#: Lists up to this many postings give a row for each of their pairs.
+SHORT = 8
 #: Lists with more links than this many for each posting yield a spanning forest of them.
 DENSE = 4
 
@@ -105,7 +111,7 @@ def _postings(tuples: list[tuple[int, ...]], lanes: int) -> Callable:
                 node = b.column("node").to_numpy()
                 f = np.stack([b.column(f"f{i}").to_numpy() for i in range(lanes)], 1)
                 by = np.ascontiguousarray(f.astype(">i8")).view(np.uint8).reshape(len(node), 8 * lanes).astype(np.int64)
-                keys = np.stack([sum((by[:, p] << 8 * k for k, p in enumerate(ps)), np.int64(t) << 40) for t, ps in enumerate(tuples)], 1)
+                keys = np.stack([sum((by[:, p] << 8 * k for k, p in enumerate(ps)), np.int64(t) << 8 * len(ps)) for t, ps in enumerate(tuples)], 1)  # up to 6 bytes
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.ravel()), pa.array(np.repeat(node, len(tuples)))] + [pa.array(np.repeat(f[:, i], len(tuples))) for i in range(lanes)],
                     ["key", "node", *(f"f{i}" for i in range(lanes))],
@@ -114,11 +120,12 @@ def _postings(tuples: list[tuple[int, ...]], lanes: int) -> Callable:
     return run
 
 
-def _bits(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
-    """Differing bits of rows; 10,000 where fewer than least bytes are shared."""
+def _linked_pairs(a: np.ndarray, b: np.ndarray, least: int, most: int) -> np.ndarray:
+    """Which rows share `least` bytes, and of those, differ in `most` bits or fewer."""
     x = a ^ b
-    shared = (np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1) == 0).sum(1)
-    return np.where(shared >= least, np.bitwise_count(x).sum(1, dtype=np.int64), 10_000)
+    out = (np.ascontiguousarray(x).view(np.uint8).reshape(len(x), 8 * x.shape[1]) == 0).sum(1) >= least
+    out[out] = np.bitwise_count(x[out]).sum(1, dtype=np.int64) <= most
+    return out
 
 
 def _forest(nodes: np.ndarray, f: np.ndarray, most: int) -> tuple[list[int], list[int]]:
@@ -137,44 +144,55 @@ def _forest(nodes: np.ndarray, f: np.ndarray, most: int) -> tuple[list[int], lis
     return a, b
 
 
-def _within(key: np.ndarray, node: np.ndarray, f: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the lists of rows sorted by key."""
-    first, second = [], []
+def _within(key: np.ndarray, node: np.ndarray, f: np.ndarray, least: int, most: int, across: int) -> Iterator[pa.RecordBatch]:
+    """What the lists of rows sorted by key give: counts of the pairs of short lists (if pairs are counted across lists), links of the others."""
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(starts, len(key)))
+    short = np.repeat((sizes <= SHORT) & (across > 0), sizes)
+    pairs: list[list[np.ndarray]] = [[], [], []]  # of short lists, and both ends of links
     at = np.arange(len(key))
     for d in range(1, len(key)):
         at = at[at + d < len(key)]
         at = at[key[at] == key[at + d]]
         if not len(at):
             break
-        hit = at[(_bits(f[at], f[at + d], least) <= most) & (node[at] != node[at + d])]
-        first.append(hit)
-        second.append(hit + d)
-    if not first:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    first, second = np.concatenate(first), np.concatenate(second)
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        own = at[short[at]]
+        pairs[0].append(np.stack([own, own + d]))
+        own = at[~short[at]]
+        own = own[node[own] != node[own + d]]
+        own = own[_linked_pairs(f[own], f[own + d], least, most)]
+        pairs[1].append(own)
+        pairs[2].append(own + d)
+    if not pairs[0]:
+        return
+    a, b = node[np.concatenate(pairs[0], 1)]
+    yield _links(a, b, 0)
+    first, second = np.concatenate(pairs[1]), np.concatenate(pairs[2])
     of = np.searchsorted(starts, first, "right") - 1
-    sizes = np.diff(np.append(starts, len(key)))
     dense = np.flatnonzero(np.bincount(of, minlength=len(starts)) > DENSE * sizes)
     sparse = ~np.isin(of, dense)
-    a, b = node[first[sparse]], node[second[sparse]]
     more = [_forest(node[s : s + n], f[s : s + n], most) for s, n in zip(starts[dense], sizes[dense])]
-    return np.concatenate([a, *(np.array(x, np.int64) for x, _ in more)]), np.concatenate([b, *(np.array(x, np.int64) for _, x in more)])
+    a = np.concatenate([node[first[sparse]], *(np.array(x, np.int64) for x, _ in more)])
+    b = np.concatenate([node[second[sparse]], *(np.array(x, np.int64) for _, x in more)])
+    yield _links(a, b, across)
 
 
-_LINK = "a long, b long, list long, block binary"
+_LINK = "a long, b long, n long, list long, block binary"
 
 
-def _links(a, b) -> pa.RecordBatch:
+def _links(a, b, n: int) -> pa.RecordBatch:
+    """Pairs with n, or with how often each is there if n is 0."""
     lo, hi = np.minimum(a, b), np.maximum(a, b)
+    count = np.empty(0, np.int64)
     if len(lo):
-        lo, hi = np.unique(np.stack([lo, hi]), axis=1)
+        (lo, hi), count = np.unique(np.stack([lo, hi]), axis=1, return_counts=True)
     none = pa.nulls(len(lo))
-    return pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), none.cast(pa.int64()), none.cast(pa.binary())], ["a", "b", "list", "block"])
+    counts = pa.array(np.full(len(lo), n) if n else count, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), counts, none.cast(pa.int64()), none.cast(pa.binary())], ["a", "b", "n", "list", "block"])
 
 
-def _tally(lanes: int, least: int, most: int) -> Callable:
-    """Streams sorted postings; gives links, and the blocks of lists that are longer than BLOCK."""
+def _tally(lanes: int, least: int, most: int, across: int = 0) -> Callable:
+    """Streams sorted postings; gives counts and links of pairs, and the blocks of lists that are longer than BLOCK."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.empty((0, 2 + lanes), np.int64)
@@ -192,15 +210,14 @@ def _tally(lanes: int, least: int, most: int) -> Callable:
                     whole = n < len(rows) and rows[n, 0] != key or n == len(rows) and last
                     if cut == key or not whole:
                         part = np.ascontiguousarray(rows[:n, 1:])
-                        a, b = _within(rows[:n, 0], part[:, 0], part[:, 1:].view(np.uint64), least, most)
-                        yield _links(a, b)
-                        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([int(key)]), pa.array([part.tobytes()])], ["a", "b", "list", "block"])
+                        yield from _within(rows[:n, 0], part[:, 0], part[:, 1:].view(np.uint64), least, most, across if n > SHORT else 0)
+                        none = [pa.nulls(1, pa.int64())] * 3
+                        yield pa.RecordBatch.from_arrays([*none, pa.array([int(key)]), pa.array([part.tobytes()])], ["a", "b", "n", "list", "block"])
                         cut, rows = int(key), rows[n:]
                         continue
                     cut = None
                 part = rows[:end]
-                a, b = _within(part[:, 0], part[:, 1], np.ascontiguousarray(part[:, 2:]).view(np.uint64), least, most)
-                yield _links(a, b)
+                yield from _within(part[:, 0], part[:, 1], np.ascontiguousarray(part[:, 2:]).view(np.uint64), least, most, across)
                 rows, cut = rows[end:], None
             held = rows
 
@@ -212,31 +229,48 @@ def _tally(lanes: int, least: int, most: int) -> Callable:
     return run
 
 
-def _across(lanes: int, least: int, most: int) -> Callable:
+def _across(lanes: int, least: int, most: int, across: int = 0) -> Callable:
+    """Links between the blocks x and y of a list."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                 x, y = (np.frombuffer(v, np.int64).reshape(-1, 1 + lanes) for v in (x, y))
                 f, g = (np.ascontiguousarray(v[:, 1:]).view(np.uint64) for v in (x, y))
-                hits = [np.flatnonzero(_bits(np.broadcast_to(row, g.shape), g, least) <= most) for row in f]
+                hits = [np.flatnonzero(_linked_pairs(np.broadcast_to(row, g.shape), g, least, most)) for row in f]
                 if sum(map(len, hits)) > DENSE * (len(x) + len(y)):
-                    yield _links(*map(np.array, _forest(np.concatenate([x[:, 0], y[:, 0]]), np.concatenate([f, g]), most)))
+                    yield _links(*map(np.array, _forest(np.concatenate([x[:, 0], y[:, 0]]), np.concatenate([f, g]), most)), across or 1)
                 else:
-                    yield _links(np.repeat(x[:, 0], [len(h) for h in hits]), y[np.concatenate(hits), 0])
+                    yield _links(np.repeat(x[:, 0], [len(h) for h in hits]), y[np.concatenate(hits), 0], across or 1)
 
     return run
 
 
-def linked(points: DataFrame, tuples: list[tuple[int, ...]], lanes: int, least: int, most: int) -> DataFrame:
-    """Links a < b among distinct points (node, f0, ...): all, or in dense lists a spanning forest of them."""
+def block_pairs(blocks: DataFrame) -> DataFrame:
+    """x, y: the blocks (list, block) of a list, paired by number, each pair dealt out on its own."""
+    numbered = blocks.select("list", F.xxhash64("block").alias("no"), "block")
+    nos = numbered.select("list", "no")
+    pairs = nos.withColumnRenamed("no", "x_no").join(nos.withColumnRenamed("no", "y_no"), "list").where("x_no < y_no")
+    for c in "xy":
+        pairs = pairs.join(numbered.select("list", F.col("no").alias(f"{c}_no"), F.col("block").alias(c)), ["list", f"{c}_no"])
+    return pairs.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "list", "x_no", "y_no").select("x", "y")
+
+
+def linked(points: DataFrame, tuples: list[tuple[int, ...]], lanes: int, least: int, most: int, across: int = 0) -> DataFrame:
+    """Links a < b among distinct points (node, f0, ...): all, or in dense lists a spanning forest of them.
+
+    across: how many lists a linked pair shares at least; short lists then only count, and node must be the fingerprint. 0: lists decide.
+    """
     cols = ["key", "node", *(f"f{i}" for i in range(lanes))]
     posted = points.mapInArrow(_postings(tuples, lanes), ", ".join(f"{c} long" for c in cols))
-    found = kept(posted.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_tally(lanes, least, most), _LINK), "links")
-    blocks = found.where("block is not null").select("list", "block", F.xxhash64("block").alias("no"))
-    x, y = (blocks.select("list", F.col("block").alias(c), F.col("no").alias(f"{c}_no")) for c in "xy")
-    pairs = x.join(y, "list").where("x_no < y_no").select("x", "y")
-    more = pairs.mapInArrow(_across(lanes, least, most), _LINK)
-    return found.where("block is null").select("a", "b").union(more.select("a", "b")).distinct()
+    found = kept(posted.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_tally(lanes, least, most, across), _LINK), "links")
+    blocks, pairs = found.where("block is not null").select("list", "block"), found.where("block is null").select("a", "b", "n")
+    if not blocks.isEmpty():
+        pairs = pairs.union(block_pairs(blocks).mapInArrow(_across(lanes, least, most, across), _LINK).select("a", "b", "n"))
+    if not across:
+        return pairs.select("a", "b").distinct()
+    pairs = pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= across)
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most).select("a", "b")
 
 
 def simhash_groups(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame:
@@ -247,7 +281,7 @@ def simhash_groups(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame:
     f = kept(fingerprints(docs, words), "fingerprints")
     distinct = f.groupBy(F.col("f0").alias("node")).agg(F.min("doc_id").alias("low"))
     points = distinct.select("node", F.col("node").alias("f0"))
-    groups = components(linked(points, tuples_of(4, 7), 1, 8 - most, most))
+    groups = components(linked(points, tuples_of(4, 8), 1, 8 - most, most, comb(8 - most, 4)))
     named = distinct.join(groups, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     named = kept(named.join(lowest, "root").select("node", "component_id"), "components")
@@ -265,8 +299,8 @@ WIDE, TABLES, WIDE_BITS = 4, 48, 56
 
 #: Lists of shingles that this many documents of about SAMPLED share come last in the order of shingles; the order changes cost, not results.
 FREQUENT, SAMPLED, FREQUENT_ROWS = 4, 20_000, 1_000_000
-#: Postings taken at once.
-CHUNK = 50_000
+#: Postings taken at once; postings of a shingle in a block.
+CHUNK, CELL = 50_000, 2048
 
 
 def _wide(words: int) -> Callable:
@@ -291,52 +325,84 @@ def _least_shared(n: np.ndarray | int, similarity: float) -> np.ndarray:
     return np.ceil(similarity * n - 1e-6)
 
 
-def _prefixes(common: np.ndarray, counts: np.ndarray, similarity: float) -> Callable:
-    """The first n - least + 1 shingles of each set, rare ones first: sets that are similar enough share one of them."""
+def _prefixes(common: np.ndarray, counts: np.ndarray, every: int, similarity: float) -> Callable:
+    """The first n - least + 1 shingles of each set, rare ones first: sets that are similar enough share one of them.
+
+    i, j: of a frequent shingle's blocks (by a hash of the node; as many as its count in the sample gives) the own one and each other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, sizes = [], []
+            keys, sizes, blocks = [], [], []
             for x in b.column("shingles").to_pylist():
                 h = np.frombuffer(x, np.uint64)
+                often = np.zeros(len(h), np.int64)
                 if len(h) and len(common):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                    h = h[np.argsort(np.where(common[at] == h, counts[at], 0), kind="stable")]
-                keys.append(h[: len(h) - int(_least_shared(len(h), similarity)) + 1] if len(h) else np.zeros(1, np.uint64))
+                    often = np.where(common[at] == h, counts[at], 0)
+                order = np.argsort(often, kind="stable")[: len(h) - int(_least_shared(len(h), similarity)) + 1]
+                keys.append(h[order] if len(h) else np.zeros(1, np.uint64))
+                blocks.append(-(-often[order] * every // CELL) if len(h) else np.zeros(1, np.int64))
                 sizes.append(len(h))
+            if not keys:
+                continue
             m = [len(k) for k in keys]
-            whole = [np.repeat(b.column(c).to_numpy(), m) for c in ("comp", "node")] + [np.repeat(np.array(sizes, np.int64), m)]
-            place = np.concatenate([np.arange(k) for k in m]) if m else np.empty(0, np.int64)
-            key = np.concatenate(keys).view(np.int64) if m else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (key, *whole, place)], ["key", "comp", "node", "n", "place"])
+            n_blocks = np.maximum(np.concatenate(blocks), 1)
+            node = np.repeat(b.column("node").to_numpy(), m)
+            cols = [np.concatenate(keys).view(np.int64), np.repeat(b.column("comp").to_numpy(), m), node, np.repeat(np.array(sizes, np.int64), m), np.concatenate([np.arange(k) for k in m])]
+            own = ((node.view(np.uint64) >> np.uint64(17)) % n_blocks.astype(np.uint64)).astype(np.int64)
+            other = np.arange(n_blocks.sum()) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
+            own = np.repeat(own, n_blocks)
+            cols = [np.repeat(c, n_blocks) for c in cols] + [np.minimum(own, other), np.maximum(own, other), own]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], _POSTING)
 
     return run
 
 
+_POSTING = ["key", "comp", "node", "n", "place", "i", "j", "own"]
+
+
 def _crossing(similarity: float) -> Callable:
-    """Pairs of different groups in the lists of postings sorted by key, group and node, unless sizes or places rule them out."""
+    """Pairs of different groups in the cells (key, i, j) of sorted postings, unless sizes or places rule them out.
+
+    Most of a large cell is often one group: only the postings outside of its largest group are compared with the others.
+    """
+
+    def possible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        n, m = x[:, 3], y[:, 3]
+        shared = np.minimum(n - x[:, 4], m - y[:, 4])
+        hit = (x[:, 1] != y[:, 1]) & ((x[:, 5] == x[:, 6]) | (x[:, 7] != y[:, 7])) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6)
+        return hit & (shared >= similarity / (1 + similarity) * (n + m) - 1e-6)
 
-    def found(rows: np.ndarray) -> pa.RecordBatch:
-        key = rows[:, 0]
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        sizes = np.diff(np.append(starts, len(key)))
+    def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        same = lambda r: (r[1:, [0, 5, 6]] == r[:-1, [0, 5, 6]]).all(1)
+        starts = np.flatnonzero(np.append(True, ~same(rows)))
+        sizes = np.diff(np.append(starts, len(rows)))
         mixed = rows[starts, 1] != rows[starts + sizes - 1, 1]  # sorted by group
-        rows = rows[np.repeat(mixed, sizes)]
-        key, comp, node, n, place = rows.T
-        at, first, second = np.arange(len(key)), [], []
-        for d in range(1, len(key)):
-            at = at[at + d < len(key)]
-            at = at[key[at] == key[at + d]]
+        for s, n in zip(starts[mixed & (sizes > 64)].tolist(), sizes[mixed & (sizes > 64)].tolist()):
+            cell = rows[s : s + n]
+            _, of, count = np.unique(cell[:, 1], return_inverse=True, return_counts=True)
+            largest = of == np.argmax(count)
+            a, b = [], []
+            inside, outside = cell[largest], cell[~largest]
+            for k in range(len(outside)):
+                others = np.concatenate([inside, outside[k + 1 :]])
+                hit = others[possible(np.broadcast_to(outside[k], others.shape), others), 2]
+                a.append(np.full(len(hit), outside[k, 2]))
+                b.append(hit)
+            yield _links(np.concatenate(a), np.concatenate(b), 1).select(["a", "b"])
+        rows = rows[np.repeat(mixed & (sizes <= 64), sizes)]
+        at, first, second = np.arange(len(rows)), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        label = np.cumsum(np.append(True, ~same(rows))) if len(rows) else at
+        for d in range(1, 64):
+            at = at[at + d < len(rows)]
+            at = at[label[at] == label[at + d]]
             if not len(at):
                 break
-            to = at + d
-            shared = 1 + np.minimum(n[at] - place[at], n[to] - place[to]) - 1
-            hit = (comp[at] != comp[to]) & (np.minimum(n[at], n[to]) >= similarity * np.maximum(n[at], n[to]) - 1e-6)
-            hit &= shared >= similarity / (1 + similarity) * (n[at] + n[to]) - 1e-6
-            first.append(node[at[hit]])
-            second.append(node[to[hit]])
-        none = [np.empty(0, np.int64)]
-        return _links(np.concatenate(first or none), np.concatenate(second or none)).select(["a", "b"])
+            hit = at[possible(rows[at], rows[at + d])]
+            first.append(rows[hit, 2])
+            second.append(rows[hit + d, 2])
+        yield _links(np.concatenate(first), np.concatenate(second), 1).select(["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -345,12 +411,13 @@ def _crossing(similarity: float) -> Callable:
             n += b.num_rows
             if n >= CHUNK:
                 rows = np.concatenate(held)
-                end = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+                last = (rows[:, [0, 5, 6]] == rows[-1, [0, 5, 6]]).all(1)
+                end = len(rows) - int(last.sum())
                 if end:
-                    yield found(rows[:end])
+                    yield from found(rows[:end])
                 held, n = [rows[end:]], 0
         if held and sum(map(len, held)):
-            yield found(np.concatenate(held))
+            yield from found(np.concatenate(held))
 
     return run
 
@@ -385,17 +452,19 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
         forget(needed, own)
         return out
 
-    near = kept(linked(made.select("node", *fs).dropDuplicates(["node"]), spread_tuples(TABLES, 2, 8 * WIDE), WIDE, 2, WIDE_BITS), "candidates")
+    n_docs = made.count()
+    width = max(2, ceil((log2(n_docs + 1) - 4) / 8))  # a list has some 16 unrelated postings at most
+    near = kept(linked(made.select("node", *fs).dropDuplicates(["node"]), spread_tuples(TABLES, width, 8 * WIDE), WIDE, width, WIDE_BITS), "candidates")
     links = verified(near, "near-links")
     groups = kept(components(links).withColumnRenamed("root", "comp"), "near-groups")
-    every = max(1, made.count() // SAMPLED)
+    every = max(1, n_docs // SAMPLED)
     sample = sets.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("shingles").mapInArrow(_unpacked, "h long")
     often = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(FREQUENT_ROWS).toArrow()
     common, counts = often["h"].to_numpy().view(np.uint64), often["n"].to_numpy()
     order = np.argsort(common)
     points = sets.select("node", "shingles").join(sided(groups), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "shingles")
-    posted = points.mapInArrow(_prefixes(common[order], counts[order], similarity), "key long, comp long, node long, n long, place long")
-    crossing = posted.repartition("key").sortWithinPartitions("key", "comp", "node").mapInArrow(_crossing(similarity), "a long, b long")
+    posted = points.mapInArrow(_prefixes(common[order], counts[order], every, similarity), ", ".join(f"{c} long" for c in _POSTING))
+    crossing = posted.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "comp", "node").mapInArrow(_crossing(similarity), "a long, b long")
     rest = kept(crossing.distinct(), "crossing")
     out = components(links.union(verified(rest, "rest-links")))
     forget(made, copies, near, rest, groups)
@@ -403,15 +472,14 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs (all columns) without near copies: of each group the row with the smallest doc_id stays (null ids first), of equal rows one."""
+    """The rows of docs (all columns, whatever they are called) without near copies: of each group the row with the smallest doc_id stays (null ids first), of equal rows one."""
     own = identified(docs)
     groups = near_groups(own, words, similarity)
-    rows = own.groupBy("_th", "_id").agg(F.count(F.lit(1)).alias("_n"))
-    rows = rows.join(groups, "_th", "left").select("_th", "_id", "_n", F.coalesce("root", "_th").alias("_root"))
-    first = rows.groupBy("_root").agg(F.min("_id").alias("_low"))
-    stay = rows.join(first, "_root").where("_id = _low").groupBy("_root", "_id").agg(F.min("_th").alias("_th"), F.min_by("_n", "_th").alias("_n"))
-    stay = kept(stay.select("_id", "_th", "_n"), "stay")
-    marked = docs.withColumns(identity())
-    out = marked.join(sided(stay), ["_id", "_th"])
-    once, often = out.where("_n = 1"), out.where("_n > 1").dropDuplicates(["_id", "_th"])
-    return once.unionByName(often).select(*docs.columns)
+    rows = own.groupBy("_th", "_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.join(groups, "_th", "left").select("_th", "_id", "n", F.coalesce("root", "_th").alias("root"))
+    first = rows.groupBy("root").agg(F.min("_id").alias("low"))
+    stay = rows.join(first, "root").where("_id = low").groupBy("root", "_id").agg(F.min("_th").alias("_th"), F.min_by("n", "_th").alias("n"))
+    stay = kept(stay.select("_id", "_th", "n"), "stay")
+    out = wrapped(docs).join(sided(stay), ["_id", "_th"])
+    once, often = out.where("n = 1"), out.where("n > 1").dropDuplicates(["_id", "_th"])
+    return once.union(often).select("row.*")

@@ -157,15 +157,16 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end: int = END) ->
     return files
 
 
-def mapped(folder: str, name: str, dtype: str, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids, doc_ids, offsets of one file, memory-mapped where the store is a file system of this machine."""
+def mapped(folder: str, name: str, dtype: str, n_docs: int) -> tuple[Callable[[int, int], np.ndarray], np.ndarray, np.ndarray]:
+    """Ids from one place to another (a function), doc_ids, offsets of one file: memory-mapped where the store is a file system of this machine, else read by range."""
     store, at = _at(folder)
     if isinstance(store, fs.LocalFileSystem):
-        ids = np.memmap(f"{at}/{name}.bin", dtype, "r")
-        index = np.memmap(f"{at}/{name}.idx", "<i8", "r")
-    else:
-        ids, index = (np.frombuffer(store.open_input_file(f"{at}/{name}{x}").readall(), k) for x, k in ((".bin", dtype), (".idx", "<i8")))
-    return ids, index[:n_docs], index[n_docs:]
+        ids, index = np.memmap(f"{at}/{name}.bin", dtype, "r"), np.memmap(f"{at}/{name}.idx", "<i8", "r")
+        return lambda a, z: ids[a:z], index[:n_docs], index[n_docs:]
+    with store.open_input_file(f"{at}/{name}.idx") as f:
+        index = np.frombuffer(f.readall(), "<i8")
+    file, size = store.open_input_file(f"{at}/{name}.bin"), np.dtype(dtype).itemsize
+    return lambda a, z: np.frombuffer(file.read_at((z - a) * size, a * size), dtype), index[:n_docs], index[n_docs:]
 
 
 def _read(folder: str, dtype: str) -> Callable:
@@ -176,7 +177,7 @@ def _read(folder: str, dtype: str) -> Callable:
                 for lo in range(0, n, 10_000):
                     hi = min(lo + 10_000, n)
                     ends = offsets[lo : hi + 1].tolist()
-                    crc = [zlib.crc32(ids[a:z].astype("<u4").tobytes()) for a, z in zip(ends, ends[1:])]
+                    crc = [zlib.crc32(ids(a, z).astype("<u4").tobytes()) for a, z in zip(ends, ends[1:])]
                     cols = [docs[lo:hi], offsets[lo:hi] + base, np.diff(offsets[lo : hi + 1]), np.array(crc, np.int64)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), pa.int64()) for c in cols], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
@@ -184,11 +185,11 @@ def _read(folder: str, dtype: str) -> Callable:
 
 
 def read_ids(files: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from the files of a manifest."""
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the files of a manifest, which are dealt out to as many tasks as there are files."""
     store, at = _at(folder)
     with store.open_input_stream(f"{at}/format.json") as f:
         dtype = json.loads(f.read())["dtype"]
-    dealt = files.repartition(F.col("file"))
+    dealt = files.repartition(max(1, files.count()), "file")
     out = dealt.mapInArrow(_read(folder, dtype), "doc_id long, start long, n_tokens long, ids_crc32 long")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
 

@@ -8,11 +8,12 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.llm import media, shards
-from folioscope.llm.bpe import bpe, encoded, round_trips
-from folioscope.llm.lines import LineRuns, line_hashes, without_repeated_lines
-from folioscope.llm.tokens import VOCABULARY, library_encoder, read_ids, tokenizer, write_ids
+from folioscope.llm.bpe import bpe, encoded, op10_bpe, round_trips
+from folioscope.llm.lines import LineRuns, cleaned, line_hashes, without_repeated_lines
+from folioscope.llm.tokens import VOCABULARY, library_encoder, op9_token_files, read_ids, tokenizer, write_ids
 
 PATH = public_tokenizers.path(VOCABULARY)
 ODD = [
@@ -137,16 +138,16 @@ LINE = "This is a line that many documents share, over forty characters long."
 
 def drop_lines(rows):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
+    number = lambda i: -(2**63) if i is None else i
     seen = {}
-    for n, (i, t) in enumerate(rows):
+    for i, t in rows:
         for k in {key(x) for x in (t or "").split("\n")}:
             if len(k) >= 40:
-                seen.setdefault(k, []).append(-(2**63) if i is None else i)
+                seen.setdefault(k, set()).add(number(i))
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
-        own = -(2**63) if i is None else i
-        keep = [x for x in lines if not (len(seen.get(key(x), [])) >= 5 and own != max(seen[key(x)]))]
+        keep = [x for x in lines if not (len(seen.get(key(x), [])) >= 5 and number(i) != max(seen[key(x)]))]
         out.append((i, "\n".join(keep), len(lines), len(lines) - len(keep)))
     return Counter(out)
 
@@ -159,10 +160,49 @@ def test_lines_against_brute_force(spark):
     assert Counter((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in out.collect()) == drop_lines(rows)
     assert [c for c in docs.columns if c not in out.columns] == []
     assert without_repeated_lines(table(spark, [])).count() == 0
+    own = ["_id", "_th", "_gone", "gone", "row", "stays", "left", "n_lines"]
+    clash = cleaned(docs.select("doc_id", "text", *(F.lit(k).alias(n) for k, n in enumerate(own))))
+    assert clash.columns == ["doc_id", "text", *own] and {tuple(r)[2:] for r in clash.collect()} == {tuple(range(len(own)))}
+
+
+def test_lines_of_repeated_ids_count_once(spark):
+    rows = [(1, LINE)] * 4 + [(1, f"{LINE}\nmore"), (2, LINE), (2, LINE), (3, LINE), (None, LINE), (None, LINE), (9, "x" * 300_000 + "\n" + LINE)]
+    for n in (len(rows) - 1, len(rows)):  # four documents, then five
+        out = without_repeated_lines(table(spark, rows[:n]))
+        assert Counter((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in out.collect()) == drop_lines(rows[:n])
+
+
+def test_leaving_the_joins_out_changes_the_totals(spark, monkeypatch):
+    """The runs hold each key once because the merge-join with them says what is new."""
+    batches = [line_hashes(table(spark, [(10 * b + i, LINE) for i in range(3)])).cache() for b in range(2)]
+
+    def totals():
+        runs = LineRuns(spark)
+        for b in batches:
+            runs.add(b)
+        out = [(r["docs"], r["last"]) for r in runs.totals().collect()]
+        runs.forget()
+        return out
+
+    assert totals() == [(6, 12)]
+    left = type(batches[0]).join
+    monkeypatch.setattr(type(batches[0]), "join", lambda self, other, on, how="inner": left(self, other.limit(0) if how == "left" and "there" in other.columns else other, on, how))
+    assert totals() != [(6, 12)]
+
+
+def test_runs_are_joined_without_a_shuffle_of_the_runs(spark):
+    runs = LineRuns(spark)
+    runs.add(line_hashes(table(spark, [(1, LINE)])))
+    own = runs.levels[0][0]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = own.join(own.select("h1", "h2", F.lit(1).alias("x")), ["h1", "h2"], "full_outer")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    runs.forget()
 
 
 def test_runs_are_compacted_and_merge(spark):
-    runs = LineRuns(fanout=2)
+    runs = LineRuns(spark, fanout=2)
     fresh = []
     for batch in range(5):
         rows = [(batch * 10 + i, f"{LINE} {i}\n{LINE} {batch}{i}") for i in range(4)]
@@ -171,3 +211,72 @@ def test_runs_are_compacted_and_merge(spark):
     assert [len(level) for level in runs.levels] == [1, 0, 1]
     totals = runs.totals()
     assert totals.count() == 24 and totals.where("docs = 5").count() == 4 and totals.agg({"last": "max"}).first()[0] == 43
+    assert runs.totals(2).count() == 4
+    runs.forget()
+
+
+def test_slot_maps_are_stored_loaded_and_edited(spark, tmp_path):
+    store = shards.SlotMap(spark, f"file://{tmp_path}/map")
+    sizes = [1 + i * 7919 % 100 for i in range(4096)]
+    assert store.create(shards.slot_map(5), sizes) == 1
+    again = shards.SlotMap(spark, store.folder)  # another session finds what is stored
+    assert again.grow() == 2 and again.rebalance(0.01) == 3
+    (_, one, _), (_, two, _), (last, three, held) = store.load(1), store.load(2), store.load()
+    assert last == 3 and held == sizes and one == shards.slot_map(5)
+    assert all(a == b or b == 5 for a, b in zip(one, two)) and sum(a != b for a, b in zip(one, two)) == 4096 // 6
+    load = Counter()
+    for shard, size in zip(three, sizes):
+        load[shard] += size
+    assert max(load.values()) <= sum(sizes) / 6 * 1.01
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        store._store(3, one, sizes)
+
+
+def test_encoder_delay_shortens_the_duration(spark):
+    stream = media.wrap(b"payload" * 900)
+    audio = stream[media.scan(stream)["offsets"][0] :]
+    lame = b"LAME3.100".ljust(21, b"\0") + (576 << 12 | 1000).to_bytes(3)
+    xing = (media._head(3, False) + b"Xing" + (15).to_bytes(4) + bytes(4 + 4 + 100 + 4) + lame).ljust(media.SIZES[2], b"\0")
+    rows = [(1, bytearray(stream)), (2, bytearray(xing + audio)), (3, None)]
+    got = {r["doc_id"]: r for r in media.catalog(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert (got[2]["encoder_delay"], got[2]["encoder_padding"]) == (576, 1000) and got[1]["encoder_delay"] == 0
+    assert got[2]["duration_us"] == (got[1]["n_samples"] - 1576) * 1_000_000 // 32000
+    assert got[1]["seek_offsets"] == media.scan(stream)["offsets"] and all(stream[x] == 255 for x in got[1]["seek_offsets"]) and got[3]["n_frames"] == 0
+
+
+D = "/root/testdata/sf0.01"
+
+
+def test_queries_over_the_table_equal_the_library(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{D}/documents.parquet").collect()}
+    t = tokenizer(PATH)
+    ids = {i: t.encode(x, add_special_tokens=False).ids for i, x in texts.items()}
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in op10_bpe(spark, D).collect()}
+    assert got == {i: (len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.decode(x, skip_special_tokens=False).encode()).hexdigest()) for i, x in ids.items()}
+    starts, want = 0, {}
+    for i in sorted(ids):
+        want[i] = (starts, len(ids[i]) + 1, zlib.crc32(np.array([*ids[i], 2], "<u4").tobytes()))
+        starts += len(ids[i]) + 1
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in op9_token_files(spark, D).collect()} == want
+
+
+def test_token_files_are_read_in_many_tasks(spark, tmp_path):
+    rows = [(i, f"text {i} " * 50) for i in range(4000)]
+    folder = f"file://{tmp_path}/ids"
+    files = write_ids(table(spark, rows), folder, PATH)
+    n = files.count()
+    out = read_ids(files, folder)
+    assert n < 2 or out.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert out.count() == 4000
+
+
+def test_shards_of_the_table(spark):
+    rows = shards.op5_shards(spark, D).collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{D}/documents.parquet").collect()}
+    by = {}
+    for r in rows:
+        by.setdefault(r["shard"], []).append(r["slot"])
+        assert r["grown_shard"] in (r["shard"], 40) and r["law"] == "key"
+        data = texts[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"]) == (len(data) + 16, zlib.crc32(data))
+    assert len(rows) == len(texts) and sorted(by) == list(range(40)) and all(sorted(v) == list(range(len(v))) for v in by.values())

@@ -1,13 +1,16 @@
 """Quality classifier, decontamination, the pipeline and the registered queries."""
 
+import random
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from folioscope.llm import queries
-from folioscope.llm.decontaminate import leaks, slots_agree, without_leaks, word_kind
-from folioscope.llm.quality import Model, WordSums, document_features, fitted, op7_quality, scored, train
+from folioscope.llm.decontaminate import _PUNCTUATION, leaks, slots_agree, without_leaks, word_kind
+from folioscope.llm.quality import BUCKETS, Model, WordSums, document_features, fitted, good_documents, op7_quality, scored, train
 
 D = "/root/testdata/sf0.001"
 
@@ -63,13 +66,102 @@ def test_leaks_exact_reparameterised_and_inconsistent(spark):
     assert leaks(docs.limit(0), items).count() == 0 and leaks(docs, items.limit(0)).count() == 0
 
 
-def test_slots_are_compared_around_a_reworded_token(spark):
+def kinds(spark, rows, items):
+    docs = spark.createDataFrame([(i, f"some words before it {t} and after it") for i, t in rows], "doc_id long, text string")
+    return {(r["doc_id"], r["item_id"]): r["kind"] for r in leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+
+
+def test_slots_are_compared_around_changed_tokens(spark):
     item = "the farmer sells 5 apples and then 5 pears to the shop on the corner while later the brother brings 5 plums to the market today"
     reworded = item.replace("while later", "while soon")
-    rows = [(1, item), (2, reworded), (3, reworded.replace("5", "8")), (4, reworded.replace("5 pears", "6 pears"))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["kind"] for r in leaks(docs, spark.createDataFrame([(100, item)], "item_id long, text string")).collect()}
-    assert got == {1: "exact", 2: "reparameterised", 3: "reparameterised"}
+    inserted = item.replace("on the corner while later", "on the very old corner while sometimes later")
+    rows = [(1, item), (2, reworded), (3, reworded.replace("5", "8")), (4, reworded.replace("5 pears", "6 pears")), (5, inserted), (6, inserted.replace("5", "twenty five")), (7, item.replace("5 apples", "6 apples")), (8, item.replace(" then", ""))]
+    assert kinds(spark, rows, [(100, item)]) == {(k, 100): x for k, x in {1: "exact", 2: "partial", 3: "reparameterised", 5: "partial", 6: "reparameterised", 8: "partial"}.items()}
+
+
+def test_items_full_of_numbers_and_number_words(spark):
+    sums = "12 + 7 = 19 and 3 km 40 m 9 s 11 kg 8 cm are 30 31 32 33"
+    rows = [(1, sums), (2, sums.replace("12", "13")), (3, "a train needs twenty five minutes for the way from the old town to the new one"), (4, "a train needs 30 minutes for the way from the old town to the new one")]
+    items = [(100, sums), (101, "a train needs thirty minutes for the way from the old town to the new one")]
+    assert kinds(spark, rows, items) == {(1, 100): "exact", (2, 100): "partial", (3, 101): "reparameterised", (4, 101): "reparameterised"}
+
+
+def plain_tokens(text):
+    """(template, value) of each token, one word after another."""
+    out, first, before = [], True, None
+    for word in re.sub(r"(?<=\d)(?=[A-Za-z%°€£$])", " ", text).split():
+        core, kind, capital, ends = word_kind(word)
+        kind = 3 if kind == 0 and capital and not first else kind
+        spelled = kind == 1 and core.isalpha()
+        if core:
+            value = word.strip(_PUNCTUATION).lower()
+            if before and (kind == 3 and before[0] == 3 or spelled and before[1]):
+                out[-1][1] += " " + value
+            else:
+                out.append([core if kind == 0 else kind, value, core])
+        first, before = ends, (kind, spelled)
+    return [tuple(x) for x in out]
+
+
+def brute_leak(doc, item):
+    """kind by the docstring's rules, over all windows and all diagonals."""
+    own, its = plain_tokens(doc), plain_tokens(item)
+    n = min(8, len(its))
+
+    def key(tokens, at):
+        part = tokens[at : at + n]
+        if sum(isinstance(t[0], str) for t in part) >= 4:
+            return tuple(t[0] for t in part)
+        return ("values", *(t[2] for t in part)) if n == 8 else None
+
+    if not n:
+        return None
+    runs = {}
+    for i in range(len(own) - n + 1):
+        for j in range(len(its) - n + 1):
+            if (k := key(own, i)) is not None and k == key(its, j):
+                lo, hi = runs.get(i - j, (j, j))
+                runs[i - j] = (min(lo, j), max(hi, j))
+    groups = []
+    for d in sorted(runs):
+        if groups and d - groups[-1][-1] <= max(2, len(its) // 4):
+            groups[-1].append(d)
+        else:
+            groups.append([d])
+    found = []
+    for g in groups:
+        if sum(runs[d][1] + n - runs[d][0] for d in g) < 0.5 * len(its):
+            continue
+        place = {}
+        for d in sorted(g, key=lambda d: (runs[d][0] - runs[d][1], d)):
+            for j in range(runs[d][0], runs[d][1] + n):
+                if j not in place and j + d not in place.values() and its[j][0] == own[j + d][0]:
+                    place[j] = j + d
+        slots = [(its[j][1], own[i][1]) for j, i in sorted(place.items()) if not isinstance(its[j][0], str)]
+        if len(place) >= 0.5 * len(its) and len({a for a, _ in slots}) == len({b for _, b in slots}) == len(set(slots)):
+            straight = len(place) == len(its) and len({i - j for j, i in place.items()}) == 1
+            found.append((round(len(place) / len(its), 6), "reparameterised" if any(a != b for a, b in slots) else "exact" if straight else "partial"))
+    return max(found)[1] if found else None
+
+
+def test_leaks_by_brute_force_over_all_alignments(spark):
+    rng = random.Random(5)
+    words = "the a of shop farmer sells train leaves apples pears and then to with corner market".split()
+    slot = lambda: rng.choice(["5", "6", "7", "twenty", "five", "km", "Berlin", "Anna", "10kg"])
+    items = [(k, " ".join(slot() if rng.random() < 0.25 + 0.4 * (k % 4 == 0) else rng.choice(words) for _ in range(rng.randrange(3, 30)))) for k in range(25)]
+    docs = [(0, ""), (1, None)]
+    for k in range(2, 150):
+        own = rng.choice(items)[1].split()
+        for _ in range(rng.randrange(0, 4)):
+            at = rng.randrange(len(own) + 1)
+            change = rng.randrange(4)
+            own = own[:at] + [slot()] + own[at + 1 :] if change == 0 else own[:at] + own[at + 1 :] if change == 1 else own[:at] + [rng.choice(words)] + own[at:] if change == 2 else [w.replace("5", "8") for w in own]
+        docs.append((k, " ".join(["Some", *rng.choices(words, k=rng.randrange(0, 9)), *own, *rng.choices(words, k=3), *(own if k % 9 == 0 else [])])))
+    docs.append((150, " ".join(rng.choices(words, k=40_000)) + " " + items[3][1]))  # a very long text
+    want = {(i, k): x for i, t in docs[:-1] for k, item in items if (x := brute_leak(t or "", item))}
+    rows = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): r["kind"] for r in rows if r["doc_id"] < 150} == want
+    assert set(want.values()) == {"exact", "reparameterised", "partial"} and (150, 3) in {(r["doc_id"], r["item_id"]) for r in rows}
 
 
 def test_beyond_the_key_bound_windows_are_shuffled(spark, monkeypatch):
@@ -95,18 +187,33 @@ def test_planted_benchmark_passages(spark):
     assert want <= got
 
 
+CLASHES = ["_id", "_th", "_n", "_gone", "_score", "row", "n", "root", "gone", "left", "n_lines", "text_", "h1"]
+
+
 def test_pipeline_stages(spark):
-    docs = spark.read.parquet(f"{D}/documents.parquet").withColumn("_id", F.lit(1))
+    """Columns with the operators' own names pass with their values; rows that stay are rows that were there."""
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    docs = docs.select("*", *(F.concat(F.lit(f"{c}-"), "doc_id").alias(c) for c in CLASHES))
     before = docs.count()
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, D)
         out.write.parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/t-{name}")
-        docs, columns = spark.read.parquet(path), docs.columns
+        docs, old = spark.read.parquet(path), docs
         if name != "encoding":
-            assert docs.columns == columns
+            assert docs.columns == old.columns
+            assert docs.where(" OR ".join(f"`{c}` IS NULL OR `{c}` <> concat('{c}-', doc_id)" for c in CLASHES)).isEmpty()
+            same = [c for c in docs.columns if c != "text" or name != "line_dedup"]
+            assert docs.select(same).exceptAll(old.select(same)).isEmpty()
     assert 0 < docs.count() < before and docs.where("not round_trip").count() == 0
 
 
+def test_scores_of_very_long_texts_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "good words " * 100_000, 1.5), (2, None, 1.5)], "doc_id long, text string, _score double")
+    model = Model(np.ones(2 * BUCKETS, np.float32), 0.0)
+    out = good_documents(docs, model)
+    assert out.columns == docs.columns and sorted((r["doc_id"], r["_score"]) for r in out.collect()) == [(1, 1.5), (2, 1.5)]
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_have_a_row_a_document(spark, name):
     out = queries.QUERIES[name](spark, D)

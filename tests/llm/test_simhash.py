@@ -1,4 +1,10 @@
+import re
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import functions as F
 
 from folioscope.llm import simhash
 from folioscope.llm.common import identified
@@ -44,41 +50,119 @@ def brute_links(values, most=3):
     return {(min(a, b), max(a, b)) for i, a in enumerate(values) for b in values[:i] if int(np.bitwise_count(np.int64(a ^ b).view(np.uint64))) <= most}
 
 
-def test_links_against_all_pairs_with_blocks_and_forests(spark, monkeypatch):
+def clusters():
     rng = np.random.default_rng(1)
     base = rng.integers(-(2**63), 2**63, 12)
     values = {int(b) for b in base}
     for b in base[:4]:
         for _ in range(40):
             values.add(int(b ^ sum(1 << int(k) for k in rng.choice(63, int(rng.integers(1, 4)), replace=False))))
-    values = sorted(values)
+    return sorted(values)
+
+
+def test_links_against_all_pairs_with_blocks_and_forests(spark, monkeypatch):
+    values = clusters()
     points = spark.createDataFrame([(v, v) for v in values], "node long, f0 long")
     want = roots(brute_links(values), values)
-    for block, dense in ((4096, 10**9), (4096, 0), (8, 10**9), (8, 0)):
-        # the worker sees the module's values through the closure's globals only if it is pickled by value, so blocks are tried directly
+    for block, dense, counted in ((4096, 10**9, 0), (4096, 0, 0), (8, 10**9, 0), (8, 0, 0), (4096, 10**9, 5), (4096, 0, 5), (8, 0, 5)):
+        # the worker sees the module's values through the closure's globals only if it is pickled by value, so lists are tried directly
         monkeypatch.setattr(simhash, "BLOCK", block)
         monkeypatch.setattr(simhash, "DENSE", dense)
-        post, tally, across = simhash._postings(tuples_of(4, 7), 1), simhash._tally(1, 5, 3), simhash._across(1, 5, 3)
+        tuples = tuples_of(4, 8) if counted else tuples_of(4, 7)
+        post, tally, across = simhash._postings(tuples, 1), simhash._tally(1, 5, 3, counted), simhash._across(1, 5, 3, counted)
         posted = points.toArrow().to_batches()
         rows = [r for b in post(iter(posted)) for r in b.to_pylist()]
         rows.sort(key=lambda r: (r["key"], r["node"]))
-        import pyarrow as pa
-
         batches = [pa.RecordBatch.from_pylist(rows[i : i + 37]) for i in range(0, len(rows), 37)]
         out = [r for b in tally(iter(batches)) for r in b.to_pylist()]
-        pairs = {(r["a"], r["b"]) for r in out if r["block"] is None}
+        count = Counter()
+        for r in out:
+            if r["block"] is None:
+                count[r["a"], r["b"]] += r["n"]
         blocks = [(r["list"], r["block"]) for r in out if r["block"] is not None]
         for i, (k, x) in enumerate(blocks):
             for m, y in blocks[:i]:
                 if k == m:
-                    b = pa.RecordBatch.from_pylist([{"x": x, "y": y}])
-                    pairs |= {(r["a"], r["b"]) for o in across(iter([b])) for r in o.to_pylist()}
+                    for o in across(iter([pa.RecordBatch.from_pylist([{"x": x, "y": y}])])):
+                        for r in o.to_pylist():
+                            count[r["a"], r["b"]] += r["n"]
+        pairs = {p for p, n in count.items() if n >= max(1, counted)}
+        if counted:  # counts leave few pairs to verify
+            pairs &= brute_links(values)
+            assert len({p for p, n in count.items() if n >= counted}) < 1.5 * len(pairs) + 10
         assert roots(pairs, values) == want
         assert pairs <= brute_links(values)
         if dense:
             assert pairs == brute_links(values)
-    got = {(r["a"], r["b"]) for r in linked(points, tuples_of(4, 7), 1, 5, 3).collect()}
-    assert roots(got, values) == want
+    for tuples, counted in ((tuples_of(4, 7), 0), (tuples_of(4, 8), 5)):
+        got = {(r["a"], r["b"]) for r in linked(points, tuples, 1, 5, 3, counted).collect()}
+        assert roots(got, values) == want
+
+
+def test_blocks_of_a_hot_list_go_to_many_tasks(spark):
+    rng = np.random.default_rng(2)
+    values = np.unique(rng.integers(0, 2**31, 8 * simhash.BLOCK))[: 7 * simhash.BLOCK]
+    parts = [np.stack([x, x], 1) for x in np.split(values, 7)]
+    blocks = spark.createDataFrame([(1, bytearray(x.astype(np.int64).tobytes())) for x in parts], "list long, block binary")
+    for threshold in ("-1", "100m"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        pairs = simhash.block_pairs(blocks)
+        assert pairs.count() == 21 and pairs.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_query_equals_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    low = str.maketrans({c: c + 32 for c in range(65, 91)})
+    bits = {}
+    for i, t in docs.items():
+        words = [w for w in re.split(r"[\x20\x09-\x0d]+", (t or "").translate(low)) if w]
+        grams = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+        h = np.array([xxhash.xxh64_intdigest(g.encode(), seed=42) for g in grams], np.uint64)
+        bits[i] = sum(1 << k for k in range(64) if 2 * int((h >> np.uint64(k) & np.uint64(1)).sum()) > len(h))
+    ids, f = list(bits), np.array(list(bits.values()), np.uint64)
+    pairs = [(ids[i], ids[j]) for i in range(len(ids)) for j in np.flatnonzero(np.bitwise_count(f[:i] ^ f[i]) <= 3).tolist()]
+    want = roots(pairs, ids)
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.op2_simhash(spark, d).collect()}
+    assert got == {i: (f"{bits[i]:016x}", want[i]) for i in ids}
+
+
+def test_near_groups_of_the_table_equal_all_pairs(spark):
+    """Recall of the pipeline's stage: every pair of texts at 0.8 or more is in one group, and groups hold nothing else."""
+    docs = identified(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    sets = {r["_th"]: np.unique(shingle_hashes(r["text"], 5)) for r in docs.collect()}
+    nodes = sorted(sets, key=lambda n: len(sets[n]))
+    pairs = []
+    for i, a in enumerate(nodes):
+        for b in nodes[i + 1 :]:
+            if len(sets[a]) < 0.8 * len(sets[b]):
+                break
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                pairs.append((a, b))
+    assert pairs and {r["_th"]: r["root"] for r in near_groups(docs).collect()} == roots(pairs, {n for p in pairs for n in p})
+
+
+def test_frequent_shingles_are_dealt_out_by_blocks(spark, monkeypatch):
+    """Postings of one shingle in blocks give the same pairs as in one list, and cells of one group and a few others only pairs between them."""
+    monkeypatch.setattr(simhash, "CELL", 16)
+    rng = np.random.default_rng(4)
+    shared, rows = np.sort(rng.integers(0, 2**63, 10, dtype=np.uint64)), []
+    for k in range(200):
+        rows.append({"node": int(rng.integers(0, 2**62)), "comp": 7 if k % 20 else k, "shingles": np.sort(shared if k % 2 else shared[:9]).tobytes()})
+    batch = pa.RecordBatch.from_pylist(rows)
+    found = {}
+    for counts in (np.zeros(10, np.int64), np.full(10, 200)):
+        posted = [tuple(r.values()) for b in simhash._prefixes(shared, counts, 1, 0.8)(iter([batch])) for r in b.to_pylist()]
+        posted.sort(key=lambda r: (r[0], r[5], r[6], r[1], r[2]))
+        cells = Counter((r[0], r[5], r[6]) for r in posted)
+        table = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*posted)], simhash._POSTING)
+        pairs = {(r["a"], r["b"]) for b in simhash._crossing(0.8)(iter([table])) for r in b.to_pylist()}
+        found[max(cells.values())] = pairs
+    comp = {r["node"]: r["comp"] for r in rows}
+    want = {(min(a, b), max(a, b)) for a in comp for b in comp if comp[a] != comp[b]}
+    assert all(x == want for x in found.values()) and max(found) == 200 and min(found) < 60
 
 
 def test_fingerprints_by_definition():
@@ -109,12 +193,15 @@ def test_near_copies_and_the_one_that_stays(spark):
     near[60] = "changed"
     half = a[:60] + text(5, 60)
     rows = [(10, " ".join(a)), (4, " ".join(near)), (7, " ".join(b)), (8, " ".join(half)), (7, " ".join(b)), (None, "x"), (2, ""), (3, None)]
-    docs = spark.createDataFrame([(i, t, "kept", 1) for i, t in rows], "doc_id long, text string, root string, node int")
+    docs = spark.createDataFrame([(i, t, f"kept {i}", 1) for i, t in rows], "doc_id long, text string, _id string, _th int")
     groups = {r["_th"]: r["root"] for r in near_groups(identified(docs)).collect()}
     assert len(groups) == 2 and len(set(groups.values())) == 1
     out = one_of_each(docs)
     assert out.columns == docs.columns
     assert sorted((r["doc_id"] for r in out.collect()), key=str) == sorted([4, 7, 8, None, 2], key=str)
+    assert all(r["_id"] == f"kept {r['doc_id']}" and r["_th"] == 1 for r in out.collect())
+    clash = docs.select("doc_id", "text", *(F.lit(k).alias(n) for k, n in enumerate(("_n", "n", "row", "low", "root"))))
+    assert {tuple(r)[2:] for r in one_of_each(clash).collect()} == {(0, 1, 2, 3, 4)}
     assert one_of_each(docs.limit(0)).count() == 0
 
 
