@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from folioscope.llm import bpe, decontaminate, lines, quality, simhash
 from folioscope.llm.common import documents, kept, text_batches
@@ -18,12 +17,12 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Keeps the documents whose predicted probability of good quality is at least the threshold."""
     text_batches(spark)
     model = quality.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.scored(docs, model).where(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
+    return quality.good_documents(docs, model)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops long lines that many documents share from all but one of them; text columns hold what is left."""
-    return lines.without_repeated_lines(docs).select(*docs.columns)
+    return lines.cleaned(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
