@@ -14,7 +14,8 @@ list and both block numbers, so a hot list meets in no single task.
 `near_groups` finds the groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Two steps:
 256-bit fingerprints of the distinct shingles, 48 tuples and at most 56 differing bits give most links cheaply (tuples are as wide as
 the number of documents needs); then an exact prefix-filter join finds every pair of different groups that may be similar enough. All
-pairs are verified against the sets, so the first step decides only what the second costs. Postings of frequent shingles are dealt
+pairs are verified against the sets (made again from the texts, unless parity bitmaps of the sets show that they differ too much), so
+the first step decides only what the second costs. Postings of frequent shingles are dealt
 out by pairs of blocks as well.
 
 Null and empty texts have no shingle and fingerprint zero; they are linked like any other. Words are split at ASCII white space after
@@ -303,29 +304,66 @@ FREQUENT, SAMPLED, FREQUENT_ROWS = 4, 20_000, 1_000_000
 CHUNK, CELL = 50_000, 2048
 
 
+#: Bits of the parity bitmap of a set of shingles.
+PARITY = 1024
+
+
+def parity_bits(h: np.ndarray) -> bytes:
+    """A bit for each of PARITY classes of hashes: whether their number is odd. Sets whose bitmaps differ in d bits differ in d elements or more."""
+    return np.packbits(np.bincount((h % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+
+
 def _wide(words: int) -> Callable:
-    """node, _id, fingerprint of the distinct shingles, and these as sorted packed words."""
+    """node, _id, fingerprint of the distinct shingles, their number and their parity bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingle_hashes(t, words)) for t in b.column("text").to_pylist()]
             f = np.array([fingerprint(h, WIDE) for h in sets], np.uint64).reshape(-1, WIDE).view(np.int64)
-            cols = [b.column("_th"), b.column("_id"), *(pa.array(f[:, i]) for i in range(WIDE)), pa.array([h.tobytes() for h in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["node", "_id", *(f"f{i}" for i in range(WIDE)), "shingles"])
+            cols = [b.column("_th"), b.column("_id"), *(pa.array(f[:, i]) for i in range(WIDE)), pa.array([len(h) for h in sets], pa.int64()), pa.array([parity_bits(h) for h in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["node", "_id", *(f"f{i}" for i in range(WIDE)), "n", "bits"])
+
+    return run
+
+
+def _sets(words: int) -> Callable:
+    """node, shingles: the sorted distinct shingles as packed words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     return run
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column("shingles").to_pylist()), np.int64))], ["h"])
+def _hashes_of(words: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, words)).view(np.int64))], ["h"])
+
+    return run
+
+
+def _may_be_similar(similarity: float) -> Callable:
+    """Pairs whose bitmaps don't rule the similarity out: at 0.8, sets of n and m elements differ in (n + m) / 9 at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, PARITY // 64) for c in ("x", "y"))
+            total = b.column("n").to_numpy() + b.column("m").to_numpy()
+            keep = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * total + 1e-6
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
 
 
 def _least_shared(n: np.ndarray | int, similarity: float) -> np.ndarray:
     return np.ceil(similarity * n - 1e-6)
 
 
-def _prefixes(common: np.ndarray, counts: np.ndarray, every: int, similarity: float) -> Callable:
+def _prefixes(common: np.ndarray, counts: np.ndarray, every: int, words: int, similarity: float) -> Callable:
     """The first n - least + 1 shingles of each set, rare ones first: sets that are similar enough share one of them.
 
     i, j: of a frequent shingle's blocks (by a hash of the node; as many as its count in the sample gives) the own one and each other.
@@ -334,8 +372,8 @@ def _prefixes(common: np.ndarray, counts: np.ndarray, every: int, similarity: fl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, sizes, blocks = [], [], []
-            for x in b.column("shingles").to_pylist():
-                h = np.frombuffer(x, np.uint64)
+            for t in b.column("text").to_pylist():
+                h = np.unique(shingle_hashes(t, words))
                 often = np.zeros(len(h), np.int64)
                 if len(h) and len(common):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
@@ -438,18 +476,22 @@ def _similar(least: float) -> Callable:
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """_th, root: the group (smallest text hash in it) of every distinct text of `identified` documents that is linked to another."""
     fs = [f"f{i}" for i in range(WIDE)]
-    made = docs.select("_id", "_th", "text").mapInArrow(_wide(words), "node long, _id long, " + ", ".join(f"{c} long" for c in fs) + ", shingles binary")
+    made = docs.select("_id", "_th", "text").mapInArrow(_wide(words), "node long, _id long, " + ", ".join(f"{c} long" for c in fs) + ", n long, bits binary")
     made = kept(made, "wide")
-    copies = kept(made.groupBy("node").agg(F.min("_id").alias("_low"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("node", "_low"), "copies")
-    sets = made.join(sided(copies), "node", "left").where("_low is null or _id = _low")  # rows that repeat a document are still there
+    copies = kept(made.groupBy("node").agg(F.min("_id").alias("low"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("node", "low"), "copies")
+    one = lambda rows: rows.join(sided(copies), "node", "left").where("low is null or _id = low").drop("low")  # noqa: E731  rows that repeat a document are still there
+    texts, maps = one(docs.select(F.col("_th").alias("node"), "_id", "text")).select("node", "text"), kept(one(made.select("node", "_id", "n", "bits")).select("node", "n", "bits").distinct(), "bitmaps")
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
-        needed = kept(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
-        own = kept(sets.select("node", "shingles").join(sided(needed), "node", "left_semi").dropDuplicates(["node"]), "shingles")
-        x = own.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-        y = own.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        out = kept(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"), label)
-        forget(needed, own)
+        """Pairs of similar sets: bitmaps rule most of the others out, and the sets of the rest are made again from the texts."""
+        x = maps.select(F.col("node").alias("a"), "n", F.col("bits").alias("x"))
+        y = maps.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
+        close = kept(pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_may_be_similar(similarity), "a long, b long"), "close")
+        needed = kept(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
+        own = kept(texts.join(sided(needed), "node", "left_semi").mapInArrow(_sets(words), "node long, shingles binary"), "shingles")
+        x, y = (own.select(F.col("node").alias(c), F.col("shingles").alias(n)) for c, n in ("ax", "by"))
+        out = kept(close.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"), label)
+        forget(close, needed, own)
         return out
 
     n_docs = made.count()
@@ -458,16 +500,16 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     links = verified(near, "near-links")
     groups = kept(components(links).withColumnRenamed("root", "comp"), "near-groups")
     every = max(1, n_docs // SAMPLED)
-    sample = sets.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("shingles").mapInArrow(_unpacked, "h long")
+    sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("text").mapInArrow(_hashes_of(words), "h long")
     often = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(FREQUENT_ROWS).toArrow()
     common, counts = often["h"].to_numpy().view(np.uint64), often["n"].to_numpy()
     order = np.argsort(common)
-    points = sets.select("node", "shingles").join(sided(groups), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "shingles")
-    posted = points.mapInArrow(_prefixes(common[order], counts[order], every, similarity), ", ".join(f"{c} long" for c in _POSTING))
+    points = texts.join(sided(groups), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "text")
+    posted = points.mapInArrow(_prefixes(common[order], counts[order], every, words, similarity), ", ".join(f"{c} long" for c in _POSTING))
     crossing = posted.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "comp", "node").mapInArrow(_crossing(similarity), "a long, b long")
     rest = kept(crossing.distinct(), "crossing")
     out = components(links.union(verified(rest, "rest-links")))
-    forget(made, copies, near, rest, groups)
+    forget(made, copies, maps, near, rest, groups)
     return out.select(F.col("node").alias("_th"), "root")
 
 

@@ -148,13 +148,14 @@ def test_frequent_shingles_are_dealt_out_by_blocks(spark, monkeypatch):
     """Postings of one shingle in blocks give the same pairs as in one list, and cells of one group and a few others only pairs between them."""
     monkeypatch.setattr(simhash, "CELL", 16)
     rng = np.random.default_rng(4)
-    shared, rows = np.sort(rng.integers(0, 2**63, 10, dtype=np.uint64)), []
+    passage, rows = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen", []
+    shared = np.unique(shingle_hashes(passage, 5))
     for k in range(200):
-        rows.append({"node": int(rng.integers(0, 2**62)), "comp": 7 if k % 20 else k, "shingles": np.sort(shared if k % 2 else shared[:9]).tobytes()})
+        rows.append({"node": int(rng.integers(0, 2**62)), "comp": 7 if k % 20 else k, "text": passage if k % 2 else passage[: passage.rindex(" ")]})
     batch = pa.RecordBatch.from_pylist(rows)
     found = {}
     for counts in (np.zeros(10, np.int64), np.full(10, 200)):
-        posted = [tuple(r.values()) for b in simhash._prefixes(shared, counts, 1, 0.8)(iter([batch])) for r in b.to_pylist()]
+        posted = [tuple(r.values()) for b in simhash._prefixes(shared, counts, 1, 5, 0.8)(iter([batch])) for r in b.to_pylist()]
         posted.sort(key=lambda r: (r[0], r[5], r[6], r[1], r[2]))
         cells = Counter((r[0], r[5], r[6]) for r in posted)
         table = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*posted)], simhash._POSTING)
@@ -222,3 +223,17 @@ def test_near_groups_against_all_pairs(spark):
     pairs = [(a, b) for i, a in enumerate(nodes) for b in nodes[:i] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     want = roots(pairs, {n for p in pairs for n in p})
     assert {r["_th"]: r["root"] for r in near_groups(docs).collect()} == want
+
+
+def test_bitmaps_never_rule_out_similar_sets():
+    rng = np.random.default_rng(6)
+    rows, close = [], []
+    for _ in range(400):
+        n = int(rng.integers(1, 3000))
+        a = rng.integers(0, 2**63, n, dtype=np.uint64)
+        b = np.concatenate([a[int(n * rng.uniform(0, 0.25)) :], rng.integers(0, 2**63, int(n * rng.uniform(0, 0.25)), dtype=np.uint64)])
+        both = len(np.intersect1d(a, b))
+        close.append(both >= 0.8 * (len(a) + len(b) - both))
+        rows.append({"a": len(rows), "b": 0, "n": len(a), "m": len(b), "x": simhash.parity_bits(a), "y": simhash.parity_bits(b)})
+    kept = {r["a"] for b in simhash._may_be_similar(0.8)(iter([pa.RecordBatch.from_pylist(rows)])) for r in b.to_pylist()}
+    assert {k for k, c in enumerate(close) if c} <= kept and 0 < sum(close) <= len(kept) < 400
