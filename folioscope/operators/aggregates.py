@@ -171,27 +171,34 @@ def _resampled(df: DataFrame, value: str, key: str, n_boot: int, seed: int, flip
     rows = df.where(F.col(value).isNotNull()).select(own.alias("k"), F.col(value).cast("double").alias("v"))
     steps, start = np.array(poisson_steps(), np.uint32), np.uint32(seed * 2654435761 % 2**32)
 
+    def weights(x: np.ndarray) -> np.ndarray:
+        w = sum((x >= step).view(np.int8) for step in steps[:4])
+        far = np.flatnonzero(x >= steps[4])  # few draws are above 4
+        w.ravel()[far] += sum((x.ravel()[far] >= step).view(np.int8) for step in steps[4:])
+        return w
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, weight, some = np.zeros(n_boot), np.zeros(n_boot), False
+        sums, some = np.zeros((2, n_boot)), False  # of weighted values, and of weights
         draws = np.arange(n_boot, dtype=np.uint32) * np.uint32(2246822519)
         for batch in batches:
             keys, values = batch.column("k").to_numpy(), batch.column("v").to_numpy()
             own = mixed(((keys ^ keys >> 32) & 0xFFFFFFFF).astype(np.uint32) ^ start)
             some = some or len(own) > 0
-            for at in range(0, len(own), 256):
-                x = mixed(own[at : at + 256, None] + draws[None, :])
-                if flips:
-                    w = np.where(x >> np.uint32(31), np.float32(-1), np.float32(1))
-                    weight += len(x)
-                else:
-                    w = np.zeros(x.shape, np.int8)
-                    for step in steps:
-                        w += x >= step
-                    weight += w.sum(0, dtype=np.int64)
-                total += values[at : at + 256] @ w
+            for at in range(0, len(own), 128):
+                both = np.stack([values[at : at + 128], np.ones(len(own[at : at + 128]))])
+                for lo in range(0, n_boot, 1000):  # blocks that stay in the cache
+                    x = mixed(own[at : at + 128, None] + draws[None, lo : lo + 1000])
+                    if flips:
+                        sums[0, lo : lo + 1000] += both[0] @ (1 - 2 * (x >> np.uint32(31)).astype(np.int8))
+                    else:
+                        sums[:, lo : lo + 1000] += both @ weights(x)
+            if flips:
+                sums[1] += len(own)
         if some:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_boot)), pa.array(total), pa.array(weight)], ["b", "s", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_boot)), pa.array(sums[0]), pa.array(sums[1])], ["b", "s", "w"])
 
+    # A row is 16 bytes and n_boot draws, so few files mustn't mean few tasks.
+    rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sums = rows.mapInArrow(run, "b long, s double, w double").groupBy("b").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
     return sums.where("w > 0").select("b", (F.col("s") / F.col("w")).alias("m"))
 
