@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import io
 import tarfile
-import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -18,16 +16,7 @@ from folioscope.functions.ranks import global_rank
 from folioscope.operators import sampling
 from folioscope.plans.registry import fixture, query, rounded, table
 from folioscope.sources import readers, writers
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder in spark.checkpoint.dir; in local mode without it, in a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="folioscope-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+from folioscope.sources.scratch import scratch
 
 
 def written(df: DataFrame, label: str, files: int = 4) -> str:
