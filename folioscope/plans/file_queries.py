@@ -15,7 +15,7 @@ from folioscope.functions import boxes
 from folioscope.functions.ranks import global_rank
 from folioscope.operators import sampling
 from folioscope.plans.registry import fixture, query, rounded, table
-from folioscope.sources import readers, writers
+from folioscope.sources import ranges, readers, writers
 from folioscope.sources.scratch import scratch
 
 
@@ -26,9 +26,9 @@ def written(df: DataFrame, label: str, files: int = 4) -> str:
     return path
 
 
-@query("SELECT sample_id AS image, CASE WHEN text <> '' THEN text ELSE concat('alt ', sample_id) END AS truth, writer_id FROM fx_samples WHERE cls = 'click'")
+@query("SELECT sample_id AS image, CASE WHEN text <> '' THEN text ELSE concat('alt ', sample_id) END AS truth, writer_id FROM fx_samples")
 def read_manifest(spark, d):
-    s = fixture(spark, d, "fx_samples").where("cls = 'click'")
+    s = fixture(spark, d, "fx_samples")
     one = F.struct(F.col("sample_id").alias("image"), F.lit("").alias("gt_latex"), F.when(F.col("text") == "", F.concat(F.lit("alt "), F.col("sample_id"))).alias("latex"), "text", "writer_id")
     grouped = s.groupBy("writer_id").agg(F.collect_list(one).alias("samples"))
     bare = F.to_json("samples")
@@ -45,7 +45,7 @@ def read_coco(spark, d):
     part = gt.groupBy(F.floor(F.col("image_id") / 4096).alias("n")).agg(F.collect_list(ann).alias("annotations"), F.collect_set(F.struct(F.col("image_id").alias("id"), F.concat("image_id", F.lit(".png")).alias("file_name"))).alias("images"))
     path = scratch(spark, "coco")
     part.select("n", F.to_json(F.struct("images", "annotations")).alias("value")).write.partitionBy("n").text(path)
-    images, anns, _ = readers.read_coco(spark, f"{path}/*")
+    images, anns, _ = readers.read_coco(spark, f"{path}/*", 1 << 18)  # small files whole, others in parts
     return anns.join(images.select("image_id", "file_name"), "image_id").select("image_id", "file_name", "category_id", "x", "y", "w", "h")
 
 
@@ -85,52 +85,55 @@ def read_writers_xml(spark, d):
     return readers.read_writers_xml(spark, path)
 
 
-def _archives(spark, d) -> DataFrame:
-    """Form files of customers in archives of 200: tar for even ones, zip for odd ones. Written from tasks, through Spark."""
+def _archives(spark, d) -> str:
+    """Form files of customers in archives of 200, files that tasks write: compressed tars, zips and plain tars in turn."""
     c = table(spark, d, "customer")
     k = F.col("c_custkey")
     body = F.when(k % 11 == 0, F.concat(F.lit('<form id="f'), k, F.lit('" writer-id="'), k)).otherwise(F.concat(F.lit('<?xml version="1.0"?>\n<form id="f'), k, F.lit('" writer-id="'), k, F.lit('"><line/></form>')))
     files = c.groupBy(F.floor(k / 200).alias("n")).agg(F.collect_list(F.struct(F.concat(F.lit("xml/f"), k, F.lit(".xml")).alias("name"), body.alias("body"))).alias("files"))
+    folder = scratch(spark, "archives")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for n, files in zip(b.column("n").to_pylist(), b.column("files").to_pylist()):
-                buffer = io.BytesIO()
-                if n % 2:
-                    with zipfile.ZipFile(buffer, "w") as z:
-                        for f in files:
-                            z.writestr(f["name"], f["body"])
+            for n, members in zip(b.column("n").to_pylist(), b.column("files").to_pylist()):
+                buffer, kind = io.BytesIO(), ("tgz", "zip", "tar")[n % 3]
+                if kind == "zip":
+                    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+                        for m in members:
+                            z.writestr(m["name"], m["body"])
                 else:
-                    with tarfile.open(fileobj=buffer, mode="w:gz") as t:
-                        for f in files:
-                            info = tarfile.TarInfo(f["name"])
-                            info.size = len(f["body"].encode())
-                            t.addfile(info, io.BytesIO(f["body"].encode()))
-                out.append(buffer.getvalue())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["content"])
+                    with tarfile.open(fileobj=buffer, mode="w:gz" if kind == "tgz" else "w") as t:
+                        for m in members:
+                            info = tarfile.TarInfo(m["name"])
+                            info.size = len(m["body"].encode())
+                            t.addfile(info, io.BytesIO(m["body"].encode()))
+                ranges.write_file(f"{folder}/forms-{n}.{kind}", buffer.getvalue())
+            yield pa.RecordBatch.from_arrays([b.column("n")], ["n"])
 
-    return files.mapInArrow(pack, "content binary")
-
-
-def _members(spark, d) -> DataFrame:
-    """The archives as binary files would be read: path and content columns, kept in Parquet, then unpacked by the reader's own function."""
-    path = scratch(spark, "archives")
-    _archives(spark, d).write.parquet(path)
-    return spark.read.parquet(path).select(F.sha2("content", 256).alias("path"), "content")
+    files.mapInArrow(pack, "n long").write.format("noop").mode("overwrite").save()
+    return folder
 
 
 _HALF = "concat('<form id=\"f', c_custkey, '\" writer-id=\"', c_custkey)"
+_SIZES = f"""SELECT concat('xml/f', c_custkey, '.xml') AS member, CASE WHEN c_custkey % 11 = 0 THEN length({_HALF}) ELSE length(concat('<?xml version="1.0"?>', chr(10), {_HALF}, '"><line/></form>')) END AS size FROM customer"""
 
 
-@query(f"""SELECT concat('xml/f', c_custkey, '.xml') AS member, CASE WHEN c_custkey % 11 = 0 THEN length({_HALF}) ELSE length(concat('<?xml version="1.0"?>', chr(10), {_HALF}, '"><line/></form>')) END AS size FROM customer""")
+@query(_SIZES)
 def read_archive_members(spark, d):
-    return readers.unpacked(_members(spark, d), ".xml").select("member", F.length("content").alias("size"))
+    return readers.read_archive_members(spark, _archives(spark, d), ".xml").select("member", F.length("content").alias("size"))
+
+
+@query(f"{_SIZES} WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def read_wanted_members(spark, d):
+    """The forms of customers with orders: their names are known, so no other member is read."""
+    keys = table(spark, d, "orders").select(F.concat(F.lit("f"), "o_custkey").alias("key"))
+    form = lambda member: F.regexp_extract(member, r"([^/]+)\.xml$", 1)
+    return readers.read_archive_members(spark, _archives(spark, d), ".xml", keys, form).select("member", F.length("content").alias("size"))
 
 
 @query("SELECT concat('f', c_custkey) AS form, CAST(c_custkey + 10000 AS VARCHAR) AS writer_id FROM customer WHERE c_custkey % 11 <> 0")
 def read_form_writer_map(spark, d):
-    return readers.forms_of(readers.unpacked(_members(spark, d), ".xml"))
+    return readers.read_form_writer_map(spark, _archives(spark, d))
 
 
 @query("SELECT concat('a01-', o_orderkey) AS line_id, concat('total ', o_custkey, ' end') AS text FROM orders WHERE o_orderkey % 10 <> 0")
@@ -174,7 +177,7 @@ def read_run_results(spark, d):
     path = scratch(spark, "runs")
     parts = regions.groupBy("lecture", F.floor(F.col("slide") / 2000).alias("n")).agg(value.alias("value"))
     parts.write.partitionBy("n", "lecture").text(path)
-    out = readers.read_run_results(spark, f"{path}/*/*/*.txt")
+    out = readers.read_run_results(spark, f"{path}/*/*/*.txt", 1 << 12)
     return out.select(F.regexp_replace("lecture", "^lecture=", "").alias("lecture"), "slide", "type", "rendered")
 
 

@@ -8,9 +8,12 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioscope.sources import ranges
+from folioscope.sources.scratch import stored
+
 TRUTH_KEYS = ("gt_latex", "latex", "text")
 _SAMPLE = "image string, gt_latex string, latex string, text string, language string, writer_id string, line_id string"
 
@@ -35,10 +38,26 @@ _COCO = (
 )
 
 
-def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(images, annotations, categories)."""
+def _large_parts(spark: SparkSession, path: str | list[str], split: int, level: int) -> DataFrame | None:
+    """path, field, value of the parts of files above `split` bytes; None if there is none, or if they can't be read by range. Only places of parts are stored."""
+    large = stored(ranges.listed(spark, path).where(F.col("length") > split), "large-files")
+    if large.isEmpty():
+        return None
+    places = stored(ranges.json_places(large, level, split), "json-parts")
+    return ranges.json_texts(places) if places.where("start < 0").isEmpty() else None
+
+
+def read_coco(spark: SparkSession, path: str, split: int = ranges.CHUNK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(images, annotations, categories). Files above `split` bytes are read by many tasks, runs of elements of about so many bytes each."""
     raw = spark.read.schema(_COCO).option("multiLine", True).json(path)
-    images, anns, cats = (raw.select(F.explode(c).alias("x")).select("x.*") for c in ("images", "annotations", "categories"))
+    large, parts = _large_parts(spark, path, split, 2), []
+    raw = raw if large is None else raw.where(F.col("_metadata.file_size") <= split)
+    for f in raw.schema.fields:
+        rows = raw.select(F.explode(f.name).alias("x"))
+        if large is not None:
+            rows = rows.union(large.where(F.col("field") == f.name).select(F.explode(F.from_json("value", f.dataType)).alias("x")))
+        parts.append(rows.select("x.*"))
+    images, anns, cats = parts
     box = {n: F.col("bbox")[i] for i, n in enumerate(("x", "y", "w", "h"))}
     return images.withColumnRenamed("id", "image_id"), anns.withColumns(box).drop("bbox"), cats.withColumnsRenamed({"id": "category_id"})
 
@@ -56,9 +75,6 @@ def read_writers_xml(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_name").alias("writer_id"), F.col("_NativeLanguage").alias("language")).where(F.col("language").contains("German"))
 
 
-_MEMBERS = "archive string, member string, content binary"
-
-
 def _opened(data: bytes, suffix: str) -> Iterator[tuple[str, Callable[[], bytes]]]:
     try:
         with tarfile.open(fileobj=io.BytesIO(data)) as t:
@@ -77,11 +93,10 @@ def _opened(data: bytes, suffix: str) -> Iterator[tuple[str, Callable[[], bytes]
         return
 
 
-def unpacked(archives: DataFrame, suffix: str, keys: DataFrame | None = None) -> DataFrame:
+def unpacked(archives: DataFrame, suffix: str) -> DataFrame:
     """archive, member, content of the members with a suffix in tar and zip archives (path, content), an archive at a time.
 
-    Archives that don't open, and those without any wanted member, give no row. With keys (member), others are dropped unread:
-    a member's bytes are taken only after its name passed the suffix, and rows of unwanted names leave in the semi-join.
+    Archives that don't open, and those without any wanted member, give no row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,12 +105,30 @@ def unpacked(archives: DataFrame, suffix: str, keys: DataFrame | None = None) ->
                 for name, get in _opened(content, suffix):
                     yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([name]), pa.array([get()], pa.binary())], ["archive", "member", "content"])
 
-    out = archives.mapInArrow(run, _MEMBERS)
-    return out if keys is None else out.join(keys.select("member"), "member", "left_semi")
+    return archives.mapInArrow(run, ranges.MEMBERS)
+
 
+def read_archive_members(spark: SparkSession, paths: str | list[str], suffix: str, keys: DataFrame | None = None, key: Callable[[Column], Column] | None = None) -> DataFrame:
+    """archive, member, content of the members with a suffix in tar and zip archives.
 
-def read_archive_members(spark: SparkSession, paths: str | list[str], suffix: str, keys: DataFrame | None = None) -> DataFrame:
-    return unpacked(spark.read.format("binaryFile").load(paths).select("path", "content"), suffix, keys)
+    keys (a column `key`): only members of which key(member), the name itself if not given, is there are read at all. Members of a zip or a plain tar
+    are dealt out to tasks one by one, from the places that its directory or its headers give; a compressed tar is a stream, gone
+    through by one task for the names and by one for the contents. Archives that don't open, and those without any wanted
+    member, give no row.
+    """
+    places = ranges.archive_places(spark, paths, suffix)
+    if keys is not None:
+        own = places.withColumn("key", key(F.col("member")) if key else F.col("member"))
+        places = own.where("kind <> 'whole'").join(keys.select("key"), "key", "left_semi").select(*places.columns).union(places.where("kind = 'whole'"))
+    places = stored(places, "members")
+    out = ranges.read_places(places)
+    whole = places.where("kind = 'whole'").select(F.col("archive").alias("path"))
+    if not whole.isEmpty():
+        more = unpacked(spark.read.format("binaryFile").load(paths).select("path", "content").join(whole, "path", "left_semi"), suffix)
+        if keys is not None:
+            more = more.withColumn("key", key(F.col("member")) if key else F.col("member")).join(keys.select("key"), "key", "left_semi").select(*out.columns)
+        out = out.union(more)
+    return out
 
 
 def forms_of(members: DataFrame) -> DataFrame:
@@ -149,9 +182,12 @@ def ink_points(traces: DataFrame) -> tuple[DataFrame, DataFrame]:
 _REGION = "bbox:array<double>,class:string,confidence:double,type:string,text:string,latex:string,rendered:boolean,source:string,line_texts:array<string>"
 
 
-def read_run_results(spark: SparkSession, path: str) -> DataFrame:
-    """lecture (parent directory), slide, region (index) and the region's fields."""
-    raw = spark.read.text(path, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("lecture"), F.from_json("value", f"map<string,array<struct<{_REGION}>>>").alias("m"))
+def read_run_results(spark: SparkSession, path: str, split: int = ranges.CHUNK) -> DataFrame:
+    """lecture (parent directory), slide, region (index) and the region's fields. Files above `split` bytes are read by many tasks, runs of slides each."""
+    large, name = _large_parts(spark, path, split, 1), F.col("_metadata.file_path").alias("path")
+    raw = spark.read.text(path, wholetext=True)
+    raw = raw.select(name, "value") if large is None else raw.where(F.col("_metadata.file_size") <= split).select(name, "value").union(large.select("path", "value"))
+    raw = raw.select(F.element_at(F.split("path", "/"), -2).alias("lecture"), F.from_json("value", f"map<string,array<struct<{_REGION}>>>").alias("m"))
     slides = raw.select("lecture", F.explode("m").alias("slide", "rs"))
     return slides.select("lecture", "slide", F.posexplode("rs").alias("region", "r")).select("lecture", "slide", "region", "r.*")
 
