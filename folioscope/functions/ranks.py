@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.sources.scratch import stored
+
 
 def global_rank(df: DataFrame, bucket: Column, order: list[Column | str], name: str = "rank", by: list[str] | None = None) -> DataFrame:
     """Adds 1-based ranks by (bucket, order), within the columns `by` if given. bucket must not disagree with the order.
@@ -20,6 +22,20 @@ def global_rank(df: DataFrame, bucket: Column, order: list[Column | str], name:
     return rows.withColumn("_own", own).join(sizes, [*by, "_bucket"]).withColumn(name, F.col("_before") + F.col("_own")).drop("_bucket", "_own", "_before")
 
 
+def sum_before(df: DataFrame, value: Column, order: list[Column | str], name: str = "before") -> DataFrame:
+    """Adds the sum of value over all rows before, by order (a total one).
+
+    Rows are cut into ranges of the order, as many as there are shuffle partitions, and stored with the number of theirs; only sums of ranges
+    meet in one window, and rows are summed up within their range.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(df.withColumn("_value", value).repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = rows.groupBy("_range").agg(F.sum("_value").alias("_sum"))  # n rows at most
+    sums = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    own = F.coalesce(F.sum("_value").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_own", own).join(F.broadcast(sums), "_range").withColumn(name, F.col("_ahead") + F.col("_own")).drop("_value", "_range", "_ahead", "_own")
+
+
 def hash_key(seed: int | str, *ids: Column | str) -> Column:
     """md5 of seed and ids: a shuffle that any engine repeats."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *ids))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import canonicalize_latex, let, tokenize_latex
 
-#: Code points that stand for distinct tokens of a pair: 20,000 from U+4E00 on.
-_ALPHABET = 20_000
+#: Distinct tokens that have one character each: from U+4E00 on, and then all of the planes above the first.
+_BASIC, _FURTHER = 20_000, 0x100000
 
 
 def _rate(edits: Column, n: Column, hyp_empty: Column) -> Column:
@@ -26,10 +26,13 @@ def tokens_of(c: Column) -> Column:
 
 
 def _letters(tokens: Column, vocabulary: Column) -> Column:
-    """Tokens as one character each. Over 20,000 distinct tokens in a pair raise."""
-    code = lambda w: F.array_position(vocabulary, w)
-    letter = lambda w: F.when(code(w) <= _ALPHABET, F.decode(F.unhex(F.lpad(F.hex(code(w) + 0x4DFF), 4, "0")), "UTF-16BE")).otherwise(F.raise_error(F.lit("over 20,000 distinct tokens in a pair")).cast("string"))
-    return F.array_join(F.transform(tokens, letter), "")
+    """Tokens as one character each. Over a million distinct tokens in a pair, of which a distance would take 10^12 steps, raise."""
+
+    def letter(code: Column) -> Column:
+        point = F.when(code <= _BASIC, code + 0x4DFF).when(code <= _BASIC + _FURTHER, code - _BASIC + 0xFFFF).otherwise(F.raise_error(F.lit("over 1,068,576 distinct tokens in a pair")).cast("long"))
+        return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+
+    return F.array_join(F.transform(tokens, lambda w: letter(F.array_position(vocabulary, w))), "")
 
 
 def token_distance(hyp: Column, ref: Column) -> Column:
@@ -48,16 +51,30 @@ def _ngrams(tokens: Column, n: int) -> Column:
     return F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), "\u0001"))).otherwise(F.array().cast("array<string>"))
 
 
+def _numbered(grams: Column) -> Column:
+    """Each n-gram with the number of its occurrence, so that arrays share as many of these as n-grams by their lesser counts. Sorted, not compared pairwise."""
+    out = F.array().cast("array<string>")
+
+    def runs(s: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(s))
+        starts = F.filter(places, lambda i: (i == 1) | (F.element_at(s, i.cast("int")) != F.element_at(s, F.greatest(i - 1, F.lit(1)).cast("int"))))
+        last = lambda z, k: F.coalesce(F.try_element_at(z, (k + 2).cast("int")), F.size(s) + 1) - 1
+        each = lambda z: F.transform(z, lambda i, k: F.transform(F.sequence(F.lit(0), last(z, k) - i), lambda m: F.concat(F.element_at(s, i.cast("int")), F.lit("\u0002"), m)))
+        return F.flatten(let(starts, each))
+
+    return F.when(F.size(grams) == 0, out).otherwise(let(F.array_sort(grams), runs))
+
+
 def bleu(hyp: Column, ref: Column, order: int = 4) -> Column:
     """Sentence BLEU: brevity penalty times the geometric mean of clipped precisions (plus 1e-10); 0 for an empty hypothesis."""
-    count = lambda xs, g: F.size(F.filter(xs, lambda y: y == g))
 
-    def precision(z: Column) -> Column:
-        clipped = F.aggregate(F.array_distinct(z["x"]), F.lit(0), lambda s, g: s + F.least(count(z["x"], g), count(z["y"], g)))
-        return F.log(clipped / F.greatest(F.size(z["x"]), F.lit(1)) + 1e-10) / order
+    def term(a: Column, b: Column, n: int) -> Column:
+        total = F.greatest(F.size(a) - (n - 1), F.lit(0))
+        clipped = F.size(F.array_intersect(_numbered(_ngrams(a, n)), _numbered(_ngrams(b, n))))
+        return F.log(clipped / F.greatest(total, F.lit(1)) + 1e-10) / order
 
     def whole(t: Column) -> Column:
-        terms = [let(F.struct(_ngrams(t["a"], n).alias("x"), _ngrams(t["b"], n).alias("y")), precision) for n in range(1, order + 1)]
+        terms = [term(t["a"], t["b"], n) for n in range(1, order + 1)]
         penalty = F.least(F.lit(1.0), F.exp(1 - F.size(t["b"]) / F.size(t["a"])))
         return F.when(F.size(t["a"]) == 0, 0.0).otherwise(penalty * F.exp(sum(terms, F.lit(0.0))))
 

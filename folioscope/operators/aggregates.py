@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import scores
+from folioscope.operators import selection
 from folioscope.operators.matching import best_boxes, tp_fp_assign
 
 
@@ -123,23 +124,25 @@ def run_summary(results: DataFrame, log: DataFrame, key: str = "lecture") -> Dat
     return counts.join(log, key, "left")
 
 
-def corpus_summary(runs: DataFrame) -> DataFrame:
+def corpus_summary(runs: DataFrame, limit: int = selection.LIMIT) -> DataFrame:
     """One row over run summaries: totals, weighted, mean, spread and extreme render rates, drops and pooled timing."""
     rate, c = F.col("render_rate"), F.col
     some = rate.isNotNull()
     order = lambda sign: F.struct(rate * sign, c("lecture"))
-    return runs.agg(
+    out = runs.agg(
         F.count(F.lit(1)).alias("n_lectures"), *(F.sum(x).alias(x) for x in ("n_slides", "n_text", "n_math", "n_rendered")),
-        (F.sum("n_rendered") / F.sum("n_math")).alias("weighted_rate"), F.avg(rate).alias("mean_rate"), F.stddev_samp(rate).alias("std_rate"), F.median(rate).alias("median_rate"),
+        (F.sum("n_rendered") / F.sum("n_math")).alias("weighted_rate"), F.avg(rate).alias("mean_rate"), F.stddev_samp(rate).alias("std_rate"),
         F.min(F.when(some, order(1)))["lecture"].alias("min_lecture"), F.min(F.when(some, order(-1)))["lecture"].alias("max_lecture"), F.count_if(rate == 1.0).alias("n_full"),
     )
+    return out.join(selection.medians(runs, "render_rate", [], limit).withColumnRenamed("median", "median_rate"))  # one row each
 
 
-def distribution(df: DataFrame, col: str, by: list[str]) -> DataFrame:
-    """mean, sample std (0 for one value), median, min, max, n; groups without values have nulls and n = 0."""
+def distribution(df: DataFrame, col: str, by: list[str], limit: int = selection.LIMIT) -> DataFrame:
+    """mean, sample std (0 for one value), median, min, max, n; groups without values have nulls and n = 0. Medians are exact and of any group size."""
     c = F.col(col)
     std = F.when(F.count(c) == 1, 0.0).otherwise(F.stddev_samp(c))
-    return df.groupBy(*by).agg(F.avg(c).alias("mean"), std.alias("std"), F.median(c).alias("median"), F.min(c).alias("min"), F.max(c).alias("max"), F.count(c).alias("n"))
+    out = df.groupBy(*by).agg(F.avg(c).alias("mean"), std.alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.count(c).alias("n"))
+    return selection.same_keys(out, selection.medians(df, col, by, limit), by).select(*by, "mean", "std", "median", "min", "max", "n")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,42 +14,81 @@ from pyspark.sql import types as T
 from folioscope.functions import scores
 from folioscope.functions.text import normalize_math_latex
 from folioscope.operators import filters
+from folioscope.sources.scratch import stored
 
 Predict = Callable[[str], str | None]
+#: Rows that a backend gets at once.
+BATCH = 64
 
 
-def recognize(df: DataFrame, make: Callable[[], Predict], input_col: str, out: str = "pred") -> DataFrame:
-    """df with a column of predictions. make is called once a partition; a failure or None on a row gives ''."""
+class Backend(Protocol):
+    """What make gives: answers to a list of inputs, in order, and an end. A plain function of one input will do as well."""
 
-    def one(predict: Predict, value) -> str:
+    def predict(self, values: list) -> list[str | None]: ...
+
+    def unload(self) -> None: ...
+
+
+def _answers(backend, values: list) -> list[str]:
+    """Predictions of a batch. If the batch fails or has the wrong length, its rows are taken one by one; failures and None are ''."""
+    one = backend if not hasattr(backend, "predict") else lambda v: backend.predict([v])[0]
+    if hasattr(backend, "predict"):
         try:
-            return predict(value) or ""
+            said = list(backend.predict(values))
+            if len(said) == len(values):
+                return [x or "" for x in said]
         except Exception:  # noqa: BLE001  a user's function may fail in any way
-            return ""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = make()
-        for b in batches:
-            yield b.append_column(out, pa.array([one(predict, v) for v in b.column(input_col).to_pylist()], pa.string()))
+            pass
+    out = []
+    for v in values:
+        try:
+            out.append(one(v) or "")
+        except Exception:  # noqa: BLE001
+            out.append("")
+    return out
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
 
+def _recognised(df: DataFrame, make: Callable[[], Backend | Predict], input_col: str, out: str, size: int, error: str | None) -> DataFrame:
+    """error: the column that tells why set-up failed in a row's task; None: set-up must work."""
 
-def run_backends(df: DataFrame, makers: dict[str, Callable[[], Predict]], input_col: str) -> DataFrame:
-    """All backends over the same rows, with backend, pred and error. A backend whose set-up fails gives one error row."""
-    parts = []
-    for name, make in makers.items():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        backend, why = None, None
         try:
-            make()
+            backend = make()
         except Exception as e:  # noqa: BLE001
-            none = df.limit(1).select(*(F.lit(None).cast(t).alias(c) for c, t in df.dtypes), F.lit("").alias("pred"))
-            parts.append(none.withColumns({"backend": F.lit(name), "error": F.lit(str(e))}))
-            continue
-        parts.append(recognize(df, make, input_col).withColumns({"backend": F.lit(name), "error": F.lit(None).cast("string")}))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            if error is None:
+                raise
+            why = str(e)
+        try:
+            for b in batches:
+                values = b.column(input_col).to_pylist()
+                said = [""] * len(values) if why is not None else [x for at in range(0, len(values), size) for x in _answers(backend, values[at : at + size])]
+                b = b.append_column(out, pa.array(said, pa.string()))
+                yield b if error is None else b.append_column(error, pa.array([why] * len(values), pa.string()))
+        finally:
+            if hasattr(backend, "unload"):
+                backend.unload()
+
+    added = [T.StructField(c, T.StringType()) for c in (out, error) if c is not None]
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *added]))
+
+
+def recognize(df: DataFrame, make: Callable[[], Backend | Predict], input_col: str, out: str = "pred", size: int = BATCH) -> DataFrame:
+    """df with a column of predictions. make is called once a task, unload at its end, whether it ends well or not; a failure or None on a row gives ''."""
+    return _recognised(df, make, input_col, out, size, None)
+
+
+def run_backends(df: DataFrame, makers: dict[str, Callable[[], Backend | Predict]], input_col: str, size: int = BATCH) -> DataFrame:
+    """All backends over the same rows, with backend, pred and error. Set-up is on executors only, and each row is predicted once.
+
+    A backend whose set-up fails in every task gives one error row; if it fails in some tasks, their rows have the error and an empty pred.
+    """
+    parts = [_recognised(df, make, input_col, "pred", size, "error").withColumn("backend", F.lit(name)) for name, make in makers.items()]
+    rows = stored(reduce(DataFrame.unionByName, parts), "predictions")
+    broken = rows.groupBy("backend").agg(F.count_if(F.col("error").isNull()).alias("_n"), F.min("error").alias("error")).where("_n = 0").drop("_n")  # a row a backend
+    none = [F.lit(None).cast(t).alias(c) for c, t in df.dtypes]
+    failed = broken.select(*none, F.lit("").alias("pred"), "error", "backend")
+    return rows.join(F.broadcast(broken.select("backend")), "backend", "left_anti").select(*rows.columns).unionByName(failed)
 
 
 def score_tracks(df: DataFrame, filter_first: bool = True) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.boxes import flip_classes
-from folioscope.functions.ranks import hash_key, hash_rank
+from folioscope.functions.ranks import hash_key, hash_rank, sum_before
 
 
 def _size(df: DataFrame) -> DataFrame:
@@ -33,8 +33,7 @@ def group_strict_split(df: DataFrame, key: str, frac: float = 0.2) -> DataFrame:
     """split: whole groups, smallest first (then by key), go to val while what is there stays below round(n * frac)."""
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = F.broadcast(sizes.agg(F.sum("_n").alias("_total")))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_n", key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a group
-    sizes = sizes.withColumn("_before", before).join(total)
+    sizes = sum_before(sizes, F.col("_n"), ["_n", key], "_before").join(total)
     sizes = sizes.select(key, F.when(F.col("_before") < F.bround(F.col("_total") * frac, 0), "val").otherwise("train").alias("split"))
     return df.join(sizes, key)
 

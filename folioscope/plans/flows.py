@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import boxes, scores, text
 from folioscope.operators import aggregates, filters, matching, recognise, sampling
 from folioscope.operators.joins import refine_boxes, restrict_to_split
+from folioscope.sources.scratch import stored
 from folioscope.sources.readers import TEXT_COLUMNS, WRITER_COLUMNS, detect_column
 from folioscope.sources.writers import dataset_info
 
@@ -29,7 +29,8 @@ def region_pipeline(det: DataFrame, points: DataFrame, candidates: DataFrame | N
     if candidates is not None:
         extra = filters.filter_ink_candidates(candidates, own).withColumnRenamed("cand_id", "det_id")
         own = own.unionByName(extra.select(*(F.col(c).cast(t) for c, t in own.dtypes)))
-    own = matching.merge_row_fragments(matching.merge_detections(own))
+    own = stored(matching.merge_detections(stored(own, "boxes")), "merged")
+    own = matching.merge_row_fragments(own)
     own = filters.drop_header_band(own.join(size, "image_id"))
     if typeset_filter:
         typeset = features.where(filters.is_typeset()).select("det_id")
@@ -44,7 +45,21 @@ def region_pipeline(det: DataFrame, points: DataFrame, candidates: DataFrame | N
     rendered = (F.col("type") == "math") & ~filters.is_garbage_latex(F.col("latex"))
     rows = rows.withColumn("rendered", rendered).withColumn("latex", F.when(F.col("rendered"), F.col("latex")).otherwise(""))
     rows = rows.select("image_id", "det_id", "type", "score", "x1", "y1", "x2", "y2", "source", F.when(F.col("type") == "text", F.col("clean")).otherwise("").alias("text"), "latex", "rendered")
-    return matching.drop_text_covered_by_math(matching.dedupe_text(rows).persist(StorageLevel.MEMORY_AND_DISK))  # read three times
+    return without_repeats(rows)
+
+
+def without_repeats(rows: DataFrame, covered_always: bool = False) -> DataFrame:
+    """Regions without repeated texts, then without texts that rendered maths covers.
+
+    An image with fewer than two texts is left as it is by both steps, unless covered_always.
+    """
+    rows = stored(rows, "regions")
+    out = stored(matching.dedupe_text(rows), "distinct-texts")
+    if covered_always:
+        return matching.drop_text_covered_by_math(out)
+    several = stored(rows.where("type = 'text'").groupBy("image_id").count().where("count > 1").select("image_id"), "images")
+    own = matching.drop_text_covered_by_math(out.join(several, "image_id", "left_semi"))
+    return own.unionByName(out.join(several, "image_id", "left_anti"))
 
 
 def replay_filters(results: DataFrame, features: DataFrame) -> DataFrame:
