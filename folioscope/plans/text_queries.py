@@ -6,19 +6,15 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import scores, text
 from folioscope.operators import aggregates, filters, recognise
-from folioscope.plans.registry import fixture, query, rounded, table
-
-_ASCII = "regexp_replace(text, '[^ -~\n]', '?', 'g')"
-
+from folioscope.plans.registry import edits, fixture, query, rounded, table
 
 def german(spark, d):
-    """doc_id and text of German documents, ASCII only so that engines agree, with transcribed umlauts put in."""
+    """doc_id and text of German documents, with transcribed umlauts put in beside their own."""
     docs = table(spark, d, "documents").where("lang = 'de'")
-    c = F.regexp_replace("text", "[^ -~\n]", "?")
-    return docs.select("doc_id", F.replace(F.replace(c, F.lit(" er "), F.lit(" oe ")), F.lit(" in "), F.lit(" fuer, ")).alias("text"))
+    return docs.select("doc_id", F.replace(F.replace("text", F.lit(" er "), F.lit(" oe ")), F.lit(" in "), F.lit(" fuer, ")).alias("text"))
 
 
-_GERMAN = f"(SELECT doc_id, replace(replace({_ASCII}, ' er ', ' oe '), ' in ', ' fuer, ') AS text FROM documents WHERE lang = 'de')"
+_GERMAN = f"(SELECT doc_id, replace(replace(text, ' er ', ' oe '), ' in ', ' fuer, ') AS text FROM documents WHERE lang = 'de')"
 
 
 @query("SELECT doc_id, md5(nfc_normalize(text)) AS nfc FROM documents")
@@ -53,7 +49,7 @@ def correct_german(spark, d):
     return german(spark, d).select("doc_id", F.md5(text.correct_german(F.col("text"))).alias("fixed"))
 
 
-_WORDS = "SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{{2,}}')) AS word FROM {src} g"
+_WORDS = "SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-zäöüß]{{2,}}')) AS word FROM {src} g"
 _VOCAB = f"(SELECT word, count(DISTINCT doc_id) AS freq FROM ({_WORDS.format(src=_GERMAN)}) w GROUP BY word HAVING count(DISTINCT doc_id) >= 5)"
 
 
@@ -83,9 +79,9 @@ def german_word_ratio(spark, d):
 
 @query(f"""WITH v AS {_VOCAB}, p AS (SELECT doc_id, unnest(string_split(text, ' ')) AS raw, unnest(range(len(string_split(text, ' ')))) AS pos
     FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM {_GERMAN} g) t),
-  q AS (SELECT *, regexp_replace(raw, '[^a-zA-Z]', '', 'g') AS word FROM p), o AS (SELECT DISTINCT word FROM q WHERE length(word) >= 3 AND word NOT IN (SELECT word FROM v)),
-  b AS (SELECT o.word, v.word AS cand, row_number() OVER (PARTITION BY o.word ORDER BY levenshtein(o.word, v.word), v.freq DESC, v.word) AS k
-        FROM o JOIN v ON abs(length(o.word) - length(v.word)) <= 2 AND levenshtein(o.word, v.word) <= 2)
+  q AS (SELECT *, regexp_replace(raw, '[^\\p{{L}}]', '', 'g') AS word FROM p), o AS (SELECT DISTINCT word FROM q WHERE length(word) >= 3 AND word NOT IN (SELECT word FROM v)),
+  b AS (SELECT o.word, v.word AS cand, row_number() OVER (PARTITION BY o.word ORDER BY {edits("o.word", "v.word")}, v.freq DESC, v.word) AS k
+        FROM o JOIN v ON abs(length(o.word) - length(v.word)) <= 2 AND {edits("o.word", "v.word")} <= 2)
   SELECT q.doc_id, string_agg(CASE WHEN b.cand IS NULL THEN raw ELSE replace(raw, q.word, b.cand) END, ' ' ORDER BY pos) AS text FROM q LEFT JOIN b ON q.word = b.word AND b.k = 1 GROUP BY q.doc_id""")
 def spell_correct(spark, d):
     docs = german(spark, d).select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
@@ -148,10 +144,9 @@ def clean_vlm_text(spark, d):
 
 
 @query(r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(replace(html, '<end_of_utterance>', ' '), '<loc_\d+>', ' ', 'g'), '</?[a-zA-Z_][^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS plain
-  FROM (SELECT page_id, regexp_replace(html, '[^ -~]', ' ', 'g') AS html FROM pages) p""")
+  FROM pages""")
 def strip_doctags(spark, d):
-    html = F.regexp_replace("html", "[^ -~]", " ")
-    return table(spark, d, "pages").select("page_id", F.md5(text.strip_doctags(html)).alias("plain"))
+    return table(spark, d, "pages").select("page_id", F.md5(text.strip_doctags(F.col("html"))).alias("plain"))
 
 
 @query("SELECT expr_id, CASE WHEN expr_id % 2 = 0 THEN trim(gt) ELSE trim(pred) END AS plain FROM fx_latex")
@@ -259,7 +254,7 @@ def filter_oov(spark, d):
     return filters.filter_oov(x, vocab, markers=text.HARD_UNKNOWN)[0].select("expr_id")
 
 
-_CER = "CASE WHEN length(ref) = 0 THEN CASE WHEN length(hyp) = 0 THEN 0 ELSE 1 END ELSE levenshtein(hyp, ref) / CAST(length(ref) AS DOUBLE) END"
+_CER = f"CASE WHEN length(ref) = 0 THEN CASE WHEN length(hyp) = 0 THEN 0 ELSE 1 END ELSE {edits('hyp', 'ref')} / CAST(length(ref) AS DOUBLE) END"
 
 
 @query(f"SELECT pair_id, round({_CER}, 6) AS cer FROM fx_pairs")
@@ -320,7 +315,7 @@ def score_tracks(spark, d):
     return rounded(recognise.score_tracks(x).select("expr_id", "track", "exp_rate", "cer", "bleu", "edit"), "cer", "bleu")
 
 
-@query("SELECT pair_id, CASE WHEN (CASE WHEN length(ref) = 0 THEN CASE WHEN length(hyp) = 0 THEN 0 ELSE 1 END ELSE levenshtein(ref, hyp) / CAST(length(ref) AS DOUBLE) END) > 0.30 THEN ref ELSE hyp END AS accepted FROM fx_pairs")
+@query(f"SELECT pair_id, CASE WHEN (CASE WHEN length(ref) = 0 THEN CASE WHEN length(hyp) = 0 THEN 0 ELSE 1 END ELSE {edits('ref', 'hyp')} / CAST(length(ref) AS DOUBLE) END) > 0.30 THEN ref ELSE hyp END AS accepted FROM fx_pairs")
 def edit_ratio_guard(spark, d):
     return fixture(spark, d, "fx_pairs").select("pair_id", scores.edit_ratio_guard(F.col("ref"), F.col("hyp")).alias("accepted"))
 
