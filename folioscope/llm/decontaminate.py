@@ -1,9 +1,11 @@
 """Benchmark decontamination by templates: typed placeholders, hash-joined windows, consistent slots.
 
-Tokens are space-separated words, lower-cased and stripped of punctuation at their ends. Numbers (digits, or number words, of which
-neighbours count as one), units and names (capitalised words that don't begin a sentence; neighbours count as one) become
-placeholders that keep their value as a slot. Windows of 8 tokens are hash-joined between documents and benchmark: by their
-templates if 4 tokens are literal, else by their values, so that items full of numbers are found where they are unchanged.
+Tokens are space-separated words, lower-cased and stripped of punctuation at their ends; operators (+ * / = and the like, - after a
+number) are tokens too. Numbers (digits, or number words, of which neighbours count as one), units and names (neighbours count as one)
+become placeholders that keep their value as a slot. A capitalised word is a name wherever it stands, unless the benchmark has it in
+lower case too, a tenth as often or more (among its LOWER most frequent such words). Windows of 8 tokens are hash-joined between documents and
+benchmark: by their templates if 4 tokens are literal (operators included), else by their values, as a template of hardly anything but
+placeholders says nothing: there, only unchanged values are found.
 
 Windows of a document and an item on one diagonal make a run; runs on diagonals that lie close (a quarter of the item) belong
 together, so words put in or left out don't hide an item. The tokens of runs are compared place by place: those of equal template are
@@ -13,8 +15,8 @@ tokens are matched on one diagonal and all values are equal; `reparameterised` i
 equal but not all tokens are there in a row.
 
 The benchmark's window hashes and words go to the tasks (as a broadcast variable) while they are at most KEYS windows; beyond that all
-windows are shuffled for the join. Items under 8 tokens are matched whole if 4 are literal. Null and empty texts match nothing; very
-long texts are windowed whole. Rows that repeat a document give one result row; items of equal id and different text are matched each.
+windows are shuffled for the join. Items of 3 to 7 tokens are matched whole: by template if 3 are literal, else by values. Items of one or
+two tokens are no questions and match nothing, nor do null and empty texts and empty tables; very long texts are windowed whole. Rows that repeat a document give one result row; items of equal id and different text are matched each.
 """
 
 from __future__ import annotations
@@ -34,6 +36,10 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import NULL_ID, documents, identified, kept, sided, text_batches, wrapped
 
 WINDOW, LITERALS, COVER, APART = 8, 4, 0.5, 0.25
+#: Least tokens of an item; literal ones of a short item that is matched by its template.
+SHORTEST, SHORT_LITERALS = 3, 3
+#: Words of the benchmark in lower case that are known not to be names, the most frequent ones.
+LOWER = 200_000
 KEYS = 4_000_000
 UNITS = frozenset(
     "mm cm dm m km inch inches foot feet yard yards mile miles mg g kg t gram grams kilogram kilograms ton tons tonne tonnes ounce ounces pound pounds lb lbs "
@@ -46,42 +52,44 @@ NUMBERS = frozenset(
     "fifty sixty seventy eighty ninety hundred thousand million billion".split()
 )
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*")
-_GLUED = re.compile(r"(?<=\d)(?=[A-Za-z%°€£$])")
+_GLUED = re.compile(r"(?<=\d)(?=[A-Za-z%°€£$+*=×÷^])|(?<=\d[+*=×÷^])(?=\d)")
+OPERATORS, MINUS = frozenset("+*/=×÷^<>"), frozenset("-−–")
 _PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "%$") + "«»“”„‘’…–—¿¡"
 LITERAL, NUMBER, UNIT, NAME = range(4)
 _HOLDER = np.array([0, 0x1D8E4E27C47D124F, 0x2545F4914F6CDD1D, 0x3C6EF372FE94F82B], np.uint64)
 _CACHE = 800_000
 
 
-def word_kind(word: str) -> tuple[str, int, bool, bool]:
-    """Core, kind by the word alone, whether it is capitalised, whether it ends a sentence."""
+def word_kind(word: str) -> tuple[str, int, bool]:
+    """Core, kind by the word alone, whether it is capitalised."""
     if word.isalpha() and word.islower():  # most words
-        return word, NUMBER if word in NUMBERS else UNIT if word in UNITS else LITERAL, False, False
+        return word, NUMBER if word in NUMBERS else UNIT if word in UNITS else LITERAL, False
+    if word in OPERATORS or word in MINUS:
+        return word if word in OPERATORS else "-", LITERAL, False
     core = word.strip(_PUNCTUATION)
     low = core.lower()
-    ends = word.rstrip("\"'»”’)]")[-1:] in ".!?:"
     if _NUMBER.fullmatch(core) or low in NUMBERS:
-        return low, NUMBER, False, ends
+        return low, NUMBER, False
     if low in UNITS and (len(low) > 1 or core == low):
-        return low, UNIT, False, ends
-    return low, LITERAL, core[:1].isupper() and core[1:].islower(), ends
+        return low, UNIT, False
+    return low, LITERAL, core[:1].isupper() and core[1:].islower()
 
 
 class Words:
-    """Hash and flags of distinct words, cached up to a bound; columns: hash, kind, capital, ends a sentence, blank, sought, spelled number.
+    """Hash and flags of distinct words, cached up to a bound; columns: hash, kind, capital, blank, sought, spelled number, minus, in lower case known.
 
     With a vocabulary, only its literal words are sought and hashed; a window with any other can't match. Words like 5kg are two: they
     stand in `cut` with their parts, and at place -1.
     """
 
-    def __init__(self, vocabulary: frozenset[str] | None = None) -> None:
-        self.vocabulary, self.index, self.cut, self.size = vocabulary, {}, {}, 0
-        self.table = [np.empty(1 << 16, t) for t in (np.uint64, np.int8, bool, bool, bool, bool, bool)]
+    def __init__(self, lower: frozenset[str], vocabulary: frozenset[str] | None = None) -> None:
+        self.lower, self.vocabulary, self.index, self.cut, self.size = lower, vocabulary, {}, {}, 0
+        self.table = [np.empty(1 << 16, t) for t in (np.uint64, np.int8, bool, bool, bool, bool, bool, bool)]
 
     def row(self, word: str) -> tuple:
-        core, kind, capital, ends = word_kind(word)
+        core, kind, capital = word_kind(word)
         sought = kind != LITERAL or self.vocabulary is None or core in self.vocabulary
-        return xxhash.xxh64_intdigest(core.encode()) if sought else 0, kind, capital, ends, not core, sought, kind == NUMBER and core.isalpha()
+        return xxhash.xxh64_intdigest(core.encode()) if sought else 0, kind, capital, not core, sought, kind == NUMBER and core.isalpha(), word in MINUS, core in self.lower
 
     def _learn(self, words: set[str]) -> None:
         for w in words:
@@ -120,15 +128,14 @@ class Words:
 
     def tokens(self, at: np.ndarray, sizes: np.ndarray) -> Tokens:
         """The tokens of texts of so many words at these places."""
-        hashed, kind, capital, ends, blank, sought, spelled = (a[at] for a in self.table)
+        hashed, kind, capital, blank, sought, spelled, minus, known = (a[at] for a in self.table)
         begins = np.zeros(len(at) + 1, bool)
         begins[np.cumsum(sizes) - sizes] = True
         begins = begins[:-1]
-        first = begins.copy()
-        first[1:] |= ends[:-1]
-        kind = np.where((kind == LITERAL) & capital & ~first, NAME, kind)
+        kind = np.where((kind == LITERAL) & capital & ~known, NAME, kind)
         name = kind == NAME
-        keep = ~blank
+        keep = ~blank & ~minus
+        keep[1:] |= minus[1:] & (kind[:-1] == NUMBER) & ~begins[1:]
         keep[1:] &= begins[1:] | ~(name[1:] & name[:-1] | spelled[1:] & spelled[:-1])
         where = np.flatnonzero(keep)
         kind, value = kind[where], hashed[where]
@@ -149,15 +156,15 @@ class Tokens(NamedTuple):
 
 
 def windows(t: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the windows of n sought tokens inside a text: of templates with enough literal tokens, else (full windows) of values."""
-    if not 0 < n <= len(t.kind):
+    """Hashes and places of the windows of n sought tokens inside a text: of templates with enough literal tokens, else of values."""
+    if not SHORTEST <= n <= len(t.kind):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     count = np.cumsum(np.concatenate([[0], t.sought]))
     at = np.flatnonzero((count[n:] - count[:-n] == n) & (t.text[n - 1 :] == t.text[: len(t.text) - n + 1]))
     literal = np.cumsum(np.concatenate([[0], t.kind == LITERAL]))
-    many = literal[at + n] - literal[at] >= LITERALS
+    many = literal[at + n] - literal[at] >= (LITERALS if n == WINDOW else SHORT_LITERALS)
     keys, places = [], []
-    for own, column, seed in ((at[many], t.template, n), (at[~many] if n == WINDOW else at[:0], t.value, 0)):
+    for own, column, seed in ((at[many], t.template, n), (at[~many], t.value, WINDOW - n)):
         out = np.full(len(own), seed, np.uint64)
         for k in range(n):
             out = (out ^ column[own + k]) * np.uint64(0x9E3779B97F4A7C15)
@@ -170,12 +177,12 @@ def windows(t: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
 _HITS = "_id long, _th long, key long, pos long, n long"
 
 
-def _windowed(sought: Broadcast | None, lengths: list[int] | None) -> Callable:
+def _windowed(lower: Broadcast, sought: Broadcast | None, lengths: list[int] | None) -> Callable:
     """Windows of documents by the given lengths, all or those among sorted keys. No lengths: an item's own, WINDOW or the whole of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, vocabulary = sought.value if sought else (None, None)
-        words = Words(vocabulary)
+        words = Words(lower.value, vocabulary)
         for b in batches:
             texts, ids = b.column("text").to_pylist(), [b.column(c).to_numpy() for c in ("_id", "_th")]
             for lo in range(0, len(texts), 100 if lengths else 1):
@@ -241,11 +248,23 @@ def judged(cache: Words, item: str, own: str, runs: list[dict]) -> dict | None:
     return {"kind": kind, "n_matched": len(k), "n_item_tokens": n, "coverage": round(len(k) / n, 6), "position": int(parts[1][0].where[there.min()])}
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = Words()
-    for b in batches:
-        rows = [{"doc_id": x["doc_id"], "item_id": x["item_id"]} | found for x in b.to_pylist() if (found := judged(cache, x["item"], x["text"], x["runs"]))]
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([(c, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[k]) for c, k in (f.split() for f in _FOUND.split(", "))]))
+def _verified(lower: Broadcast) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = Words(lower.value)
+        for b in batches:
+            rows = [{"doc_id": x["doc_id"], "item_id": x["item_id"]} | found for x in b.to_pylist() if (found := judged(cache, x["item"], x["text"], x["runs"]))]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([(c, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[k]) for c, k in (f.split() for f in _FOUND.split(", "))]))
+
+    return run
+
+
+def lower_words(items: DataFrame) -> frozenset[str]:
+    """The most frequent words that items have in lower case, a tenth as often as capitalised or more."""
+    words = items.select(F.explode(F.split(F.coalesce("text", F.lit("")), r"(?U)\s+")).alias("word"))
+    words = words.select(F.regexp_replace("word", r"^[^\p{L}]+|[^\p{L}]+$", "").alias("word")).where(F.col("word").rlike(r"^\p{L}\p{Ll}*$"))
+    small = F.col("word") == F.lower("word")
+    words = words.groupBy(F.lower("word").alias("word")).agg(F.count_if(small).alias("n"), F.count_if(~small).alias("capital")).where("n > 0 AND n * 10 >= capital")
+    return frozenset(r["word"] for r in words.orderBy(F.desc("n"), "word").limit(LOWER).collect())
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -253,7 +272,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     docs, spark = identified(docs), docs.sparkSession
     bench = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     bench = kept(bench.select("item_id", "text", F.coalesce("item_id", F.lit(NULL_ID)).alias("_id"), F.xxhash64("text").alias("_th")).dropDuplicates(["_id", "_th"]), "items")
-    theirs = kept(bench.select("_id", "_th", "text").mapInArrow(_windowed(None, None), _HITS), "item-windows")
+    lower = spark.sparkContext.broadcast(lower_words(bench))
+    theirs = kept(bench.select("_id", "_th", "text").mapInArrow(_windowed(lower, None, None), _HITS), "item-windows")
     sought = None
     if theirs.select("key").distinct().count() <= KEYS:  # so is what the vocabulary has
         cores = bench.select(F.explode(F.split(F.regexp_replace("text", r"(?U)\s+", " "), " ")).alias("word")).distinct()
@@ -261,7 +281,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         keys = np.sort(theirs.select("key").distinct().toArrow()["key"].to_numpy())
         sought = spark.sparkContext.broadcast((keys, vocabulary))
     lengths = [r["n"] for r in theirs.select(F.least("n", F.lit(WINDOW)).alias("n")).distinct().collect()]  # WINDOW values at most
-    hits = docs.select("_id", "_th", "text").mapInArrow(_windowed(sought, lengths or [WINDOW]), _HITS)
+    hits = docs.select("_id", "_th", "text").mapInArrow(_windowed(lower, sought, lengths or [WINDOW]), _HITS)
     side = sided(theirs).select("key", F.col("_id").alias("item"), F.col("_th").alias("item_th"), F.col("pos").alias("item_pos"), F.col("n").alias("item_n"))
     joined = hits.select("_id", "_th", "key", "pos").join(side, "key")
     pair = ["_id", "_th", "item", "item_th", "item_n"]
@@ -276,7 +296,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = docs.join(sided(runs), ["_id", "_th"]).join(F.broadcast(texts) if small else texts, ["item", "item_th"])
     found = found.select("doc_id", "item_id", "text", F.col("item_text").alias("item"), "runs")
     best = F.max(F.struct("coverage", "kind", "n_matched", "n_item_tokens", "position")).alias("x")
-    return found.mapInArrow(_verified, _FOUND).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.kind", "x.n_matched", "x.n_item_tokens", "x.coverage", "x.position")
+    return found.mapInArrow(_verified(lower), _FOUND).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.kind", "x.n_matched", "x.n_item_tokens", "x.coverage", "x.position")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -86,33 +87,79 @@ def test_items_full_of_numbers_and_number_words(spark):
     assert kinds(spark, rows, items) == {(1, 100): "exact", (2, 100): "partial", (3, 101): "reparameterised", (4, 101): "reparameterised"}
 
 
-def plain_tokens(text):
-    """(template, value) of each token, one word after another."""
-    out, first, before = [], True, None
-    for word in re.sub(r"(?<=\d)(?=[A-Za-z%°€£$])", " ", text).split():
-        core, kind, capital, ends = word_kind(word)
-        kind = 3 if kind == 0 and capital and not first else kind
+def lower_of(texts):
+    words = Counter(w for t in texts for x in (t or "").split() if (w := x.strip(_PUNCTUATION)).isalpha())
+    return {w for w in words if w == w.lower() and 10 * words[w] >= words[w.capitalize()]}
+
+
+@pytest.mark.parametrize("changed", [True, False])
+def test_short_questions_sums_and_names_at_sentence_starts(spark, changed):
+    items = [
+        (1, "What is 7 times 8?"), (2, "Compute 12 + 5 - 3 * 4 + 20 - 6 = 19 now"), (3, "Anna has 3 apples and Ben has 5 pears , so how many more pears are there in all ?"),
+        (4, "Paul buys 4 pens. Anna buys 4 books. How many items does Paul have after Anna gives him 2 of them?"), (5, "3 4"), (6, "yes"), (7, "12 km"), (8, "It is so that what 7x8=56 means is clear"),
+    ]
+    rows = {
+        True: [(1, "What is 9 times 3?"), (2, "Compute 11 + 7 - 2 * 5 + 30 - 8 = 32 now"), (3, "Lara has 4 apples and Tom has 9 pears , so how many more pears are there in all ?"),
+               (4, "Lisa buys 6 pens. Tom buys 6 books. How many items does Lisa have after Tom gives him 3 of them?")],
+        False: [(1, "What is a times table?"), (2, "Compute 11 * 7 / 2 + 5 / 30 = 8 soon"), (3, "Lara has 4 apples and Lara has 9 pears , so how many more pears are there in all ?"),
+                (4, "Lisa buys 6 pens. Lisa buys 7 books. How many items does Tom have after Lisa gives him 3 of them?"), (5, "3 4 yes 12 km")],
+    }
+    exact = [(i + 100, t) for i, t in items[:4]] + [(108, items[7][1])]
+    want = {(i + 100, i): "exact" for i in (1, 2, 3, 4, 8)} | ({(i, i): "reparameterised" for i in (1, 2, 3, 4)} if changed else {})
+    assert kinds(spark, rows[changed] + exact, items) == want
+
+
+def test_recall_of_reparameterised_items_by_number_of_literals(spark):
+    """Every value of an item is changed to another, consistently; items have 3 literal tokens (of 5 to 7) to 20."""
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in ("ba", "do", "ke", "li", "mu", "ta", "so") for b in ("rn", "st", "lk", "mp", "nd", "gel")]
+    names, items, docs = ["Anna", "Ben", "Carla", "Dora", "Emil", "Fritz"], [], []
+    for k in range(160):
+        n = 3 + k % 18
+        values = [*rng.sample(names, 2), *map(str, rng.sample(range(2, 90), 2))]
+        slots = [rng.choice(values) for _ in range(max(2, n // 3))]
+        own = rng.choices(words, k=n)
+        for v in slots:
+            own.insert(rng.randrange(len(own) + 1), v)
+        items.append((k, " ".join(own)))
+        new = dict(zip(values, [*rng.sample(sorted({"Gina", "Hans", "Ida", "Jan"}), 2), *map(str, rng.sample(range(100, 900), 2))]))
+        docs.append((k, "filler " * rng.randrange(1, 30) + " ".join(new.get(w, w) for w in own) + " and more filler"))
+    rows = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {r["doc_id"] for r in rows if r["doc_id"] == r["item_id"] and r["kind"] == "reparameterised"}
+    by = {n: np.mean([k in found for k in range(160) if 3 + k % 18 == n]) for n in range(3, 21)}
+    print("recall by literals", {n: round(float(x), 2) for n, x in by.items()})
+    assert len(found) >= 0.9 * 160 and len(rows) == len({(r["doc_id"], r["item_id"]) for r in rows})
+
+
+def plain_tokens(text, lower):
+    """(template, value, core) of each token, one word after another."""
+    out, before = [], None
+    for word in re.sub(r"(?<=\d)(?=[A-Za-z%°€£$+*=×÷^])|(?<=\d[+*=×÷^])(?=\d)", " ", text).split():
+        core, kind, capital = word_kind(word)
+        kind = 3 if kind == 0 and capital and core not in lower else kind
         spelled = kind == 1 and core.isalpha()
+        if word in ("-", "–", "−") and not (before and before[0] == 1):
+            core = ""
         if core:
             value = word.strip(_PUNCTUATION).lower()
             if before and (kind == 3 and before[0] == 3 or spelled and before[1]):
                 out[-1][1] += " " + value
             else:
                 out.append([core if kind == 0 else kind, value, core])
-        first, before = ends, (kind, spelled)
+        before = (kind, spelled)
     return [tuple(x) for x in out]
 
 
-def brute_leak(doc, item):
+def brute_leak(doc, item, lower):
     """kind by the docstring's rules, over all windows and all diagonals."""
-    own, its = plain_tokens(doc), plain_tokens(item)
-    n = min(8, len(its))
+    own, its = plain_tokens(doc, lower), plain_tokens(item, lower)
+    n = min(8, len(its)) if len(its) >= 3 else 0
 
     def key(tokens, at):
         part = tokens[at : at + n]
-        if sum(isinstance(t[0], str) for t in part) >= 4:
+        if sum(isinstance(t[0], str) for t in part) >= (4 if n == 8 else 3):
             return tuple(t[0] for t in part)
-        return ("values", *(t[2] for t in part)) if n == 8 else None
+        return ("values", *(t[2] for t in part))
 
     if not n:
         return None
@@ -146,8 +193,8 @@ def brute_leak(doc, item):
 
 def test_leaks_by_brute_force_over_all_alignments(spark):
     rng = random.Random(5)
-    words = "the a of shop farmer sells train leaves apples pears and then to with corner market".split()
-    slot = lambda: rng.choice(["5", "6", "7", "twenty", "five", "km", "Berlin", "Anna", "10kg"])
+    words = "the a of shop farmer sells train leaves apples pears and then to with corner market. Then + - =".split()
+    slot = lambda: rng.choice(["5", "6", "7", "twenty", "five", "km", "Berlin", "Anna", "10kg", "3+4", "Ben."])
     items = [(k, " ".join(slot() if rng.random() < 0.25 + 0.4 * (k % 4 == 0) else rng.choice(words) for _ in range(rng.randrange(3, 30)))) for k in range(25)]
     docs = [(0, ""), (1, None)]
     for k in range(2, 150):
@@ -158,7 +205,8 @@ def test_leaks_by_brute_force_over_all_alignments(spark):
             own = own[:at] + [slot()] + own[at + 1 :] if change == 0 else own[:at] + own[at + 1 :] if change == 1 else own[:at] + [rng.choice(words)] + own[at:] if change == 2 else [w.replace("5", "8") for w in own]
         docs.append((k, " ".join(["Some", *rng.choices(words, k=rng.randrange(0, 9)), *own, *rng.choices(words, k=3), *(own if k % 9 == 0 else [])])))
     docs.append((150, " ".join(rng.choices(words, k=40_000)) + " " + items[3][1]))  # a very long text
-    want = {(i, k): x for i, t in docs[:-1] for k, item in items if (x := brute_leak(t or "", item))}
+    lower = lower_of(item for _, item in items)
+    want = {(i, k): x for i, t in docs[:-1] for k, item in items if (x := brute_leak(t or "", item, lower))}
     rows = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]): r["kind"] for r in rows if r["doc_id"] < 150} == want
     assert set(want.values()) == {"exact", "reparameterised", "partial"} and (150, 3) in {(r["doc_id"], r["item_id"]) for r in rows}
@@ -174,7 +222,7 @@ def test_beyond_the_key_bound_windows_are_shuffled(spark, monkeypatch):
 
 
 def test_words_and_slots():
-    assert word_kind("120")[1] == 1 and word_kind("km")[1] == 2 and word_kind("Berlin,")[:3] == ("berlin", 0, True) and word_kind("end.")[3]
+    assert word_kind("120")[1] == 1 and word_kind("km")[1] == 2 and word_kind("Berlin,") == ("berlin", 0, True) and word_kind("+") == ("+", 0, False)
     assert slots_agree(["1", "2", "1"], ["5", "6", "5"]) and not slots_agree(["1", "1"], ["5", "6"]) and not slots_agree(["1", "2"], ["5", "5"])
 
 
@@ -218,4 +266,7 @@ def test_scores_of_very_long_texts_and_clashing_names(spark):
 def test_queries_have_a_row_a_document(spark, name):
     out = queries.QUERIES[name](spark, D)
     n = out.count()
+    if name in ("op11_ranked_search", "op12_whitening", "op13_near_vectors"):
+        assert n > 0
+        return
     assert n == spark.read.parquet(f"{D}/documents.parquet").count() or name == "op8_decontaminate" and n > 0
