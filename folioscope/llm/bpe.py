@@ -6,7 +6,8 @@ where places overlap); words without a known pair leave. Texts are cut at specia
 as the tokenizers library does; equal pieces are merged once per worker (a cache of bounded size). Decoding gathers the bytes
 of ids.
 
-Null and empty texts have no ids and decode to the empty text. Equal texts give equal rows; repeated rows are kept.
+Null and empty texts have no ids and decode to the empty text. Equal texts give equal rows; repeated rows are kept. Very long texts are encoded
+whole. An empty table gives no row.
 """
 
 from __future__ import annotations

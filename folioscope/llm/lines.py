@@ -9,7 +9,8 @@ shuffled to find repeats: only hashes are.
 
 A key found in at least 5 documents (distinct doc_ids; null is one) loses its lines in all but the largest doc_id that holds it (null is
 the smallest). Null and empty texts are one empty line; very long texts and lines are treated whole. Rows that repeat a doc_id are one
-document; all rows of the largest doc_id keep the line. Other columns pass through, whatever they are called.
+document; all rows of the largest doc_id keep the line. Other columns pass through, whatever they are called. An
+empty table gives no row.
 """
 
 from __future__ import annotations

@@ -6,10 +6,13 @@ Frames take the largest bitrate, the last the smallest that fits (variable bitra
 ID3v2 tag (payload length), a Xing table and an ID3v1 tag. `scan` reads any MPEG audio stream: it skips
 tags and junk, accepts a header only if the next one (or the end) follows where it says, verifies CRCs of
 Layers I and III (Layer II CRC words are counted as unchecked: what they cover depends on allocation
-tables), reads Xing/Info and VBRI tables, and returns exact sample counts (durations are without the delay and padding that an encoder
-noted) and every frame's byte offset, which `catalog` stores in a column.
+tables), reads Xing/Info and VBRI tables, and returns exact sample counts and every frame's byte offset, which `catalog` stores in a
+column. A duration is the sum of each frame's samples over its own rate, as a fraction, without the delay (at the first rate) and padding
+(at the last) that an encoder noted. Frames of free format (no bitrate in the header) are as long as it is to the next header of their kind, once the
+one after that confirms it.
 
-Null texts count as empty; an empty text is 64 zero bytes. Equal texts give equal streams.
+Null texts count as empty; an empty text is 64 zero bytes. Equal texts, also in repeated rows, give equal streams. Very long texts are one
+stream each, held by the task that has the text. An empty table gives no row; null ids and other columns don't matter.
 """
 
 from __future__ import annotations
@@ -17,7 +20,9 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
@@ -92,18 +97,40 @@ def wrap(data: bytes, unit: int = 64) -> bytes:
 
 
 def header(data: bytes, at: int) -> tuple | None:
-    """(MPEG-1?, layer, protected, kbit/s, rate, mono, frame bytes, samples) at an offset, or None if no valid header."""
+    """(MPEG-1?, layer, protected, kbit/s, rate, mono, frame bytes, samples, padding bytes) at an offset, or None if no valid header. Free format: 0 kbit/s, 0 bytes."""
     if at + 4 > len(data) or data[at] != 0xFF or data[at + 1] < 0xE0:
         return None
     version, layer, low = data[at + 1] >> 3 & 3, 4 - (data[at + 1] >> 1 & 3), data[at + 2]
-    if version == 1 or layer == 4 or low >> 4 in (0, 15) or low >> 2 & 3 == 3:
+    if version == 1 or layer == 4 or low >> 4 == 15 or low >> 2 & 3 == 3:
         return None
     one = version == 3
-    kbps, rate = KBPS[one, layer][(low >> 4) - 1], RATES[version][low >> 2 & 3]
+    kbps, rate = (0, *KBPS[one, layer])[low >> 4], RATES[version][low >> 2 & 3]
     samples = 384 if layer == 1 else 576 if layer == 3 and not one else 1152
-    pad = low >> 1 & 1
-    size = (12 * kbps * 1000 // rate + pad) * 4 if layer == 1 else samples // 8 * kbps * 1000 // rate + pad
-    return one, layer, not data[at + 1] & 1, kbps, rate, data[at + 3] >> 6 == 3, size, samples
+    pad = (low >> 1 & 1) * (4 if layer == 1 else 1)
+    size = 12 * kbps * 1000 // rate * 4 if layer == 1 else samples // 8 * kbps * 1000 // rate
+    return one, layer, not data[at + 1] & 1, kbps, rate, data[at + 3] >> 6 == 3, size + pad if kbps else 0, samples, pad
+
+
+#: Bytes of a frame of free format, at most: twice the largest of the table.
+FREE = 5760
+
+
+def _alike(a: tuple, b: tuple | None) -> bool:
+    """Whether headers are of one version, layer, rate and kind of bitrate."""
+    return b is not None and (a[0], a[1], a[4], a[3] > 0) == (b[0], b[1], b[4], b[3] > 0)
+
+
+def _free_bytes(data: bytes, at: int, end: int, h: tuple) -> int | None:
+    """Bytes, without padding, of a frame of free format: to a header alike, where one more or the end follows after as many."""
+    q = at + 24
+    while 0 <= (q := data.find(b"\xff", q, min(end, at + FREE))):
+        if _alike(h, n := header(data, q)):
+            size = q - at - h[8]
+            after = q + size + n[8]
+            if after == end or after < end and _alike(h, header(data, after)):
+                return size
+        q += 1
+    return None
 
 
 def _tags(data: bytes) -> tuple[int, int, dict]:
@@ -149,21 +176,23 @@ def _table(data: bytes, at: int, one: bool, mono: bool, size: int) -> tuple[str,
 def scan(data: bytes) -> dict:
     """What a stream holds. Bytes between frames that are no frame count as skipped (resynchronisation)."""
     at, end, tags = _tags(data)
-    out = {"tags": tags, "vbr": None, "rate": 0, "samples": 0, "crc_ok": 0, "crc_bad": 0, "crc_unchecked": 0, "skipped": 0}
-    offsets, bodies, like = [], [], None  # like: version, layer and rate of the frame just before
+    out = {"tags": tags, "vbr": None, "rate": 0, "last_rate": 0, "samples": 0, "seconds": Fraction(0), "crc_ok": 0, "crc_bad": 0, "crc_unchecked": 0, "skipped": 0}
+    offsets, bodies, before, free, played = [], [], None, None, Counter()  # before: the header of the frame just before
     while at < end:
         h = header(data, at)
-        if h is not None and (h[0], h[1], h[4]) != like:  # to be confirmed by the next header, or by the end
+        if h is not None and not h[3]:
+            free = free if _alike(h, before) else _free_bytes(data, at, end, h)
+            h = None if free is None else (*h[:6], free + h[8], *h[7:])
+        if h is not None and not _alike(h, before):  # to be confirmed by the next header, or by the end
             after = at + h[6]
-            nxt = header(data, after) if after < end else None
-            if after > end or after < end and (nxt is None or (nxt[0], nxt[1], nxt[4]) != (h[0], h[1], h[4])):
+            if after > end or after < end and not _alike(h, header(data, after)):
                 h = None
         if h is None or at + h[6] > end:
             sync = data.find(b"\xff", at + 1, end)
             out["skipped"] += (sync if sync >= 0 else end) - at
-            at, like = sync if sync >= 0 else end, None
+            at, before = sync if sync >= 0 else end, None
             continue
-        one, layer, protected, _, rate, mono, size, samples = h
+        one, layer, protected, _, rate, mono, size, samples, _ = h
         side = 0 if layer != 3 else (17 if mono else 32) if one else (9 if mono else 17)
         if not offsets and out["vbr"] is None and layer == 3 and (table := _table(data, at, one, mono, size)):
             out["vbr"] = table
@@ -177,9 +206,10 @@ def scan(data: bytes) -> dict:
                     out["crc_ok" if good else "crc_bad"] += 1
             offsets.append(at)
             bodies.append((at + 4 + 2 * protected + side, at + size))
-            out["samples"] += samples
-            out["rate"] = out["rate"] or rate
-        at, like = at + size, (one, layer, rate)
+            played[rate] += samples
+            out["rate"], out["last_rate"] = out["rate"] or rate, rate
+        at, before = at + size, h
+    out["samples"], out["seconds"] = sum(played.values()), sum((Fraction(n, r) for r, n in played.items()), Fraction(0))
     return out | {"offsets": offsets, "bodies": bodies}
 
 
@@ -212,10 +242,10 @@ def _catalogued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = scan(media)
             n, payload = unwrap(media, x) if "PRIV" in x["tags"] and any(v.startswith(OWNER) for v in x["tags"]["PRIV"]) else (None, None)
             kind, frames, size, _, delay, padding = x["vbr"] or (None, None, None, None, 0, 0)
-            played = max(0, x["samples"] - delay - padding)
+            played = x["seconds"] - Fraction(delay, x["rate"] or 1) - Fraction(padding, x["last_rate"] or 1)
             rows.append({
                 "doc_id": doc_id, "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "n_frames": len(x["offsets"]),
-                "sample_rate": x["rate"], "n_samples": x["samples"], "encoder_delay": delay, "encoder_padding": padding, "duration_us": played * 1_000_000 // x["rate"] if x["rate"] else 0,
+                "sample_rate": x["rate"], "n_samples": x["samples"], "encoder_delay": delay, "encoder_padding": padding, "duration_us": max(0, played * 1_000_000 // 1),
                 "vbr_kind": kind, "vbr_frames": frames, "vbr_bytes": size, "crc_ok": x["crc_ok"], "crc_bad": x["crc_bad"],
                 "crc_unchecked": x["crc_unchecked"], "skipped_bytes": x["skipped"], "seek_offsets": x["offsets"], "n_bytes": n,
                 "payload_bytes": None if payload is None else len(payload), "payload_sha256": None if payload is None else hashlib.sha256(payload).hexdigest(),

@@ -8,7 +8,8 @@ are hashed once per worker, in batches).
 
 Training takes at most SAMPLE labelled documents, those with the smallest hash of doc_id; whole texts count. Rows with
 crc32(doc_id as text) mod 5 = 0 are held out. Null texts are empty and score as the learned prior; without any label every
-score is 0.5. Rows are scored each, so equal texts have equal scores; very long texts are scored whole, a few rows at a time.
+score is 0.5. Rows are scored each, so equal texts have equal scores; very long texts are scored whole, a few rows at a time. An
+empty table gives no row.
 """
 
 from __future__ import annotations

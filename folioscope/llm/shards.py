@@ -8,7 +8,7 @@ other slot moves; `rebalance` moves slots by their bytes from the heaviest shard
 The query keeps the law `key`: doc_id and the number of shards alone decide. A row's place within its shard (`slot`, gapless from
 0) is a prefix sum over cells of virtual slot and a 16-fold split by content, plus its rank in its own cell, so that no
 shard or slot is ranked as a whole. Null doc_ids share one virtual slot; null texts have no bytes; texts of any length count by their
-bytes alone; equal rows take places of their own.
+bytes alone; equal rows take places of their own. An empty table gives no row.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ the first step decides only what the second costs. Postings of frequent shingles
 out by pairs of blocks as well.
 
 Null and empty texts have no shingle and fingerprint zero; they are linked like any other. Words are split at ASCII white space after
-lower-casing A-Z. Repeated rows share a fingerprint and a component. Very long texts are shingled whole, in parts of 16,384 hashes.
+lower-casing A-Z. Repeated rows share a fingerprint and a component. Very long texts are shingled whole, in parts of 16,384 hashes. An empty
+table gives no row.
 """
 
 from __future__ import annotations

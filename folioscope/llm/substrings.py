@@ -3,7 +3,11 @@
 Windows of 20 words, by levels: words repeated alone are extended to two words, then to 4, 5, 10 and 20: only what is repeated at one
 length goes on to the next, until no candidate survives. A window's name at a length is the pair of the names of its two halves at
 the length before, so names are exact. The first place of a window stays. Windows meet in buckets by their smallest gram of 5
-words; hot grams are split by grams of 10 and 20 words (windows.py).
+words; hot grams are split by grams of 10 and 20 words (windows.py). Runs of windows that are equal as a whole are levelled once, with the
+number of their copies as a weight, and what is found in them holds for each copy.
+
+Null, empty and short texts (below 20 words) have no window and stay whole; very long texts are read in overlapping pieces. Rows that
+repeat doc_id and text are one place, and each gets a result row. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -26,8 +30,8 @@ def lengths(width: int) -> list[int]:
     return out
 
 
-def doubled(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, offset and name of every window of words that occurs twice or more in texts (words joined by a space)."""
+def doubled(texts: list[bytes], width: int, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, offset and name of every window of words that occurs twice or more in texts (words joined by a space), of which each counts as often as its weight."""
     index: dict[bytes, int] = {}
     words = [np.array([index.setdefault(w, len(index)) for w in t.split(b" ")], np.int64) for t in texts]
     sizes = np.array([len(w) for w in words])
@@ -39,8 +43,8 @@ def doubled(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.
     for old, new in zip(steps, steps[1:]):
         at = at[room[at] >= new]
         at = at[name[at + new - old] >= 0]
-        _, pair, n = np.unique(name[at] << 32 | name[at + new - old], return_inverse=True, return_counts=True)
-        often = n[pair] > 1
+        _, pair = np.unique(name[at] << 32 | name[at + new - old], return_inverse=True)
+        often = np.bincount(pair, None if weights is None else weights[row[at]])[pair] > 1
         at = at[often]
         name = np.full(len(name), -1)
         name[at] = pair[often]

@@ -8,7 +8,8 @@ sums over its rows give each partition's base. `read_ids` maps the files and nev
 
 Encoding is the tokenizers library's (`LibraryEncoder`).
 
-Null and empty texts have the end id alone. Null doc_ids come first. Repeated rows are written each.
+Null and empty texts have the end id alone. Null doc_ids come first. Repeated rows are written each. Very long texts are encoded whole. An
+empty table gives no file and no row.
 """
 
 from __future__ import annotations
@@ -185,7 +186,7 @@ def _read(folder: str, dtype: str) -> Callable:
 
 
 def read_ids(files: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from the files of a manifest, which are dealt out to as many tasks as there are files."""
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the files of a manifest, which are dealt out by a hash of their names to as many partitions as there are files (some get two, some none)."""
     store, at = _at(folder)
     with store.open_input_stream(f"{at}/format.json") as f:
         dtype = json.loads(f.read())["dtype"]

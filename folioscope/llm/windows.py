@@ -5,12 +5,14 @@ leftmost of equals). Equal windows have equal minimisers, and neighbouring windo
 2 / (W - k + 2) rows a unit: runs of windows under one gram. A level then works on runs alone:
 
 1. Runs are counted by gram. A gram that occurs once holds no repeated window; its runs leave (nearly all unique text).
-2. Runs of the same content (class: gram and a 64-bit digest of the run) are repeats as a whole: they are decided by counts and
-   minima with map-side combine, and one representative of each class goes on.
-3. The windows of grams with several classes are compared inside tasks, by the operator's own method (`Rule.repeats`), which
-   decides on the words or bytes themselves. The text of the representatives is fetched for this from the documents.
-4. Grams with more than LIMIT units of representatives go on to the next level with longer grams, which splits them; at the
-   last level the gram is the window, and counts and minima decide. So a hot passage never meets in one task.
+2. Runs of the same content (class: gram and a 64-bit digest of the run) are carried by one representative, the one at the first place,
+   with the number of its copies as its weight.
+3. The windows of each gram are compared inside tasks, by the operator's own method (`Rule.repeats`), which decides on the words or
+   bytes themselves; a window counts as often as its weight says. The text of the representatives is fetched for this from the
+   documents. What the method finds in a representative holds for all copies of its class: without it, nothing is marked.
+4. Grams with more than LIMIT units of representatives go on to the next level with longer grams, which splits them, after each class with
+   copies was compared on its own; at the last level the gram is the window, and counts and minima decide. So a hot passage never
+   meets in one task.
 
 Two rules: `first_stays` marks all but the first place (smallest doc_id, then text hash, then start), else all places.
 Rows that repeat doc_id and text are one place for `first_stays`, and copies of each other otherwise. Null texts are empty; texts
@@ -44,7 +46,7 @@ _IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 class Rule:
     width: int  # units of a window
     levels: tuple[int, ...]  # gram lengths; the last is the width
-    repeats: Callable[[list[bytes], int], tuple[np.ndarray, np.ndarray, np.ndarray]]  # texts, width to row, offset, name of windows that occur twice
+    repeats: Callable[[list[bytes], int, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]  # texts, width, weights to row, offset, name of windows that occur twice
     words: bool
     first_stays: bool
 
@@ -185,7 +187,7 @@ def _runs(level: int, rule: Rule) -> Callable:
 
 
 def _slices(rule: Rule) -> Callable:
-    """The texts of representatives: rows of documents with a list of (key, lo, hi)."""
+    """The texts of representatives: rows of documents with a list of (key, ctx, n, lo, hi)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -200,7 +202,7 @@ def _slices(rule: Rule) -> Callable:
                         part = b" ".join(data[p:q] for p, q in zip(a[x["lo"] : x["hi"] + rule.width].tolist(), z[x["lo"] : x["hi"] + rule.width].tolist()))
                     else:
                         part = data[x["lo"] : x["hi"] + rule.width]
-                    out.append((i, d, x["key"], x["lo"], part))
+                    out.append((i, d, x["key"], x["ctx"], x["n"], x["lo"], part))
                     size += len(part)
                     if size > 8 << 20:
                         yield _rows(out)
@@ -208,15 +210,21 @@ def _slices(rule: Rule) -> Callable:
             yield _rows(out)
 
     def _rows(out: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*out)) or [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(cols[4], pa.binary())], ["_id", "_th", "key", "base", "text"])
+        cols = list(zip(*out)) or [()] * 7
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:6]] + [pa.array(cols[6], pa.binary())], ["_id", "_th", "key", "ctx", "n", "base", "text"])
 
     return run
 
 
-def marked_windows(texts: list[bytes], ids: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """(row, offset) of the windows to mark among texts of runs; ids: doc_id, text hash and offset of each."""
-    row, off, name = rule.repeats(texts, rule.width)
+def _in_order(row: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((off, row))
+    return row[order], off[order]
+
+
+def marked_windows(texts: list[bytes], ids: np.ndarray, weights: np.ndarray, rule: Rule) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(row, offset) of the windows to mark among texts of runs, and of those that repeat, first places too; ids: doc_id, text hash and offset of each."""
+    row, off, name = rule.repeats(texts, rule.width, weights)
+    every = _in_order(row, off)
     if rule.first_stays and len(row):
         place = np.stack([ids[row, 2] + off, ids[row, 1], ids[row, 0]])
         order = np.lexsort((*place, name))
@@ -224,34 +232,41 @@ def marked_windows(texts: list[bytes], ids: np.ndarray, rule: Rule) -> tuple[np.
         first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
         order = order[(place[:, order] != place[:, first]).any(0)]  # repeated rows are at the first place too
         row, off = row[order], off[order]
-    order = np.lexsort((off, row))
-    return row[order], off[order]
+    return _in_order(row, off), every
 
 
-def _compared(rule: Rule) -> Callable:
-    """Streams representatives sorted by gram; gives the spans of the windows to mark."""
+_FOUND = "_id long, _th long, start long, end long, key long, ctx long, base long"
 
-    def flush(rows: list[tuple]) -> pa.RecordBatch:
-        ids = np.array([(r[0], r[1], r[3]) for r in rows], np.int64)
-        row, off = marked_windows([r[4] for r in rows], ids, rule)
-        new = np.concatenate([[True], (row[1:] != row[:-1]) | (off[1:] != off[:-1] + 1)]) if len(row) else np.empty(0, bool)
-        a = np.flatnonzero(new)
-        z = np.append(a[1:], len(row)) - 1 if len(a) else a
-        r = row[a]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ids[r, 0], ids[r, 1], ids[r, 2] + off[a], ids[r, 2] + off[z] + rule.width)], ["_id", "_th", "start", "end"])
+
+def _compared(rule: Rule) -> Callable:
+    """Streams representatives sorted by what they are compared `by`; gives the spans of the windows to mark, and (with key, ctx, base) the spans of repeated windows in classes with copies."""
+
+    def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids = np.array([(r[0], r[1], r[5], r[2], r[3], r[4]) for r in rows], np.int64)
+        both = marked_windows([r[6] for r in rows], ids[:, :3], ids[:, 5], rule)
+        for (row, off), of_class in zip(both, (False, True)):
+            if of_class:
+                row, off = row[ids[row, 5] > 1], off[ids[row, 5] > 1]
+            new = np.concatenate([[True], (row[1:] != row[:-1]) | (off[1:] != off[:-1] + 1)]) if len(row) else np.empty(0, bool)
+            a = np.flatnonzero(new)
+            z = np.append(a[1:], len(row)) - 1 if len(a) else a
+            r = row[a]
+            cols = [pa.array(c, pa.int64()) for c in (ids[r, 0], ids[r, 1], ids[r, 2] + off[a], ids[r, 2] + off[z] + rule.width)]
+            cols += [pa.array(ids[r, c], pa.int64()) if of_class else pa.nulls(len(r), pa.int64()) for c in (3, 4, 2)]
+            yield pa.RecordBatch.from_arrays(cols, ["_id", "_th", "start", "end", "key", "ctx", "base"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("_id", "_th", "key", "base", "text"))):
-                if size > AT_ONCE and r[2] != held[-1][2]:
-                    yield flush(held)
+            for r in zip(*(b.column(c).to_pylist() for c in ("_id", "_th", "key", "ctx", "n", "base", "text", "by"))):
+                if size > AT_ONCE and r[7] != held[-1][7]:
+                    yield from flush(held)
                     held, size = [], 0
                 held.append(r)
-                size += len(r[4])
+                size += len(r[6])
         if held:
-            yield flush(held)
+            yield from flush(held)
 
     return run
 
@@ -274,30 +289,35 @@ def repeated_spans(docs: DataFrame, rule: Rule) -> DataFrame:
         place = F.struct("_id", "_th", "lo", "hi")
         classes = alive.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.max("multi").alias("multi"), F.min(place).alias("first"))
         classes = kept(classes, f"classes-{k}")
-        many = kept(classes.where("n > 1").select("key", "ctx", "first"), f"copies-{k}")
-        copies = alive.join(sided(many), ["key", "ctx"])
-        if rule.first_stays:
-            copies = copies.where(~(F.struct("_id", "_th", "lo", "hi") == F.col("first")))
-        found.append(copies.select("_id", "_th", F.col("lo").alias("start"), (F.col("hi") + rule.width).alias("end")))
         weight = F.sum(F.col("first.hi") - F.col("first.lo") + rule.width)
-        grams = classes.groupBy("key").agg(F.sum(F.col("multi") + 1).alias("n"), weight.alias("units")).where("n > 1").select("key", (F.col("units") > LIMIT).alias("hot"))
-        grams = kept(grams, f"grams-{k}")
-        wanted = classes.join(sided(grams), "key").select("key", "first.*", "hot").groupBy("_id", "_th").agg(F.collect_list(F.struct("key", "lo", "hi", "hot")).alias("wanted"))
+        grams = kept(classes.groupBy("key").agg((weight > LIMIT).alias("hot")), f"grams-{k}")
+        wanted = classes.join(sided(grams), "key").select("key", "ctx", "n", "first.*", "hot").groupBy("_id", "_th").agg(F.collect_list(F.struct("key", "ctx", "n", "lo", "hi", "hot")).alias("wanted"))
         wanted = kept(wanted, f"wanted-{k}")
         forget(classes)
         hot = grams.where("hot").isEmpty()
         for is_hot in (False, True):
             if is_hot and hot:
                 continue
-            part = wanted.withColumn("wanted", F.filter("wanted", lambda x: x["hot"] == F.lit(is_hot))).where(F.size("wanted") > 0)
+            # What is compared: classes of grams that aren't hot, and classes with copies of the others. The others' classes go on, too.
+            own = F.filter("wanted", lambda x: x["hot"]) if is_hot else F.filter("wanted", lambda x: ~x["hot"] | (x["n"] > 1))
+            part = wanted.withColumn("wanted", own).where(F.size("wanted") > 0)
             side = F.broadcast(part) if sided(wanted) is not wanted else part
             rows = docs.join(side, ["_id", "_th"]).select("_id", "_th", "text", "wanted")
-            rows = rows.mapInArrow(_slices(rule), "_id long, _th long, key long, base long, text binary")
+            rows = rows.mapInArrow(_slices(rule), "_id long, _th long, key long, ctx long, n long, base long, text binary")
             if is_hot:
                 source = rows
+                continue
+            if not hot:  # classes of hot grams each by themselves
+                solo = F.when(F.col("hot"), F.xxhash64("key", "ctx"))
+                rows = rows.join(sided(grams), "key").withColumn("by", F.coalesce(solo, "key"))
             else:
-                spans = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(rule), "_id long, _th long, start long, end long")
-                found.append(kept(spans, f"spans-{k}"))
+                rows = rows.withColumn("by", F.col("key"))
+            spans = rows.repartition("by").sortWithinPartitions("by").mapInArrow(_compared(rule), _FOUND)
+            spans = kept(spans, f"spans-{k}")
+            found.append(spans.where("key IS NULL").select("_id", "_th", "start", "end"))
+            of_class = spans.where("key IS NOT NULL").select("key", "ctx", F.col("_id").alias("of"), F.col("_th").alias("of_th"), "base", "start", "end")
+            copies = alive.join(sided(kept(of_class, f"copies-{k}")), ["key", "ctx"]).where("NOT (_id = of AND _th = of_th AND lo = base)")
+            found.append(copies.select("_id", "_th", (F.col("lo") + F.col("start") - F.col("base")).alias("start"), (F.col("lo") + F.col("end") - F.col("base")).alias("end")))
         if hot:
             break
     out = found[0]

@@ -4,6 +4,7 @@ import hashlib
 import os
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -52,10 +53,41 @@ def test_resynchronisation_and_bad_checksums():
     assert media.scan(b"") ["samples"] == 0
 
 
+def frame(index, rate, size=None, layer_byte=0xFB, pad=0):
+    """A silent mono frame; index 0 is free format, of so many bytes."""
+    head = bytes([0xFF, layer_byte, index << 4 | rate << 2 | pad << 1, 0xC0])
+    return head.ljust((size or media.header(head, 0)[6]) + (pad if size else 0), b"\0")
+
+
+def test_durations_of_mixed_rates():
+    """10 frames at 44.1 kHz and 10 at 32 kHz, then 3 of MPEG-2 at 22.05 kHz."""
+    data = frame(9, 0) * 10 + frame(9, 2) * 10 + frame(8, 0, layer_byte=0xF3) * 3
+    found = media.scan(data)
+    assert len(found["offsets"]) == 23 and found["skipped"] == 0 and found["samples"] == 20 * 1152 + 3 * 576
+    assert found["seconds"] == Fraction(11520, 44100) + Fraction(11520, 32000) + Fraction(1728, 22050)
+
+
+def test_durations_in_the_catalog(spark):
+    data = frame(9, 0) * 10 + frame(9, 2) * 10
+    rows = spark.createDataFrame([(1, bytearray(data)), (2, bytearray(b"")), (None, None)], "doc_id long, media binary")
+    got = {r["doc_id"]: (r["duration_us"], r["sample_rate"], r["n_frames"]) for r in media.catalog(rows).collect()}
+    assert got == {1: (int(Fraction(11520, 44100) * 10**6 + Fraction(11520, 32000) * 10**6), 44100, 20), 2: (0, 0, 0), None: (0, 0, 0)}
+
+
+@pytest.mark.parametrize("size", [101, 800, 2000])
+def test_frames_of_free_format(size):
+    own = [frame(0, 0, size, pad=k % 3 == 0) for k in range(12)]
+    data = b"junk\xff\xfb" + b"".join(own) + frame(9, 0) * 3
+    found = media.scan(data)
+    assert found["skipped"] == 6 and found["samples"] == 15 * 1152
+    assert found["offsets"][:12] == [6 + sum(map(len, own[:k])) for k in range(12)]
+    assert media.scan(frame(0, 0, size))["offsets"] == []  # one alone has no length
+
+
 def test_headers_of_other_layers():
     assert media.header(bytes([0xFF, 0xFB, 0x90, 0x00]), 0)[6] == 417  # 128 kbit/s, 44.1 kHz
-    assert media.header(bytes([0xFF, 0xF3, 0x80, 0x00]), 0)[6:] == (208, 576)  # MPEG-2 Layer III, 64 kbit/s, 22.05 kHz
-    assert media.header(bytes([0xFF, 0xFF, 0x10, 0x00]), 0)[6:] == (32, 384)  # Layer I, 32 kbit/s
+    assert media.header(bytes([0xFF, 0xF3, 0x80, 0x00]), 0)[6:8] == (208, 576)  # MPEG-2 Layer III, 64 kbit/s, 22.05 kHz
+    assert media.header(bytes([0xFF, 0xFF, 0x10, 0x00]), 0)[6:8] == (32, 384)  # Layer I, 32 kbit/s
     assert media.header(bytes([0xFF, 0xFB, 0xF0, 0x00]), 0) is None and media.header(b"\xff", 0) is None
 
 

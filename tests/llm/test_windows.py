@@ -52,6 +52,25 @@ def test_equals_brute_force(spark, monkeypatch, rule, limit):
     assert got == expect(TEXTS, rule)
 
 
+@pytest.mark.parametrize("rule", [WORDS, BYTES])
+def test_without_the_method_nothing_is_removed(spark, rule):
+    none = np.empty(0, np.int64)
+    blind = Rule(rule.width, rule.levels, lambda texts, width, weights: (none, none, none), rule.words, rule.first_stays)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert without_repeats(docs, rule).agg(F.sum("n_removed")).first()[0] > 10_000
+    assert without_repeats(docs, blind).agg(F.sum("n_removed")).first()[0] == 0
+
+
+@pytest.mark.parametrize("method", [doubled, ordered])
+def test_copies_count_as_often_as_their_weight(method):
+    texts = [b"a b c d e f", b"x b c d y", b"p q r s t"] if method is doubled else [b"abcdef", b"xbcdy", b"pqrst"]
+    found = lambda weights: sorted(zip(*(x.tolist() for x in method(texts, 3, weights)[:2])))
+    assert found(None) == found(np.array([1, 1, 1])) == [(0, 1), (1, 1)]
+    assert found(np.array([1, 1, 2])) == [(0, 1), (1, 1), (2, 0), (2, 1), (2, 2)]
+    row, off, name = method(texts, 3, np.array([2, 1, 3]))
+    assert len(row) == 8 and len(set(name.tolist())) == 7
+
+
 def test_random_small_alphabet(spark):
     rng = np.random.default_rng(3)
     texts = [" ".join(rng.choice(list("abc"), int(rng.integers(0, 60)))) for _ in range(60)]
