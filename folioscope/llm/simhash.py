@@ -15,8 +15,10 @@ list and both block numbers, so a hot list meets in no single task.
 256-bit fingerprints of the distinct shingles, 48 tuples and at most 56 differing bits give most links cheaply (tuples are as wide as
 the number of documents needs); then an exact prefix-filter join finds every pair of different groups that may be similar enough. All
 pairs are verified against the sets (made again from the texts, unless parity bitmaps of the sets show that they differ too much), so
-the first step decides only what the second costs. Postings of frequent shingles are dealt
-out by pairs of blocks as well.
+the first step decides only what the second costs. Of two sets the
+smaller one needs a shorter prefix (a ninth of it instead of a fifth): only postings from there index a shingle, and only they meet the
+others. So sets that have a frequent shingle in common and differ in more than the similarity allows don't meet for it, however many they
+are: with m index postings a shingle's rows are as many as its postings times m / CELL, not times their number.
 
 Null and empty texts have no shingle and fingerprint zero; they are linked like any other. Words are split at ASCII white space after
 lower-casing A-Z. Repeated rows share a fingerprint and a component. Very long texts are shingled whole, in parts of 16,384 hashes. An empty
@@ -301,7 +303,7 @@ WIDE, TABLES, WIDE_BITS = 4, 48, 56
 
 #: Lists of shingles that this many documents of about SAMPLED share come last in the order of shingles; the order changes cost, not results.
 FREQUENT, SAMPLED, FREQUENT_ROWS = 4, 20_000, 1_000_000
-#: Postings taken at once; postings of a shingle in a block.
+#: Postings taken at once; index postings of a shingle in a block.
 CHUNK, CELL = 50_000, 2048
 
 
@@ -364,70 +366,99 @@ def _least_shared(n: np.ndarray | int, similarity: float) -> np.ndarray:
     return np.ceil(similarity * n - 1e-6)
 
 
-def _prefixes(common: np.ndarray, counts: np.ndarray, every: int, words: int, similarity: float) -> Callable:
-    """The first n - least + 1 shingles of each set, rare ones first: sets that are similar enough share one of them.
+def _ordered(h: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Distinct shingles, rare ones first."""
+    often = np.zeros(len(h), np.int64)
+    if len(h) and len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        often = np.where(common[at] == h, counts[at], 0)
+    return h[np.argsort(often, kind="stable")]
 
-    i, j: of a frequent shingle's blocks (by a hash of the node; as many as its count in the sample gives) the own one and each other.
+
+def _prefix_lengths(n: int, similarity: float) -> tuple[int, int]:
+    """How many of the first shingles of a set meet a larger set's (as index), and a smaller one's.
+
+    Sets of n <= m that are similar enough share t = s / (1 + s) (n + m) shingles at least, so one of the first n - t + 1 and m - t + 1; t is
+    2 s / (1 + s) n or more, as m is n or more, and s m or more, as n is s m or more.
     """
+    of_smaller = n - int(_least_shared(n, 2 * similarity / (1 + similarity))) + 1
+    return (of_smaller, n - int(_least_shared(n, similarity)) + 1) if n else (1, 1)
+
+
+def _indexed(common: np.ndarray, counts: np.ndarray, words: int, similarity: float) -> Callable:
+    """key: the shingles that index postings of texts are under."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [_ordered(np.unique(shingle_hashes(t, words)), common, counts) for t in b.column("text").to_pylist()]
+            keys = [h[: _prefix_lengths(len(h), similarity)[0]] for h in own]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.empty(0, np.uint64)]).view(np.int64))], ["key"])
+
+    return run
+
+
+def _prefixes(common: np.ndarray, counts: np.ndarray, hot: np.ndarray, n_hot: np.ndarray, words: int, similarity: float) -> Callable:
+    """Postings of the first shingles of each set, rare ones first. Under hot shingles index postings are in one block by a hash of the node, all postings in each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, sizes, blocks = [], [], []
+            keys, sizes, lengths = [], [], []
             for t in b.column("text").to_pylist():
-                h = np.unique(shingle_hashes(t, words))
-                often = np.zeros(len(h), np.int64)
-                if len(h) and len(common):
-                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                    often = np.where(common[at] == h, counts[at], 0)
-                order = np.argsort(often, kind="stable")[: len(h) - int(_least_shared(len(h), similarity)) + 1]
-                keys.append(h[order] if len(h) else np.zeros(1, np.uint64))
-                blocks.append(-(-often[order] * every // CELL) if len(h) else np.zeros(1, np.int64))
+                h = _ordered(np.unique(shingle_hashes(t, words)), common, counts)
+                index, every = _prefix_lengths(len(h), similarity)
+                keys.append(h[:every] if len(h) else np.zeros(1, np.uint64))
                 sizes.append(len(h))
+                lengths.append(index)
             if not keys:
                 continue
             m = [len(k) for k in keys]
-            n_blocks = np.maximum(np.concatenate(blocks), 1)
+            key, place = np.concatenate(keys).view(np.int64), np.concatenate([np.arange(k) for k in m])
+            n_blocks = np.ones(len(key), np.int64)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+                n_blocks = np.where(hot[at] == key, n_hot[at], 1)
             node = np.repeat(b.column("node").to_numpy(), m)
-            cols = [np.concatenate(keys).view(np.int64), np.repeat(b.column("comp").to_numpy(), m), node, np.repeat(np.array(sizes, np.int64), m), np.concatenate([np.arange(k) for k in m])]
+            cols = [key, np.repeat(b.column("comp").to_numpy(), m), node, np.repeat(np.array(sizes, np.int64), m), place]
             own = ((node.view(np.uint64) >> np.uint64(17)) % n_blocks.astype(np.uint64)).astype(np.int64)
-            other = np.arange(n_blocks.sum()) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
-            own = np.repeat(own, n_blocks)
-            cols = [np.repeat(c, n_blocks) for c in cols] + [np.minimum(own, other), np.maximum(own, other), own]
+            block = np.arange(n_blocks.sum()) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
+            index = np.repeat(place < np.repeat(np.array(lengths), m), n_blocks) & (np.repeat(own, n_blocks) == block)
+            cols = [np.repeat(c, n_blocks) for c in cols] + [block, index.astype(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], _POSTING)
 
     return run
 
 
-_POSTING = ["key", "comp", "node", "n", "place", "i", "j", "own"]
+_POSTING = ["key", "comp", "node", "n", "place", "block", "indexed"]
 
 
 def _crossing(similarity: float) -> Callable:
-    """Pairs of different groups in the cells (key, i, j) of sorted postings, unless sizes or places rule them out.
+    """Pairs of different groups in the cells (key, block) of sorted postings, an indexed one with one of a set as large or larger, unless sizes or places rule them out.
 
-    Most of a large cell is often one group: only the postings outside of its largest group are compared with the others.
+    Most of a large cell is often one group: its indexed postings are compared only with what is outside of it.
     """
 
     def possible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         n, m = x[:, 3], y[:, 3]
         shared = np.minimum(n - x[:, 4], m - y[:, 4])
-        hit = (x[:, 1] != y[:, 1]) & ((x[:, 5] == x[:, 6]) | (x[:, 7] != y[:, 7])) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6)
+        hit = (x[:, 1] != y[:, 1]) & ((x[:, 6] > 0) & (n <= m) | (y[:, 6] > 0) & (m <= n)) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6)
         return hit & (shared >= similarity / (1 + similarity) * (n + m) - 1e-6)
 
     def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        same = lambda r: (r[1:, [0, 5, 6]] == r[:-1, [0, 5, 6]]).all(1)
+        same = lambda r: (r[1:, [0, 5]] == r[:-1, [0, 5]]).all(1)
         starts = np.flatnonzero(np.append(True, ~same(rows)))
         sizes = np.diff(np.append(starts, len(rows)))
         mixed = rows[starts, 1] != rows[starts + sizes - 1, 1]  # sorted by group
+        mixed &= np.add.reduceat(rows[:, 6], starts) > 0
         for s, n in zip(starts[mixed & (sizes > 64)].tolist(), sizes[mixed & (sizes > 64)].tolist()):
             cell = rows[s : s + n]
             _, of, count = np.unique(cell[:, 1], return_inverse=True, return_counts=True)
             largest = of == np.argmax(count)
             a, b = [], []
-            inside, outside = cell[largest], cell[~largest]
-            for k in range(len(outside)):
-                others = np.concatenate([inside, outside[k + 1 :]])
-                hit = others[possible(np.broadcast_to(outside[k], others.shape), others), 2]
-                a.append(np.full(len(hit), outside[k, 2]))
+            outside = cell[~largest]
+            for k in np.flatnonzero(cell[:, 6]).tolist():
+                others = outside if largest[k] else cell
+                hit = others[possible(np.broadcast_to(cell[k], others.shape), others), 2]
+                a.append(np.full(len(hit), cell[k, 2]))
                 b.append(hit)
             yield _links(np.concatenate(a), np.concatenate(b), 1).select(["a", "b"])
         rows = rows[np.repeat(mixed & (sizes <= 64), sizes)]
@@ -450,7 +481,7 @@ def _crossing(similarity: float) -> Callable:
             n += b.num_rows
             if n >= CHUNK:
                 rows = np.concatenate(held)
-                last = (rows[:, [0, 5, 6]] == rows[-1, [0, 5, 6]]).all(1)
+                last = (rows[:, [0, 5]] == rows[-1, [0, 5]]).all(1)
                 end = len(rows) - int(last.sum())
                 if end:
                     yield from found(rows[:end])
@@ -501,13 +532,16 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     links = verified(near, "near-links")
     groups = kept(components(links).withColumnRenamed("root", "comp"), "near-groups")
     every = max(1, n_docs // SAMPLED)
-    sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("text").mapInArrow(_hashes_of(words), "h long")
-    often = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(FREQUENT_ROWS).toArrow()
+    sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("text")
+    often = sample.mapInArrow(_hashes_of(words), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(FREQUENT_ROWS).toArrow()
     common, counts = often["h"].to_numpy().view(np.uint64), often["n"].to_numpy()
     order = np.argsort(common)
+    common, counts = common[order], counts[order]
+    hot = sample.mapInArrow(_indexed(common, counts, words, similarity), "key long").groupBy("key").count().where(F.col("count") * every > CELL).orderBy(F.desc("count"), "key").limit(FREQUENT_ROWS).orderBy("key").toArrow()
+    n_hot = -(-hot["count"].to_numpy() * every // CELL)
     points = texts.join(sided(groups), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "text")
-    posted = points.mapInArrow(_prefixes(common[order], counts[order], every, words, similarity), ", ".join(f"{c} long" for c in _POSTING))
-    crossing = posted.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "comp", "node").mapInArrow(_crossing(similarity), "a long, b long")
+    posted = points.mapInArrow(_prefixes(common, counts, hot["key"].to_numpy(), n_hot, words, similarity), ", ".join(f"{c} long" for c in _POSTING))
+    crossing = posted.repartition("key", "block").sortWithinPartitions("key", "block", "comp", "node").mapInArrow(_crossing(similarity), "a long, b long")
     rest = kept(crossing.distinct(), "crossing")
     out = components(links.union(verified(rest, "rest-links")))
     forget(made, copies, maps, near, rest, groups)

@@ -154,18 +154,40 @@ def test_frequent_shingles_are_dealt_out_by_blocks(spark, monkeypatch):
         rows.append({"node": int(rng.integers(0, 2**62)), "comp": 7 if k % 20 else k, "text": passage if k % 2 else passage[: passage.rindex(" ")]})
     batch = pa.RecordBatch.from_pylist(rows)
     found = {}
-    for counts in (np.zeros(10, np.int64), np.full(10, 200)):
-        posted = [tuple(r.values()) for b in simhash._prefixes(shared, counts, 1, 5, 0.8)(iter([batch])) for r in b.to_pylist()]
-        posted.sort(key=lambda r: (r[0], r[5], r[6], r[1], r[2]))
-        cells = Counter((r[0], r[5], r[6]) for r in posted)
-        table = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*posted)], simhash._POSTING)
-        pairs = {(r["a"], r["b"]) for b in simhash._crossing(0.8)(iter([table])) for r in b.to_pylist()}
+    for n_hot in (np.ones(10, np.int64), np.full(10, 13)):
+        posted, pairs = crossed(batch, shared, np.full(10, 200), np.sort(shared.view(np.int64)), n_hot)
+        cells = Counter((r[0], r[5]) for r in posted if r[6])
         found[max(cells.values())] = pairs
     comp = {r["node"]: r["comp"] for r in rows}
     want = {(min(a, b), max(a, b)) for a in comp for b in comp if comp[a] != comp[b]}
     assert all(x == want for x in found.values()) and max(found) == 200 and min(found) < 60
 
 
+def crossed(batch, common, counts, hot, n_hot):
+    """Postings of a batch, and the pairs that they give."""
+    posted = [tuple(r.values()) for b in simhash._prefixes(common, counts, hot, n_hot, 5, 0.8)(iter([batch])) for r in b.to_pylist()]
+    posted.sort(key=lambda r: (r[0], r[5], r[1], r[2]))
+    table = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*posted)], simhash._POSTING)
+    return posted, {(r["a"], r["b"]) for b in simhash._crossing(0.8)(iter([table])) for r in b.to_pylist()}
+
+
+def test_sets_that_share_a_hot_passage_but_differ_do_not_meet():
+    """20,000 sets of 20 shingles with 17 in common (a similarity of 0.74): rows and indexed postings grow with the sets, and no pair comes of them; a near copy is found."""
+    passage = " ".join(f"p{i}" for i in range(21))
+    shared = np.unique(shingle_hashes(passage, 5))
+    seen = {}
+    for n in (2000, 20_000):
+        rows = [{"node": k * 7919 + 1, "comp": k * 7919 + 1, "text": f"{passage} a{k} b{k} c{k}"} for k in range(n)]
+        rows.append({"node": 5, "comp": 5, "text": f"{passage} a7 b7 other"})
+        batch = pa.RecordBatch.from_pylist(rows)
+        indexed = pa.Table.from_batches(simhash._indexed(shared, np.full(17, n), 5, 0.8)(iter([batch])))["key"].to_numpy()
+        assert not np.isin(indexed.view(np.uint64), shared).any()
+        posted, pairs = crossed(batch, shared, np.full(17, n), np.empty(0, np.int64), np.empty(0, np.int64))
+        assert pairs == {(5, 7 * 7919 + 1)}
+        seen[n] = len(posted)
+    assert seen[20_000] <= 10 * seen[2000]
+
+
 def test_fingerprints_by_definition():
     for text in ("", "a", "A b", "a b c", "x y z x y z q", " \tÄ b\x0bc\n d"):
         h = shingle_hashes(text, 3)
