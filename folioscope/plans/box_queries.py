@@ -203,8 +203,11 @@ def features(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(_FEATURES.replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{d}/lineitem.parquet"))
 
 
-@query(f"""SELECT image_id, det_id FROM ({_FEATURES}) f WHERE h >= 12 AND w >= 12 AND n_fg >= 80 AND n_fg <= total * CAST(0.6 AS DOUBLE) AND n_stroke >= 50
-  AND ((cv < 0.45 AND lap > 1500) OR lap > 2000 OR (bg > 0.99 AND cv < 0.43))""")
+_TYPESET = f"""SELECT image_id, det_id FROM ({_FEATURES}) f WHERE h >= 12 AND w >= 12 AND n_fg >= 80 AND n_fg <= total * CAST(0.6 AS DOUBLE) AND n_stroke >= 50
+  AND ((cv < 0.45 AND lap > 1500) OR lap > 2000 OR (bg > 0.99 AND cv < 0.43))"""
+
+
+@query(_TYPESET)
 def is_typeset(spark, d):
     return features(spark, d).where(filters.is_typeset()).select("image_id", "det_id")
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import aggregates, matching, recognise
 from folioscope.plans import flows
-from folioscope.plans.box_queries import _pred, candidates, features
+from folioscope.plans.box_queries import _TYPESET, _pred, candidates, features
 from folioscope.plans.file_queries import scratch
-from folioscope.plans.match_queries import _BEST, results
+from folioscope.plans.match_queries import _BEST, _RESULTS, results
 from folioscope.plans.registry import ORACLES, edits, fixture, query, rounded, table
 from folioscope.plans.text_queries import _BY_N, _CER, _SPLIT, _bleu_sql, _domain_sql, _edits, _umlauts_sql
 from folioscope.streaming import incremental
@@ -83,7 +83,9 @@ def read_texts(spark, d):
     return fixture(spark, d, "fx_pred").select("image_id", F.col("pred_id").alias("det_id"), c.alias("text"))
 
 
-@query()
+@query(rf"""SELECT r.image_id, concat(r.image_id, '/', r.det_id) AS det_id, type, text, CASE WHEN type = 'math' THEN 'a = 1 \\ b = 2' ELSE '' END AS latex, CASE WHEN type = 'math' THEN 2 ELSE 0 END AS n_rows
+  FROM ({_RESULTS}) r LEFT JOIN ({_TYPESET}) t ON r.image_id = t.image_id AND r.det_id = t.det_id
+  WHERE t.det_id IS NULL AND NOT (x2 - x1 >= 1000 * CAST(0.20 AS DOUBLE) AND (y1 <= 600 * CAST(0.045 AS DOUBLE) OR y2 >= 600 * CAST(0.96 AS DOUBLE))) AND (type = 'math' OR trim(text) <> '')""")
 def replay_filters(spark, d):
     r = results(spark, d).withColumns({"img_w": F.lit(1000), "img_h": F.lit(600), "latex": F.when(F.col("type") == "math", F.lit("a = 1\nb = 2")).otherwise("")})
     r = r.withColumn("det_id", F.concat_ws("/", "image_id", "det_id"))

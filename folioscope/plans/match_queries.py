@@ -23,12 +23,37 @@ def nms(spark, d):
     return matching.nms(_pred(spark, d).select("image_id", "det_id", "cls", "score", "x1", "y1", "x2", "y2"), 0.45)
 
 
-@query()
+_BOX = "{'id': pred_id, 'cls': cls, 'score': score, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}"
+_FIELDS = "b.id AS det_id, b.cls, b.score, b.x1, b.y1, b.x2, b.y2"
+_GROWN = "{'id': a.b.id, 'cls': a.b.cls, 'score': a.b.score, 'x1': least(a.b.x1, x.b.x1), 'y1': least(a.b.y1, x.b.y1), 'x2': greatest(a.b.x2, x.b.x2), 'y2': greatest(a.b.y2, x.b.y2)}"
+#: One seed after another: the others go by in order, those that fit are swallowed, the rest is left for the next seeds. {0}: whether x fits a.
+_SWALLOW = f"""list_reduce(list_transform(todo[2:], lambda x: {{'b': x, 'rest': todo[1:0], 'n': 0}}), lambda a, x: CASE WHEN {{0}} THEN {{'b': {_GROWN}, 'rest': a.rest, 'n': a.n + 1}}
+    ELSE {{'b': a.b, 'rest': list_append(a.rest, x.b), 'n': a.n}} END, {{'b': todo[1], 'rest': todo[1:0], 'n': 0}})"""
+
+
+def _swallow(fits: str) -> str:
+    return _SWALLOW.replace("{0}", fits)
+
+
+@query(f"""WITH RECURSIVE g AS (SELECT image_id, list({_BOX} ORDER BY score DESC, pred_id) AS todo FROM fx_pred GROUP BY image_id),
+  step AS (SELECT image_id, todo, todo[1] AS b, 0 AS k FROM g UNION ALL
+    SELECT image_id, r.rest, r.b, k + 1 FROM (SELECT image_id, k, {_swallow(f"x.b.cls = a.b.cls AND {_iou_of('a.b', 'x.b')} >= 0.45")} AS r FROM step WHERE len(todo) > 0) q)
+  SELECT image_id, {_FIELDS} FROM step WHERE k > 0""")
 def merge_detections(spark, d):
     return matching.merge_detections(_pred(spark, d).select("image_id", "det_id", "cls", "score", "x1", "y1", "x2", "y2"))
 
 
-@query()
+_HEIGHTS = "(a.b.y2 - a.b.y1), (x.b.y2 - x.b.y1)"
+_IN_ROW = f"""least({_HEIGHTS}) > 0 AND (least(a.b.y2, x.b.y2) - greatest(a.b.y1, x.b.y1)) / least({_HEIGHTS}) >= 0.5
+    AND greatest(0, greatest(a.b.x1, x.b.x1) - least(a.b.x2, x.b.x2)) <= CAST(0.7 AS DOUBLE) * ({_HEIGHTS.replace(',', ' +')}) / 2"""
+
+
+@query(f"""WITH RECURSIVE g AS (SELECT image_id, list({_BOX} ORDER BY x1, pred_id) AS todo FROM fx_pred WHERE cls = 1 GROUP BY image_id),
+  step AS (SELECT image_id, todo, todo[1:0] AS outs, false AS changed, false AS done FROM g UNION ALL
+    SELECT image_id, CASE WHEN len(rest) > 0 THEN rest WHEN changed THEN list_transform(list_sort(list_transform(outs, lambda x, i: {{'x1': x.x1, 'i': i, 'b': x}})), lambda x: x.b) ELSE rest END,
+      CASE WHEN len(rest) = 0 AND changed THEN rest ELSE outs END, len(rest) > 0 AND changed, len(rest) = 0 AND NOT changed
+    FROM (SELECT image_id, r.rest AS rest, list_append(outs, r.b) AS outs, changed OR r.n > 0 AS changed FROM (SELECT *, {_swallow(_IN_ROW)} AS r FROM step WHERE len(todo) > 0) q) p)
+  SELECT image_id, {_FIELDS} FROM (SELECT image_id, unnest(outs) AS b FROM step WHERE done) u UNION ALL SELECT image_id, pred_id, cls, score, x1, y1, x2, y2 FROM fx_pred WHERE cls <> 1""")
 def merge_row_fragments(spark, d):
     return matching.merge_row_fragments(_pred(spark, d).select("image_id", "det_id", "cls", "score", "x1", "y1", "x2", "y2"))
 
