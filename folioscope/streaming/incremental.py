@@ -13,7 +13,8 @@ PAIRS = "pair_id long, writer_id string, hyp string, ref string"
 
 
 def pair_stream(spark: SparkSession, in_dir: str) -> DataFrame:
-    return spark.readStream.schema(PAIRS).parquet(in_dir)
+    """Pairs of the files that arrive, with the file's name. A file that can't be read gives no row (see `unread_files`) and doesn't end the stream."""
+    return spark.readStream.schema(PAIRS).option("ignoreCorruptFiles", True).parquet(in_dir).select("*", F.col("_metadata.file_name").alias("file"))
 
 
 def scored_pairs(pairs: DataFrame) -> DataFrame:
@@ -27,6 +28,12 @@ def incremental_scores(spark: SparkSession, in_dir: str, out_dir: str, checkpoin
     return spark.read.parquet(out_dir)
 
 
+def unread_files(spark: SparkSession, in_dir: str, out_dir: str) -> DataFrame:
+    """file: what has arrived and gave no scores, to be mended and sent again under another name."""
+    there = spark.read.format("binaryFile").load(in_dir).select(F.col("_metadata.file_name").alias("file"))
+    return there.join(spark.read.parquet(out_dir).select("file").distinct(), "file", "left_anti")
+
+
 def missing_scores(pairs: DataFrame, done: DataFrame, key: str = "pair_id") -> DataFrame:
     """The batch form: scores of the rows that have none yet."""
     return scored_pairs(pairs.join(done, key, "left_anti"))

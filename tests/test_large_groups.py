@@ -13,6 +13,7 @@ from folioscope.functions import scores
 from folioscope.functions.ranks import sum_before
 from folioscope.operators import aggregates, matching, recognise, sampling, selection
 from folioscope.plans import flows
+from folioscope.streaming import incremental
 
 
 def same(a, b):
@@ -188,3 +189,14 @@ def test_covered_texts_stay_in_images_with_one_text(spark):
     df = spark.createDataFrame(rows, "image_id long, det_id string, type string, score double, x1 double, y1 double, x2 double, y2 double, text string, rendered boolean")
     assert sorted((r["image_id"], r["det_id"]) for r in flows.without_repeats(df).collect()) == [(1, "a"), (1, "m"), (2, "b"), (2, "m")]
     assert sorted((r["image_id"], r["det_id"]) for r in flows.without_repeats(df, covered_always=True).collect()) == [(1, "m"), (2, "b"), (2, "m")]
+
+
+def test_a_file_that_cannot_be_read_does_not_end_the_batch(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "w", f"text {i}", f"text {i}") for i in range(20)], incremental.PAIRS)
+    at, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    rows.where("pair_id < 10").coalesce(1).write.parquet(at)
+    (tmp_path / "in" / "broken.parquet").write_bytes(b"PAR1 not a file of pairs")
+    assert incremental.incremental_scores(spark, at, out, ckpt).count() == 10
+    rows.where("pair_id >= 10").coalesce(1).write.mode("append").parquet(at)
+    assert incremental.incremental_scores(spark, at, out, ckpt).count() == 20
+    assert [r["file"] for r in incremental.unread_files(spark, at, out).collect()] == ["broken.parquet"]
