@@ -187,7 +187,7 @@ def _runs(level: int, rule: Rule) -> Callable:
 
 
 def _slices(rule: Rule) -> Callable:
-    """The texts of representatives: rows of documents with a list of (key, ctx, n, lo, hi)."""
+    """The texts of representatives: rows of documents with a list of (key, ctx, n, lo, hi, hot). by: what they are compared by, the gram, or the class alone under hot grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -202,7 +202,8 @@ def _slices(rule: Rule) -> Callable:
                         part = b" ".join(data[p:q] for p, q in zip(a[x["lo"] : x["hi"] + rule.width].tolist(), z[x["lo"] : x["hi"] + rule.width].tolist()))
                     else:
                         part = data[x["lo"] : x["hi"] + rule.width]
-                    out.append((i, d, x["key"], x["ctx"], x["n"], x["lo"], part))
+                    by = (x["key"] * 31 + x["ctx"]) % 2**63 if x["hot"] else x["key"]
+                    out.append((i, d, x["key"], x["ctx"], x["n"], x["lo"], by, part))
                     size += len(part)
                     if size > 8 << 20:
                         yield _rows(out)
@@ -210,8 +211,8 @@ def _slices(rule: Rule) -> Callable:
             yield _rows(out)
 
     def _rows(out: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*out)) or [()] * 7
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:6]] + [pa.array(cols[6], pa.binary())], ["_id", "_th", "key", "ctx", "n", "base", "text"])
+        cols = list(zip(*out)) or [()] * 8
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:7]] + [pa.array(cols[7], pa.binary())], ["_id", "_th", "key", "ctx", "n", "base", "by", "text"])
 
     return run
 
@@ -303,20 +304,18 @@ def repeated_spans(docs: DataFrame, rule: Rule) -> DataFrame:
             part = wanted.withColumn("wanted", own).where(F.size("wanted") > 0)
             side = F.broadcast(part) if sided(wanted) is not wanted else part
             rows = docs.join(side, ["_id", "_th"]).select("_id", "_th", "text", "wanted")
-            rows = rows.mapInArrow(_slices(rule), "_id long, _th long, key long, ctx long, n long, base long, text binary")
+            rows = rows.mapInArrow(_slices(rule), "_id long, _th long, key long, ctx long, n long, base long, by long, text binary")
             if is_hot:
                 source = rows
                 continue
-            if not hot:  # classes of hot grams each by themselves
-                solo = F.when(F.col("hot"), F.xxhash64("key", "ctx"))
-                rows = rows.join(sided(grams), "key").withColumn("by", F.coalesce(solo, "key"))
-            else:
-                rows = rows.withColumn("by", F.col("key"))
             spans = rows.repartition("by").sortWithinPartitions("by").mapInArrow(_compared(rule), _FOUND)
             spans = kept(spans, f"spans-{k}")
             found.append(spans.where("key IS NULL").select("_id", "_th", "start", "end"))
             of_class = spans.where("key IS NOT NULL").select("key", "ctx", F.col("_id").alias("of"), F.col("_th").alias("of_th"), "base", "start", "end")
-            copies = alive.join(sided(kept(of_class, f"copies-{k}")), ["key", "ctx"]).where("NOT (_id = of AND _th = of_th AND lo = base)")
+            of_class = kept(of_class, f"copies-{k}")
+            if of_class.isEmpty():
+                continue
+            copies = alive.join(sided(of_class), ["key", "ctx"]).where("NOT (_id = of AND _th = of_th AND lo = base)")
             found.append(copies.select("_id", "_th", (F.col("lo") + F.col("start") - F.col("base")).alias("start"), (F.col("lo") + F.col("end") - F.col("base")).alias("end")))
         if hot:
             break
