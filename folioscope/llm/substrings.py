@@ -30,8 +30,17 @@ def lengths(width: int) -> list[int]:
     return out
 
 
-def doubled(texts: list[bytes], width: int, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, offset and name of every window of words that occurs twice or more in texts (words joined by a space), of which each counts as often as its weight."""
+def doubled(texts: list[bytes], width: int, weights: np.ndarray | None = None, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, offset and name of every window of words that occurs twice or more in texts (words joined by a space), of which each counts as often as its weight.
+
+    alone: texts of which every window differs from all others. They have nothing to double for: each window is a name, if it has copies.
+    """
+    if alone is not None and alone.any():
+        own, rest = np.flatnonzero(alone & (weights > 1)), np.flatnonzero(~alone)
+        n = np.array([texts[r].count(b" ") + 2 - width for r in own.tolist()], np.int64)
+        row, at, name = doubled([texts[r] for r in rest.tolist()], width, weights[rest]) if len(rest) else (own[:0],) * 3
+        off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.concatenate([rest[row], np.repeat(own, n)]), np.concatenate([at, off]), np.concatenate([name, np.arange(n.sum()) + name.max(initial=-1) + 1])
     index: dict[bytes, int] = {}
     words = [np.array([index.setdefault(w, len(index)) for w in t.split(b" ")], np.int64) for t in texts]
     sizes = np.array([len(w) for w in words])

@@ -68,8 +68,18 @@ def radix_sorted(data: np.ndarray, starts: np.ndarray, depth: int, copies: np.nd
     return np.concatenate([order, own]), np.concatenate([group, np.arange(len(own)) + (group[-1] + 1 if len(group) else 0)])
 
 
-def ordered(texts: list[bytes], width: int, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, offset and name of every window of bytes that occurs twice or more in texts, of which each counts as often as its weight."""
+def ordered(texts: list[bytes], width: int, weights: np.ndarray | None = None, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, offset and name of every window of bytes that occurs twice or more in texts, of which each counts as often as its weight.
+
+    alone: texts of which every suffix differs from all others by its anchor already, the first digit. They need no pass: each is a
+    group, if it has copies.
+    """
+    if alone is not None and alone.any():
+        own, rest = np.flatnonzero(alone & (weights > 1)), np.flatnonzero(~alone)
+        n = np.array([len(texts[r]) - width + 1 for r in own.tolist()], np.int64)
+        row, at, group = ordered([texts[r] for r in rest.tolist()], width, weights[rest]) if len(rest) else (own[:0],) * 3
+        off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.concatenate([rest[row], np.repeat(own, n)]), np.concatenate([at, off]), np.concatenate([group, np.arange(n.sum()) + group.max(initial=-1) + 1])
     sizes = np.array([len(t) for t in texts])
     first, n = np.cumsum(sizes) - sizes, sizes - width + 1
     starts = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)

@@ -8,7 +8,8 @@ leftmost of equals). Equal windows have equal minimisers, and neighbouring windo
 2. Runs of the same content (class: gram and a 64-bit digest of the run) are carried by one representative, the one at the first place,
    with the number of its copies as its weight.
 3. The windows of each gram are compared inside tasks, by the operator's own method (`Rule.repeats`), which decides on the words or
-   bytes themselves; a window counts as often as its weight says. The text of the representatives is fetched for this from the
+   bytes themselves; a window counts as often as its weight says. A class that is alone under its gram, with one place of it, has windows
+   that equal no others (equal ones hold the gram at the same distance), which the method needn't tell apart. The text of the representatives is fetched for this from the
    documents. What the method finds in a representative holds for all copies of its class: without it, nothing is marked.
 4. Grams with more than LIMIT units of representatives go on to the next level with longer grams, which splits them, after each class with
    copies was compared on its own; at the last level the gram is the window, and counts and minima decide. So a hot passage never
@@ -46,7 +47,7 @@ _IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 class Rule:
     width: int  # units of a window
     levels: tuple[int, ...]  # gram lengths; the last is the width
-    repeats: Callable[[list[bytes], int, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]  # texts, width, weights to row, offset, name of windows that occur twice
+    repeats: Callable[[list[bytes], int, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]  # texts, width, weights, alone to row, offset, name of windows that occur twice
     words: bool
     first_stays: bool
 
@@ -187,7 +188,7 @@ def _runs(level: int, rule: Rule) -> Callable:
 
 
 def _slices(rule: Rule) -> Callable:
-    """The texts of representatives: rows of documents with a list of (key, ctx, n, lo, hi, hot). by: what they are compared by, the gram, or the class alone under hot grams."""
+    """The texts of representatives: rows of documents with a list of (key, ctx, n, multi, lo, hi, hot). by: what they are compared by, the gram, or the class alone under hot grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -203,7 +204,7 @@ def _slices(rule: Rule) -> Callable:
                     else:
                         part = data[x["lo"] : x["hi"] + rule.width]
                     by = (x["key"] * 31 + x["ctx"]) % 2**63 if x["hot"] else x["key"]
-                    out.append((i, d, x["key"], x["ctx"], x["n"], x["lo"], by, part))
+                    out.append((i, d, x["key"], x["ctx"], x["n"], x["lo"], by, x["multi"], part))
                     size += len(part)
                     if size > 8 << 20:
                         yield _rows(out)
@@ -211,8 +212,8 @@ def _slices(rule: Rule) -> Callable:
             yield _rows(out)
 
     def _rows(out: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*out)) or [()] * 8
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:7]] + [pa.array(cols[7], pa.binary())], ["_id", "_th", "key", "ctx", "n", "base", "by", "text"])
+        cols = list(zip(*out)) or [()] * 9
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:8]] + [pa.array(cols[8], pa.binary())], ["_id", "_th", "key", "ctx", "n", "base", "by", "multi", "text"])
 
     return run
 
@@ -222,9 +223,9 @@ def _in_order(row: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return row[order], off[order]
 
 
-def marked_windows(texts: list[bytes], ids: np.ndarray, weights: np.ndarray, rule: Rule) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+def marked_windows(texts: list[bytes], ids: np.ndarray, weights: np.ndarray, alone: np.ndarray, rule: Rule) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """(row, offset) of the windows to mark among texts of runs, and of those that repeat, first places too; ids: doc_id, text hash and offset of each."""
-    row, off, name = rule.repeats(texts, rule.width, weights)
+    row, off, name = rule.repeats(texts, rule.width, weights, alone)
     every = _in_order(row, off)
     if rule.first_stays and len(row):
         place = np.stack([ids[row, 2] + off, ids[row, 1], ids[row, 0]])
@@ -244,7 +245,10 @@ def _compared(rule: Rule) -> Callable:
 
     def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         ids = np.array([(r[0], r[1], r[5], r[2], r[3], r[4]) for r in rows], np.int64)
-        both = marked_windows([r[6] for r in rows], ids[:, :3], ids[:, 5], rule)
+        by = np.array([r[7] for r in rows])
+        _, of, count = np.unique(by, return_inverse=True, return_counts=True)
+        alone = (count[of] == 1) & (np.array([r[8] for r in rows]) == 0)
+        both = marked_windows([r[6] for r in rows], ids[:, :3], ids[:, 5], alone, rule)
         for (row, off), of_class in zip(both, (False, True)):
             if of_class:
                 row, off = row[ids[row, 5] > 1], off[ids[row, 5] > 1]
@@ -260,7 +264,7 @@ def _compared(rule: Rule) -> Callable:
         held: list[tuple] = []
         size = 0
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("_id", "_th", "key", "ctx", "n", "base", "text", "by"))):
+            for r in zip(*(b.column(c).to_pylist() for c in ("_id", "_th", "key", "ctx", "n", "base", "text", "by", "multi"))):
                 if size > AT_ONCE and r[7] != held[-1][7]:
                     yield from flush(held)
                     held, size = [], 0
@@ -292,7 +296,7 @@ def repeated_spans(docs: DataFrame, rule: Rule) -> DataFrame:
         classes = kept(classes, f"classes-{k}")
         weight = F.sum(F.col("first.hi") - F.col("first.lo") + rule.width)
         grams = kept(classes.groupBy("key").agg((weight > LIMIT).alias("hot")), f"grams-{k}")
-        wanted = classes.join(sided(grams), "key").select("key", "ctx", "n", "first.*", "hot").groupBy("_id", "_th").agg(F.collect_list(F.struct("key", "ctx", "n", "lo", "hi", "hot")).alias("wanted"))
+        wanted = classes.join(sided(grams), "key").select("key", "ctx", "n", "multi", "first.*", "hot").groupBy("_id", "_th").agg(F.collect_list(F.struct("key", "ctx", "n", "multi", "lo", "hi", "hot")).alias("wanted"))
         wanted = kept(wanted, f"wanted-{k}")
         forget(classes)
         hot = grams.where("hot").isEmpty()
@@ -304,7 +308,7 @@ def repeated_spans(docs: DataFrame, rule: Rule) -> DataFrame:
             part = wanted.withColumn("wanted", own).where(F.size("wanted") > 0)
             side = F.broadcast(part) if sided(wanted) is not wanted else part
             rows = docs.join(side, ["_id", "_th"]).select("_id", "_th", "text", "wanted")
-            rows = rows.mapInArrow(_slices(rule), "_id long, _th long, key long, ctx long, n long, base long, by long, text binary")
+            rows = rows.mapInArrow(_slices(rule), "_id long, _th long, key long, ctx long, n long, base long, by long, multi long, text binary")
             if is_hot:
                 source = rows
                 continue

@@ -55,7 +55,7 @@ def test_equals_brute_force(spark, monkeypatch, rule, limit):
 @pytest.mark.parametrize("rule", [WORDS, BYTES])
 def test_without_the_method_nothing_is_removed(spark, rule):
     none = np.empty(0, np.int64)
-    blind = Rule(rule.width, rule.levels, lambda texts, width, weights: (none, none, none), rule.words, rule.first_stays)
+    blind = Rule(rule.width, rule.levels, lambda texts, width, weights, alone: (none, none, none), rule.words, rule.first_stays)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert without_repeats(docs, rule).agg(F.sum("n_removed")).first()[0] > 10_000
     assert without_repeats(docs, blind).agg(F.sum("n_removed")).first()[0] == 0
@@ -69,6 +69,10 @@ def test_copies_count_as_often_as_their_weight(method):
     assert found(np.array([1, 1, 2])) == [(0, 1), (1, 1), (2, 0), (2, 1), (2, 2)]
     row, off, name = method(texts, 3, np.array([2, 1, 3]))
     assert len(row) == 8 and len(set(name.tolist())) == 7
+    for weights in ([1, 1, 2], [1, 1, 1], [3, 1, 2]):
+        own = np.array(weights)
+        want, got = method(texts, 3, own), method(texts, 3, own, np.array([False, False, True]))
+        assert sorted(zip(*(x.tolist() for x in want[:2]))) == sorted(zip(*(x.tolist() for x in got[:2]))) and len(set(got[2].tolist())) == len(set(want[2].tolist()))
 
 
 def test_random_small_alphabet(spark):
