@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Bytes that are read at once when a file is scanned; of a part of JSON, about.
 BLOCK = 8 << 20
