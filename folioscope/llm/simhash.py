@@ -434,7 +434,8 @@ _POSTING = ["key", "comp", "node", "n", "place", "block", "indexed"]
 def _crossing(similarity: float) -> Callable:
     """Pairs of different groups in the cells (key, block) of sorted postings, an indexed one with one of a set as large or larger, unless sizes or places rule them out.
 
-    Most of a large cell is often one group: its indexed postings are compared only with what is outside of it.
+    Most of a large cell is often one group: only the postings outside of it are gone through, each compared with the others, or, if it
+    isn't indexed itself, with the indexed ones.
     """
 
     def possible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -454,11 +455,12 @@ def _crossing(similarity: float) -> Callable:
             _, of, count = np.unique(cell[:, 1], return_inverse=True, return_counts=True)
             largest = of == np.argmax(count)
             a, b = [], []
-            outside = cell[~largest]
-            for k in np.flatnonzero(cell[:, 6]).tolist():
-                others = outside if largest[k] else cell
-                hit = others[possible(np.broadcast_to(cell[k], others.shape), others), 2]
-                a.append(np.full(len(hit), cell[k, 2]))
+            inside, outside = cell[largest], cell[~largest]
+            to, at = inside[inside[:, 6] > 0], np.flatnonzero(outside[:, 6])
+            for k, row in enumerate(outside):
+                others = np.concatenate([inside, outside[k + 1 :]] if row[6] else [to, outside[at[at > k]]])
+                hit = others[possible(np.broadcast_to(row, others.shape), others), 2]
+                a.append(np.full(len(hit), row[2]))
                 b.append(hit)
             yield _links(np.concatenate(a), np.concatenate(b), 1).select(["a", "b"])
         rows = rows[np.repeat(mixed & (sizes <= 64), sizes)]
