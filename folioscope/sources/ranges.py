@@ -19,6 +19,8 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
+from folioscope.sources.scratch import stored
+
 #: Bytes that are read at once when a file is scanned; of a part of JSON, about.
 BLOCK = 8 << 20
 CHUNK = 16 << 20
@@ -60,6 +62,36 @@ def listed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "length")
 
 
+def is_folder(path: str) -> bool:
+    """Whether the path is a folder of a store that can be opened here."""
+    if not known(path):
+        return False
+    store, at = _store(path.rstrip("/"))
+    return store.get_file_info(at).type == pyarrow.fs.FileType.Directory
+
+
+def _entries(recursive: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column("path").to_pylist():
+                store, at = _store(path.rstrip("/"))
+                before = "file:" if store.type_name == "local" else path.rstrip("/")[: -len(at)]
+                hidden = lambda p: any(x[:1] in "._" for x in p[len(at) :].strip("/").split("/"))  # noqa: B023, E731  as Spark skips them
+                found = [f for f in store.get_file_info(pyarrow.fs.FileSelector(at, recursive=recursive)) if not hidden(f.path)]
+                folder = [f.type == pyarrow.fs.FileType.Directory for f in found]
+                yield pa.RecordBatch.from_arrays([pa.array([before + f.path for f in found], pa.string()), pa.array(folder, pa.bool_())], ["path", "folder"])
+
+    return run
+
+
+def below(spark: SparkSession, path: str) -> DataFrame:
+    """path of all files below a folder: one task lists the folder itself, its sub-folders are dealt out and listed with all below them. Nothing is opened."""
+    kind = "path string, folder boolean"
+    own = stored(spark.createDataFrame([(path,)], "path string").coalesce(1).mapInArrow(_entries(False), kind), "entries")
+    deeper = dealt(own.where("folder").select("path"), "path").mapInArrow(_entries(True), kind)
+    return own.union(deeper).where("NOT folder").select("path")
+
+
 def dealt(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 

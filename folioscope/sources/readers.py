@@ -251,8 +251,8 @@ def detect_column(df: DataFrame, candidates: tuple[str, ...], required: bool = T
 
 
 def list_images(spark: SparkSession, path: str, exts: tuple[str, ...] = ("png", "jpg", "jpeg")) -> DataFrame:
-    """Distinct paths below a folder with one of the extensions, whatever their case, without reading the files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    """Distinct paths below a folder with one of the extensions, whatever their case, without reading the files. Sub-folders are listed by tasks."""
+    files = ranges.below(spark, path) if ranges.is_folder(path) else spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
     return files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*exts)).distinct()
 
 
