@@ -57,12 +57,17 @@ def overlapping(a: DataFrame, b: DataFrame, on: list[str], cell: int = CELL) ->
     return pairs.where((left < F.least("a_x2", "b_x2")) & (top < F.least("a_y2", "b_y2"))).drop("_tx", "_ty")
 
 
-def coverage_anti_join(a: DataFrame, b: DataFrame, t: float, mode: str = "any", key: str = "image_id", aid: str = "det_id") -> DataFrame:
-    """Rows of a that boxes of b of the same image don't cover beyond t (0 or more): at most by any one, or by the sum over all."""
+def coverage_anti_join(a: DataFrame, b: DataFrame, t: float, mode: str = "any", key: str = "image_id") -> DataFrame:
+    """Rows of a that boxes of b of the same image don't cover beyond t (0 or more): at most by any one, or by the sum over all.
+
+    Shared areas are added up before the division: sums of whole pixels are exact in any order of rows. Rows with equal boxes share their result, so ids may repeat.
+    """
     box = [key, "x1", "y1", "x2", "y2"]
     agg = F.max if mode == "any" else F.sum
-    gone = overlapping(a.select(aid, *box), b.select(*box), [key]).groupBy(key, f"a_{aid}").agg(agg(boxes.coverage()).alias("c"))
-    return a.join(gone.where(F.col("c") > t).select(key, F.col(f"a_{aid}").alias(aid)), [key, aid], "left_anti")
+    own = [f"a_{c}" for c in box[1:]]
+    shared = overlapping(a.select(*box).distinct(), b.select(*box), [key]).groupBy(key, *own).agg(agg(boxes.intersection("a_", "b_")).alias("c"))
+    gone = shared.where((boxes.area("a_") > 0) & (F.col("c") / boxes.area("a_") > t)).select(key, *(F.col(f"a_{c}").alias(c) for c in box[1:]))
+    return a.join(gone, box, "left_anti").select(*a.columns)
 
 
 def restrict_to_split(images: DataFrame, anns: DataFrame, transcripts: DataFrame, split: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
