@@ -215,7 +215,9 @@ def read_places(places: DataFrame) -> DataFrame:
 
 _OPEN, _CLOSE, _COMMA, _COLON = (np.frombuffer(s, np.uint8) for s in (b"{[", b"}]", b",", b":"))
 _STRUCTURE = np.zeros(256, np.int8)
+_QUOTE, _BACKSLASH = 4, 5
 _STRUCTURE[_OPEN], _STRUCTURE[_CLOSE], _STRUCTURE[_COMMA], _STRUCTURE[_COLON] = 1, -1, 2, 3
+_STRUCTURE[ord('"')], _STRUCTURE[ord("\\")] = _QUOTE, _BACKSLASH
 
 
 class _Structure:
@@ -226,23 +228,25 @@ class _Structure:
 
     def of(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places, kinds (1 opens, -1 closes, 2 comma, 3 colon), depths."""
-        quotes = block == 34
-        slashes = np.flatnonzero(block == 92)
-        if self.escaped and len(block):
-            quotes[0] = False
-            slashes = slashes[slashes > 0]  # a first backslash is escaped itself
+        kinds = np.frombuffer(bytearray(block.tobytes().translate(_STRUCTURE.tobytes())), np.int8)
+        if self.escaped and len(block) and kinds[0] > 3:
+            kinds[0] = 0  # a quote or backslash that is escaped itself
         self.escaped = False
+        at = np.flatnonzero(kinds != 0)  # all else goes over these alone
+        kinds = kinds[at]
+        slashes = at[kinds == _BACKSLASH]
         if len(slashes):
             starts = slashes[np.append(True, np.diff(slashes) > 1)]
             lengths = np.diff(np.append(np.flatnonzero(np.append(True, np.diff(slashes) > 1)), len(slashes)))
             after = (starts + lengths)[lengths % 2 == 1]
             self.escaped = len(after) > 0 and after[-1] == len(block)
-            quotes[after[after < len(block)]] = False
-        inside = (np.cumsum(quotes, dtype=np.int64) + self.quoted) % 2 == 1
-        self.quoted = bool(inside[-1]) if len(block) else self.quoted
-        kinds = _STRUCTURE[block]
-        at = np.flatnonzero((kinds != 0) & ~inside)
-        kinds = kinds[at]
+            after = after[after < len(block)]
+            kinds[np.searchsorted(at, after[block[after] == 34])] = 0
+        quotes = kinds == _QUOTE
+        inside = np.bitwise_xor.accumulate(quotes) ^ self.quoted
+        self.quoted = bool(inside[-1]) if len(at) else self.quoted
+        own = np.flatnonzero(~inside & (kinds < _QUOTE) & (kinds != 0))
+        at, kinds = at[own], kinds[own]
         depths = self.depth + np.cumsum(np.where(np.abs(kinds) == 1, kinds, 0), dtype=np.int64)
         self.depth = int(depths[-1]) if len(at) else self.depth
         return at, kinds, depths

@@ -39,12 +39,12 @@ _COCO = (
 
 
 def _large_parts(spark: SparkSession, path: str | list[str], split: int, level: int) -> DataFrame | None:
-    """path, field, value of the parts of files above `split` bytes; None if there is none, or if they can't be read by range. Only places of parts are stored."""
+    """Places of the parts of files above `split` bytes, for `ranges.json_texts`; None if there is none, or if they can't be read by range."""
     large = stored(ranges.listed(spark, path).where(F.col("length") > split), "large-files")
     if large.isEmpty():
         return None
     places = stored(ranges.json_places(large, level, split), "json-parts")
-    return ranges.json_texts(places) if places.where("start < 0").isEmpty() else None
+    return places if places.where("start < 0").isEmpty() else None
 
 
 def read_coco(spark: SparkSession, path: str, split: int = ranges.CHUNK) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -55,7 +55,7 @@ def read_coco(spark: SparkSession, path: str, split: int = ranges.CHUNK) -> tupl
     for f in raw.schema.fields:
         rows = raw.select(F.explode(f.name).alias("x"))
         if large is not None:
-            rows = rows.union(large.where(F.col("field") == f.name).select(F.explode(F.from_json("value", f.dataType)).alias("x")))
+            rows = rows.union(ranges.json_texts(large.where(F.col("field") == f.name)).select(F.explode(F.from_json("value", f.dataType)).alias("x")))
         parts.append(rows.select("x.*"))
     images, anns, cats = parts
     box = {n: F.col("bbox")[i] for i, n in enumerate(("x", "y", "w", "h"))}
@@ -186,7 +186,7 @@ def read_run_results(spark: SparkSession, path: str, split: int = ranges.CHUNK)
     """lecture (parent directory), slide, region (index) and the region's fields. Files above `split` bytes are read by many tasks, runs of slides each."""
     large, name = _large_parts(spark, path, split, 1), F.col("_metadata.file_path").alias("path")
     raw = spark.read.text(path, wholetext=True)
-    raw = raw.select(name, "value") if large is None else raw.where(F.col("_metadata.file_size") <= split).select(name, "value").union(large.select("path", "value"))
+    raw = raw.select(name, "value") if large is None else raw.where(F.col("_metadata.file_size") <= split).select(name, "value").union(ranges.json_texts(large).select("path", "value"))
     raw = raw.select(F.element_at(F.split("path", "/"), -2).alias("lecture"), F.from_json("value", f"map<string,array<struct<{_REGION}>>>").alias("m"))
     slides = raw.select("lecture", F.explode("m").alias("slide", "rs"))
     return slides.select("lecture", "slide", F.posexplode("rs").alias("region", "r")).select("lecture", "slide", "region", "r.*")
