@@ -3,7 +3,7 @@
 The symbols of all distinct words of a batch lie in one flat array. A round looks up the rank of every pair of neighbours by
 binary search over the sorted pair keys, takes each word's lowest rank, and merges every place of that pair (from the left,
 where places overlap); words without a known pair leave. Texts are cut at special tokens and by the byte-level pattern
-as the tokenizers library does; equal pieces are merged once per worker (a cache of bounded size). Decoding gathers the bytes
+as the tokenizers library does; equal pieces are merged once per task (a cache of bounded size). Decoding gathers the bytes
 of ids.
 
 Null and empty texts have no ids and decode to the empty text. Equal texts give equal rows; repeated rows are kept. Very long texts are encoded
@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import documents, text_batches
+from folioscope.llm.common import documents, lean, text_batches
 from folioscope.llm.tokens import CACHE, LATIN, VOCABULARY, byte_letters, latin
 
 NONE = np.iinfo(np.int64).max
@@ -54,6 +54,9 @@ class Bpe:
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.special_ids = {t: np.array([i], "<u4").tobytes() for t, i in self.special.items()}
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = dict(self.special_ids)
 
     def ranked(self, symbols: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -104,10 +107,9 @@ class Bpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """ids of each text as bytes of 32-bit integers. Pieces not met before are merged together; the cache is emptied when full."""
+        if len(self.known) > CACHE:
+            self.forget()
         known = self.known
-        if len(known) > CACHE:
-            known.clear()
-            known.update(self.special_ids)
         cut = [self.pieces(t) for t in texts]
         new = list(set(chain.from_iterable(cut)).difference(known))
         known.update(zip(new, (x.astype("<u4").tobytes() for x in self.merge([w.encode() for w in new]))))
@@ -138,7 +140,7 @@ def _coded(path: str) -> Callable:
                 text = [own.decode(np.frombuffer(x, "<u4").astype(np.int64)) for x in ids]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array(text, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return run
+    return lean(run, lambda: bpe(path).forget())
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
@@ -175,7 +177,7 @@ def _round_trips(path: str) -> Callable:
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists, pa.array(np.diff(offsets).astype(np.int64)), pa.array(good)], ["doc_id", "ids", "n_tokens", "round_trip"])
 
-    return run
+    return lean(run, lambda: bpe(path).forget())
 
 
 def round_trips(docs: DataFrame, path: str) -> DataFrame:

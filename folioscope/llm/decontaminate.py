@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import NULL_ID, documents, identified, kept, sided, text_batches, wrapped
+from folioscope.llm.common import NULL_ID, documents, identified, kept, lean, sided, text_batches, wrapped
 
 WINDOW, LITERALS, COVER, APART = 8, 4, 0.5, 0.25
 #: Least tokens of an item; literal ones of a short item that is matched by its template.
@@ -200,7 +200,7 @@ def _windowed(lower: Broadcast, sought: Broadcast | None, lengths: list[int] | N
                         cols = [ids[0][lo + of], ids[1][lo + of], key, at - (np.cumsum(n) - n)[of], n[of]]
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["_id", "_th", "key", "pos", "n"])
 
-    return run
+    return lean(run)
 
 
 def slots_agree(item: list[str], own: list[str]) -> bool:
@@ -255,7 +255,7 @@ def _verified(lower: Broadcast) -> Callable:
             rows = [{"doc_id": x["doc_id"], "item_id": x["item_id"]} | found for x in b.to_pylist() if (found := judged(cache, x["item"], x["text"], x["runs"]))]
             yield pa.RecordBatch.from_pylist(rows, pa.schema([(c, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[k]) for c, k in (f.split() for f in _FOUND.split(", "))]))
 
-    return run
+    return lean(run)
 
 
 def lower_words(items: DataFrame) -> frozenset[str]:

@@ -4,7 +4,7 @@ A word has hashed features: itself and its byte n-grams (3 to 5, with word-end m
 also counts as the mark AGAIN, which has a vector as words have. A document is the average of the
 learned vectors of all features of all its words; a softmax over two classes gives its score. As the output is linear in the
 average, a trained model folds into one number a feature, so that scoring is a sum of numbers over words (distinct words
-are hashed once per worker, in batches).
+are hashed once per task, in batches).
 
 Training takes at most SAMPLE labelled documents, those with the smallest hash of doc_id; whole texts count. Rows with
 crc32(doc_id as text) mod 5 = 0 are held out. Null texts are empty and score as the learned prior; without any label every
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import documents, text_batches, unused
+from folioscope.llm.common import documents, lean, text_batches, unused
 from folioscope.llm.windows import _BYTE, _hashes, _prefix
 
 BUCKETS, DIM, GRAMS = 1 << 15, 16, (3, 4, 5)
@@ -127,7 +127,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     chosen = own.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = text.join(F.broadcast(chosen), "doc_id").mapInArrow(_features, "doc_id long, label long, ids binary, n binary").toArrow()
+    rows = text.join(F.broadcast(chosen), "doc_id").mapInArrow(lean(_features), "doc_id long, label long, ids binary, n binary").toArrow()
     rows = rows.sort_by([("doc_id", "ascending")])
     got = [(np.frombuffer(i.as_buffer(), _SPARSE[0]), np.frombuffer(n.as_buffer(), _SPARSE[1]), label.as_py()) for i, n, label in zip(rows["ids"], rows["n"], rows["label"])]
     return train(got) if got else Model(np.zeros(2 * BUCKETS, np.float32), 0.0)
@@ -169,7 +169,7 @@ def _scored(model: Model, name: str) -> Callable:
                 b = whole.slice(lo, 250)
                 yield b.append_column(name, pa.array(words.score([t or "" for t in b.column("text").to_pylist()])))
 
-    return run
+    return lean(run)
 
 
 def scored(docs: DataFrame, model: Model, name: str = "_score") -> DataFrame:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import documents, forget, identified, kept, sided, text_batches, wrapped
+from folioscope.llm.common import documents, forget, identified, kept, lean, sided, text_batches, wrapped
 from folioscope.llm.components import components
 
 SEED = 42
@@ -94,7 +94,7 @@ def fingerprints(docs: DataFrame, words: int, lanes: int = 1) -> DataFrame:
             f = np.array([fingerprint(shingle_hashes(t, words), lanes) for t in b.column("text").to_pylist()], np.uint64).reshape(-1, lanes).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in ("doc_id", "_id", "_th")] + [pa.array(f[:, i]) for i in range(lanes)], ["doc_id", "_id", "_th", *(f"f{i}" for i in range(lanes))])
 
-    return docs.mapInArrow(run, "doc_id long, _id long, _th long, " + ", ".join(f"f{i} long" for i in range(lanes)))
+    return docs.mapInArrow(lean(run), "doc_id long, _id long, _th long, " + ", ".join(f"f{i} long" for i in range(lanes)))
 
 
 def tuples_of(width: int, positions: int) -> list[tuple[int, ...]]:
@@ -121,7 +121,7 @@ def _postings(tuples: list[tuple[int, ...]], lanes: int) -> Callable:
                     ["key", "node", *(f"f{i}" for i in range(lanes))],
                 )
 
-    return run
+    return lean(run)
 
 
 def _linked_pairs(a: np.ndarray, b: np.ndarray, least: int, most: int) -> np.ndarray:
@@ -230,7 +230,7 @@ def _tally(lanes: int, least: int, most: int, across: int = 0) -> Callable:
             yield from done(np.concatenate([held, new]), False)
         yield from done(held, True)
 
-    return run
+    return lean(run)
 
 
 def _across(lanes: int, least: int, most: int, across: int = 0) -> Callable:
@@ -247,7 +247,7 @@ def _across(lanes: int, least: int, most: int, across: int = 0) -> Callable:
                 else:
                     yield _links(np.repeat(x[:, 0], [len(h) for h in hits]), y[np.concatenate(hits), 0], across or 1)
 
-    return run
+    return lean(run)
 
 
 def block_pairs(blocks: DataFrame) -> DataFrame:
@@ -326,7 +326,7 @@ def _wide(words: int) -> Callable:
             cols = [b.column("_th"), b.column("_id"), *(pa.array(f[:, i]) for i in range(WIDE)), pa.array([len(h) for h in sets], pa.int64()), pa.array([parity_bits(h) for h in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["node", "_id", *(f"f{i}" for i in range(WIDE)), "n", "bits"])
 
-    return run
+    return lean(run)
 
 
 def _sets(words: int) -> Callable:
@@ -337,7 +337,7 @@ def _sets(words: int) -> Callable:
             sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    return run
+    return lean(run)
 
 
 def _hashes_of(words: int) -> Callable:
@@ -346,7 +346,7 @@ def _hashes_of(words: int) -> Callable:
             for t in b.column("text").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, words)).view(np.int64))], ["h"])
 
-    return run
+    return lean(run)
 
 
 def _may_be_similar(similarity: float) -> Callable:
@@ -359,7 +359,7 @@ def _may_be_similar(similarity: float) -> Callable:
             keep = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * total + 1e-6
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    return run
+    return lean(run)
 
 
 def _least_shared(n: np.ndarray | int, similarity: float) -> np.ndarray:
@@ -394,7 +394,7 @@ def _indexed(common: np.ndarray, counts: np.ndarray, words: int, similarity: flo
             keys = [h[: _prefix_lengths(len(h), similarity)[0]] for h in own]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.empty(0, np.uint64)]).view(np.int64))], ["key"])
 
-    return run
+    return lean(run)
 
 
 def _prefixes(common: np.ndarray, counts: np.ndarray, hot: np.ndarray, n_hot: np.ndarray, words: int, similarity: float) -> Callable:
@@ -425,7 +425,7 @@ def _prefixes(common: np.ndarray, counts: np.ndarray, hot: np.ndarray, n_hot: np
             cols = [np.repeat(c, n_blocks) for c in cols] + [block, index.astype(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], _POSTING)
 
-    return run
+    return lean(run)
 
 
 _POSTING = ["key", "comp", "node", "n", "place", "block", "indexed"]
@@ -491,7 +491,7 @@ def _crossing(similarity: float) -> Callable:
         if held and sum(map(len, held)):
             yield from found(np.concatenate(held))
 
-    return run
+    return lean(run)
 
 
 def _similar(least: float) -> Callable:
@@ -504,7 +504,7 @@ def _similar(least: float) -> Callable:
                 keep.append(both >= least * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return lean(run)
 
 
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
