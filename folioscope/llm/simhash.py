@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import documents, forget, identified, kept, lean, sided, text_batches, wrapped
 from folioscope.llm.components import components
+from folioscope.sources.scratch import shuffles_end
 
 SEED = 42
 BLOCK = 4096
@@ -301,30 +302,44 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 WIDE, TABLES, WIDE_BITS = 4, 48, 56
 
 
-#: Lists of shingles that this many documents of about SAMPLED share come last in the order of shingles; the order changes cost, not results.
-FREQUENT, SAMPLED, FREQUENT_ROWS = 4, 20_000, 1_000_000
+#: Shingles that this many documents of about SAMPLED, or of one in SPARSEST if that is more, share come last in the order of shingles; the order changes cost, not results.
+#: A sparser sample misses shingles of ever more documents, whose pairs meet for them.
+FREQUENT, SAMPLED, SPARSEST, FREQUENT_ROWS = 4, 20_000, 10, 1_000_000
 #: Postings taken at once; index postings of a shingle in a block.
 CHUNK, CELL = 50_000, 2048
 
 
-#: Bits of the parity bitmap of a set of shingles.
-PARITY = 1024
+#: Bits of the parity bitmap of a set of shingles. Sets of LONG shingles or more have a second one as wide as they need: two of them may differ in half of PARITY and be similar, and more than half of these bits seldom differ.
+PARITY, LONG = 1024, 1600
 
 
-def parity_bits(h: np.ndarray) -> bytes:
-    """A bit for each of PARITY classes of hashes: whether their number is odd. Sets whose bitmaps differ in d bits differ in d elements or more."""
-    return np.packbits(np.bincount((h % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+def parity_bits(h: np.ndarray, classes: int = PARITY) -> bytes:
+    """A bit for each of the classes of hashes: whether their number is odd. Sets whose bitmaps differ in d bits differ in d elements or more."""
+    return np.packbits(np.bincount((h % np.uint64(classes)).astype(np.int64), minlength=classes) & 1).tobytes()
+
+
+def long_parity_bits(h: np.ndarray) -> bytes | None:
+    """A bitmap of as many classes as h has elements, or up to twice as many (a power of two); none of a set below LONG."""
+    return parity_bits(h, 1 << (len(h) - 1).bit_length()) if len(h) >= LONG else None
+
+
+def differing_bits(x: bytes, y: bytes) -> int:
+    """Of two bitmaps, the wider folded to the classes of the other (numbers of classes are powers of two)."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
 
 
 def _wide(words: int) -> Callable:
-    """node, _id, fingerprint of the distinct shingles, their number and their parity bitmap."""
+    """node, _id, fingerprint of the distinct shingles, their number and their parity bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingle_hashes(t, words)) for t in b.column("text").to_pylist()]
             f = np.array([fingerprint(h, WIDE) for h in sets], np.uint64).reshape(-1, WIDE).view(np.int64)
-            cols = [b.column("_th"), b.column("_id"), *(pa.array(f[:, i]) for i in range(WIDE)), pa.array([len(h) for h in sets], pa.int64()), pa.array([parity_bits(h) for h in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["node", "_id", *(f"f{i}" for i in range(WIDE)), "n", "bits"])
+            cols = [b.column("_th"), b.column("_id"), *(pa.array(f[:, i]) for i in range(WIDE)), pa.array([len(h) for h in sets], pa.int64()), pa.array([parity_bits(h) for h in sets], pa.binary()), pa.array([long_parity_bits(h) for h in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["node", "_id", *(f"f{i}" for i in range(WIDE)), "n", "bits", "more"])
 
     return lean(run)
 
@@ -357,7 +372,19 @@ def _may_be_similar(similarity: float) -> Callable:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, PARITY // 64) for c in ("x", "y"))
             total = b.column("n").to_numpy() + b.column("m").to_numpy()
             keep = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * total + 1e-6
-            yield b.select(["a", "b"]).filter(pa.array(keep))
+            yield b.select(["a", "b", "n", "m"]).filter(pa.array(keep))
+
+    return lean(run)
+
+
+def _long_may_be_similar(similarity: float) -> Callable:
+    """The same by the second bitmaps, of pairs in which both sets have one; others pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            most = (1 - similarity) / (1 + similarity) * (b.column("n").to_numpy() + b.column("m").to_numpy()) + 1e-6
+            keep = [x is None or y is None or differing_bits(x, y) <= k for x, y, k in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), most)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return lean(run)
 
@@ -510,17 +537,21 @@ def _similar(least: float) -> Callable:
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """_th, root: the group (smallest text hash in it) of every distinct text of `identified` documents that is linked to another."""
     fs = [f"f{i}" for i in range(WIDE)]
-    made = docs.select("_id", "_th", "text").mapInArrow(_wide(words), "node long, _id long, " + ", ".join(f"{c} long" for c in fs) + ", n long, bits binary")
+    made = docs.select("_id", "_th", "text").mapInArrow(_wide(words), "node long, _id long, " + ", ".join(f"{c} long" for c in fs) + ", n long, bits binary, more binary")
     made = kept(made, "wide")
     copies = kept(made.groupBy("node").agg(F.min("_id").alias("low"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("node", "low"), "copies")
     one = lambda rows: rows.join(sided(copies), "node", "left").where("low is null or _id = low").drop("low")  # noqa: E731  rows that repeat a document are still there
+    more = kept(one(made.where("more is not null").select("node", "_id", "more")).select("node", "more").dropDuplicates(["node"]), "long-bitmaps")
     texts, maps = one(docs.select(F.col("_th").alias("node"), "_id", "text")).select("node", "text"), kept(one(made.select("node", "_id", "n", "bits")).select("node", "n", "bits").distinct(), "bitmaps")
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         """Pairs of similar sets: bitmaps rule most of the others out, and the sets of the rest are made again from the texts."""
         x = maps.select(F.col("node").alias("a"), "n", F.col("bits").alias("x"))
         y = maps.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
-        close = kept(pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_may_be_similar(similarity), "a long, b long"), "close")
+        close = pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_may_be_similar(similarity), "a long, b long, n long, m long")
+        for c, n in ("ax", "by"):
+            close = close.join(sided(more).select(F.col("node").alias(c), F.col("more").alias(n)), c, "left")
+        close = kept(close.select("a", "b", "n", "m", "x", "y").mapInArrow(_long_may_be_similar(similarity), "a long, b long"), "close")
         needed = kept(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
         own = kept(texts.join(sided(needed), "node", "left_semi").mapInArrow(_sets(words), "node long, shingles binary"), "shingles")
         x, y = (own.select(F.col("node").alias(c), F.col("shingles").alias(n)) for c, n in ("ax", "by"))
@@ -533,9 +564,10 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     near = kept(linked(made.select("node", *fs).dropDuplicates(["node"]), spread_tuples(TABLES, width, 8 * WIDE), WIDE, width, WIDE_BITS), "candidates")
     links = verified(near, "near-links")
     groups = kept(components(links).withColumnRenamed("root", "comp"), "near-groups")
-    every = max(1, n_docs // SAMPLED)
+    every = max(1, min(n_docs // SAMPLED, SPARSEST))
     sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("text")
-    often = sample.mapInArrow(_hashes_of(words), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(FREQUENT_ROWS).toArrow()
+    with shuffles_end(docs.sparkSession):  # asked when a frame is made
+        often = sample.mapInArrow(_hashes_of(words), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(FREQUENT_ROWS).toArrow()
     common, counts = often["h"].to_numpy().view(np.uint64), often["n"].to_numpy()
     order = np.argsort(common)
     common, counts = common[order], counts[order]
@@ -546,7 +578,7 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     crossing = posted.repartition("key", "block").sortWithinPartitions("key", "block", "comp", "node").mapInArrow(_crossing(similarity), "a long, b long")
     rest = kept(crossing.distinct(), "crossing")
     out = components(links.union(verified(rest, "rest-links")))
-    forget(made, copies, maps, near, rest, groups)
+    forget(made, copies, maps, more, near, rest, groups)
     return out.select(F.col("node").alias("_th"), "root")
 
 
