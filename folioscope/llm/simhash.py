@@ -548,15 +548,16 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
         """Pairs of similar sets: bitmaps rule most of the others out, and the sets of the rest are made again from the texts."""
         x = maps.select(F.col("node").alias("a"), "n", F.col("bits").alias("x"))
         y = maps.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
-        close = pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_may_be_similar(similarity), "a long, b long, n long, m long")
+        maybe = kept(pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_may_be_similar(similarity), "a long, b long, n long, m long"), "maybe")
+        both = maybe  # stored between, as two Python functions in one stage are two workers a core
         for c, n in ("ax", "by"):
-            close = close.join(sided(more).select(F.col("node").alias(c), F.col("more").alias(n)), c, "left")
-        close = kept(close.select("a", "b", "n", "m", "x", "y").mapInArrow(_long_may_be_similar(similarity), "a long, b long"), "close")
+            both = both.join(sided(more).select(F.col("node").alias(c), F.col("more").alias(n)), c, "left")
+        close = kept(both.select("a", "b", "n", "m", "x", "y").mapInArrow(_long_may_be_similar(similarity), "a long, b long"), "close")
         needed = kept(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
         own = kept(texts.join(sided(needed), "node", "left_semi").mapInArrow(_sets(words), "node long, shingles binary"), "shingles")
         x, y = (own.select(F.col("node").alias(c), F.col("shingles").alias(n)) for c, n in ("ax", "by"))
         out = kept(close.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"), label)
-        forget(close, needed, own)
+        forget(maybe, close, needed, own)
         return out
 
     n_docs = made.count()
